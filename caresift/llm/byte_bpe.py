@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from caresift.llm._support import documents, slices
 from caresift.llm._words import pieces
 
-#: The rank map is a literal array of small maps, by CRC32 of the key: Spark looks through a map from its start.
-BUCKETS = 16_384
+#: Slots of the literal rank map, and lists of its keys that share a displacement; both are primes.
+SLOTS, LISTS = 393_241, 98_317
+#: Stands before and after each word's bytes; no pair has it.
+EDGE = 65_535
 #: Text bytes whose distinct words are one array.
 BLOCK_BYTES = 16_000_000
 #: Longer words fold outside the JVM, by the same rule with a heap: the fold copies the word at each merge.
 LONG_WORD = 512
-NONE = 1 << 30
 
 
 @functools.lru_cache(4)
@@ -35,60 +36,87 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
 
 
-def _bucket(key: bytes) -> int:
-    from zlib import crc32
-
-    return crc32(key) % BUCKETS
+@functools.lru_cache(4)
+def pair_ranks(path: str) -> dict[int, int]:
+    """left rank * 65536 + right rank: the rank of the two pieces joined."""
+    ranks = read_ranks(path)
+    if max(ranks.values()) >= EDGE:
+        raise ValueError("ranks have to be under 65535")
+    out = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                out[left * 65536 + right] = rank
+    return out
 
 
 @functools.lru_cache(4)
-def _literals(path: str) -> tuple[str, str]:
-    """JSON of the bucketed rank map with hex keys, and of the pieces' hex by rank."""
+def _literals(path: str) -> tuple[str, str, str]:
+    """JSON of the rank map's slots and displacements, and of the pieces' hex by rank.
+
+    Spark looks through a map literal from its start, so the map is two arrays: a key's list tells the displacement, key
+    and displacement tell the slot, and the slot holds ``key * 65536 + rank``.  Lists are placed from the longest down.
+    """
+    lists: dict[int, list[int]] = {}
+    pairs = pair_ranks(path)
+    for key in pairs:
+        lists.setdefault(key % LISTS, []).append(key)
+    slots, moved = [(1 << 47) - 1] * SLOTS, [0] * LISTS
+    taken = bytearray(SLOTS)
+    for number, keys in sorted(lists.items(), key=lambda x: (-len(x[1]), x[0])):
+        move = 0
+        while True:
+            places = {(key ^ move) % SLOTS for key in keys}
+            if len(places) == len(keys) and not any(taken[x] for x in places):
+                break
+            move = (move * 6364136223846793005 + 1442695040888963407) % (1 << 40)
+        moved[number] = move
+        for key in keys:
+            slots[(key ^ move) % SLOTS] = key * 65536 + pairs[key]
+            taken[(key ^ move) % SLOTS] = 1
     ranks = read_ranks(path)
-    table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        table[_bucket(piece.hex().upper().encode())][piece.hex().upper()] = rank
     named = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        named[rank] = piece.hex().upper()
-    return json.dumps(table), json.dumps(named)
+        named[rank] = piece.hex()
+    return json.dumps(slots), json.dumps(moved), json.dumps(named)
 
 
-def rank_map(path: str) -> Column:
-    return F.from_json(F.lit(_literals(path)[0]), "array<map<string,int>>")
+def rank_map(path: str) -> tuple[Column, Column]:
+    slots, moved, _ = _literals(path)
+    return F.from_json(F.lit(slots), "array<bigint>"), F.from_json(F.lit(moved), "array<bigint>")
 
 
 def piece_list(path: str) -> Column:
-    return F.from_json(F.lit(_literals(path)[1]), "array<string>")
+    return F.from_json(F.lit(_literals(path)[2]), "array<string>")
 
 
-def fold_word(word: Column, table: Column) -> Column:
-    """array<int>: the ranks that a word, given as upper-case hex, is merged into."""
+def fold_word(word: Column, table: tuple[Column, Column]) -> Column:
+    """array<int>: what is left of a word's pieces, an array<bigint> with EDGE at both ends, when no pair can be merged."""
+    slots, moved = table
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(table, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")), piece), F.lit(NONE))
+    def rank(left: Column, right: Column) -> Column:
+        """Over 65535 if the pair has none: then the slot's key differs."""
+        key = left * F.lit(65536).cast("long") + right
+        slot = key.bitwiseXOR(F.get(moved, (key % LISTS).cast("int"))) % SLOTS
+        return F.get(slots, slot.cast("int")).bitwiseXOR(key * F.lit(65536).cast("long"))
 
-    def pair_rank(parts: Column, i: Column) -> Column:
-        """Of the i-th pair, from 1; NONE where there is none."""
-        return F.when((i < 1) | (i >= F.size(parts)), F.lit(NONE)).otherwise(rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
+    def ranks(parts: Column, n: Column) -> Column:
+        return F.zip_with(F.slice(parts, 1, n), F.slice(parts, F.lit(2), n), rank)
 
-    length = (F.length(word) / 2).cast("int")
-    single = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(word, i * 2 - 1, F.lit(2)))
-    start = F.transform(F.array(single), lambda parts: F.struct(parts.alias("parts"), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: pair_rank(parts, i)).alias("ranks")))[0]
+    start = F.struct(word.alias("parts"), ranks(word, F.size(word) - 1).alias("ranks"))
 
     def step(state: Column, _: Column) -> Column:
         least = F.array_min(state["ranks"])
-        return F.when(least >= NONE, state).otherwise(F.transform(F.array(F.array_position(state["ranks"], least).cast("int")), lambda p: merged(state, p))[0])
+        return F.when(least > EDGE, state).otherwise(F.transform(F.array(F.array_position(state["ranks"], least).cast("int")), lambda p: merged(state, p, least))[0])
 
-    def merged(state: Column, p: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-        rest = F.size(parts)
-        joined = F.concat(F.slice(parts, F.lit(1), p - 1), F.array(F.concat(F.get(parts, p - 1), F.get(parts, p))), F.slice(parts, p + 2, rest))
-        return F.transform(F.array(joined), lambda j: F.struct(j.alias("parts"), F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), F.when(p > 1, F.array(pair_rank(j, p - 1))).otherwise(F.array().cast("array<int>")), F.array(pair_rank(j, p)), F.slice(ranks, p + 2, rest)).alias("ranks")))[0]
+    def merged(state: Column, p: Column, least: Column) -> Column:
+        parts, own = state["parts"], state["ranks"]
+        joined = F.concat(F.slice(parts, F.lit(1), p - 1), F.array(least), F.slice(parts, p + 2, F.lit(1 << 20)))
+        return F.transform(F.array(joined), lambda j: F.struct(j.alias("parts"), F.concat(F.slice(own, F.lit(1), p - 2), ranks(F.slice(j, p - 1, F.lit(3)), F.lit(2)), F.slice(own, p + 2, F.lit(1 << 20))).alias("ranks")))[0]
 
-    folded = F.aggregate(F.sequence(F.lit(1), length), start, step, lambda state: F.transform(state["parts"], rank))
-    whole = rank(word)
-    return F.when(F.length(word) == 0, F.array().cast("array<int>")).when(whole < NONE, F.array(whole)).otherwise(folded)
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(word) - 2), start, step, lambda state: state["parts"])
+    return F.filter(F.when(F.size(word) <= 3, word).otherwise(folded), lambda x: x < EDGE).cast("array<int>")
 
 
 def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -124,17 +152,25 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(path)
+        single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         known: dict[str, int] = {}
         held: list[tuple[pa.Array, bytes, bytes]] = []
         size = 0
+        edge = np.array([EDGE])
 
         def block() -> pa.RecordBatch:
             words = list(known)
-            short = [w.encode().hex().upper() if len(w.encode()) <= LONG_WORD else "" for w in words]
-            long = [w if len(w.encode()) > LONG_WORD else None for w in words]
+            said = [w.encode() for w in words]
+            long = [w if len(b) > LONG_WORD else None for w, b in zip(words, said, strict=True)]
+            # a word that is a piece is that piece, whatever the merges would give
+            short = [np.array([r]) if (r := ranks.get(b)) is not None else single[np.frombuffer(b, np.uint8)] if len(b) <= LONG_WORD else single[:0] for b in said]
+            edged = [x for w in short for x in (edge, w, edge)]
+            ends = np.concatenate([[0], np.cumsum([len(w) + 2 for w in short])]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(edged) if edged else np.empty(0, np.int64)))
             rows = pa.StructArray.from_arrays([pa.concat_arrays([h[0] for h in held]), pa.array([x for h in held for x in h[1]], pa.binary())], ["key", "places"])
             listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            out = pa.RecordBatch.from_arrays([listed(rows), listed(pa.array(short, pa.string())), listed(pa.array(long, pa.string()))], ["rows", "words", "long"])
+            out = pa.RecordBatch.from_arrays([listed(rows), listed(parts), listed(pa.array(long, pa.string()))], ["rows", "words", "long"])
             known.clear()
             held.clear()
             return out
@@ -182,8 +218,9 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
     made = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = made.schema["key"].dataType.simpleString()
-    split = made.mapInArrow(blocks, f"rows array<struct<key:{kind},places:binary>>, words array<string>, long array<string>")
-    folded = split.select("rows", F.transform("words", lambda w: fold_word(w, rank_map(path))).alias("ids"), "long")
+    split = made.mapInArrow(blocks, f"rows array<struct<key:{kind},places:binary>>, words array<array<bigint>>, long array<string>")
+    table = rank_map(path)
+    folded = split.select("rows", F.transform("words", lambda w: fold_word(w, table)).alias("ids"), "long")
     return folded.mapInArrow(gather, f"key {kind}, ids array<int>, ids_sha256 string").withColumnRenamed("key", key)
 
 
