@@ -361,15 +361,15 @@ def _broadcast(df: DataFrame, blobs: Column) -> DataFrame:
 
 
 def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, spans array<binary> (pairs of int64 byte places), copy boolean; one row for each row of ``df``.
+    """key, text, spans array<binary> (pairs of int64 byte places), copy boolean, rest; one row for each row of ``df``.
 
     A byte is in a span if it is covered by a string of ``least`` bytes that also starts earlier: in a text of a smaller
     key, or before in the same text.  ``copy`` texts are such from end to end: copies of whole texts of ``least`` bytes
     or more.  Texts of one key are ordered by a hash, one of rows equal in key and text stays, and null keys come first.
-    A null text is empty.
+    A null text is empty.  ``rest`` is a struct of ``df``'s columns but the text; rows equal in key and text share one.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("rest"))
     rows = rows.withColumns({"doc": F.coalesce(F.col("__key").cast("long"), F.lit(-(1 << 63))), "digest": F.unhex(F.md5("text"))})
     rows = rows.withColumn("ref", F.xxhash64("__key", "digest"))
     long = rows.where(F.octet_length("text") >= config.least)
@@ -414,12 +414,12 @@ def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str
     again = counts.where("rows > 1").join(heads, "digest").where("head.ref = ref").select("ref").distinct()
     again = small(cut(again)).withColumn("twice", F.lit(True))
     joined = marked.join(again, "ref", "left")
-    lone = joined.where("twice is null").select("ref", "__key", "text", (~F.coalesce("is_head", F.lit(True))).alias("copy"))
+    lone = joined.where("twice is null").select("ref", "__key", "text", "rest", (~F.coalesce("is_head", F.lit(True))).alias("copy"))
     turn = F.struct(F.col("twice"))
-    repeated = joined.where("twice").groupBy("ref").agg(F.count(turn).alias("n"), F.first("__key").alias("__key"), F.first("text").alias("text"))
-    repeated = repeated.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("ref", "__key", "text", (F.col("i") > 1).alias("copy"))
+    repeated = joined.where("twice").groupBy("ref").agg(F.count(turn).alias("n"), F.first("__key").alias("__key"), F.first("text").alias("text"), F.first("rest").alias("rest"))
+    repeated = repeated.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("ref", "__key", "text", "rest", (F.col("i") > 1).alias("copy"))
     out = lone.unionByName(repeated).join(spans, "ref", "left")
-    return out.select(F.col("__key").alias(key), "text", F.when(~F.col("copy"), F.col("spans")).alias("spans"), "copy")
+    return out.select(F.col("__key").alias(key), "text", F.when(~F.col("copy"), F.col("spans")).alias("spans"), "copy", "rest")
 
 
 def kept_of(body: bytes, spans: list[bytes] | None, copy: bool) -> tuple[bytes, int, int]:
@@ -447,16 +447,17 @@ def query(spark, sf_dir: str) -> DataFrame:
                     out.append((len(body), n, runs, sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in zip(*out, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed_spans(documents(spark, sf_dir)).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed_spans(documents(spark, sf_dir)).drop("rest").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the text without its removed spans; a sign that a span cuts in two goes as a whole."""
+    """``df`` with the text without its removed spans; a sign that a span cuts in two goes as a whole; null becomes empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [kept_of(t.encode(), s, c)[0].decode("utf-8", "ignore") for t, s, c in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], [key, text])
+            kept = [kept_of(t.encode(), s, c)[0].decode("utf-8", "ignore") for t, s, c in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(3)], ["kept", "rest"])
 
-    out = removed_spans(df, config, key, text)
-    return out.mapInArrow(run, f"`{key}` {out.schema[key].dataType.simpleString()}, `{text}` string")
+    out = removed_spans(df, config, key, text).select("text", "spans", "copy", "rest")
+    out = out.mapInArrow(run, f"kept string, rest {out.schema['rest'].dataType.simpleString()}")
+    return out.select(*[F.col("kept").alias(text) if c == text else F.col("rest").getField(c).alias(c) for c in df.columns])

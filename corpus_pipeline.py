@@ -1,10 +1,73 @@
-"""A corpus pipeline of five of the training-data operators."""
+"""A corpus pipeline of five of the training-data operators.
+
+Each stage takes all documents that the one before kept, and returns the columns of ``documents``; the last one returns
+the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caresift.llm import ngram_join, packing, quality, secret_scan, suffix_repeats
+from caresift.llm._support import cut, documents, small, written
+
+#: Documents with a lower score go.
+LEAST_QUALITY = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: fitted on the labels of documents outside the held-out fold; those it rejects go."""
+    model = quality.fit(quality.sample(spark.read.parquet(f"{sf_dir}/labels.parquet"), docs))
+    return quality.score(docs, model, out="__score").where(F.col("__score") >= LEAST_QUALITY).drop("__score")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (five words, 0.8): of each group that links join, the document of the least id stays.
+
+    Rows that repeat an id and its text whole are one document; rows without an id stay.
+    """
+    found = cut(ngram_join.join_texts(docs, ngram_join.JoinConfig(words=5, percent=80)))
+    kept = docs.join(small(found.where("doc_id <> component_id").select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.take(1):
+        return kept
+    again = cut(again)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes of 100-byte strings that start earlier are cut out of the texts."""
+    return suffix_repeats.drop_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: every span found is replaced by a mark."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing into sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("suffix-array dedup", drop_repeated_passages),
+    ("secret scans", hide_secrets),
+    ("best-fit packing", pack),
+]
+
+#: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("its stages come with their operators")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
