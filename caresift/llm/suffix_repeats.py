@@ -27,7 +27,7 @@ from caresift.llm._words import U, byte_values, mix, powers
 SEED = 32  #: bytes that a minimizer hashes
 NO_HASH = U((1 << 64) - 1)
 #: Surroundings in one reducer's bucket, bytes of them in one suffix array, and bytes of text in one chunk.
-BUCKET_PLACES, BLOCK_BYTES, CHUNK_BYTES = 60_000, 1_500_000, 8_000_000
+BUCKET_PLACES, BLOCK_BYTES, CHUNK_BYTES = 60_000, 1_000_000, 6_000_000
 #: Bytes of positions or spans up to which they are broadcast to the texts; beyond, the texts are shuffled.
 BROADCAST_BYTES = 48_000_000
 
@@ -35,7 +35,7 @@ BROADCAST_BYTES = 48_000_000
 @dataclass(frozen=True)
 class RepeatConfig:
     least: int = 100  #: bytes of the shortest repeat, over SEED
-    hot: int = 20_000  #: a minimizer with more different surroundings is settled by hashes of their strings, row by row
+    hot: int = 6_000  #: a minimizer with more different surroundings is settled by hashes of their strings, row by row
 
 
 def _slide(values: np.ndarray, width: int, op, fill) -> np.ndarray:
@@ -48,6 +48,21 @@ def _slide(values: np.ndarray, width: int, op, fill) -> np.ndarray:
     return op(after[: n - width + 1], before[width - 1 : n])
 
 
+def prefix_sums(body: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(body) + 1, U)
+    np.cumsum(byte_values()[body] * powers(len(body) + 1)[0][: len(body)], out=total[1:])
+    return total
+
+
+def seed_hashes(body: np.ndarray, at: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Of the run of SEED bytes at each place; NO_HASH if it ends in another text."""
+    down = powers(len(body) + 1)[1]
+    hashed = mix((total[SEED:] - total[:-SEED]) * down[: max(0, len(body) - SEED + 1)])
+    for e in at[1:-1]:
+        hashed[max(0, e - SEED + 1) : e] = NO_HASH
+    return hashed
+
+
 def minimizers(body: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of every run of SEED bytes that is the least of some ``least`` bytes around it.
 
@@ -56,12 +71,7 @@ def minimizers(body: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray
     n, width = len(body), least - SEED + 1
     if n < least:
         return np.empty(0, U), np.empty(0, np.int64)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(byte_values()[body] * up[:n], out=total[1:])
-    hashed = mix((total[SEED:] - total[:-SEED]) * down[: n - SEED + 1])
-    for e in at[1:-1]:
-        hashed[max(0, e - SEED + 1) : e] = NO_HASH
+    hashed = seed_hashes(body, at, prefix_sums(body))
     low = _slide(hashed, width, np.minimum, NO_HASH)
     edge = np.zeros(width - 1, U)
     chosen = _slide(np.concatenate([edge, low, edge]), width, np.maximum, U(0))
@@ -69,26 +79,35 @@ def minimizers(body: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray
     return hashed[place], place
 
 
-def suffix_order(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """Suffixes of all strings in order, the bytes left after each place, and names of the runs of 7, 14 ... bytes there.
+def suffix_order(body: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Suffixes of ``least`` bytes or more in order, the bytes left after each place, and names of the runs there.
 
-    Prefix doubling: runs of 7 symbols are numbers, and equal neighbours of half the length have equal names.  Past a
-    string's end stands a symbol of its own.
+    Prefix doubling: runs of 7 symbols are numbers, and pairs of names name runs of twice the length, until three runs
+    reach the end of the longest string.  Past a string's end stands a symbol of its own.
     """
-    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(body))
+    n = len(body)
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(n)
     longest = int(left.max(initial=0))
     symbol = np.concatenate([body.astype(np.int64) + 1, np.zeros(7, np.int64)])
-    packed = np.zeros(len(body), np.int64)
+    packed = np.zeros(n, np.int64)
     for k in range(7):
-        packed = packed * 512 + np.where(left > k, symbol[k : k + len(body)], 0)
-    names, h = {}, 7
-    _, names[7] = np.unique(packed, return_inverse=True)
-    while h < longest:
-        follow = np.zeros(len(body), np.int64)
-        follow[: len(body) - h] = np.where(left[: len(body) - h] > h, names[h][h:] + 1, 0) if len(body) > h else 0
-        _, names[2 * h] = np.unique(names[h] * (len(body) + 1) + follow, return_inverse=True)
-        h *= 2
-    return np.argsort(names[h], kind="stable"), left, names
+        packed = packed * 512 + np.where(left > k, symbol[k : k + n], 0)
+
+    def named(values: np.ndarray) -> np.ndarray:
+        return np.unique(values, return_inverse=True)[1].astype(np.int32)
+
+    def after(place: np.ndarray, h: int) -> np.ndarray:
+        return np.where(left[place] > h, names[size][np.minimum(place + h, n - 1)] + 1, 0)
+
+    size, every = 7, np.arange(n)
+    names = {7: named(packed)}
+    while 3 * size < longest:
+        double = named(names[size] * np.int64(n + 1) + after(every, size))
+        size *= 2
+        names[size] = double
+    wanted = np.flatnonzero(left >= least)
+    head = named(names[size][wanted] * np.int64(n + 1) + after(wanted, size))
+    return wanted[np.argsort(head * np.int64(n + 1) + after(wanted, 2 * size), kind="stable")], left, names
 
 
 def common_prefixes(order: np.ndarray, left: np.ndarray, names: dict[int, np.ndarray], body: np.ndarray) -> np.ndarray:
@@ -97,8 +116,8 @@ def common_prefixes(order: np.ndarray, left: np.ndarray, names: dict[int, np.nda
     a, b, n = order[:-1], order[1:], len(body)
     size = np.zeros(len(a), np.int64)
     most = np.minimum(left[a], left[b])
-    steps = [*sorted(names, reverse=True), *[1] * 6]
-    for h in steps:
+    top = max(names)
+    for h in [top, top, *sorted(names, reverse=True), *[1] * 6]:
         name = names.get(h, body)
         i, j = np.minimum(a + size, n - 1), np.minimum(b + size, n - 1)
         size += np.where((size + h <= most) & (name[i] == name[j]), h, 0)
@@ -113,8 +132,7 @@ def maximal_repeats(body: np.ndarray, at: np.ndarray, least: int) -> Iterator[tu
     string differs from all.  Intervals whose outermost one of ``least`` bytes has one byte before all are passed over
     first, as none inside can count.
     """
-    order, left, names = suffix_order(body, at)
-    order = order[left[order] >= least]
+    order, left, names = suffix_order(body, at, least)
     if len(order) < 2:
         return
     shared = common_prefixes(order, left, names, body)
@@ -263,7 +281,10 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> Dat
 
 
 def _cut_places(config: RepeatConfig, buckets: int):
-    """Surroundings of a text's places, by bucket of the minimizer; of equal ones in a chunk, the first."""
+    """Surroundings of a text's places, by bucket of the minimizer; of equal ones in a chunk, the first.
+
+    A surrounding holds all strings of ``least`` bytes whose minimizer is this one, and no more bytes than they have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, at in slices(batches, "text", CHUNK_BYTES):
@@ -273,9 +294,21 @@ def _cut_places(config: RepeatConfig, buckets: int):
             which = np.repeat(np.arange(len(own)), [len(x) for x in own])
             place = at[which] + np.concatenate([*own, np.empty(0, np.int64)])
             low, high = np.maximum(place - reach, at[which]), np.minimum(place + config.least, at[which + 1])
-            up, down = powers(len(body) + 1)
-            total = np.zeros(len(body) + 1, U)
-            np.cumsum(byte_values()[body] * up[: len(body)], out=total[1:])
+            # only strings whose leftmost least hash is here: those up to the next place of one as low, or lower
+            down = powers(len(body) + 1)[1]
+            total = prefix_sums(body)
+            hashed = np.concatenate([seed_hashes(body, at, total), np.full(SEED, NO_HASH)])
+            mine = hashed[place]
+            before, after = np.ones(len(place), bool), np.ones(len(place), bool)
+            for k in range(1, reach + 1):
+                hit = before & (place - k >= low) & (hashed[np.maximum(place - k, 0)] <= mine)
+                low[hit] = place[hit] - k + 1
+                before &= ~hit
+                hit = after & (place + k + SEED <= high) & (hashed[np.minimum(place + k, len(body))] < mine)
+                high[hit] = place[hit] + k + SEED - 1
+                after &= ~hit
+            full = high - low >= config.least
+            which, place, low, high = which[full], place[full], low[full], high[full]
             span = lambda i, j: mix((total[j] - total[i]) * down[i])
             kmer = span(place, place + SEED)
             shape = mix(span(low, high) + (high - low).astype(U) * U(3) + (place - low).astype(U) * U(0x9E3779B1))
@@ -284,7 +317,6 @@ def _cut_places(config: RepeatConfig, buckets: int):
             new = np.ones(len(order), bool)
             new[1:] = (kmer[order][1:] != kmer[order][:-1]) | (shape[order][1:] != shape[order][:-1])
             again = order[~new]
-            again = again[(high - low)[again] >= config.least]
             spans = _spans_of(ref[again], start[again], start[again] + (high - low)[again])
             gone = [np.insert(np.frombuffer(s, "<i8").reshape(-1, 2), 0, r, axis=1) for r, s in zip(spans.ref, spans.spans, strict=True)]
             gone = np.concatenate(gone) if gone else np.empty((0, 3), np.int64)
