@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters that are blank at the edges of a line.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, each evaluated once a row however often it is used.
+
+    Catalyst copies expressions into every filter and join condition that mentions them; it can't through a generator.
+    """
+    made = F.array(F.struct(*[c.alias(f"__new_{n}") for n, c in columns.items()]))
+    return df.select("*", F.inline(made)).drop(*columns).withColumnsRenamed({f"__new_{n}": n for n in columns})
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -94,7 +103,7 @@ def patient_keys(text: Column, wanted: str = "MR", authority: str = "") -> Colum
 
     def key(rep: Column) -> Column:
         who, place, kind = (strip(component(rep, n)) for n in (1, 4, 5))
-        place = F.when(strip(F.split(place, "&")[0]) != "", strip(F.split(place, "&")[0])).otherwise(F.lit(authority))
+        place = F.when(place != "", place).otherwise(F.lit(authority))
         return F.when((kind == wanted) & (who != "") & (place != ""), F.concat_ws("|", place, who))
 
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(reps, key))))

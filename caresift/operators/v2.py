@@ -63,6 +63,6 @@ def inspect(msgs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text has no segments and no findings.
     """
-    parsed = msgs.withColumn("__segs", hl7.segments(F.col(text)))
-    named = parsed.withColumns({"message_type": hl7.message_type(F.col("__segs")), "control_id": hl7.control_id(F.col("__segs")), "tenant_id": hl7.tenant(F.coalesce(F.col(text), F.lit(""))), "total_segments": F.size("__segs"), "findings": findings(F.col("__segs")).cast(f"array<{FINDING}>")})
+    parsed = hl7.computed_once(msgs, {"__segs": hl7.segments(F.col(text))})
+    named = hl7.computed_once(parsed, {"message_type": hl7.message_type(F.col("__segs")), "control_id": hl7.control_id(F.col("__segs")), "tenant_id": hl7.tenant(F.coalesce(F.col(text), F.lit(""))), "total_segments": F.size("__segs"), "findings": findings(F.col("__segs")).cast(f"array<{FINDING}>")})
     return reports(named.drop("__segs"))
