@@ -18,7 +18,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caresift.llm._support import cut, documents, slices, small
@@ -28,14 +28,13 @@ SEED = 32  #: bytes that a minimizer hashes
 NO_HASH = U((1 << 64) - 1)
 #: Surroundings in one reducer's bucket, bytes of them in one suffix array, and bytes of text in one chunk.
 BUCKET_PLACES, BLOCK_BYTES, CHUNK_BYTES = 60_000, 1_000_000, 6_000_000
-#: Bytes of positions or spans up to which they are broadcast to the texts; beyond, the texts are shuffled.
-BROADCAST_BYTES = 48_000_000
 
 
 @dataclass(frozen=True)
 class RepeatConfig:
     least: int = 100  #: bytes of the shortest repeat, over SEED
-    hot: int = 6_000  #: a minimizer with more different surroundings is settled by hashes of their strings, row by row
+    hot: int = 1_000_000  #: a minimizer with more occurrences is settled by hashes of its strings, row by row
+    block: int = BLOCK_BYTES  #: about so many bytes in one suffix array
 
 
 def _slide(values: np.ndarray, width: int, op, fill) -> np.ndarray:
@@ -182,11 +181,40 @@ def _spans_of(ref: np.ndarray, first: np.ndarray, last: np.ndarray) -> pd.DataFr
     return pd.DataFrame({"ref": names, "spans": blobs})
 
 
-def settle(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Spans to remove, by ref, among surroundings that met: columns as ``_cut_places`` sends them."""
+def _halves(own: np.ndarray, low: np.ndarray, high: np.ndarray, seed: np.ndarray, least: int) -> list[tuple]:
+    """Surroundings of one minimizer as two sets of shorter ones: by how many bytes a string has before the minimizer."""
+    most, fewest = seed[own] - low, np.maximum(0, least - (high - seed[own]))
+    if most.max() == fewest.min():
+        return []  # one string each, and all differ
+    middle = (int(most.max()) + int(fewest.min())) // 2
+    out = []
+    for a, b in ((np.maximum(low, seed[own] - middle), high), (low, np.minimum(high, seed[own] - middle - 1 + least))):
+        full = b - a >= least
+        out.append((own[full], a[full], b[full]))
+    return out
+
+
+def _equal(own, low, high, sums, begin, lead, doc, ref, start) -> tuple[np.ndarray, tuple]:
+    """Spans of surroundings that equal an earlier one, and the others."""
+    down = powers(len(sums))[1]
+    shape = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(U) * U(3) + (begin[own] + lead[own] - low).astype(U) * U(0x9E3779B1))
+    at = start[own] + low - begin[own]
+    order = np.lexsort((at, ref[own], doc[own], shape))
+    new = np.ones(len(order), bool)
+    new[1:] = shape[order][1:] != shape[order][:-1]
+    again, first = order[~new], order[new]
+    return np.stack([ref[own][again], at[again], at[again] + (high - low)[again]], 1), (own[first], low[first], high[first])
+
+
+def settle(rows: pd.DataFrame, least: int, block: int = BLOCK_BYTES) -> pd.DataFrame:
+    """Spans to remove, by ref, among surroundings that met: columns as ``_cut_places`` sends them.
+
+    Suffix arrays are of about ``block`` bytes.  A minimizer with more has its strings split by their place around it,
+    again and again; halves that become equal are settled by order, so few bytes are left.
+    """
     join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
     doc, ref, start = join("doc", np.int64), join("ref", np.int64), join("start", np.int64)
-    kmer, shape, size = join("kmer", U), join("shape", U), join("size", np.int64)
+    kmer, shape, size, lead = join("kmer", U), join("shape", U), join("size", np.int64), join("lead", np.int64)
     gone = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.gone if x] or [np.empty((0, 3), np.int64)])
     body = np.frombuffer(b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(rows.body, rows.body_size, strict=True)), np.uint8)
     begin = np.cumsum(size) - size
@@ -198,27 +226,43 @@ def settle(rows: pd.DataFrame, least: int) -> pd.DataFrame:
     out = [gone, np.stack([ref[copies], start[copies], start[copies] + size[copies]], 1)]
     kept = order[new]
     _, group = np.unique(kmer[kept], return_inverse=True)
+    kmer_group = np.full(len(kmer), -1)
+    kmer_group[kept] = group
     several = np.bincount(group)[group] > 1 if len(kept) else np.empty(0, bool)
     kept, group = kept[several & (size[kept] >= least)], group[several & (size[kept] >= least)]
     ends = np.cumsum(size[kept])
-    edge = 0
+    edge, sums = 0, None
     while edge < len(kept):  # whole groups, as many as make a block
-        stop = int(np.searchsorted(ends, (ends[edge - 1] if edge else 0) + BLOCK_BYTES, "right"))
+        stop = int(np.searchsorted(ends, (ends[edge - 1] if edge else 0) + block, "right"))
         stop = max(stop, edge + 1)
+        while stop < len(kept) and stop > edge + 1 and group[stop] == group[stop - 1] and group[edge] != group[stop]:
+            stop -= 1
         while stop < len(kept) and group[stop] == group[stop - 1]:
             stop += 1
         own = kept[edge:stop]
         edge = stop
-        sizes = size[own]
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        text = body[np.repeat(begin[own] - at[:-1], sizes) + np.arange(at[-1])]
-        for length, places in maximal_repeats(text, at, least):
-            which = np.searchsorted(at, places, "right") - 1
-            here = own[which]
-            place = start[here] + places - at[which]
-            first = np.lexsort((place, ref[here], doc[here]))[0]
-            later = (ref[here] != ref[here[first]]) | (place != place[first])
-            out.append(np.stack([ref[here][later], place[later], place[later] + length], 1))
+        waiting = [(own, begin[own], begin[own] + size[own])]
+        while waiting:
+            own, low, high = waiting.pop()
+            if len(own) > 1 and (high - low).sum() > block and group[edge - 1] == kmer_group[own[0]]:
+                sums = prefix_sums(body) if sums is None else sums
+                for half in _halves(own, low, high, begin + lead, least):
+                    again, half = _equal(*half, sums, begin, lead, doc, ref, start)
+                    out.append(again)
+                    if len(half[0]) > 1:
+                        waiting.append(half)
+                continue
+            sizes = high - low
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            text = body[np.repeat(low - at[:-1], sizes) + np.arange(at[-1])]
+            from_ = start[own] + low - begin[own]
+            for length, places in maximal_repeats(text, at, least):
+                which = np.searchsorted(at, places, "right") - 1
+                here = own[which]
+                place = from_[which] + places - at[which]
+                first = np.lexsort((place, ref[here], doc[here]))[0]
+                later = (ref[here] != ref[here[first]]) | (place != place[first])
+                out.append(np.stack([ref[here][later], place[later], place[later] + length], 1))
     every = np.concatenate(out)
     return _spans_of(every[:, 0], every[:, 1], every[:, 2])
 
@@ -226,7 +270,8 @@ def settle(rows: pd.DataFrame, least: int) -> pd.DataFrame:
 def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> DataFrame:
     """ref, places array<binary>: minimizers of a text (int64 places) whose hash occurs twice in the corpus.
 
-    A chunk sends each hash once, and keeps what occurs twice in it.
+    A chunk sends each hash once, with its count, and keeps what occurs twice in it.  The row of the null ref, if there is
+    one, has the hashes with more than ``config.hot`` occurrences instead.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +284,9 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> Dat
             hashed, ref, place = hashed[order], ref[order], place[order]
             new = np.ones(len(hashed), bool)
             new[1:] = hashed[1:] != hashed[:-1]
-            twice = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(hashed) else new
-            known = np.stack([ref[twice], place[twice]], 1)
-            hashed, ref, place, twice = hashed[new], ref[new], place[new], twice[new]
+            count = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(hashed) else np.empty(0, np.int64)
+            known = np.stack([ref[count > 1], place[count > 1]], 1)
+            hashed, ref, place, count = hashed[new], ref[new], place[new], count[new].astype(np.uint32)
             bucket = (mix(hashed) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             names, begin = np.unique(bucket[order], return_index=True)
@@ -250,7 +295,7 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> Dat
             blob = lambda values: pa.array([values[c].tobytes() for c in cuts], pa.binary())
             near = pa.array([known.tobytes() if not i else b"" for i in range(len(cuts))], pa.binary())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), blob(hashed), blob(ref), blob(place.astype(np.int64)), blob(twice), near], ["bucket", "hashed", "refs", "places", "twice", "known"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), blob(hashed), blob(ref), blob(place.astype(np.int64)), blob(count), near], ["bucket", "hashed", "refs", "places", "counts", "known"])
 
         for batch, body, at in slices(batches):
             hashed, place = minimizers(body, at, config.least)
@@ -264,18 +309,19 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> Dat
             yield chunk()
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        hashed, ref, place, twice = (np.concatenate([np.frombuffer(x, k) for x in rows[c]]) for c, k in (("hashed", U), ("refs", np.int64), ("places", np.int64), ("twice", bool)))
-        _, which, count = np.unique(hashed, return_inverse=True, return_counts=True)
-        again = (count[which] > 1) & ~twice  # the others are known already
-        # a hash that occurs twice in one chunk and once in another is met here too: count[which] counts chunks
+        hashed, ref, place, own = (np.concatenate([np.frombuffer(x, k) for x in rows[c]]) for c, k in (("hashed", U), ("refs", np.int64), ("places", np.int64), ("counts", np.uint32)))
+        name, which, chunks = np.unique(hashed, return_inverse=True, return_counts=True)
+        again = (chunks[which] > 1) & (own == 1)  # the others are known already
+        many = name[np.bincount(which, own, len(name)) > config.hot]
         known = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows.known if x] or [np.empty((0, 2), np.int64)])
         ref, place = np.concatenate([ref[again], known[:, 0]]), np.concatenate([place[again], known[:, 1]])
         order = np.argsort(ref, kind="stable")
         names, begin = np.unique(ref[order], return_index=True)
         edges = [*begin, len(ref)]
-        return pd.DataFrame({"ref": names, "places": [place[order[i:j]].tobytes() for i, j in zip(edges, edges[1:], strict=False)]})
+        out = pd.DataFrame({"ref": names, "places": [place[order[i:j]].tobytes() for i, j in zip(edges, edges[1:], strict=False)]}, dtype=object)
+        return pd.concat([out, pd.DataFrame({"ref": [None], "places": [many.tobytes()]}, dtype=object)]) if len(many) else out
 
-    sent = docs.select("ref", "text").mapInArrow(send, "bucket long, hashed binary, refs binary, places binary, twice binary, known binary")
+    sent = docs.select("ref", "text").mapInArrow(send, "bucket long, hashed binary, refs binary, places binary, counts binary, known binary")
     found = sent.groupBy("bucket").applyInPandas(meet, "ref long, places binary")
     return found.groupBy("ref").agg(F.collect_list("places").alias("places"))  # of one text, by its length at most
 
@@ -331,7 +377,7 @@ def _cut_places(config: RepeatConfig, buckets: int):
             for c in cuts:
                 sizes = (high - low)[c]
                 texts.append(body[np.repeat(low[c] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())].tobytes())
-            columns = [pa.array(names, pa.int64()), blob(kmer), blob(shape), blob(doc), blob(ref), blob(start), blob(high - low)]
+            columns = [pa.array(names, pa.int64()), blob(kmer), blob(shape), blob(doc), blob(ref), blob(start), blob(high - low), blob(place - low)]
             columns += [pa.array([_pack(x) for x in texts], pa.binary()), pa.array([len(x) for x in texts], pa.int64())]
             columns.append(pa.array([gone.tobytes() if not i else b"" for i in range(len(cuts))], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PLACES.split(", ")])
@@ -339,19 +385,7 @@ def _cut_places(config: RepeatConfig, buckets: int):
     return run
 
 
-PLACES = "bucket long, kmer binary, shape binary, doc binary, ref binary, start binary, size binary, body binary, body_size long, gone binary"
-
-
-def _hot(rows: DataFrame, config: RepeatConfig) -> tuple[list[int], DataFrame]:
-    """Minimizers with over ``config.hot`` surroundings, and how many each bucket sent of every such one (few rows)."""
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        kmer = np.concatenate([np.frombuffer(x, np.int64) for x in group.kmer])
-        name, n = np.unique(kmer, return_counts=True)
-        return pd.DataFrame({"kmer": name[n > config.hot], "n": n[n > config.hot]})
-
-    found = rows.select("bucket", "kmer").groupBy("bucket").applyInPandas(count, "kmer long, n long")
-    return [r["kmer"] for r in found.collect()], found
+PLACES = "bucket long, kmer binary, shape binary, doc binary, ref binary, start binary, size binary, lead binary, body binary, body_size long, gone binary"
 
 
 def _settle_hot(rows: DataFrame, hot: list[int], config: RepeatConfig) -> DataFrame:
@@ -387,11 +421,6 @@ def _settle_hot(rows: DataFrame, hot: list[int], config: RepeatConfig) -> DataFr
     return later.mapInArrow(spans, "ref long, spans binary")
 
 
-def _broadcast(df: DataFrame, blobs: Column) -> DataFrame:
-    held = df.agg(F.sum(blobs).alias("bytes"), F.count("*").alias("n")).first()
-    return F.broadcast(df) if (held["bytes"] or 0) + 64 * held["n"] <= BROADCAST_BYTES else df.hint("merge")
-
-
 def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, spans array<binary> (pairs of int64 byte places), copy boolean, rest; one row for each row of ``df``.
 
@@ -416,12 +445,13 @@ def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str
     size = long.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = cut(_repeated_places(texts, config, max(partitions, size // 30 // 1_000_000 + 1)))
-    total = places.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))).alias("bytes")).first()["bytes"] or 0
+    held = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
+    total = places.agg(F.sum(held).alias("bytes")).first()["bytes"] or 0
     buckets = max(partitions, total // 8 // BUCKET_PLACES + 1)
-    near = _broadcast(places, F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))
+    hot = [x for r in places.where("ref is null").collect() for b in r["places"] for x in np.frombuffer(b, np.int64).tolist()]  # each has config.hot occurrences
+    near = places.where("ref is not null").hint("merge")  # at any size alike: texts meet their places, and later their spans, by a shuffle
     met = texts.join(near, "ref").select("ref", "doc", "text", "places").mapInArrow(_cut_places(config, buckets), PLACES)
-    met = cut(met)
-    hot, _ = _hot(met, config)
+    met = cut(met) if hot else met
     cold = met
 
     if hot:
@@ -434,14 +464,13 @@ def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str
                     kmer, size = np.frombuffer(r["kmer"], np.int64), np.frombuffer(r["size"], np.int64)
                     keep = ~np.isin(kmer, names)
                     body = np.frombuffer(pa.decompress(r["body"], r["body_size"], codec="zstd", asbytes=True), np.uint8)[np.repeat(keep, size)]
-                    out.append(r | {c: np.frombuffer(r[c], np.int64)[keep].tobytes() for c in ("kmer", "shape", "doc", "ref", "start", "size")} | {"body": _pack(body.tobytes()), "body_size": len(body)})
+                    out.append(r | {c: np.frombuffer(r[c], np.int64)[keep].tobytes() for c in ("kmer", "shape", "doc", "ref", "start", "size", "lead")} | {"body": _pack(body.tobytes()), "body_size": len(body)})
                 yield pa.RecordBatch.from_pylist(out, batch.schema)
 
         cold = met.mapInArrow(without, PLACES)
-    spans = cold.groupBy("bucket").applyInPandas(lambda pdf: settle(pdf, config.least), "ref long, spans binary")
+    spans = cold.groupBy("bucket").applyInPandas(lambda pdf: settle(pdf, config.least, config.block), "ref long, spans binary")
     spans = spans.unionByName(_settle_hot(met, hot, config)) if hot else spans
-    spans = cut(spans.groupBy("ref").agg(F.collect_list("spans").alias("spans")))
-    spans = _broadcast(spans, F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))
+    spans = cut(spans.groupBy("ref").agg(F.collect_list("spans").alias("spans"))).hint("merge")
     # one row of each head stays: rows that repeat it whole are copies
     again = counts.where("rows > 1").join(heads, "digest").where("head.ref = ref").select("ref").distinct()
     again = small(cut(again)).withColumn("twice", F.lit(True))
