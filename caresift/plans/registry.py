@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caresift.plans import adt_queries, v2_queries
+from caresift.plans import adt_queries, fhir_queries, v2_queries
 
-_MODULES = (v2_queries, adt_queries)
+_MODULES = (v2_queries, fhir_queries, adt_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,3 +85,30 @@ def _adt(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
         zst = _join("|", "ZST", action, number(F.col("before")), F.concat(F.lit("ADT^"), target), stamp(F.col("before_ts")))
         text = F.when(trigger.isin("A08", "A11", "A12", "A13") & F.col("before").isNotNull(), F.concat_ws("\r", text, zst)).otherwise(text)
     return e.select(F.col("event_id").alias("receipt_id"), F.col("ts").alias("received_ts"), text.alias("text"))
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bundle_key, text: a customer's Patient, and an Observation, Condition, Procedure, MedicationRequest and
+    MedicationAdministration of each of the customer's orders, as FHIR JSON."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    k, c = F.col("k"), F.col("c")
+    name = k.cast("string")
+    ref = lambda bad: F.struct(F.when(bad, F.concat(F.lit("Patient/x"), name)).otherwise(F.concat(F.lit("Patient/"), c.cast("string"))).alias("reference"))
+    coding = lambda system, code, show: F.array(F.struct(F.lit(system).alias("system"), F.lit(code).alias("code"), F.lit(show).alias("display")))
+    concept = lambda gone, value, text: F.struct(F.when(~gone, value).alias("coding"), F.when(gone, F.lit(text)).alias("text"))
+    lab = F.array(F.struct(coding("http://terminology.hl7.org/CodeSystem/observation-category", "laboratory", "lab").alias("coding")))
+    entry = lambda **f: F.to_json(F.struct(F.struct(*[v.alias(n) for n, v in f.items()]).alias("resource")))
+    resources = F.array(
+        entry(resourceType=F.lit("Observation"), id=name, code=concept(k % 7 == 0, coding("http://loinc.org", "718-7", "hemoglobin"), "free text"), category=F.when(k % 2 == 0, lab), subject=ref(k % 5 == 0), basedOn=F.when(k % 4 == 0, F.array(ref(F.lit(False)))), valueQuantity=F.when(k % 3 != 0, F.struct(F.lit(1.5).alias("value"), F.lit(UCUM).alias("system")))),
+        entry(resourceType=F.lit("Condition"), id=name, code=concept(F.lit(False), coding("http://fhir.de/CodeSystem/bfarm/icd-10-gm", "E11", "x"), ""), subject=ref(k % 11 == 0)),
+        entry(resourceType=F.lit("Procedure"), id=name, code=concept(F.lit(False), F.when(k % 10 == 0, coding("http://snomed.info/sct", "386473003", "x")).otherwise(coding("http://snomed.info/sct", "1", "x")), ""), performedDateTime=F.when(k % 6 != 0, F.lit("2024-01-01"))),
+        entry(resourceType=F.lit("MedicationRequest"), id=name, dosageInstruction=F.array(F.struct(F.struct(F.struct(F.lit(2).alias("frequency")).alias("repeat"), F.when(k % 8 == 0, F.array(F.lit("2024-01-01"))).alias("event")).alias("timing")))),
+        entry(resourceType=F.lit("MedicationAdministration"), id=name, dosage=F.when(k % 9 != 0, F.struct(F.lit("5 mg").alias("text")))),
+    )
+    grouped = o.select("c", F.explode(resources).alias("e")).groupBy("c").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+    patient = entry(resourceType=F.lit("Patient"), id=c.cast("string"), identifier=F.when(c % 2 == 0, F.array(F.struct(F.lit("http://fhir.de/sid/gkv/kvid-10").alias("system")))))
+    text = F.concat(F.lit('{"resourceType":"Bundle","type":"transaction","id":"B'), c.cast("string"), F.lit('","entry":['), F.concat_ws(",", patient, F.array_join("entries", ",")), F.lit("]}"))
+    return grouped.select(c.alias("bundle_key"), text.alias("text"))
+
+
+UCUM = "http://unitsofmeasure.org"
