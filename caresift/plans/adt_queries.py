@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caresift.functions import hl7
-from caresift.operators import contacts, erase, sighting, stays
+from caresift.operators import contacts, erase, estimates, fold, sighting, stays
 from caresift.sources import synth
 
 AS_OF = synth.AS_OF
@@ -124,7 +124,46 @@ def kept_after_erasure(spark, sf_dir):
     return erase.without(intake, keys, ["receipt_id"]).select("receipt_id")
 
 
+def fold_segments(spark, sf_dir):
+    """The fold on the simple lane: the same segments as by windows."""
+    rows = fold.segments_of(fold.reconstruct(simple_events(spark, sf_dir), AS_OF))
+    return rows.select("stay_id", "segment_id", "seq", "ward", "room", "bed", "start_ts", "start_provenance", "end_ts", "end_provenance", "is_open")
+
+
+def _full_rows(spark, sf_dir, poll=None):
+    return fold.reconstruct(sighting.events(sighting.sight(full_messages(spark, sf_dir), AS_OF)), AS_OF, poll_seconds=poll)
+
+
+def fold_stays(spark, sf_dir):
+    return fold.stays_of(_full_rows(spark, sf_dir)).drop("visit_id")
+
+
+def fold_changes(spark, sf_dir):
+    return fold.latest_changes(fold.changes_of(_full_rows(spark, sf_dir, 3600)))
+
+
+def fold_statuses(spark, sf_dir):
+    rows = _full_rows(spark, sf_dir)
+    return rows.where("kind in ('event', 'finding', 'tombstone')").groupBy("kind", "status", "reason").agg(F.count("*").alias("n"))
+
+
+def _estimates(spark, sf_dir):
+    sighted_rows = sighting.sight(full_messages(spark, sf_dir), AS_OF)
+    segs = fold.segments_of(fold.reconstruct(sighting.events(sighted_rows), AS_OF))
+    return segs, estimates.bounds(estimates.candidates(sighted_rows, hl7.patient_keys(F.col("text"))), segs)
+
+
+def estimated(spark, sf_dir):
+    return _estimates(spark, sf_dir)[1]
+
+
+def estimated_segments(spark, sf_dir):
+    segs, found = _estimates(spark, sf_dir)
+    return estimates.apply(segs, found).select("stay_id", "segment_id", "seq", "ward", "start_ts", "start_provenance", "end_ts", "end_provenance")
+
+
 QUERIES = {
+    "adt_fold_segments": fold_segments, "adt_fold_stays": fold_stays, "adt_fold_changes": fold_changes, "adt_fold_statuses": fold_statuses, "adt_estimates": estimated, "adt_estimated_segments": estimated_segments,
     "adt_sighting": sighted, "adt_dispositions": dispositions, "adt_holds": held, "adt_quality_findings": dq_findings, "adt_events": event_rows, "adt_stays": forward_stays, "adt_segments": forward_segments, "adt_simple_lane": simple_lane, "adt_delay_log": delay_log,
     "adt_overdue": overdue, "adt_markers": markers, "adt_contract_segments": contract_segments, "adt_contract_stays": contract_stays, "adt_export": exported, "adt_contacts_ward": contact_pairs("ward"), "adt_contacts_room": contact_pairs("room"), "adt_contacts_bed": contact_pairs("bed"),
     "adt_contact_counts": contact_counts, "adt_segments_in_range": in_range, "adt_segment_containing": containing, "adt_erase_result": erased, "adt_erase_kept": kept_after_erasure,
@@ -170,6 +209,8 @@ ORACLE = {
     "adt_events": _FULL + "SELECT event_id AS receipt_id, 'HOSP|U' || user_id AS patient_key, trig AS trigger, CASE WHEN event_id % 4 = 0 THEN 'O' ELSE 'I' END AS patient_class, 'W' || (event_id % 5) AS ward, 'R1' AS room, 'B' || (event_id % 3) AS bed, ts AS event_ts, CASE WHEN before IS NOT NULL AND trig IN ('A08', 'A11', 'A12', 'A13') THEN CASE WHEN trig = 'A08' THEN 'UPDATES' ELSE 'CANCELS' END END AS zst_action, CASE WHEN trig IN ('A08', 'A11', 'A12', 'A13') THEN 'E' || before END AS zst_target FROM k WHERE kind = 'usable'",
     "adt_stays": _SIMPLE + "SELECT stay_id, revision, 'A' AS pattern, CASE WHEN closed IS NULL THEN 'open' ELSE 'closed' END AS status, patient_key, opened AS opened_event_ts, closed AS closed_event_ts FROM stay",
     "adt_segments": _SIMPLE + "SELECT stay_id, segment_id, seq::INT AS seq, ward, room, bed, start_ts, start_provenance, end_ts, end_provenance, is_open FROM seg",
+    "adt_fold_segments": _SIMPLE + "SELECT stay_id, segment_id, seq::INT AS seq, ward, room, bed, start_ts, start_provenance, end_ts, end_provenance, is_open FROM seg",
+    "adt_simple_lane": _FULL + ", lane AS (SELECT bool_and(CASE WHEN n = 1 THEN trig = 'A01' ELSE trig = 'A02' OR (trig = 'A03' AND n = c) END) AS fits FROM (SELECT user_id, trig, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM k WHERE kind = 'usable') GROUP BY user_id) SELECT count(*) FILTER (WHERE fits) + (SELECT count(DISTINCT (user_id, strftime(ts, '%Y%m%d'))) FROM e) AS n FROM lane",
     "adt_delay_log": _SIMPLE + "SELECT trig AS trigger, CASE WHEN trig = 'A01' THEN 'join' ELSE 'jitter' END AS window, count(*) AS n, 0::BIGINT AS delay FROM t GROUP BY ALL",
     "adt_overdue": _SIMPLE + "SELECT stay_id, segment_id, 'stationary' AS duration_class, (epoch(TIMESTAMP '2024-02-15') - epoch(start_ts))::BIGINT AS age_seconds, 'E' || stay_id AS msh10 FROM seg WHERE is_open AND epoch(TIMESTAMP '2024-02-15') - epoch(start_ts) > 14 * 86400",
     "adt_markers": _SIMPLE + "SELECT stay_id, 'segment' AS scope, segment_id AS ref_id, 'unknown_ward' AS kind FROM seg WHERE ward = 'W4' UNION ALL SELECT stay_id, 'segment', segment_id, 'zero_duration' FROM seg WHERE start_ts = end_ts",
