@@ -58,7 +58,9 @@ class StayProcessor(StatefulProcessor):
             patient.apply(e)
         patient.finish(now)
         rest = [e for e in held if e.arrival + self.windows.jitter > now]
-        self.buffer.put([(fold.dump(fold.PatientFold(applied=[e])),) for e in rest])
+        self.buffer.clear()
+        if rest:
+            self.buffer.put([(fold.dump(fold.PatientFold(applied=[e])),) for e in rest])
         self.state.update((fold.dump(patient),))
         wake = [e.arrival + self.windows.jitter for e in rest] + [s.arrived + self.windows.join + 1 for s in patient.stays if s.status == "open" and s.pattern == "pending"] + [e.arrival + self.windows.tombstone + 1 for e, status in patient.waiting if status == "waiting"]
         if wake:
