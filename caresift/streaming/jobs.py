@@ -85,7 +85,11 @@ class StayProcessor(StatefulProcessor):
 
 
 def stays(events: DataFrame, windows: Windows = Windows()) -> DataFrame:
-    """Tagged rows of the fold, a patient's whole state after each change; needs the RocksDB state store."""
+    """Tagged rows of the fold, a patient's whole state after each change; needs the RocksDB state store.
+
+    For a run that ends (``availableNow``), switch ``spark.sql.streaming.noDataMicroBatches.enabled`` off: batches for timers
+    have no end.
+    """
     schema = "patient_key string, " + ", ".join(f"{n} {k}" for n, k in fold.FIELDS.items())
     return events.where("patient_key is not null and event_ts is not null").groupBy("patient_key").transformWithStateInPandas(StayProcessor(windows), outputStructType=schema, outputMode="Update", timeMode="processingTime")
 

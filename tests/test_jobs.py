@@ -70,6 +70,7 @@ def test_streamed_inspection_and_dedup(spark, sf_dir, tmp_path):
 
 def test_streamed_stays_equal_the_batch(spark, sf_dir, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches for timers never end under availableNow
     events = adt_queries.simple_events(spark, sf_dir).limit(60).cache()
     got = stream(spark, events, f"{tmp_path}/c", jobs.stays, "update")
     want = fold.stays_of(fold.reconstruct(events, synth.AS_OF)).count()
