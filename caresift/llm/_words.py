@@ -38,7 +38,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(21, int(n).bit_length()))
+    return _powers(1 << max(19, int(n).bit_length()))
 
 
 @functools.lru_cache(1)

@@ -26,7 +26,7 @@ SLOTS, LISTS = 393_241, 98_317
 #: Stands before and after each word's bytes; no pair has it.
 EDGE = 65_535
 #: Text bytes whose distinct words are one array.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 #: Longer words fold outside the JVM, by the same rule with a heap: the fold copies the word at each merge.
 LONG_WORD = 512
 
@@ -162,12 +162,20 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         def block() -> pa.RecordBatch:
             words = list(known)
             said = [w.encode() for w in words]
-            long = [w if len(b) > LONG_WORD else None for w, b in zip(words, said, strict=True)]
-            # a word that is a piece is that piece, whatever the merges would give
-            short = [np.array([r]) if (r := ranks.get(b)) is not None else single[np.frombuffer(b, np.uint8)] if len(b) <= LONG_WORD else single[:0] for b in said]
-            edged = [x for w in short for x in (edge, w, edge)]
-            ends = np.concatenate([[0], np.cumsum([len(w) + 2 for w in short])]).astype(np.int32)
-            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(edged) if edged else np.empty(0, np.int64)))
+            size = np.fromiter(map(len, said), np.int64, len(said))
+            whole = np.fromiter((ranks.get(b, -1) for b in said), np.int64, len(said))  # a word that is a piece is that piece, whatever the merges would give
+            long = [w if n > LONG_WORD and r < 0 else None for w, n, r in zip(words, size.tolist(), whole.tolist(), strict=True)]
+            size = np.where((size > LONG_WORD) & (whole < 0), 0, size)
+            flat = single[np.frombuffer(b"".join(b for b, n in zip(said, size.tolist(), strict=True) if n), np.uint8)]
+            own = np.where(whole >= 0, 1, size)
+            ends = np.concatenate([[0], np.cumsum(own + 2)])
+            parts = np.full(ends[-1], EDGE)
+            merge = np.flatnonzero((whole < 0) & (size > 0))
+            begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+            place = lambda start: np.repeat(start - np.cumsum(size[merge]) + size[merge], size[merge]) + np.arange(size[merge].sum())
+            parts[place(ends[merge] + 1)] = flat[place(begin[merge])]
+            parts[ends[:-1][whole >= 0] + 1] = whole[whole >= 0]
+            parts = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(parts))
             rows = pa.StructArray.from_arrays([pa.concat_arrays([h[0] for h in held]), pa.array([x for h in held for x in h[1]], pa.binary())], ["key", "places"])
             listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             out = pa.RecordBatch.from_arrays([listed(rows), listed(parts), listed(pa.array(long, pa.string()))], ["rows", "words", "long"])
@@ -175,7 +183,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
             held.clear()
             return out
 
-        for batch, body, at in slices(batches):
+        for batch, body, at in slices(batches, most=500_000):
             joined, hashed, first, last, bounds = pieces(body, at)
             _, where, which = np.unique(hashed, return_index=True, return_inverse=True)
             own = np.fromiter((known.setdefault(joined[i:j], len(known)) for i, j in zip(first[where].tolist(), last[where].tolist(), strict=True)), np.int32, len(where))
