@@ -17,15 +17,15 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caresift.llm._support import cut, documents, slices, small
+from caresift.llm._support import BROADCAST_ROWS, cut, documents, slices, small
 from caresift.llm._words import U, mix, shingles, words
 from caresift.llm.graph import components
 
 #: Counters of the frequency table, of a fixed size whatever the corpus, and in how many slices it is summed.
-COUNTERS, COUNTER_SLICES = 1 << 22, 64
+COUNTERS, COUNTER_SLICES = 1 << 24, 64
 #: Signatures that one reducer's bucket should hold, and text bytes whose signatures are sent at once.
 BUCKET_SIGNATURES, CHUNK_BYTES = 1_000_000, 16_000_000
 #: Sets in one block of the search.
@@ -98,33 +98,34 @@ def part_signatures(own: np.ndarray, lows: list[int], percent: int) -> np.ndarra
 def rare_signatures(own: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray:
     """The set's rarest n-grams: so many that two sets that link have one of them in common.  One order for all sets."""
     need = len(own) - -(-percent * len(own) // 100) + 1
-    order = np.lexsort((own, counters[(own >> U(42)).astype(np.int64)]))
+    order = np.lexsort((own, counters[(own >> U(40)).astype(np.int64)]))
     return own[order[:need]]
 
 
 def count_ngrams(docs: DataFrame, config: JoinConfig) -> np.ndarray:
-    """How often n-grams of each of COUNTERS hash classes are in the sets of all texts; the table has a fixed size."""
+    """How often n-grams of each of COUNTERS hash classes are in the sets of all texts, up to 255; of a fixed size."""
     width = COUNTERS // COUNTER_SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(COUNTERS, np.int64)
+        out = np.zeros(COUNTERS, np.uint32)
         for _, body, at in slices(batches):
-            for own in sets(body, at, config.words):
-                np.add.at(out, (own >> U(42)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SLICES), pa.int32()), pa.array([x.astype(np.uint32).tobytes() for x in np.split(out, COUNTER_SLICES)], pa.binary())], ["slice", "counts"])
+            name, n = np.unique(np.concatenate([*sets(body, at, config.words), np.empty(0, U)]) >> U(40), return_counts=True)
+            out[name.astype(np.int64)] += n.astype(np.uint32)
+        parts = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in np.split(out, COUNTER_SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for x in rows["counts"]:
-            total += np.frombuffer(x, np.uint32)
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
+            total += np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
 
     each = docs.select("text").mapInArrow(count, "slice int, counts binary").withColumn("part", F.spark_partition_id() % 512)
     summed = each.groupBy("slice", "part").applyInPandas(add, "slice int, counts binary") if each.rdd.getNumPartitions() > 512 else each.drop("part")
     done = summed.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()  # COUNTER_SLICES rows of a fixed size
-    out = np.zeros(COUNTERS, np.uint32)
+    out = np.zeros(COUNTERS, np.uint8)
     for r in done:
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -264,7 +265,13 @@ def links(docs: DataFrame, rows: DataFrame, config: JoinConfig, key: str) -> Dat
     near = cut(components(candidate_links(docs, config, stats["largest"], buckets)))
 
     # one text for each node that has candidates
-    members = rows.join(small(near), "node").groupBy("node").agg(F.min(key).alias("__key"), F.first("component").alias("component"))
+    block = config.block
+    counts = cut(near.groupBy("component").agg(F.count("*").alias("count")))
+    most = counts.agg(F.max("count").alias("most"), F.sum(F.when(F.col("count") <= block, F.col("count"))).alias("few")).first()
+    if not most["most"]:
+        return empty
+    members = rows.join(small(cut(near.join(counts, "component"))), "node").groupBy("node").agg(F.min(key).alias("__key"), F.first("component").alias("component"), F.first("count").alias("count"), F.first("n").alias("n"))
+    members = members.select("node", "component", "count", _band(F.col("n"), bands(config.percent, stats["largest"])).alias("band"), "__key")
     members = small(cut(members))
     text = docs.select(F.col(key).alias("__own"), "text").join(members, F.col("__own").eqNullSafe(F.col("__key")))
 
@@ -272,40 +279,52 @@ def links(docs: DataFrame, rows: DataFrame, config: JoinConfig, key: str) -> Dat
         for batch, body, at in slices(batches):
             made = list(sets(body, at, config.words))
             fits = pa.array([len(x) > 0 and node_of(x) == n for x, n in zip(made, batch.column(1).to_pylist(), strict=True)])  # not another text under a repeated key
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([x.tobytes() for x in made], pa.binary())], ["node", "component", "own"]).filter(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in made], pa.binary())], ["node", "component", "count", "band", "own"]).filter(fits)
 
-    full = cut(text.select("text", "node", "component").mapInArrow(read, "node long, component long, own binary"))
-    counts = full.groupBy("component").agg(F.count("*").alias("count"))
-    held = full.join(counts, "component")
-    block = config.block
-    few, many = held.where(F.col("count") <= block), cut(held.where(F.col("count") > block))
-    groups = max(1, full.count() // block)
+    full = lambda wanted: text.where(wanted).select("text", "node", "component", "count", "band").mapInArrow(read, "node long, component long, count long, band int, own binary")
+    few = full(F.col("count") <= block)
+    groups = max(1, (most["few"] or 0) // block)
     kinds = "a long, b long"
     search = lambda pdf: _search(pdf, config.percent)
     yes, no = F.lit(True), F.lit(False)
     columns = ["group", "node", "own", "indexed", "asked", "class"]
     inside = few.select(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("group"), "node", "own", yes.alias("indexed"), yes.alias("asked"), F.col("node").alias("class"))
-    # a component over one block: first against a few of its sets ...
-    parts = F.ceil(F.col("count") / block).cast("int")
-    leaders = many.groupBy("component", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS)).alias("turn")).agg(F.min("node").alias("node")).select("node")
-    lead = many.join(leaders, "node").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    ask = many.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    grouped = lambda df, *by: df.withColumn("group", F.xxhash64("component", *by))
-    first = grouped(lead, "part").select("group", "node", "own", yes.alias("indexed"), no.alias("asked"), F.col("node").alias("class")).unionByName(grouped(ask, "part").select("group", "node", "own", no.alias("indexed"), yes.alias("asked"), F.col("node").alias("class")))
-    found = cut(inside.unionByName(first).select(columns).groupBy("group").applyInPandas(search, kinds))
-    if not many.take(1):
-        return found
-    # ... then, whatever isn't in its largest class yet, against all of it, block by block
-    known = components(found)
-    classed = many.join(known.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    classed = cut(classed)
+    search_all = lambda df: df.select(columns).groupBy("group").applyInPandas(search, kinds)
+    if most["most"] <= block:
+        return search_all(inside)
+    # A component over one block is dealt by size: a set is compared with those of its own band and the next smaller one.
+    many = cut(full(F.col("count") > block))
+    units = small(cut(many.groupBy("component", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))))
+    own = many.join(units, ["component", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+    def dealt(index: DataFrame, queries: DataFrame, split: bool) -> DataFrame:
+        """Each query set meets the index sets of its band and its neighbours; the other way round alike where all sets ask.
+
+        ``split``: the index by its parts and both neighbours, else as a whole and the smaller one.
+        """
+        bands_near = F.array(*[F.col("band") + i for i in ((-1, 0, 1) if split else (-1, 0))])
+        aim = queries.withColumnRenamed("part", "other").drop("parts").withColumn("aim", F.explode(bands_near))
+        aim = aim.join(units.withColumnRenamed("band", "aim"), ["component", "aim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if split else F.lit(0))
+        there = small(cut(aim.select("component", "aim", "band", "other").distinct().withColumnRenamed("band", "from")))
+        met = index.withColumnRenamed("band", "aim").withColumn("part", F.col("part") if split else F.lit(0)).join(there, ["component", "aim"])
+        group = F.xxhash64("component", "aim", "from", "part", "other").alias("group")
+        return met.select(group, "node", "own", yes.alias("indexed"), no.alias("asked"), "class").unionByName(aim.withColumnRenamed("band", "from").select(group, "node", "own", no.alias("indexed"), yes.alias("asked"), "class"))
+
+    # First against a few sets of each band ...
+    fresh = own.withColumn("class", F.col("node"))
+    leaders = many.groupBy("component", "band", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS)).alias("turn")).agg(F.min("node").alias("node")).select("node")
+    leaders = small(cut(leaders))
+    found = cut(search_all(inside.unionByName(dealt(fresh.join(leaders, "node"), fresh, False))))
+    # ... then, whatever isn't in its component's largest class yet, against all sets
+    known = small(cut(components(found).withColumnRenamed("component", "class")))
+    classed = own.join(known, "node", "left").withColumn("class", F.coalesce("class", "node"))
     top = classed.groupBy("component", "class").agg(F.count("*").alias("size")).groupBy("component").agg(F.max_by("class", F.struct("size", "class")).alias("main"))
-    rest = classed.join(top, "component").where("class <> main")
-    asked = rest.withColumn("other", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    waiting = rest.select("component", F.pmod(F.xxhash64("node"), parts).cast("int").alias("other")).distinct()
-    against = classed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).join(waiting, "component")
-    second = grouped(asked, "part", "other").select("group", "node", "own", no.alias("indexed"), yes.alias("asked"), "class").unionByName(grouped(against, "part", "other").select("group", "node", "own", yes.alias("indexed"), no.alias("asked"), "class"))
-    return found.unionByName(second.select(columns).groupBy("group").applyInPandas(search, kinds))
+    rest = classed.join(F.broadcast(top) if most["most"] <= BROADCAST_ROWS else top, "component").where("class <> main").drop("main")
+    return found.unionByName(search_all(dealt(classed, rest, True)))
+
+
+def _band(size: Column, lows: list[int]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(x) for x in lows]), lambda low: low <= size))
 
 
 def join_texts(df: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
