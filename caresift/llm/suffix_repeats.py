@@ -27,7 +27,7 @@ from caresift.llm._words import U, byte_values, mix, powers
 SEED = 32  #: bytes that a minimizer hashes
 NO_HASH = U((1 << 64) - 1)
 #: Surroundings in one reducer's bucket, bytes of them in one suffix array, and bytes of text in one chunk.
-BUCKET_PLACES, BLOCK_BYTES, CHUNK_BYTES = 60_000, 1_000_000, 6_000_000
+BUCKET_PLACES, BLOCK_BYTES, CHUNK_BYTES = 40_000, 600_000, 3_000_000
 
 
 @dataclass(frozen=True)
