@@ -95,6 +95,11 @@ def contact_pairs(granularity: str):
     return lambda spark, sf_dir: contacts.pairs(_forward(spark, sf_dir)[1].where("not is_open"), AS_OF, granularity)
 
 
+def all_contact_pairs(granularity: str):
+    """With the segments of patients who are still present: their open end has no bound."""
+    return lambda spark, sf_dir: contacts.pairs(_forward(spark, sf_dir)[1], AS_OF, granularity)
+
+
 def contact_counts(spark, sf_dir):
     p = contacts.pairs(_forward(spark, sf_dir)[1], AS_OF, "bed")
     return p.groupBy("segment_id").agg(F.count("*").alias("n"))
@@ -166,6 +171,7 @@ QUERIES = {
     "adt_fold_segments": fold_segments, "adt_fold_stays": fold_stays, "adt_fold_changes": fold_changes, "adt_fold_statuses": fold_statuses, "adt_estimates": estimated, "adt_estimated_segments": estimated_segments,
     "adt_sighting": sighted, "adt_dispositions": dispositions, "adt_holds": held, "adt_quality_findings": dq_findings, "adt_events": event_rows, "adt_stays": forward_stays, "adt_segments": forward_segments, "adt_simple_lane": simple_lane, "adt_delay_log": delay_log,
     "adt_overdue": overdue, "adt_markers": markers, "adt_contract_segments": contract_segments, "adt_contract_stays": contract_stays, "adt_export": exported, "adt_contacts_ward": contact_pairs("ward"), "adt_contacts_room": contact_pairs("room"), "adt_contacts_bed": contact_pairs("bed"),
+    "adt_contacts_all_ward": all_contact_pairs("ward"), "adt_contacts_all_room": all_contact_pairs("room"), "adt_contacts_all_bed": all_contact_pairs("bed"),
     "adt_contact_counts": contact_counts, "adt_segments_in_range": in_range, "adt_segment_containing": containing, "adt_erase_result": erased, "adt_erase_kept": kept_after_erasure,
 }
 
@@ -200,6 +206,7 @@ WITH e AS (
 )
 """
 _PAIRS = "SELECT x.segment_id, y.segment_id AS other_id FROM seg x JOIN seg y ON x.ward = y.ward {more} AND x.patient <> y.patient AND x.start_ts < y.end_ts AND y.start_ts < x.end_ts WHERE NOT x.is_open AND NOT y.is_open"
+_ALL_PAIRS = "SELECT x.segment_id, y.segment_id AS other_id FROM seg x JOIN seg y ON x.ward = y.ward {more} AND x.patient <> y.patient AND (x.end_ts IS NULL OR y.start_ts < x.end_ts) AND (y.end_ts IS NULL OR x.start_ts < y.end_ts)"
 
 ORACLE = {
     "adt_sighting": _FULL + "SELECT receipt_id, kind, trig AS trigger, CASE WHEN kind <> 'hold_timequality' AND NOT (trig = 'A02' AND event_id % 23 = 0) THEN prov END AS time_provenance FROM all_",
@@ -220,6 +227,9 @@ ORACLE = {
     "adt_contacts_ward": _SIMPLE + _PAIRS.format(more=""),
     "adt_contacts_room": _SIMPLE + _PAIRS.format(more="AND x.room = y.room"),
     "adt_contacts_bed": _SIMPLE + _PAIRS.format(more="AND x.bed = y.bed"),
+    "adt_contacts_all_ward": _SIMPLE + _ALL_PAIRS.format(more=""),
+    "adt_contacts_all_room": _SIMPLE + _ALL_PAIRS.format(more="AND x.room = y.room"),
+    "adt_contacts_all_bed": _SIMPLE + _ALL_PAIRS.format(more="AND x.bed = y.bed"),
     "adt_contact_counts": _SIMPLE + "SELECT x.segment_id, count(*) AS n FROM seg x JOIN seg y ON x.ward = y.ward AND x.bed = y.bed AND x.patient <> y.patient AND (x.end_ts IS NULL OR y.start_ts < x.end_ts) AND (y.end_ts IS NULL OR x.start_ts < y.end_ts) GROUP BY x.segment_id",
     "adt_segments_in_range": _SIMPLE + "SELECT segment_id FROM seg WHERE start_ts < TIMESTAMP '2024-01-11' AND (end_ts IS NULL OR end_ts > TIMESTAMP '2024-01-10')",
     "adt_segment_containing": _SIMPLE + "SELECT segment_id AS point_id, segment_id FROM seg WHERE NOT is_open AND epoch(end_ts) - epoch(start_ts) > 1",
