@@ -26,14 +26,15 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
 KINDS = ("assign", "access", "hex", "literal")
-#: One pair: an identifier that isn't inside another one, an operator, and a quoted or bare value or a name.
+#: One pair: an identifier that isn't inside another one, an operator, and a quoted or bare value or a name.  Parts of any
+#: length; nothing is given back (possessive), so that a search stays linear.
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])([A-Za-z_][A-Za-z0-9_.\-]{0,127})["']?[\x20\t]{0,16}(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]{0,16}"""
-    r"""(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|([^\s"'`,;(){}\[\]<>]{1,4096}))"""
+    r"""(?<![A-Za-z0-9_.\-])([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+"""
+    r"""(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([^\s"'`,;(){}\[\]<>]++))"""
 )
 #: What follows a value in a sum of names and literals.
-MORE = re.compile(r"""[\x20\t]{0,16}\+[\x20\t]{0,16}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|([A-Za-z_][A-Za-z0-9_.]{0,127}))""")
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,127}")
+MORE = re.compile(r"""[\x20\t]*+\+[\x20\t]*+(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([A-Za-z_][A-Za-z0-9_.]*+))""")
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+")
 #: Parts of names and what each says of a literal assigned to it.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
@@ -46,7 +47,6 @@ HARMLESS = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|example|chang
 class ScanConfig:
     threshold: float = 1.0  #: least score of a literal
     shortest: int = 6  #: least number of characters of a literal
-    hops: int = 4  #: how often a constant is handed on
 
 
 def name_score(name: str) -> float:
@@ -70,27 +70,29 @@ def literal_spans(text: str, config: ScanConfig = ScanConfig()) -> list[tuple[in
     if "=" not in text and ":" not in text:
         return []
     reach: dict[str, list[tuple[int, int]]] = {}  # a name's literals, by assignment
-    handed: dict[str, list[str]] = {}  # a name and those that take its value
+    taken: dict[str, list[str]] = {}  # a name and those whose value it takes
     for m in PAIR.finditer(text):
         name, bare = m[1].lower(), m[4]
         group = 2 if m[2] is not None else 3 if m[3] is not None else 4
         if group == 4 and NAME.fullmatch(bare):
-            handed.setdefault(bare.lower(), []).append(name)
+            taken.setdefault(name, []).append(bare.lower())
         reach.setdefault(name, []).append(m.span(group))
         end = m.end()
         while (more := MORE.match(text, end)) is not None:
             if more[3]:
-                handed.setdefault(more[3].lower(), []).append(name)
+                taken.setdefault(name, []).append(more[3].lower())
             else:
                 reach[name].append(more.span(1 if more[1] is not None else 2))
             end = more.end()
-    scores = {name: name_score(name) for name in reach}
-    for name in [n for n in reach if n in handed]:  # constants: through the names they are handed on to
-        seen, front = {name}, [name]
-        for _ in range(config.hops):
-            front = [t for n in front for t in handed.get(n, ()) if t not in seen]
-            seen.update(front)
-            scores[name] = max([scores[name], *(name_score(t) for t in front)])
+    own = {name: name_score(name) for name in reach}
+    scores: dict[str, float] = {}
+    for name in sorted(own, key=own.get, reverse=True):  # constants: the highest name that they are handed on to, each name once
+        front = [name]
+        while front:
+            n = front.pop()
+            if n not in scores:
+                scores[n] = own[name]
+                front += taken.get(n, ())
     found = {(a, b) for name, spans in reach.items() if scores[name] > 0 for a, b in spans if b - a >= config.shortest and not (NAME.fullmatch(text, a, b) and text[a:b].lower() in reach) and scores[name] + literal_score(text[a:b]) >= config.threshold + 0.4 and literal_score(text[a:b]) > 0}
     return sorted(found)
 

@@ -1,0 +1,36 @@
+import time
+
+from caresift.llm import secret_scan
+
+
+def literals(text):
+    return [text[a:b] for a, b in secret_scan.literal_spans(text)]
+
+
+def redacted(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [x["text"] for x in secret_scan.redact(rows).orderBy("doc_id").collect()]
+
+
+def test_values_names_and_gaps_of_any_length(spark):
+    long = "aB3$xY7!" * 1250
+    texts = [f"credential={long}", f'credential = "{long}"', f"credential = '{long}'", f'{"a" * 300}_credential = "{long}"', f'credential{" " * 50}={" " * 50}"{long}"', f'credential = "x"{" " * 50}+{" " * 50}"{long}"']
+    assert all(literals(t) == [long] for t in texts)
+    assert not any("aB3" in t or "Y7!" in t for t in redacted(spark, texts))
+    assert literals('credential = "' + 'ab\\"cd9!' * 1000 + '"') == ['ab\\"cd9!' * 1000]
+
+
+def test_constants_are_handed_on_to_the_end():
+    said = 'k0 = "Zx9!kQ2mTr5#vB8n"\n' + "".join(f"k{i + 1} = k{i}\n" for i in range(20_000))
+    start = time.time()
+    assert literals(said) == [] and literals(said + "password = k20000\n") == ["Zx9!kQ2mTr5#vB8n"]
+    assert literals('a = "Zx9!kQ2mTr5#vB8n"\nb = a\nc = b\nd = c\ne = d\npassword = e\n') == ["Zx9!kQ2mTr5#vB8n"]
+    assert literals('a = "Zx9!kQ2mTr5#vB8n"\na = b\nb = a\npassword = b\n') == ["Zx9!kQ2mTr5#vB8n"]
+    assert time.time() - start < 10
+
+
+def test_search_stays_linear():
+    start = time.time()
+    for said in ('a="' * 200_000, "a" * 1_000_000 + "=", "a" + " " * 1_000_000, "a = " + " " * 1_000_000, "a=b" + " +" * 300_000, 'a="' + "\\" * 1_000_000, "a= 'x' + " * 100_000):
+        secret_scan.literal_spans(said)
+    assert time.time() - start < 20
