@@ -35,12 +35,15 @@ PAIR = re.compile(
 #: What follows a value in a sum of names and literals.
 MORE = re.compile(r"""[\x20\t]*+\+[\x20\t]*+(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([A-Za-z_][A-Za-z0-9_.]*+))""")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+")
+PART = re.compile(r"[^\x20]+")
 #: Parts of names and what each says of a literal assigned to it.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
     "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authorization": 0.7, "bearer": 0.8, "auth": 0.6, "signature": 0.5, "key": 0.4,
 }
 HARMLESS = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|example|changeme|test|dummy|placeholder|todo|x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w+\)?s?)$")
+#: What is left of the score of a literal with an inner blank (a passphrase, or prose).
+BLANK = 0.75
 
 
 @dataclass(frozen=True)
@@ -57,16 +60,20 @@ def name_score(name: str) -> float:
 
 
 def literal_score(text: str) -> float:
-    """0 to 1: bits a character and length; 0 for one that stands for no value."""
-    if HARMLESS.match(text) or " " in text.strip():
+    """0 to 1: bits a character and length, less with an inner blank; 0 for one that stands for no value."""
+    if HARMLESS.match(text):
         return 0.0
     n = len(text)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    return min(1.0, bits / 4) * min(1.0, n / 16) ** 0.5
+    return min(1.0, bits / 4) * min(1.0, n / 16) ** 0.5 * (BLANK if " " in text.strip() else 1.0)
 
 
 def literal_spans(text: str, config: ScanConfig = ScanConfig()) -> list[tuple[int, int]]:
-    """Spans of literals whose score of name and looks reaches the threshold, by start."""
+    """Spans of literals whose score of name and looks reaches the threshold, by start.
+
+    A literal with inner blanks counts whole only for a name of score 1; else each of its parts between blanks counts for
+    itself (a PEM body, the token after ``Bearer``).
+    """
     if "=" not in text and ":" not in text:
         return []
     reach: dict[str, list[tuple[int, int]]] = {}  # a name's literals, by assignment
@@ -93,7 +100,21 @@ def literal_spans(text: str, config: ScanConfig = ScanConfig()) -> list[tuple[in
             if n not in scores:
                 scores[n] = own[name]
                 front += taken.get(n, ())
-    found = {(a, b) for name, spans in reach.items() if scores[name] > 0 for a, b in spans if b - a >= config.shortest and not (NAME.fullmatch(text, a, b) and text[a:b].lower() in reach) and scores[name] + literal_score(text[a:b]) >= config.threshold + 0.4 and literal_score(text[a:b]) > 0}
+
+    def told(a: int, b: int, score: float) -> bool:
+        if b - a < config.shortest or (NAME.fullmatch(text, a, b) and text[a:b].lower() in reach):
+            return False
+        looks = literal_score(text[a:b])
+        return looks > 0 and score + looks >= config.threshold + 0.4
+
+    found = set()
+    for name, spans in reach.items():
+        for a, b in spans if scores[name] > 0 else ():
+            blank = " " in text[a:b].strip()
+            if (not blank or scores[name] >= 1) and told(a, b, scores[name]):
+                found.add((a, b))
+            elif blank and not HARMLESS.match(text[a:b]):
+                found.update(m.span() for m in PART.finditer(text, a, b) if told(*m.span(), scores[name]))
     return sorted(found)
 
 
