@@ -327,13 +327,20 @@ def _band(size: Column, lows: list[int]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(x) for x in lows]), lambda low: low <= size))
 
 
-def join_texts(df: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles long, component_id: the least key that can be reached by links, one's own included.
+def with_nodes(df: DataFrame, config: JoinConfig = JoinConfig(), text: str = "text", out: str = "node") -> DataFrame:
+    """``df`` with the number of each text's set as ``out``, null for an empty set."""
 
-    Texts are lower-cased (A-Z) and cut into words at blanks and the bytes 9 to 13.  A text of fewer words than
-    ``config.words`` has its whole sequence as its one n-gram.  A null text, or one without words, has an empty set, which
-    links with nothing.  Every row gives one row; rows of one key are told apart by their texts; a null key is no least key
-    unless its whole component has none.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, body, at in slices(batches, text):
+            yield batch.append_column(out, pa.array([node_of(x) if len(x) else None for x in sets(body, at, config.words)], pa.int64()))
+
+    return df.mapInArrow(read, df.withColumn(out, F.lit(None).cast("long")).schema)
+
+
+def grouped(df: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``join_texts``, with ``node``, the number of the text's set, and ``root``, that of its component.
+
+    Both are null for an empty set.
     """
     docs = df.select(F.col(key), F.col(text).alias("text"))
 
@@ -346,7 +353,18 @@ def join_texts(df: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc
     known = components(links(docs, rows, config, key)).withColumnRenamed("component", "root")
     placed = rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root is not null").groupBy("root").agg(F.min(key).alias("__least"))
-    return placed.join(least, "root", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("__least")).alias("component_id"))
+    return placed.join(least, "root", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("__least")).alias("component_id"), "node", "root")
+
+
+def join_texts(df: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles long, component_id: the least key that can be reached by links, one's own included.
+
+    Texts are lower-cased (A-Z) and cut into words at blanks and the bytes 9 to 13.  A text of fewer words than
+    ``config.words`` has its whole sequence as its one n-gram.  A null text, or one without words, has an empty set, which
+    links with nothing.  Every row gives one row; rows of one key are told apart by their texts; a null key is no least key
+    unless its whole component has none.
+    """
+    return grouped(df, config, key, text).select(key, "n_shingles", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

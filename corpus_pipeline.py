@@ -25,16 +25,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (five words, 0.8): of each group that links join, the document of the least id stays.
 
-    Rows that repeat an id and its text whole are one document; rows without an id stay.
+    Rows of one id are told apart by their texts; where all ids of a group are missing, one of its rows stays.  Texts without
+    words link with nothing and stay.
     """
-    found = cut(ngram_join.join_texts(docs, ngram_join.JoinConfig(words=5, percent=80)))
-    kept = docs.join(small(found.where("doc_id <> component_id").select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.take(1):
-        return kept
-    again = cut(again)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    config = ngram_join.JoinConfig(words=5, percent=80)
+    found = cut(ngram_join.grouped(docs, config))
+    lost = small(found.where("doc_id <> component_id").select("doc_id").distinct())
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.take(1) and not found.where("doc_id is null").take(1):
+        return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    again = small(again)
+    plain = docs.where("doc_id is not null").join(again, "doc_id", "left_anti").join(lost, "doc_id", "left_anti").select(docs.columns)
+    odd = lambda df: df.where("doc_id is null").unionByName(df.join(again, "doc_id", "left_semi").select(df.columns))
+    first = odd(found).where("root is not null and doc_id <=> component_id").groupBy("root").agg(F.first("doc_id").alias("__id"), F.min("node").alias("__first"))
+    rows = ngram_join.with_nodes(odd(docs), config, out="__node")
+    one = rows.join(small(cut(first)), (F.col("__node") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    others = [c for c in docs.columns if c != "text"]
+    one = one.groupBy("__node").agg(F.min(F.struct("text", *others)).alias("__row")).select(*(F.col(f"__row.{c}").alias(c) for c in docs.columns))
+    return plain.unionByName(one).unionByName(rows.where("__node is null").select(docs.columns))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
