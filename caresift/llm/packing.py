@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caresift.llm._support import cut, documents, slices
+from caresift.llm._support import cut, documents, flat, slices
 from caresift.llm._words import pieces
 
 #: Words whose ids a worker keeps between slices.
@@ -37,6 +37,13 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
 
 
+#: Of the registered uses: all three demands count in the score, and only the tokens can bind (a piece has one token at least,
+#: and a sum of squares is at most the square of the sum).
+FULL = Capacity(1024, 1024, 1024 * 1024)
+#: The added token of the vocabulary: its text and id.
+ADDED, ADDED_ID = b"<|endoftext|>", 50256
+
+
 @functools.lru_cache(2)
 def _encoder(path: str):
     import public_tokenizers
@@ -70,20 +77,29 @@ def token_ids(body: np.ndarray, at: np.ndarray, path: str, kept: dict[str, list[
     return flat, place[bounds]
 
 
-def cut_pieces(df: DataFrame, path: str, tokens: int, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _with_added(said: bytes, path: str, kept: dict[str, list[int]]) -> np.ndarray:
+    ids, bounds = token_ids(*flat(pa.array([x.decode() for x in said.split(ADDED)])), path, kept)
+    return np.insert(ids, bounds[1:-1], np.uint32(ADDED_ID))
+
+
+def cut_pieces(df: DataFrame, path: str, tokens: int, end: int, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32 of each text's ids and the ``end`` id.
 
     Only texts of more than ``tokens`` ids are cut; all their pieces but the first have ``tokens``.  A null text is empty.
-    ``path``: the tokenizer's rank file.
+    ``path``: the tokenizer's rank file.  ``added``: its added token, where a text holds it, is one id, as in the library's
+    plain call; else it is read as any text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list[int]] = {}
         for batch, body, at in slices(batches, "text"):
             ids, bounds = token_ids(body, at, path, kept)
+            whole = body.tobytes()
+            some = added and ADDED in whole
             out: list[tuple[int, int, int, int, int]] = []
             for row, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                own = np.append(ids[i:j], np.uint32(end)).astype("<u4")
+                said = whole[at[row] : at[row + 1]] if some else b""
+                own = np.append(_with_added(said, path, kept) if ADDED in said else ids[i:j], np.uint32(end)).astype("<u4")
                 head = (len(own) - 1) % tokens + 1
                 edges = [0, *range(head, len(own) + 1, tokens)]
                 out += [(row, n, a, b - a, zlib.crc32(own[a:b])) for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
@@ -168,13 +184,13 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), key: str = "doc_id")
     return placed.select(*parts.columns, (F.col("__step.first") + F.col("__rank") - F.col("__step.a")).alias("sequence_id"), F.col("__step.at").alias("offset"))
 
 
-def pack_documents(df: DataFrame, path: str, capacity: Capacity = Capacity(), end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, path: str, capacity: Capacity = Capacity(), end: int = 2, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Texts tokenised, cut and packed: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(cut(cut_pieces(df, path, capacity.tokens, end, key, text)), capacity, key)
+    return pack(cut(cut_pieces(df, path, capacity.tokens, end, key, text, added)), capacity, key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), FULL, added=True)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
