@@ -1,8 +1,16 @@
 """Secret scans by assignment-aware lexing, beside three plain patterns.
 
-Source and configuration text is read as name-literal pairs: ``name = "literal"``, ``"name": "literal"``,
-``export NAME=literal``, ``name => 'literal'``.  A literal is scored by its own looks and by the names it reaches: the name
-it is assigned to and, through ``other = name`` and ``other = name + "literal"``, names that its constant is handed on to.
+Source and configuration text is read as name-literal pairs.  The left side is a name, dotted or dashed, bare or a quoted
+key, with subscripts (``config["passphrase"]``), a type after it (``token: str``, ``password string``) or before it
+(``String password``), or an XML element.  The value is a literal in single, double, triple or back quotes with a prefix or
+without, over lines where its quotes allow that, on the next line, a block of indented lines (``key: |``), or a bare word.
+Sums of literals and names, and chains (``a = b = "x"``), are followed.
+
+A literal is scored by its own looks and by the names it reaches: the name it is assigned to and, through ``other = name``
+and ``other = name + "literal"``, names that its constant is handed on to, to a fixed point.
+
+Refused by rule: unpacking (``a, b = "x", "y"``), literals that are only passed by place (``login("x")``), and comparisons.
+Comments are read like code, as a secret in a comment is as open as one beside it.
 """
 
 from __future__ import annotations
@@ -26,16 +34,28 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
 KINDS = ("assign", "access", "hex", "literal")
-#: One pair: an identifier that isn't inside another one, an operator, and a quoted or bare value or a name.  Parts of any
-#: length; nothing is given back (possessive), so that a search stays linear.
+#: Quoted literals: triple ones over lines, back quotes over lines, others within one.  Nothing is given back (possessive),
+#: so that a search stays linear.
+_TRIPLE = r'''"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}'''
+_PLAIN = r'''"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|`([^`\\]*+(?:\\.[^`\\]*+)*+)`'''
+_QUOTED = rf"(?:[rRbBfFuUlL]{{1,2}}+(?=[\"\'`]))?+(?:{_TRIPLE}|{_PLAIN})"
+_SPACE = r"[\x20\t]*+"
+#: One pair.  Groups: name, subscripts, second word; then the value's groups as VALUES says.
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*+"""
-    r"""(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([^\s"'`,;(){}\[\]<>]++))"""
+    rf"""(?s)(?<![\w.$\-])([A-Za-z_$][A-Za-z0-9_.$\-]*+)((?:\[{_SPACE}["']?[A-Za-z0-9_.$\-]++["']?{_SPACE}\])*+)["'`]?+"""
+    rf"""(?:{_SPACE}:{_SPACE}[A-Za-z_][A-Za-z0-9_.\[\],|\x20]*+(?==(?!=))|[\x20\t]++([A-Za-z_$][A-Za-z0-9_.$*]*+)(?={_SPACE}:?=(?![=>])))?+"""
+    rf"""{_SPACE}(?::=|=>|\?=|\+=|=(?!=)|:(?![:/=])){_SPACE}(?:\(?{_SPACE}\\?\r?\n\s*+(?=[rRbBfFuU]{{0,2}}["'`]))?+"""
+    rf"""(?:{_QUOTED}|[|>][+-]?{_SPACE}\r?\n((?:[\x20\t]++[^\n]*+(?:\n|\Z))++)|([^\s"'`,;(){{}}\[\]<>]++))"""
 )
-#: What follows a value in a sum of names and literals.
-MORE = re.compile(r"""[\x20\t]*+\+[\x20\t]*+(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([A-Za-z_][A-Za-z0-9_.]*+))""")
+VALUES = range(4, 11)  #: two triple quotes, three plain ones, a block, a bare word
+BARE = 10
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*+)(?:\s[^<>]*+)?>\s*+([^<>]*+)</")
+#: What follows a value in a sum of names and literals, or in a chain of assignments.
+MORE = re.compile(rf"""(?s)\s*+(?:\+|\\|\.(?=\s))?+\s*+{_QUOTED}|\s*+\+\s*+([A-Za-z_][A-Za-z0-9_.]*+)""")
+CHAIN = re.compile(r"[\x20\t]*+=(?!=)")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+")
-PART = re.compile(r"[^\x20]+")
+PART = re.compile(r"\S+")
+INNER = re.compile(r"\S\s+\S")
 #: Parts of names and what each says of a literal assigned to it.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
@@ -65,7 +85,34 @@ def literal_score(text: str) -> float:
         return 0.0
     n = len(text)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    return min(1.0, bits / 4) * min(1.0, n / 16) ** 0.5 * (BLANK if " " in text.strip() else 1.0)
+    return min(1.0, bits / 4) * min(1.0, n / 16) ** 0.5 * (BLANK if INNER.search(text) else 1.0)
+
+
+def pairs(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], list[str]]]:
+    """Of each assignment: its names in lower case, the spans of its literals, and the names whose values it takes."""
+    at = 0
+    while (m := PAIR.search(text, at)) is not None:
+        names = [(m[1] + "." + re.sub(r"[^A-Za-z0-9_.$\-]+", ".", m[2]).strip(".") if m[2] else m[1]).lower()]
+        names += [m[3].lower()] if m[3] else []
+        group = next(g for g in VALUES if m[g] is not None)
+        taken = [m[BARE].lower()] if group == BARE and NAME.fullmatch(m[BARE]) else []
+        spans, at = [m.span(group)], m.end()
+        if taken and CHAIN.match(text, at):
+            yield names, [], taken  # the next pair begins with the name that this one takes
+            at = m.start(BARE)
+            continue
+        while (more := MORE.match(text, at)) is not None:
+            held = next(g for g in range(1, 7) if more[g] is not None)
+            if held == 6:
+                taken.append(more[6].lower())
+            else:
+                spans.append(more.span(held))
+            at = more.end()
+        yield names, spans, taken
+    for m in ELEMENT.finditer(text):
+        end = m.start(2) + len(m[2].rstrip())
+        if end > m.start(2):
+            yield [m[1].lower()], [(m.start(2), end)], []
 
 
 def literal_spans(text: str, config: ScanConfig = ScanConfig()) -> list[tuple[int, int]]:
@@ -74,23 +121,14 @@ def literal_spans(text: str, config: ScanConfig = ScanConfig()) -> list[tuple[in
     A literal with inner blanks counts whole only for a name of score 1; else each of its parts between blanks counts for
     itself (a PEM body, the token after ``Bearer``).
     """
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     reach: dict[str, list[tuple[int, int]]] = {}  # a name's literals, by assignment
     taken: dict[str, list[str]] = {}  # a name and those whose value it takes
-    for m in PAIR.finditer(text):
-        name, bare = m[1].lower(), m[4]
-        group = 2 if m[2] is not None else 3 if m[3] is not None else 4
-        if group == 4 and NAME.fullmatch(bare):
-            taken.setdefault(name, []).append(bare.lower())
-        reach.setdefault(name, []).append(m.span(group))
-        end = m.end()
-        while (more := MORE.match(text, end)) is not None:
-            if more[3]:
-                taken.setdefault(name, []).append(more[3].lower())
-            else:
-                reach[name].append(more.span(1 if more[1] is not None else 2))
-            end = more.end()
+    for names, spans, others in pairs(text):
+        for name in names:
+            reach.setdefault(name, []).extend(spans)
+            taken.setdefault(name, []).extend(others)
     own = {name: name_score(name) for name in reach}
     scores: dict[str, float] = {}
     for name in sorted(own, key=own.get, reverse=True):  # constants: the highest name that they are handed on to, each name once
@@ -110,7 +148,7 @@ def literal_spans(text: str, config: ScanConfig = ScanConfig()) -> list[tuple[in
     found = set()
     for name, spans in reach.items():
         for a, b in spans if scores[name] > 0 else ():
-            blank = " " in text[a:b].strip()
+            blank = INNER.search(text, a, b) is not None
             if (not blank or scores[name] >= 1) and told(a, b, scores[name]):
                 found.add((a, b))
             elif blank and not HARMLESS.match(text[a:b]):
@@ -126,6 +164,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def _inside(a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
+    return any(x <= a and b <= y for x, y, _ in base)
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", config: ScanConfig = ScanConfig()) -> DataFrame:
     """key and ``found array<struct<kind string, start long, end long>>`` by start, then kind; code points, end exclusive.
 
@@ -136,7 +178,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", config: ScanCon
     def one(said: str | None) -> list[dict]:
         said = said or ""
         base = base_spans(said)
-        more = [(a, b, 3) for a, b in literal_spans(said, config) if not any(x <= a and b <= y for x, y, _ in base)]
+        more = [(a, b, 3) for a, b in literal_spans(said, config) if not _inside(a, b, base)]
         return [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted([*base, *more], key=lambda s: (s[0], s[2]))]
 
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -166,7 +208,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", config: Sc
         return "".join([*out, said[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             i = batch.schema.get_field_index(text)
             yield batch.set_column(i, batch.schema.field(i), pa.array([one(x.as_py()) for x in batch.column(i)], batch.schema.field(i).type))
 
