@@ -48,6 +48,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         place = m.end()
     columns, rows = numbers[:2]
     most = numbers[2] if len(numbers) > 2 else 1
+    if not (columns > 0 < rows and 0 < most < 65536):
+        raise ValueError("no samples, or no largest value")
     depth = 3 if kind in (b"P3", b"P6") else 1
     if kind == b"P1":
         bits = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[place:]), np.uint8)[: rows * columns] - 48
@@ -70,6 +72,8 @@ def _bmp(data: bytes) -> np.ndarray:
     at, head, columns, rows, bits = number(10), number(14), number(18), number(22), number(28, 2)
     if number(30) or bits not in (8, 24, 32):
         raise ValueError("only plain 8, 24 and 32-bit BMP")
+    if columns <= 0 or not rows:
+        raise ValueError("no samples")
     line = (columns * bits // 8 + 3) // 4 * 4
     body = np.frombuffer(data, np.uint8, abs(rows) * line, at).reshape(abs(rows), line)[:, : columns * bits // 8]
     body = body[::-1] if rows > 0 else body
@@ -149,31 +153,34 @@ def store_payloads(df: DataFrame, form: str = "netpbm", key: str = "doc_id", tex
 def image_columns(df: DataFrame, media: str = "media", tile: int = 32) -> DataFrame:
     """``df``'s columns and, of the image in ``media``: rows, columns, payload, tile (NPY, tile x tile uint8), feature.
 
-    ``payload``: the samples, row by row.  A null or unreadable image gives nulls there, and ``problem`` says why.
+    ``payload``: the samples, row by row.  A null, unreadable or empty image gives nulls there, and ``problem`` says why.
+    Columns of ``df`` with one of these names give way to them.
     """
     fields = "rows int, columns int, payload binary, tile binary, feature string, problem string"
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def one(data: bytes | None) -> tuple:
         if data is None:
             return None, None, None, None, None, "null"
         try:
             samples = decode(data)
-        except (ValueError, TypeError, IndexError) as e:
+            grey = grey_of(samples)
+            small = np.rint(resize(grey, tile, tile)).astype(np.uint8)
+            return samples.shape[0], samples.shape[1], samples.tobytes(), npy(small), difference_hash(grey), None
+        except (ValueError, TypeError, IndexError, OverflowError) as e:  # whatever the bytes say is the image's problem, not the job's
             return None, None, None, None, None, str(e) or "cut off"
-        grey = grey_of(samples)
-        small = np.rint(resize(grey, tile, tile)).astype(np.uint8)
-        return samples.shape[0], samples.shape[1], samples.tobytes(), npy(small), difference_hash(grey), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                made = zip(*map(one, batch.column(batch.schema.get_field_index(media)).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], [*batch.schema.names, *(f.split()[0] for f in fields.split(", "))])
+                made = zip(*map(one, batch.column(0).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], [*batch.schema.names[1:], *names])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kept}, {fields}")
+    others = [f for f in df.schema if f.name not in names]
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    return df.select(F.col(f"`{media}`").alias("__media"), *[F.col(f"`{f.name}`") for f in others]).mapInArrow(run, f"{kept}{fields}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Order MinHash fingerprints: sketches of texts that follow edit distance.
 
-A text's k-mers are numbered by occurrence, so that the third "abcde" differs from the first.  Of each class of their
-hashes the ``picks`` least are taken, put back into text order, and hashed as a tuple: one sign of the signature.  Equal
-tuples need equal k-mers in equal order.
+A text's k-mers are numbered by occurrence, so that the third "abcde" differs from the first.  In each of ``signs``
+independent orders of theirs the ``picks`` least are taken, put back into text order, and hashed as a tuple: one sign of the
+signature.  Equal tuples need equal k-mers in equal order.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from caresift.llm._support import documents
 from caresift.llm._words import U, mix
@@ -23,52 +25,56 @@ from caresift.llm._words import U, mix
 @dataclass(frozen=True)
 class MinHashConfig:
     k: int = 6  #: code points of a k-mer; a shorter text is one k-mer
-    signs: int = 64  #: of a signature, a power of 2: hash classes of the numbered k-mers
+    signs: int = 64  #: of a signature: orders of the numbered k-mers
     picks: int = 2  #: k-mers in a tuple
 
 
-def signature(points: np.ndarray, config: MinHashConfig = MinHashConfig()) -> np.ndarray:
-    """``signs`` unsigned 32-bit numbers of a text's code points; 0 where a class has no k-mer."""
-    out = np.zeros(config.signs, np.uint32)
-    n = max(min(len(points), 1), len(points) - config.k + 1)
-    if not n:
-        return out
+@functools.lru_cache(4)
+def orders(signs: int) -> tuple[np.ndarray, np.ndarray]:
+    """A mask and an odd factor for each order: hashes are compared after both."""
+    seed = mix(np.arange(1, 2 * signs + 1, dtype=U) * U(0xA0761D6478BD642F))
+    return seed[:signs], seed[signs:] | U(1)
+
+
+def numbered(points: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k-mer and of how often it stood before; a shorter text is one k-mer."""
+    n = max(min(len(points), 1), len(points) - k + 1)
     hashed = np.zeros(n, U)
-    for j in range(min(config.k, len(points))):
+    for j in range(min(k, len(points))):
         hashed = (hashed ^ points[j : j + n]) * U(0x9E3779B97F4A7C15)
         hashed ^= hashed >> U(29)
-    hashed = mix(hashed + U(len(points) if len(points) < config.k else 0))
+    hashed = mix(hashed + U(len(points) if len(points) < k else 0))
     order = np.argsort(hashed, kind="stable")
     run = hashed[order]
-    new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    new = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), run[1:] != run[:-1]]))
     number = np.empty(n, U)  # of the occurrence, in text order
     number[order] = np.arange(n, dtype=U) - np.repeat(new, np.diff(np.append(new, n))).astype(U)
-    hashed = mix(hashed + number * U(0xD1B54A32D192ED03))
-    shift = U(64 - (config.signs - 1).bit_length())
-    # only low values of each class can be picked: so many that every class very likely has its picks among them
-    most = min(1.0, config.signs * (config.picks + 12) / n)
-    low = np.flatnonzero((hashed << (U(64) - shift)) <= U(int(most * float((1 << 64) - 1025)))) if most < 1 else np.arange(n)
-    for chosen in (low, np.arange(n)):
-        kept = hashed[chosen]
-        order = chosen[np.argsort(kept, kind="stable")]
-        kind = (hashed[order] >> shift).astype(np.int64)
-        begin = np.searchsorted(kind, np.arange(config.signs + 1))
-        count = np.diff(begin)
-        if len(chosen) == n or (count >= config.picks).all():
-            break
-    take = np.minimum(count, config.picks)
-    have = np.flatnonzero(take)
-    rows = np.full((len(have), config.picks), -1, np.int64)
-    for p in range(config.picks):
-        own = take[have] > p
-        rows[own, p] = order[begin[have[own]] + p]
+    return mix(hashed + number * U(0xD1B54A32D192ED03))
+
+
+def signature(points: np.ndarray, config: MinHashConfig = MinHashConfig()) -> np.ndarray:
+    """``signs`` unsigned 32-bit numbers of a text's code points; all 0 for an empty text.
+
+    A text with fewer k-mers than ``picks`` has all of them in each tuple.
+    """
+    out = np.zeros(config.signs, np.uint32)
+    if not len(points):
+        return out
+    hashed = numbered(points, config.k)
+    n, take = len(hashed), min(len(hashed), config.picks)
+    rows = np.empty((config.signs, take), np.int64)
+    value = np.empty(n, U)
+    for s, (mask, factor) in enumerate(zip(*orders(config.signs), strict=True)):
+        np.bitwise_xor(hashed, mask, out=value)
+        np.multiply(value, factor, out=value)
+        for p in range(take):
+            rows[s, p] = least = int(value.argmin())
+            value[least] = U((1 << 64) - 1)
     rows.sort(axis=1)
-    value = np.where(rows >= 0, hashed[np.maximum(rows, 0)], U(0))
-    folded = mix(take[have].astype(U))
-    for p in range(config.picks):
-        folded = mix(folded * U(3) + value[:, p])
-    out[have] = (folded >> U(32)).astype(np.uint32) | np.uint32(1)
-    return out
+    folded = np.full(config.signs, mix(np.array([take], U))[0])
+    for p in range(take):
+        folded = mix(folded * U(3) + hashed[rows[:, p]])
+    return (folded >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -99,9 +105,11 @@ def ordered(df: DataFrame, key: str, text: str) -> DataFrame:
 
     A span ends with the rows of the next one's least key as guests (the last span with those of the first), so that a
     row's successor is in its own span.  Only the edges of spans, as many as there are partitions, go through the driver.
-    Null keys come first.
+    Null keys come first; keys have to be whole numbers.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise ValueError("keys have to be whole numbers")
     spans = max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("at", F.coalesce(F.col("key").cast("long"), F.lit(-(1 << 63))))

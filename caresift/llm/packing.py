@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caresift.llm._support import cut, documents, flat, slices
+from caresift.llm._support import BROADCAST_ROWS, cut, documents, flat, slices
 from caresift.llm._words import pieces
 
+#: Parts of one length that are ranked apart, at most: with ``capacity.tokens`` lengths that bounds the table of their starts.
+SALTS = 1024
 #: Words whose ids a worker keeps between slices.
 KEPT_WORDS = 300_000
 
@@ -163,7 +165,7 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), key: str = "doc_id")
     an empty table gives an empty one.  ``parts`` is read twice: pass a checkpointed one if it is costly.
     """
     spark = parts.sparkSession
-    salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = min(max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), SALTS)
     rows = parts.withColumn("__salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
     counts = rows.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +179,7 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), key: str = "doc_id")
     kind = "array<struct<a:bigint,b:bigint,first:bigint,at:bigint>>"
     table = spark.createDataFrame([(n, s) for n, s in steps.items()], f"length long, __steps {kind}")
     own = Window.partitionBy("length", "__salt").orderBy(F.col(key).asc_nulls_first(), F.col("piece"))
-    ranked = rows.withColumn("__own", F.row_number().over(own) - 1).join(F.broadcast(starts.drop("__n")), ["length", "__salt"]).withColumn("__rank", F.col("__start") + F.col("__own"))
+    ranked = rows.withColumn("__own", F.row_number().over(own) - 1).join(F.broadcast(starts.drop("__n")) if capacity.tokens * salts <= BROADCAST_ROWS else starts.drop("__n"), ["length", "__salt"]).withColumn("__rank", F.col("__start") + F.col("__own"))
     placed = ranked.join(F.broadcast(table), "length")
     step = F.filter("__steps", lambda s: (s["a"] <= F.col("__rank")) & (F.col("__rank") < s["b"]))[0]
     placed = placed.withColumn("__step", step)
