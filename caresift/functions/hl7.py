@@ -28,13 +28,13 @@ def decoded(raw: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n")
+    return F.split(text, "\r\n|\r|\n")
 
 
 def segments(text: Column) -> Column:
     """array<struct<type, fields>>: the stripped lines that aren't blank, split at "|"."""
     said = F.filter(F.transform(lines(F.coalesce(text, F.lit(""))), strip), lambda line: line != "")
-    return F.transform(said, lambda line: F.struct(F.split(line, r"\|")[0].alias("type"), F.split(line, r"\|").alias("fields")))
+    return F.transform(F.transform(said, lambda line: F.split(line, r"\|")), lambda fields: F.struct(fields[0].alias("type"), fields.alias("fields")))
 
 
 def field(fields: Column, n: int) -> Column:
@@ -62,7 +62,7 @@ def control_id(segs: Column) -> Column:
 
 def marker(text: Column) -> Column:
     """struct<msh3, msh4, msh10> of the first physical line, whatever its type; null where empty."""
-    fields = F.split(F.get(lines(text), F.lit(0)), r"\|")
+    fields = F.split(F.substring_index(F.substring_index(text, "\n", 1), "\r", 1), r"\|")
     part = lambda n: F.nullif(strip(F.coalesce(F.get(fields, F.lit(n)), F.lit(""))), F.lit(""))
     return F.struct(part(2).alias("msh3"), part(3).alias("msh4"), part(9).alias("msh10"))
 
@@ -90,7 +90,7 @@ def timestamp(value: Column) -> Column:
 def degraded_text(coded: Column) -> Column:
     """The text of a coded field that has neither identifier nor system; else null."""
     code, text, system = (strip(component(coded, n)) for n in (1, 2, 3))
-    return F.when((text != "") & (code == "") & (system == ""), text)
+    return F.when((F.left(strip(coded), F.lit(1)) == "^") & (text != "") & (code == "") & (system == ""), text)
 
 
 def patient_keys(text: Column, wanted: str = "MR", authority: str = "") -> Column:

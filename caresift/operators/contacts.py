@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Segments over this many days are their own class, with buckets of this many days.
 DAY = 86_400
+#: Segments of more than so many buckets are a class of their own.
+LONG = 16
 
 
 def unit(granularity: str = "ward") -> Column:
@@ -25,23 +26,32 @@ def exact_only(segments: DataFrame) -> DataFrame:
     return segments.where((F.coalesce("start_provenance", F.lit("")) != "estimated") & (F.coalesce("end_provenance", F.lit("")) != "estimated"))
 
 
-def pairs(segments: DataFrame, as_of: str, granularity: str = "ward", bucket: int = DAY) -> DataFrame:
+def pairs(segments: DataFrame, granularity: str = "ward", bucket: int = DAY, salts: int = 8) -> DataFrame:
     """segment_id, other_id for both directions of each contact.
 
-    Segments are dealt to time buckets, joined on unit and bucket, and a pair counts in the first bucket both are in.  An
-    open end is endless in the comparison, and for bucketing reaches to ``as_of`` or the latest start.  Touching segments
-    are no contact; a segment of no length inside another is one.
+    Closed segments of up to LONG buckets are dealt to time buckets, joined on unit and bucket, and a pair counts in the
+    first bucket both are in.  Longer ones are a class of their own with buckets of LONG times the length, in which the
+    short ones are dealt too.  Open segments have no bound: they meet all of their unit, one side split by ``salts`` and
+    the other repeated, as all but the earlier ones there are contacts.  Touching segments are no contact; a segment of no
+    length inside another is one.  Rows without a unit, a start or a patient are in none.
     """
-    latest = segments.agg(F.max(F.unix_timestamp("start_ts"))).first()[0] or 0
     rows = segments.select("segment_id", "patient_key", unit(granularity).alias("unit"), F.unix_timestamp("start_ts").alias("a"), F.unix_timestamp("end_ts").alias("b"))
-    last = F.greatest(F.unix_timestamp(F.lit(as_of).cast("timestamp")), F.lit(latest))
-    rows = rows.withColumns({"lo": F.floor(F.least("a", F.coalesce("b", "a")) / bucket), "hi": F.floor(F.greatest("a", F.coalesce("b", F.greatest("a", last))) / bucket)})
-    dealt = rows.withColumn("bucket", F.explode(F.sequence("lo", "hi")))
-    x, y = dealt.alias("x"), dealt.alias("y")
-    on = (F.col("x.unit") == F.col("y.unit")) & (F.col("x.bucket") == F.col("y.bucket"))
-    overlap = (F.col("x.b").isNull() | (F.col("y.a") < F.col("x.b"))) & (F.col("y.b").isNull() | (F.col("x.a") < F.col("y.b")))
-    once = F.col("x.bucket") == F.greatest("x.lo", "y.lo")
-    return x.join(y, on & overlap & once & (F.col("x.patient_key") != F.col("y.patient_key"))).select(F.col("x.segment_id").alias("segment_id"), F.col("y.segment_id").alias("other_id"))
+    long = (F.col("b") - F.col("a")) > LONG * bucket
+    rows = rows.withColumn("class", F.when(F.col("b").isNull(), "open").when(long, "long").otherwise("short"))
+    wide = LONG * bucket
+    dealt = lambda df, size: df.withColumns({"lo": F.floor(F.least("a", "b") / size), "hi": F.floor(F.greatest("a", "b") / size)}).withColumn("bucket", F.explode(F.sequence("lo", "hi")))
+    short, far, still = (rows.where(F.col("class") == c) for c in ("short", "long", "open"))
+    overlap = (F.col("x.b").isNull() | (F.col("y.a") < F.col("x.b"))) & (F.col("y.b").isNull() | (F.col("x.a") < F.col("y.b"))) & (F.col("x.patient_key") != F.col("y.patient_key"))
+    once = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.bucket") == F.greatest("x.lo", "y.lo"))
+    same = F.col("x.unit") == F.col("y.unit")
+    told = lambda df, turn=False: df.select(F.col(f"{'y' if turn else 'x'}.segment_id").alias("segment_id"), F.col(f"{'x' if turn else 'y'}.segment_id").alias("other_id"))
+    out = told(dealt(short, bucket).alias("x").join(dealt(short, bucket).alias("y"), same & overlap & once))
+    mixed = dealt(far, wide).alias("x").join(dealt(rows.where("class <> 'open'"), wide).alias("y"), same & overlap & once)
+    out = out.unionByName(told(mixed)).unionByName(told(mixed.where("y.class = 'short'"), True))
+    one = still.withColumn("salt", F.pmod(F.xxhash64("segment_id"), F.lit(salts)))
+    every = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    met = one.alias("x").join(every.alias("y"), same & (F.col("x.salt") == F.col("y.salt")) & overlap)
+    return out.unionByName(told(met)).unionByName(told(met.where("y.class <> 'open'"), True))
 
 
 def in_range(segments: DataFrame, start: str, end: str, include_estimated: bool = True) -> DataFrame:
@@ -51,8 +61,8 @@ def in_range(segments: DataFrame, start: str, end: str, include_estimated: bool
 
 
 def containing(segments: DataFrame, points: DataFrame, key: str = "patient_key") -> DataFrame:
-    """``points`` (point_id, key, at) with the segment that holds each: start < at < end; the latest start wins."""
-    hit = (F.col("start_ts") < F.col("at")) & (F.col("end_ts").isNull() | (F.col("at") < F.col("end_ts")))
+    """``points`` (point_id, key, at) with the segment that holds each: start <= at < end; the latest start wins."""
+    hit = (F.col("start_ts") <= F.col("at")) & (F.col("end_ts").isNull() | (F.col("at") < F.col("end_ts")))
     own = segments.select(F.col(key).alias("__k"), "segment_id", "start_ts", "end_ts")
     rows = points.join(own, (F.col(key) == F.col("__k")) & hit)
     return rows.groupBy("point_id", key, "at").agg(F.max_by("segment_id", F.struct("start_ts", "segment_id")).alias("segment_id"))

@@ -1,7 +1,7 @@
 """Stays as a fold over one patient's events: the one place where order and state decide row by row.
 
-``PatientFold`` holds a patient's stays, applied events and waiting negations.  ``reconstruct`` runs it as one grouped
-map by patient; the streaming job runs the same class on stored state.
+``PatientFold`` holds a patient's stays, applied events and waiting negations.  ``reconstruct`` runs it over partitions sorted
+by patient and time; the streaming job runs the same class on stored state.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,12 +150,13 @@ class PatientFold:
             return self.settle(event, "deferred", "late transfer outside of the stay")
         if held.start == event.at:
             return self.settle(event, "held_failclosed", "late transfer at an existing boundary")
+        before = stay.snapshot()
         new = Segment(held.seq + 1, event.place, event.at, event.receipt_id, event.provenance, held.end, held.end_by, held.end_from)
         for s in stay.segments:
             s.seq += s.seq > held.seq
         held.end, held.end_by, held.end_from = event.at, event.receipt_id, event.provenance
         stay.segments = sorted([*stay.segments, new], key=lambda s: s.seq)
-        self.changed(stay, event, "insert_boundary")
+        self.changed(stay, event, "insert_boundary", before)
         return self.done(event)
 
     def discharge(self, event: Event) -> None:
@@ -169,9 +171,11 @@ class PatientFold:
         stay.revision += 1
         return self.done(event)
 
-    def changed(self, stay: Stay, event: Event, name: str) -> None:
+    def changed(self, stay: Stay, event: Event, name: str, before: dict) -> None:
+        """A change row: the plan's name and the state before and after it."""
         stay.revision += 1
-        self.tell("change", event, name, stay_id=stay.stay_id, revision=stay.revision, after_json=json.dumps(stay.snapshot(), separators=(",", ":")))
+        told = lambda state: json.dumps(state, separators=(",", ":"))
+        self.tell("change", event, name, stay_id=stay.stay_id, revision=stay.revision, before_json=told(before), after_json=told(stay.snapshot()))
 
     def revise(self, event: Event) -> None:
         wanted = TARGETS.get(event.trigger, ())
@@ -203,25 +207,26 @@ class PatientFold:
         stay = self.owner(by)
         if stay is None:
             raise Impossible("nothing hangs on the event any more")
+        state = stay.snapshot()
         if event.trigger == "A11":
             if stay.status == "cancelled":
                 raise Impossible("the stay is cancelled already")
             stay.status, stay.segments = "cancelled", []
-            return self.changed(stay, event, "revoke_stay")
+            return self.changed(stay, event, "revoke_stay", state)
         if event.trigger == "A12":
             before, after = next((s for s in stay.segments if s.end_by == by), None), next((s for s in stay.segments if s.start_by == by), None)
             if before is None or after is None:
                 raise Impossible("the boundary is gone")
             before.end, before.end_by, before.end_from = after.end, after.end_by, after.end_from
             stay.segments.remove(after)
-            return self.changed(stay, event, "remove_boundary")
+            return self.changed(stay, event, "remove_boundary", state)
         if event.trigger == "A13":
             last = next((s for s in stay.segments if s.end_by == by), None)
             if last is None or stay.status != "closed":
                 raise Impossible("the stay isn't closed by the event")
             last.end = last.end_by = last.end_from = None
             stay.status, stay.closed, stay.closed_by = "open", None, None
-            return self.changed(stay, event, "reopen_last")
+            return self.changed(stay, event, "reopen_last", state)
         for s in stay.segments:
             if s.start_by == by:
                 s.start, s.start_from = event.at, event.provenance
@@ -229,7 +234,7 @@ class PatientFold:
                 s.end, s.end_from = event.at, event.provenance
         stay.opened = event.at if stay.stay_id == by else stay.opened
         stay.closed = event.at if stay.closed_by == by else stay.closed
-        return self.changed(stay, event, "change_boundary")
+        return self.changed(stay, event, "change_boundary", state)
 
     def resolve(self, event: Event) -> None:
         """Applies what waits for just this event, expired or not."""
@@ -266,10 +271,13 @@ class PatientFold:
 
 FIELDS = {
     "kind": "string", "receipt_id": "long", "stay_id": "long", "revision": "long", "seq": "long", "pattern": "string", "status": "string", "reason": "string", "visit_id": "string", "pv1_3_raw": "string", "ward": "string", "room": "string", "bed": "string",
-    "start_s": "long", "start_provenance": "string", "end_s": "long", "end_provenance": "string", "end_receipt": "long", "after_json": "string",
+    "start_s": "long", "start_provenance": "string", "end_s": "long", "end_provenance": "string", "end_receipt": "long", "before_json": "string", "after_json": "string",
 }
 
 
+_ARROW = {"string": pa.string(), "long": pa.int64()}
+
+
 def _seconds(t) -> int | None:
     return None if t is None or pd.isna(t) else int(pd.Timestamp(t).timestamp())
 
@@ -284,28 +292,42 @@ def reconstruct(events: DataFrame, as_of: str, windows: Windows = Windows(), pol
     """Tagged rows (``kind``: event, finding, change, tombstone, stay, segment) of all patients, in FIELDS and patient_key.
 
     Events without a patient key or time make a finding ``unassigned``.  An event counts once its arrival is ``jitter``
-    old; with ``poll_seconds`` events are applied in polls of that length, else in one batch, in movement order.  A patient
-    is one group: narrow rows, bounded by one person's movements.
+    old; with ``poll_seconds`` events are applied in polls of that length, else in one batch, in movement order.  Partitions
+    are sorted by patient and order, and read row by row: a task holds one patient's stays at a time, never all events.
     """
     now = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
     ripe = F.unix_timestamp("arrival_ts") + windows.jitter
     batch = F.ceil(ripe / poll_seconds).cast("long") if poll_seconds else F.lit(0).cast("long")
     lost = F.col("patient_key").isNull() | F.col("event_ts").isNull()
-    named = events.where(~lost & (ripe <= now)).select("patient_key", batch.alias("batch"), "receipt_id", "trigger", "event_ts", "arrival_ts", "msh10", "visit_id", "pv1_3_raw", "ward", "room", "bed", "provenance", "zst")
+    zst = F.when(F.col("zst").isNotNull(), F.struct("zst.action", "zst.target_msh10", "zst.target_trigger", F.unix_timestamp("zst.target_ts").alias("target_s"))).alias("zst")
+    named = events.where(~lost & (ripe <= now)).select("patient_key", batch.alias("batch"), F.unix_timestamp("event_ts").alias("at"), "receipt_id", "trigger", F.unix_timestamp("arrival_ts").alias("arrival"), "msh10", "visit_id", "pv1_3_raw", "ward", "room", "bed", "provenance", zst)
     end = int(datetime.fromisoformat(as_of).replace(tzinfo=UTC).timestamp())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = PatientFold(windows)
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        for e in sorted(((r.batch, event_of(r)) for r in pdf.itertuples()), key=lambda x: (x[0], x[1].at, x[1].receipt_id)):
-            fold.apply(e[1])
-        fold.finish(end)
-        rows = pd.DataFrame(list(fold.rows()), columns=list(FIELDS), dtype=object)
-        rows.insert(0, "patient_key", pdf.patient_key.iloc[0])
-        return rows
-
-    schema = "patient_key string, " + ", ".join(f"{n} {k}" for n, k in FIELDS.items())
-    out = named.groupBy("patient_key").applyInPandas(run, schema)
+    schema = pa.schema([(n, _ARROW[k]) for n, k in ({"patient_key": "string"} | FIELDS).items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, patient, out = None, None, []
+
+        def done() -> None:
+            if patient is not None:
+                patient.finish(end)
+                out.extend(row | {"patient_key": key} for row in patient.rows())
+
+        for part in batches:
+            for r in part.to_pylist():
+                if patient is None or r["patient_key"] != key:
+                    done()
+                    key, patient = r["patient_key"], PatientFold(windows)
+                ref = tuple(r["zst"].values()) if r["zst"] else None
+                patient.apply(Event(r["receipt_id"], r["trigger"], r["at"], r["arrival"], r["msh10"], r["visit_id"] or None, (r["pv1_3_raw"], r["ward"], r["room"], r["bed"]), r["provenance"], ref))
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out.clear()
+        done()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    ordered = named.repartition("patient_key").sortWithinPartitions("patient_key", "batch", "at", "receipt_id")
+    out = ordered.mapInArrow(run, "patient_key string, " + ", ".join(f"{n} {k}" for n, k in FIELDS.items()))
     other = {n: F.lit(None).cast(k) for n, k in FIELDS.items()} | {"kind": F.lit("finding"), "status": F.lit("unassigned"), "reason": F.lit("no patient key or no time")}
     return out.unionByName(events.where(lost).select("patient_key", "receipt_id", *[c.alias(n) for n, c in other.items() if n != "receipt_id"]))
 
@@ -326,6 +348,19 @@ def changes_of(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'change'").select(F.concat_ws("-", "receipt_id", "status", "revision").alias("notification_id"), "stay_id", "revision", F.col("status").alias("change"), "after_json", "receipt_id")
 
 
+def audit_of(rows: DataFrame) -> DataFrame:
+    """A row per effective retro event: the plan, and the stay before and after it."""
+    return rows.where("kind = 'change'").select("receipt_id", "stay_id", "revision", F.col("status").alias("plan"), "before_json", "after_json")
+
+
+def change_log(rows: DataFrame) -> DataFrame:
+    """Notifications joined with their payloads: one appears only when the stay's state of its revision, or of a later one, is there."""
+    told = rows.where("kind = 'change'").select(F.concat_ws("-", "receipt_id", "status", "revision").alias("notification_id"), "stay_id", "revision", "receipt_id")
+    held = rows.where("kind = 'stay'").select("stay_id", F.col("revision").alias("__held"))
+    payload = changes_of(rows).select("notification_id", "change", "after_json")
+    return told.join(payload, "notification_id").join(held, "stay_id").where("__held >= revision").drop("__held")
+
+
 def latest_changes(changes: DataFrame) -> DataFrame:
     """One row per stay: the state of the highest revision, in whatever order changes came and however often."""
     return changes.groupBy("stay_id").agg(F.max("revision").alias("revision"), F.max_by("after_json", "revision").alias("after_json"))

@@ -43,13 +43,21 @@ def apply_to_reports(df: DataFrame, rules: list[dict], found: str = "findings",
 
 
 def apply_to_findings(rows: DataFrame, rules: DataFrame, keys: list[str], tenant: str = "tenant_id") -> DataFrame:
-    """``rows`` (a finding each, told apart by ``keys``) with ``effective``, by a join with a table of rules.
+    """``rows`` (a finding each, told apart by ``keys``) with ``effective``, by joins with a table of rules.
 
-    The table is broadcast if it has at most 10,000 rows.  An empty pattern or prefix fits all.
+    An empty pattern or prefix fits all.  Rules are looked up by tenant and pattern, each named or for all: a finding has
+    four lookups, so every join is an equal one, and the prefix is a filter of what meets.
     """
-    r = rules.select(*[F.col(c).alias(f"__{c}") for c in ("layer", "tenant", "ord", "pattern", "location_prefix", "severity")])
-    r = F.broadcast(r) if rules.limit(10_001).count() <= 10_000 else r
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    fits = ((F.col("__layer") == 0) | (F.col("__tenant") == F.col(tenant))) & (blank("__pattern") | (F.col("__pattern") == F.col("pattern"))) & (blank("__location_prefix") | F.startswith("location", "__location_prefix"))
-    best = rows.join(r, fits, "left").groupBy(*keys).agg(F.max_by("__severity", F.struct("__layer", "__ord")).alias("__best"))
-    return rows.join(best, keys).withColumn("effective", F.coalesce("__best", "severity")).drop("__best")
+    all_of = F.lit(None).cast("string")
+    r = rules.select(F.when(F.col("layer") == 0, all_of).otherwise(F.col("tenant")).alias("__tenant"), F.when(~blank("pattern"), F.col("pattern")).alias("__pattern"), F.coalesce("location_prefix", F.lit("")).alias("__prefix"), F.struct("layer", "ord", "severity").alias("__rule"), (F.col("layer") == 0).alias("__plain"))
+    grouped = r.groupBy("__plain", "__tenant", "__pattern").agg(F.collect_list(F.struct("__prefix", "__rule")).alias("__rules"))  # rules of one tenant and pattern: a hand-written list
+    lookup = lambda plain, named: F.struct(F.lit(plain).alias("plain"), (all_of if plain else F.col(tenant)).alias("tenant"), (F.col("pattern") if named else all_of).alias("pattern"))
+    asked = rows.withColumn("__ask", F.explode(F.array(*[lookup(p, n) for p in (True, False) for n in (True, False)])))
+    on = (F.col("__ask.plain") == F.col("__plain")) & F.col("__ask.tenant").eqNullSafe(F.col("__tenant")) & F.col("__ask.pattern").eqNullSafe(F.col("__pattern"))
+    met = asked.join(grouped, on, "left")
+    fits = F.filter(F.coalesce("__rules", F.array().cast(grouped.schema["__rules"].dataType)), lambda x: F.coalesce(F.startswith(F.col("location"), x["__prefix"]), F.lit(False)))
+    best = F.array_max(F.transform(fits, lambda x: x["__rule"]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    one = met.groupBy(*[F.col(k) for k in keys]).agg(F.first(whole).alias("__row"), F.max(best).alias("__best"))
+    return one.select("__row.*", F.coalesce("__best.severity", "__row.severity").alias("effective"))

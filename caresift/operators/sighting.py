@@ -89,6 +89,20 @@ def sight(msgs: DataFrame, as_of: str, config: SightingConfig = SightingConfig()
     return out.withColumns({"kind": F.when(repeat, "suppressed_duplicate").otherwise(F.col("kind")), "reason": F.when(repeat, "repeats an earlier message").otherwise(F.col("reason"))}).drop("__full", "__a", "__b", "__c", "__first")
 
 
+def undecided(sighted: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of ``sight`` whose receipt has no disposition yet: a run that is repeated adds nothing.
+
+    Sight the whole intake, or repeats of what was decided before wouldn't be known.
+    """
+    return sighted.join(decided.select("receipt_id").distinct(), "receipt_id", "left_anti")
+
+
+def with_raw(dispositions: DataFrame, intake: DataFrame, text: str = "text") -> DataFrame:
+    """Usable dispositions with their raw message and ``missing_raw``: what the intake table lost is told, not dropped."""
+    raw = intake.select("receipt_id", F.col(text).alias("raw"))
+    return dispositions.where("kind = 'usable'").join(raw, "receipt_id", "left").withColumn("missing_raw", F.col("raw").isNull())
+
+
 def holds(sighted: DataFrame, config: SightingConfig = SightingConfig()) -> DataFrame:
     """Rows to be held, with their patient keys and class."""
     keys = hl7.patient_keys(F.col("text"), config.wanted_id, config.authority)

@@ -96,6 +96,42 @@ def new_markers(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(before.select("scope", "ref_id", "kind"), ["scope", "ref_id", "kind"], "left_anti").select(now.columns)
 
 
+def in_order(stays: DataFrame, by: str = "patient_key") -> DataFrame:
+    """Stays of each patient, or of each visit, numbered from 1 by time; those without one are left out."""
+    order = Window.partitionBy(by).orderBy("opened_event_ts", "stay_id")
+    return stays.where(F.col(by).isNotNull()).withColumn("n", F.row_number().over(order))
+
+
+def _best(asked: DataFrame, stays: DataFrame, fits: Column) -> DataFrame:
+    """Of the stays that fit: one of the visit that is asked for first, then the latest opened, then the greatest id."""
+    own = stays.select(F.col("patient_key").alias("__k"), "stay_id", F.col("visit_id").alias("__v"), "status", "opened_event_ts", "closed_event_ts")
+    same = F.coalesce(F.col("visit_id") == F.col("__v"), F.lit(False))
+    hit = asked.join(own, (F.col("patient_key") == F.col("__k")) & fits)
+    return hit.groupBy(*asked.columns).agg(F.max_by("stay_id", F.struct(same.alias("a"), F.col("opened_event_ts").alias("b"), F.col("stay_id").alias("c"))).alias("stay_id"))
+
+
+def best_open(asked: DataFrame, stays: DataFrame) -> DataFrame:
+    """``asked`` (patient_key, visit_id and more) with the open stay an event would go to; rows without one are left out.
+
+    Equal rows of ``asked`` make one; a null visit prefers none.
+    """
+    return _best(asked, stays, F.col("status") == "open")
+
+
+def closed_containing(asked: DataFrame, stays: DataFrame) -> DataFrame:
+    """``asked`` (patient_key, visit_id, at and more) with the closed stay that holds ``at``: opened <= at < closed."""
+    return _best(asked, stays, (F.col("status") == "closed") & (F.col("opened_event_ts") <= F.col("at")) & (F.col("at") < F.col("closed_event_ts")))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n) of each table; one small job, no rows on the driver."""
+    counts = [df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def contract_segments(segments: DataFrame, marks: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
     """The published segment table; its columns and their order are frozen."""
     names = marks.where("scope = 'segment'").groupBy(F.col("ref_id").alias("segment_id")).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("segment_markers"))
@@ -116,8 +152,16 @@ def contract_stays(stays: DataFrame, marks: DataFrame) -> DataFrame:
     return stays.join(names, "stay_id", "left").select("stay_id", "revision", "pattern", "status", "patient_key", "visit_id", "opened_event_ts", "closed_event_ts", "stay_markers")
 
 
-def export(stays: DataFrame, segments: DataFrame, marks: DataFrame) -> DataFrame:
-    """A row per stay with its ordered segments and its markers; no patient key."""
+def export(stays: DataFrame, segments: DataFrame, marks: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """A row per stay with its ordered segments, its markers and its active estimates; no patient key.
+
+    An estimate belongs to the stay whose segment begins or ends by its receipt.
+    """
     segs = segments.groupBy("stay_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ward", "room", "bed", "start_ts", "end_ts"))).alias("segments"))
     names = marks.groupBy("stay_id").agg(F.array_sort(F.collect_list(F.struct("scope", "kind"))).alias("markers"))
-    return stays.select("stay_id", "pattern", "status", "opened_event_ts", "closed_event_ts").join(segs, "stay_id", "left").join(names, "stay_id", "left")
+    out = stays.select("stay_id", "pattern", "status", "opened_event_ts", "closed_event_ts").join(segs, "stay_id", "left").join(names, "stay_id", "left")
+    if estimates is None:
+        return out
+    ends = segments.select("stay_id", F.explode(F.array("start_receipt", "end_receipt")).alias("receipt_id")).where("receipt_id is not null").distinct()
+    active = estimates.where("status = 'active'").join(ends, "receipt_id").groupBy("stay_id")
+    return out.join(active.agg(F.array_sort(F.collect_list(F.struct("receipt_id", "estimate_lower", "estimate_upper"))).alias("estimates")), "stay_id", "left")

@@ -46,7 +46,10 @@ def _rxa(f: Column) -> Column:
 
 
 def findings(segs: Column) -> Column:
-    """All findings of a message's segments, in segment order, then rule order.  OBX rows know the last OBR before them."""
+    """All findings of a message's segments, in segment order, then rule order.  OBX rows know the last OBR before them.
+
+    Segments that no rule reads are left out first, as every step copies what was found before.
+    """
 
     def step(state: Column, seg: Column) -> Column:
         f, kind = seg["fields"], seg["type"]
@@ -55,7 +58,7 @@ def findings(segs: Column) -> Column:
         return F.struct(F.when(kind == "OBR", own).otherwise(state["obr"]).alias("obr"), F.concat(state["found"], found).alias("found"))
 
     start = F.struct(F.lit(None).cast("string").alias("obr"), nothing().alias("found"))
-    return F.aggregate(segs, start, step, lambda state: state["found"])
+    return F.aggregate(F.filter(segs, lambda s: s["type"].isin("OBX", "OBR", "ORC", "PV1", "RXA")), start, step, lambda state: state["found"])
 
 
 def inspect(msgs: DataFrame, text: str = "text") -> DataFrame:

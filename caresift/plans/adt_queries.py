@@ -92,16 +92,12 @@ def exported(spark, sf_dir):
 
 
 def contact_pairs(granularity: str):
-    return lambda spark, sf_dir: contacts.pairs(_forward(spark, sf_dir)[1].where("not is_open"), AS_OF, granularity)
-
-
-def all_contact_pairs(granularity: str):
     """With the segments of patients who are still present: their open end has no bound."""
-    return lambda spark, sf_dir: contacts.pairs(_forward(spark, sf_dir)[1], AS_OF, granularity)
+    return lambda spark, sf_dir: contacts.pairs(_forward(spark, sf_dir)[1], granularity)
 
 
 def contact_counts(spark, sf_dir):
-    p = contacts.pairs(_forward(spark, sf_dir)[1], AS_OF, "bed")
+    p = contacts.pairs(_forward(spark, sf_dir)[1], "bed")
     return p.groupBy("segment_id").agg(F.count("*").alias("n"))
 
 
@@ -110,9 +106,11 @@ def in_range(spark, sf_dir):
 
 
 def containing(spark, sf_dir):
+    """The segment at the start of each event's hour, at the event, and at the end of its segment."""
     g = _forward(spark, sf_dir)[1]
-    points = g.where("not is_open").select(F.col("segment_id").alias("point_id"), "patient_key", F.timestamp_seconds(F.floor((F.unix_timestamp("start_ts") + F.unix_timestamp("end_ts")) / 2)).alias("at"))
-    return contacts.containing(g, points).select("point_id", "segment_id")
+    at = F.explode(F.array(F.date_trunc("hour", "start_ts"), F.col("start_ts"), F.col("end_ts")))
+    points = g.select(F.col("segment_id").alias("point_id"), "patient_key", at.alias("at")).where("at is not null")
+    return contacts.containing(g, points).select("point_id", "at", "segment_id")
 
 
 def erased(spark, sf_dir):
@@ -171,7 +169,7 @@ QUERIES = {
     "adt_fold_segments": fold_segments, "adt_fold_stays": fold_stays, "adt_fold_changes": fold_changes, "adt_fold_statuses": fold_statuses, "adt_estimates": estimated, "adt_estimated_segments": estimated_segments,
     "adt_sighting": sighted, "adt_dispositions": dispositions, "adt_holds": held, "adt_quality_findings": dq_findings, "adt_events": event_rows, "adt_stays": forward_stays, "adt_segments": forward_segments, "adt_simple_lane": simple_lane, "adt_delay_log": delay_log,
     "adt_overdue": overdue, "adt_markers": markers, "adt_contract_segments": contract_segments, "adt_contract_stays": contract_stays, "adt_export": exported, "adt_contacts_ward": contact_pairs("ward"), "adt_contacts_room": contact_pairs("room"), "adt_contacts_bed": contact_pairs("bed"),
-    "adt_contacts_all_ward": all_contact_pairs("ward"), "adt_contacts_all_room": all_contact_pairs("room"), "adt_contacts_all_bed": all_contact_pairs("bed"),
+    "adt_contacts_all_ward": contact_pairs("ward"), "adt_contacts_all_room": contact_pairs("room"), "adt_contacts_all_bed": contact_pairs("bed"),
     "adt_contact_counts": contact_counts, "adt_segments_in_range": in_range, "adt_segment_containing": containing, "adt_erase_result": erased, "adt_erase_kept": kept_after_erasure,
 }
 
@@ -205,7 +203,6 @@ WITH e AS (
     UNION ALL SELECT event_id + 1000000000, 'suppressed_duplicate', trig, prov, event_id, user_id FROM k WHERE event_id % 50 = 0
 )
 """
-_PAIRS = "SELECT x.segment_id, y.segment_id AS other_id FROM seg x JOIN seg y ON x.ward = y.ward {more} AND x.patient <> y.patient AND x.start_ts < y.end_ts AND y.start_ts < x.end_ts WHERE NOT x.is_open AND NOT y.is_open"
 _ALL_PAIRS = "SELECT x.segment_id, y.segment_id AS other_id FROM seg x JOIN seg y ON x.ward = y.ward {more} AND x.patient <> y.patient AND (x.end_ts IS NULL OR y.start_ts < x.end_ts) AND (y.end_ts IS NULL OR x.start_ts < y.end_ts)"
 
 ORACLE = {
@@ -224,15 +221,15 @@ ORACLE = {
     "adt_contract_segments": _SIMPLE + "SELECT stay_id, segment_id, seq::INT AS seq, is_open, nullif(concat_ws(',', CASE WHEN ward = 'W4' THEN 'unknown_ward' END, CASE WHEN start_ts = end_ts THEN 'zero_duration' END), '') AS segment_markers FROM seg",
     "adt_contract_stays": _SIMPLE + "SELECT stay_id, 'A' AS pattern, CASE WHEN closed IS NULL THEN 'open' ELSE 'closed' END AS status, opened AS opened_event_ts, closed AS closed_event_ts, NULL::VARCHAR AS stay_markers FROM stay",
     "adt_export": _SIMPLE + "SELECT stay_id, count(*)::INT AS n_segments, string_agg(ward, ',' ORDER BY seq) AS wards FROM seg GROUP BY stay_id",
-    "adt_contacts_ward": _SIMPLE + _PAIRS.format(more=""),
-    "adt_contacts_room": _SIMPLE + _PAIRS.format(more="AND x.room = y.room"),
-    "adt_contacts_bed": _SIMPLE + _PAIRS.format(more="AND x.bed = y.bed"),
+    "adt_contacts_ward": _SIMPLE + _ALL_PAIRS.format(more=""),
+    "adt_contacts_room": _SIMPLE + _ALL_PAIRS.format(more="AND x.room = y.room"),
+    "adt_contacts_bed": _SIMPLE + _ALL_PAIRS.format(more="AND x.bed = y.bed"),
     "adt_contacts_all_ward": _SIMPLE + _ALL_PAIRS.format(more=""),
     "adt_contacts_all_room": _SIMPLE + _ALL_PAIRS.format(more="AND x.room = y.room"),
     "adt_contacts_all_bed": _SIMPLE + _ALL_PAIRS.format(more="AND x.bed = y.bed"),
     "adt_contact_counts": _SIMPLE + "SELECT x.segment_id, count(*) AS n FROM seg x JOIN seg y ON x.ward = y.ward AND x.bed = y.bed AND x.patient <> y.patient AND (x.end_ts IS NULL OR y.start_ts < x.end_ts) AND (y.end_ts IS NULL OR x.start_ts < y.end_ts) GROUP BY x.segment_id",
     "adt_segments_in_range": _SIMPLE + "SELECT segment_id FROM seg WHERE start_ts < TIMESTAMP '2024-01-11' AND (end_ts IS NULL OR end_ts > TIMESTAMP '2024-01-10')",
-    "adt_segment_containing": _SIMPLE + "SELECT segment_id AS point_id, segment_id FROM seg WHERE NOT is_open AND epoch(end_ts) - epoch(start_ts) > 1",
+    "adt_segment_containing": _SIMPLE + "SELECT point_id, mv AS \"at\", max_by(segment_id, (start_ts, segment_id)) AS segment_id FROM (SELECT DISTINCT p.segment_id AS point_id, p.mv, g.segment_id, g.start_ts FROM (SELECT segment_id, patient, unnest([date_trunc('hour', start_ts), start_ts, end_ts]) AS mv FROM seg) p JOIN seg g ON g.patient = p.patient AND g.start_ts <= p.mv AND (g.end_ts IS NULL OR p.mv < g.end_ts)) GROUP BY point_id, mv",
     "adt_erase_result": "SELECT 'HOSP|U7' AS patient_key, count(*) FILTER (WHERE user_id = 7) AS deleted, 0::BIGINT AS unresolvable, 'complete' AS status, true AS dry_run FROM events",
     "adt_erase_kept": "SELECT event_id AS receipt_id FROM events WHERE user_id NOT IN (0, 1, 2)",
 }

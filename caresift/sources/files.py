@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,28 @@ from caresift.functions import hl7
 from caresift.operators import fhir
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all machines see; one of our own only in local mode, where it is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder once, so that what reads it several times doesn't make it anew."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def read_hl7(spark: SparkSession, folder: str) -> DataFrame:
     """file, raw, text: one message a file, named ``*.hl7``."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.hl7").load(folder)

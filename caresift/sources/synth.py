@@ -87,6 +87,64 @@ def _adt(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
     return e.select(F.col("event_id").alias("receipt_id"), F.col("ts").alias("received_ts"), text.alias("text"))
 
 
+#: Short histories, one a patient: (trigger, seconds of the movement or None, seconds of arrival, reference) for each message,
+#: where a reference is (action, message it means, its type, seconds it says).
+_STAY = [("A01", 0, 0, None), ("A02", 3600, 3600, None), ("A03", 7200, 7230, None)]
+HISTORIES = [
+    [*_STAY, ("A11", 10800, 10800, ("CANCELS", 0, "A01", 0))],
+    [*_STAY, ("A12", 10800, 10800, ("CANCELS", 1, "A02", 3600))],
+    [*_STAY, ("A13", 10800, 10800, ("CANCELS", 2, "A03", 7200))],
+    [*_STAY, ("A08", -600, 10800, ("UPDATES", 0, "A01", 0))],
+    [*_STAY, ("A08", 1800, 10800, ("UPDATES", 1, "A02", 3600))],
+    [*_STAY, ("A08", 9000, 10800, ("UPDATES", 2, "A03", 7200))],
+    [*_STAY, ("A02", 1800, 10800, None)],
+    [*_STAY, ("A02", 3600, 10800, None)],
+    [*_STAY, ("A02", 9000, 10800, None)],
+    [("A01", 0, 0, None), ("A12", 5400, 5400, ("CANCELS", 2, "A02", 7200)), ("A02", 7200, 9000, None)],
+    [("A01", 0, 0, None), ("A11", 3600, 3600, ("CANCELS", 9, "A01", 0))],
+    [("A04", 0, 0, None), ("A01", 3600, 3600, None)],
+    [("A04", 0, 0, None)],
+    [("A01", 0, 0, None), ("A11", 3600, 3600, None)],
+    [("A01", 0, 0, None), ("A11", 3600, 3600, ("UPDATES", 0, "A01", 0))],
+    [("A01", 0, 0, None), ("A12", 3600, 3600, ("CANCELS", 0, "A01", 0))],
+    [("A01", 0, 0, None), ("A11", 3600, 3600, ("CANCELS", 0, "A01", None))],
+    [("A03", 0, 0, None)],
+    [("A01", 0, 0, None), ("A02", None, 1800, None), ("A02", 3600, 3600, None)],
+    [("A01", 0, 0, None), ("A02", None, 1200, None), ("A02", None, 2400, None), ("A02", 3600, 3600, None)],
+    [("A01", 0, 0, None), ("A02", None, 1800, None)],
+    [("A04", 0, 0, None), ("A01", 28800, 28800, None), ("A02", 32400, 32400, None)],
+    [("A01", 0, 0, None)],  # without a patient
+    [("A01", 0, 0, None), ("A11", 3600, 3600, ("CANCELS", 0, "A01", 0)), ("A11", 7200, 7200, ("CANCELS", 0, "A01", 0))],
+    [("A01", 0, 0, None), ("A02", 0, 3600, None), ("A03", 3600, 7200, None)],
+    [("A01", 0, 0, None), ("A01", 28800, 28800, None)],  # two visits at once
+]
+LONELY = 22  #: the history whose messages name no patient
+
+
+def adt_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """receipt_id, received_ts, text: each event is the patient ``S<event_id>`` with history number event_id mod their count."""
+    from itertools import chain
+
+    e = table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("t"))
+    kind = "array<struct<i:int,trigger:string,at:int,arrival:int,action:string,of:int,kind:string,said:int>>"
+    none = (None, None, None, None)
+    scripts = [F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "trigger", "at", "arrival", "action", "of", "kind", "said"), (i, g, at, arrival, *(ref or none)), strict=True)]) for i, (g, at, arrival, ref) in enumerate(h)]).cast(kind) for h in HISTORIES]
+    own = F.element_at(F.create_map(*chain.from_iterable((F.lit(n), x) for n, x in enumerate(scripts))), F.col("history"))
+    rows = e.withColumn("history", (F.col("event_id") % len(HISTORIES)).cast("int")).select("event_id", "t", "history", F.explode(own).alias("m"))
+    stamp = lambda seconds: F.coalesce(F.date_format(F.timestamp_seconds(F.unix_timestamp("t") + seconds), "yyyyMMddHHmmss"), F.lit(""))
+    name, i = F.col("event_id").cast("string"), F.col("m.i")
+    number = lambda n: F.concat(F.lit("S"), name, F.lit("-"), n.cast("string"))
+    place = F.concat(F.lit("W"), ((F.col("event_id") + i) % 4).cast("string"), F.lit("^R"), i.cast("string"), F.lit("^B"), (F.col("event_id") % 3).cast("string"))
+    msh = _join("|", "MSH", "^~\\&", "ADTAPP", "HOSP", "HUB", "HUB", stamp(F.col("m.arrival")), "", F.concat(F.lit("ADT^"), F.col("m.trigger")), number(i), "P", "2.5")
+    evn = _join("|", "EVN", F.col("m.trigger"), stamp(F.col("m.arrival")), "", "", "", stamp(F.col("m.at")))
+    pid = _join("|", "PID", "1", "", F.when(F.col("history") == LONELY, "").otherwise(F.concat(F.lit("S"), name, F.lit("^^^HOSP^MR"))))
+    pv1 = F.concat(F.lit("PV1|1|I|"), place, F.repeat(F.lit("|"), 16), F.when(F.col("history") < 12, F.concat(F.lit("V"), name)).when(F.col("history") == 25, F.concat(F.lit("V"), number(i))).otherwise(""))
+    zbe = _join("|", "ZBE", "", stamp(F.col("m.at")))
+    zst = F.when(F.col("m.action").isNotNull(), _join("|", "ZST", F.col("m.action"), number(F.col("m.of")), F.concat(F.lit("ADT^"), F.col("m.kind")), stamp(F.col("m.said"))))
+    text = F.concat_ws("\r", msh, evn, pid, pv1, zbe, zst)
+    return rows.select((F.col("event_id") * 10 + i).cast("long").alias("receipt_id"), F.timestamp_seconds(F.unix_timestamp("t") + F.col("m.arrival")).alias("received_ts"), text.alias("text"))
+
+
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bundle_key, text: a customer's Patient, and an Observation, Condition, Procedure, MedicationRequest and
     MedicationAdministration of each of the customer's orders, as FHIR JSON."""

@@ -32,7 +32,8 @@ def first_of_marker(rows: DataFrame, watermark: str | None = None, time: str = "
 
 def rates(reports: DataFrame, by: list[str], window: str = "1 minute", slide: str = "5 seconds", late: str = "1 minute", time: str = "received_ts") -> DataFrame:
     """Messages a second over sliding windows."""
-    return reports.withWatermark(time, late).groupBy(F.window(time, window, slide), *by).agg((F.count("*") / 60.0).alias("rate"))
+    span = F.unix_timestamp("window.end") - F.unix_timestamp("window.start")
+    return reports.withWatermark(time, late).groupBy(F.window(time, window, slide), *by).agg(F.count("*").alias("n")).withColumn("rate", F.col("n") / span)
 
 
 class StayProcessor(StatefulProcessor):
@@ -99,6 +100,19 @@ def events(msgs: DataFrame, as_of: str) -> DataFrame:
     return sighting.events(first_of_marker(sighting.classify(msgs, as_of)))
 
 
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that ``stream`` has now, as a table under ``folder``; a second run with the same folder takes up what came since.
+
+    ``append`` adds finished rows; ``complete`` keeps the newest version of an aggregate.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/version={number:012d}")).start().awaitTermination()
+    return current(stream.sparkSession, folder)
+
+
 def merge_changes(state_path: str):
     """For ``foreachBatch`` on a change feed: keeps each stay's highest revision in a table, whatever the order of arrival.
 

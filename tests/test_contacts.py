@@ -1,8 +1,11 @@
+import random
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from caresift.operators import contacts
 from caresift.plans import adt_queries, registry
 
 
@@ -16,8 +19,23 @@ def test_contacts_with_open_ends(spark, sf_dir, granularity):
     want = Counter((x["segment_id"], y["segment_id"]) for rows in by_unit.values() for x in rows for y in rows if x["patient_key"] != y["patient_key"] and before(y["start_ts"], x["end_ts"]) and before(x["start_ts"], y["end_ts"]))
     got = Counter(tuple(r) for r in registry.queries()[f"adt_contacts_all_{granularity}"](spark, sf_dir).select("segment_id", "other_id").collect())
     assert got == want and any(ends[x] is None for x, _ in got) and any(ends[x] is None and ends[y] is None for x, y in got)
-    closed = Counter(tuple(r) for r in registry.queries()[f"adt_contacts_{granularity}"](spark, sf_dir).select("segment_id", "other_id").collect())
-    assert closed == Counter({p: n for p, n in got.items() if None not in (ends[p[0]], ends[p[1]])})
+    assert Counter(tuple(r) for r in registry.queries()[f"adt_contacts_{granularity}"](spark, sf_dir).select("segment_id", "other_id").collect()) == got
     db = duckdb.connect()
     db.sql(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
     assert Counter(db.sql(f"SELECT segment_id, other_id FROM ({registry.oracle_sql()[f'adt_contacts_all_{granularity}']})").fetchall()) == got
+
+
+def test_contacts_of_long_and_odd_segments(spark):
+    """Short, long and open segments, touching ones, ones of no length, and nulls, against all pairs."""
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        start = r.randint(0, 80 * 86_400)
+        end = None if r.random() < 0.1 else start + r.choice([0, 60, 3600, 5 * 86_400, 16 * 86_400, 40 * 86_400, r.randint(1, 90_000)])
+        rows.append((f"s{i}", r.choice(["p1", "p2", "p3", "p4", None]), r.choice(["W1", "W2"]), start, end))
+    kind = "segment_id string, patient_key string, ward string, a long, b long"
+    df = spark.createDataFrame(rows, kind).select("segment_id", "patient_key", "ward", F.lit(None).cast("string").alias("room"), F.lit(None).cast("string").alias("bed"), F.timestamp_seconds("a").alias("start_ts"), F.timestamp_seconds("b").alias("end_ts"))
+    got = Counter(tuple(x) for x in contacts.pairs(df, "bed").collect())
+    ends = lambda t, end: end is None or t < end
+    want = Counter((x[0], y[0]) for x in rows for y in rows if x[1] and y[1] and x[1] != y[1] and x[2] == y[2] and ends(y[3], x[4]) and ends(x[3], y[4]))
+    assert got == want and contacts.pairs(df.limit(0)).count() == 0
