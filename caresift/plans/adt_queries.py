@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caresift.functions import hl7
 from caresift.operators import contacts, erase, estimates, fold, sighting, stays
 from caresift.sources import synth
+from caresift.sources.files import kept
 
 AS_OF = synth.AS_OF
 
@@ -151,8 +152,8 @@ def fold_statuses(spark, sf_dir):
 
 
 def _estimates(spark, sf_dir):
-    sighted_rows = sighting.sight(full_messages(spark, sf_dir), AS_OF)
-    segs = fold.segments_of(fold.reconstruct(sighting.events(sighted_rows), AS_OF))
+    sighted_rows = kept(sighting.sight(full_messages(spark, sf_dir), AS_OF))
+    segs = fold.segments_of(kept(fold.reconstruct(sighting.events(sighted_rows), AS_OF)))
     return segs, estimates.bounds(estimates.candidates(sighted_rows, hl7.patient_keys(F.col("text"))), segs)
 
 

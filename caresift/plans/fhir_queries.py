@@ -38,7 +38,21 @@ def fidelity(spark, sf_dir):
     return metrics.fidelity(_inspected(spark, sf_dir))
 
 
-QUERIES = {"fhir_losses": losses, "fhir_losses_german": losses_german, "fhir_reports": reports, "fhir_rejected": rejected, "fhir_dangling": dangling, "fhir_fidelity": fidelity}
+def rare_findings(spark, sf_dir):
+    """With the German pack, over bundles in which the rarer rules fire and don't fire."""
+    rows = fhir.inspect(fhir.parse(synth.rare_bundles(spark, sf_dir))[0], True)
+    return fnd.explode(rows, ["bundle_key"]).select("bundle_key", "rule_id", "pattern", "severity", "location")
+
+
+def manifest(spark, sf_dir):
+    """Reports against a manifest that expects one loss more in every tenth bundle and knows nothing of bundles without critical ones."""
+    found = _inspected(spark, sf_dir)
+    more = F.when(F.substring("control_id", 2, 20).cast("long") % 10 == 0, 1).otherwise(0)
+    want = found.where("has_critical").select("control_id", (F.col("total_losses") + more).alias("expected_total_losses"), F.struct(F.col("n_critical").alias("critical"), F.col("n_warning").alias("warning"), F.col("n_info").alias("info")).alias("severities"))
+    return fhir.against_manifest(found, want).select("control_id", "total_losses", "want")
+
+
+QUERIES = {"fhir_rare_findings": rare_findings, "fhir_manifest": manifest, "fhir_losses": losses, "fhir_losses_german": losses_german, "fhir_reports": reports, "fhir_rejected": rejected, "fhir_dangling": dangling, "fhir_fidelity": fidelity}
 
 _F = """
 WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), f AS (
@@ -66,6 +80,20 @@ ORACLE = {
         + count(*) FILTER (WHERE pattern = 'Attribute Dropping') * 4.0 + count(*) FILTER (WHERE pattern = 'Reference Severing') * 24.0 AS bits FROM f GROUP BY c)
     SELECT 'B' || n.c AS control_id, 'Bundle/transaction' AS message_type, (5 * n + 1)::INT AS total_segments, coalesce(total, 0)::INT AS total_losses, coalesce(crit, 0)::INT AS n_critical, coalesce(warn, 0)::INT AS n_warning,
         coalesce(info, 0)::INT AS n_info, round(coalesce(bits, 0), 2) AS loss_bits FROM n LEFT JOIN p ON p.c = n.c""",
+    "fhir_rare_findings": """
+    WITH c AS (SELECT c_custkey AS k FROM customer)
+    SELECT k AS bundle_key, 'TC-CATEGORY' AS rule_id, 'Temporal Collapse' AS pattern, 'warning' AS severity, 'Observation/a' || k AS location FROM c WHERE k % 2 = 0
+    UNION ALL SELECT k, 'TC-AGGREGATE', 'Temporal Collapse', 'warning', 'Observation/a' || k FROM c WHERE k % 2 <> 0 AND k % 3 = 0
+    UNION ALL SELECT k, 'TN-SYSTEM', 'Type Narrowing', 'info', 'Observation/a' || k FROM c WHERE k % 5 = 0
+    UNION ALL SELECT k, 'RS-BUNDLE-01', 'Reference Severing', 'critical', 'Observation/a' || k FROM c WHERE k % 4 = 0
+    UNION ALL SELECT k, 'RS-BUNDLE-01', 'Reference Severing', 'critical', 'Condition/b' || k FROM c WHERE k % 9 = 0
+    UNION ALL SELECT k, 'TN-CC-01', 'Type Narrowing', 'warning', 'Condition/b' || k FROM c WHERE k % 4 = 1
+    UNION ALL SELECT k, 'TN-SYSTEM', 'Type Narrowing', 'info', 'Condition/b' || k FROM c WHERE k % 6 = 0
+    UNION ALL SELECT k, 'DE-CERTAINTY', 'Attribute Dropping', 'warning', 'Condition/b' || k FROM c WHERE k % 3 <> 0
+    UNION ALL SELECT k, 'DE-UCUM', 'Type Narrowing', 'info', 'Observation/a' || k FROM c WHERE k % 7 >= 3
+    UNION ALL SELECT k, 'DE-ATC', 'Type Narrowing', 'info', 'MedicationAdministration/m' || k FROM c WHERE k % 2 = 0
+    UNION ALL SELECT k, 'DE-KVID', 'Attribute Dropping', 'info', 'Patient/p' || k FROM c WHERE k % 2 <> 0""",
+    "fhir_manifest": _F + "SELECT 'B' || n.c AS control_id, coalesce(total, 0)::INT AS total_losses, CASE WHEN crit > 0 THEN (total + CASE WHEN n.c % 10 = 0 THEN 1 ELSE 0 END)::INT END AS want FROM (SELECT DISTINCT c FROM o) n LEFT JOIN (SELECT c, count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS crit FROM f GROUP BY c) p ON p.c = n.c WHERE coalesce(crit, 0) = 0 OR n.c % 10 = 0",
     "fhir_rejected": "SELECT CASE WHEN trim(text) = '' THEN 'empty' ELSE 'not JSON with a resourceType' END AS reason, count(*) AS n FROM documents GROUP BY ALL",
     "fhir_dangling": _F + "SELECT 'B' || c AS bundle_id, 'Patient/x' || k AS reference FROM o WHERE k % 5 = 0 UNION ALL SELECT 'B' || c, 'Patient/x' || k FROM o WHERE k % 11 = 0",
     "fhir_fidelity": _F + "SELECT round(100.0 * count(*) FILTER (WHERE c NOT IN (SELECT c FROM f)) / count(*), 1) AS fidelity, count(*) AS n FROM (SELECT DISTINCT c FROM o)",

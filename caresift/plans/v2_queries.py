@@ -9,6 +9,7 @@ from caresift.functions import hl7
 from caresift.operators import findings as fnd
 from caresift.operators import metrics, severity, v2
 from caresift.sources import synth
+from caresift.sources.files import kept
 
 #: Override rules of the example queries.
 RULES = [
@@ -63,7 +64,7 @@ def percentiles(spark, sf_dir):
 
 def rolling(spark, sf_dir):
     rows = inspected(spark, sf_dir).select("tenant_id", "receipt_id", F.col("total_losses").cast("double").alias("value"))
-    return metrics.rolling_percentile(rows, "value", ["tenant_id"], ["receipt_id"], 100).select("tenant_id", "receipt_id", "p95")
+    return metrics.rolling_percentile(rows, "value", ["tenant_id"], ["receipt_id"], 1000).select("tenant_id", "receipt_id", "p95")
 
 
 def dashboard(spark, sf_dir):
@@ -71,8 +72,8 @@ def dashboard(spark, sf_dir):
 
 
 def trend(spark, sf_dir):
-    m = inspected(spark, sf_dir)
-    return metrics.tenant_trend(found(spark, sf_dir), m)
+    m = kept(inspected(spark, sf_dir).select("tenant_id", "received_ts", "findings"))
+    return metrics.tenant_trend(fnd.explode(m, ["tenant_id", "received_ts"]), m)
 
 
 def effective(spark, sf_dir):
@@ -112,9 +113,9 @@ def duplicates(spark, sf_dir):
 
 
 def recovered(spark, sf_dir):
-    """Messages without a finished inspection are inspected now."""
+    """Messages without a finished inspection are inspected now: a first run's table has those received before 1997."""
     m = synth.oru_messages(spark, sf_dir)
-    done = m.where("receipt_id % 10 <> 3").select("receipt_id")
+    done = kept(v2.inspect(m.where("received_ts < '1997-01-01'")).select("receipt_id", "total_losses"))
     rows = v2.inspect(m.join(done, "receipt_id", "left_anti"))
     return rows.select("receipt_id", F.lit("recovered").alias("decision"), "total_losses")
 
@@ -187,7 +188,7 @@ ORACLE = {
         f", h AS (SELECT message_type, bound, count(*) FILTER (WHERE bits <= bound) AS n, 0.95::DOUBLE * count(*) AS rank FROM rep, {_BOUNDS} GROUP BY ALL), w AS (SELECT *, coalesce(lag(bound) OVER (PARTITION BY message_type ORDER BY bound), 0)::DOUBLE AS low, coalesce(lag(n) OVER (PARTITION BY message_type ORDER BY bound), 0) AS n0 FROM h)",
     ),
     "v2_percentiles": _sql("SELECT message_type, round(quantile_cont(bits, 0.5), 4) AS p50, round(quantile_cont(bits, 0.95), 4) AS p95, round(quantile_cont(bits, 0.99), 4) AS p99 FROM rep GROUP BY ALL"),
-    "v2_rolling_percentile": _sql("SELECT tenant_id, k AS receipt_id, round(quantile_cont(total::DOUBLE, 0.95) OVER (PARTITION BY tenant_id ORDER BY k ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS p95 FROM rep"),
+    "v2_rolling_percentile": _sql("SELECT tenant_id, k AS receipt_id, round(quantile_cont(total::DOUBLE, 0.95) OVER (PARTITION BY tenant_id ORDER BY k ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 4) AS p95 FROM rep"),
     "v2_dashboard": _sql("SELECT 'v2' AS protocol, count(*) AS n_messages, sum(total)::BIGINT AS n_losses, sum(crit)::BIGINT AS n_critical, count(*) FILTER (WHERE crit > 0) AS n_blocked, count(*) FILTER (WHERE crit = 0) AS n_forwarded FROM rep"),
     "v2_tenant_trend": _sql(
         "SELECT tenant_id, pattern, month, n, round(n / m, 6) AS rate, coalesce(lag(n) OVER w, 0) AS n_before, coalesce(n >= 2 * lag(n) OVER w, false) AS doubled FROM f JOIN t USING (tenant_id, month) WINDOW w AS (PARTITION BY tenant_id, pattern ORDER BY month)",
@@ -196,9 +197,24 @@ ORACLE = {
     "v2_effective_severity": _EFFECTIVE,
     "v2_effective_severity_join": _EFFECTIVE,
     "v2_effective_reports": _sql("SELECT msg.k AS receipt_id, count(effective) FILTER (WHERE effective = 'critical')::INT AS n_critical, count(effective) FILTER (WHERE effective = 'warning')::INT AS n_warning, count(effective) FILTER (WHERE effective = 'info')::INT AS n_info, count(effective) FILTER (WHERE effective = 'critical') > 0 AS has_critical FROM msg LEFT JOIN eff ON eff.k = msg.k GROUP BY msg.k"),
+    "v2_audit_events": _sql(
+        """SELECT k AS message_id, k || '-' || row_number() OVER (PARTITION BY k ORDER BY o) AS audit_id, effective AS severity, CASE effective WHEN 'critical' THEN '8' ELSE '4' END AS outcome FROM told WHERE effective IN ('warning', 'critical')""",
+        """, seq AS (
+    SELECT k, c, 'Reference Severing' AS pattern, 'warning' AS severity, 'PV1/V' || c AS location, [1, 0, 0, 0, 0, 0] AS o FROM msg WHERE c % 3 = 0
+    UNION ALL SELECT k, c, 'Reference Severing', 'critical', 'ORC/' || k, [2, 0, 0, 0, 0, 0] FROM msg WHERE k % 4 <> 0
+    UNION ALL SELECT k, c, 'Attribute Dropping', 'critical', 'RXA', [3, 0, 0, 0, 0, 0] FROM msg WHERE k % 20 = 0
+    UNION ALL SELECT k, c, 'Temporal Collapse', 'warning', 'OBR/' || k, [4, 0, 0, 0, 0, 0] FROM msg WHERE k % 5 = 0
+    UNION ALL SELECT k, c, 'Type Narrowing', 'warning', 'OBR/' || k, [5, 0, 0, 0, 0, 0] FROM msg WHERE c % 6 = 0
+    UNION ALL SELECT k, c, 'Type Narrowing', 'warning', 'OBX', [6, l_linenumber, l_partkey, l_suppkey, l_quantity, 0] FROM lineitem JOIN msg ON k = l_orderkey WHERE l_partkey % 7 = 0
+    UNION ALL SELECT k, c, 'Attribute Dropping', 'critical', 'OBX', [6, l_linenumber, l_partkey, l_suppkey, l_quantity, 1] FROM lineitem JOIN msg ON k = l_orderkey WHERE l_partkey % 2 = 0 AND l_suppkey % 3 = 0
+), told AS (
+    SELECT seq.*, CASE WHEN tenant_id = 'APP1|FAC1' AND pattern = 'Reference Severing' AND location LIKE 'ORC/1%' THEN 'info' WHEN tenant_id = 'APP1|FAC1' AND pattern = 'Reference Severing' AND location LIKE 'ORC/%' THEN 'warning'
+        WHEN location LIKE 'PV1/%' THEN 'critical' WHEN pattern = 'Temporal Collapse' THEN 'info' ELSE severity END AS effective FROM seq JOIN msg USING (k)
+)""",
+    ),
     "v2_audit_log": _sql("SELECT k AS receipt_id, CASE WHEN crit > 0 THEN 'blocked' ELSE 'forwarded' END AS decision, total::INT AS total_losses FROM rep WHERE crit > 0 OR warn > 0"),
     "v2_duplicates": _sql("SELECT 'APP' || (c % 5) AS msh3, 'FAC' || (c % 2) AS msh4, 'M' || k AS msh10, 2::BIGINT AS n, (-k - 1)::BIGINT AS first_id FROM msg WHERE k % 50 = 0"),
-    "v2_recovered": _sql("SELECT k AS receipt_id, 'recovered' AS decision, total::INT AS total_losses FROM rep WHERE k % 10 = 3"),
+    "v2_recovered": _sql("SELECT k AS receipt_id, 'recovered' AS decision, total::INT AS total_losses FROM rep WHERE ts >= TIMESTAMP '1997-01-01'"),
     "v2_patient_keys": _sql("SELECT k AS receipt_id, 'HOSP|P' || c AS keys, 'keyed' AS pkey_status FROM msg"),
     "v2_garbage": "SELECT 'UNKNOWN' AS message_type, count(*) AS n, 0::BIGINT AS n_losses FROM documents",
 }

@@ -169,4 +169,27 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(c.alias("bundle_key"), text.alias("text"))
 
 
+def rare_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bundle_key, text: a customer's Patient, Observation, Condition and MedicationAdministration with what ``bundles`` never has:
+    intervals and means at a point in time, own code systems, contained references, body sites, certainty, units and drugs."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"))
+    k = F.col("c")
+    name = lambda p: F.concat(F.lit(p), k.cast("string"))
+    coding = lambda system, code, show: F.array(F.struct(system.alias("system"), F.lit(code).alias("code"), show.alias("display")))
+    own, loinc = F.lit("http://example.org/own"), F.lit("http://loinc.org")
+    entry = lambda **f: F.to_json(F.struct(F.struct(*[v.alias(n) for n, v in f.items()]).alias("resource")))
+    kind = F.array(F.struct(F.lit("http://terminology.hl7.org/CodeSystem/observation-category").alias("system"), F.when(k % 2 == 0, "procedure").otherwise("exam").alias("code")))
+    unit = F.when(k % 7 < 3, F.lit(UCUM)).when(k % 7 < 5, F.lit("http://example.org/units"))
+    sites = F.array_compact(F.array(F.when(k % 4 == 1, F.struct(F.lit(None).cast("array<struct<system:string,code:string,display:string>>").alias("coding"), F.lit("arm").alias("text"))), F.when(k % 6 == 0, F.struct(coding(own, "17", F.lit("leg")).alias("coding"), F.lit("leg").alias("text")))))
+    resources = F.concat_ws(
+        ",",
+        entry(resourceType=F.lit("Patient"), id=name("p"), identifier=F.when(k % 2 == 0, F.array(F.struct(F.lit("http://fhir.de/sid/gkv/kvid-10").alias("system"))))),
+        entry(resourceType=F.lit("Observation"), id=name("a"), code=F.struct(coding(F.when(k % 5 == 0, own).otherwise(loinc), "1", F.when(k % 3 == 0, "Average pressure").otherwise("pressure")).alias("coding")), category=F.array(F.struct(kind.alias("coding"))), effectiveDateTime=F.lit("2024-01-01"), subject=F.struct(F.lit("#p1").alias("reference")), contained=F.when(k % 4 != 0, F.array(F.struct(F.lit("p1").alias("id")))), valueQuantity=F.struct(F.lit(1.5).alias("value"), unit.alias("system"))),
+        entry(resourceType=F.lit("Condition"), id=name("b"), code=F.struct(coding(F.lit("http://fhir.de/CodeSystem/bfarm/icd-10-gm"), "E11", F.lit("x")).alias("coding")), extension=F.when(k % 3 == 0, F.array(F.struct(F.lit("http://fhir.de/StructureDefinition/icd-10-gm-diagnosesicherheit").alias("url")))), bodySite=sites, encounter=F.when(k % 9 == 0, F.struct(F.lit("Encounter/none").alias("reference"))), subject=F.struct(F.concat(F.lit("Patient/p"), k.cast("string")).alias("reference"))),
+        entry(resourceType=F.lit("MedicationAdministration"), id=name("m"), medicationCodeableConcept=F.struct(coding(F.when(k % 2 == 0, F.lit("http://fhir.de/CodeSystem/ifa/pzn")).otherwise(F.lit("http://www.whocc.no/atc")), "N02", F.lit("x")).alias("coding")), dosage=F.struct(F.lit("5 mg").alias("text"))),
+    )
+    text = F.concat(F.lit('{"resourceType":"Bundle","type":"collection","id":"R'), k.cast("string"), F.lit('","entry":['), resources, F.lit("]}"))
+    return c.select(k.alias("bundle_key"), text.alias("text"))
+
+
 UCUM = "http://unitsofmeasure.org"
