@@ -26,14 +26,18 @@ from caresift.llm._words import U, byte_values, mix, powers
 
 SEED = 32  #: bytes that a minimizer hashes
 NO_HASH = U((1 << 64) - 1)
-#: Surroundings in one reducer's bucket, bytes of them in one suffix array, and bytes of text in one chunk.
-BUCKET_PLACES, BLOCK_BYTES, CHUNK_BYTES = 40_000, 600_000, 3_000_000
+#: Surroundings in one reducer's bucket, and minimizers in one that only counts.
+BUCKET_PLACES, BUCKET_HASHES = 40_000, 500_000
+#: Bytes in one suffix array, of text that is hashed at once, and of text whose minimizers are sent together.
+BLOCK_BYTES, SLICE_BYTES, CHUNK_BYTES = 600_000, 500_000, 3_000_000
+#: Hot minimizers that the driver hears of, at most.
+HOT_LIST = 4_000_000
 
 
 @dataclass(frozen=True)
 class RepeatConfig:
     least: int = 100  #: bytes of the shortest repeat, over SEED
-    hot: int = 1_000_000  #: a minimizer with more occurrences is settled by hashes of its strings, row by row
+    hot: int = 200_000  #: a minimizer with more occurrences is settled by hashes of its strings
     block: int = BLOCK_BYTES  #: about so many bytes in one suffix array
 
 
@@ -194,10 +198,29 @@ def _halves(own: np.ndarray, low: np.ndarray, high: np.ndarray, seed: np.ndarray
     return out
 
 
-def _equal(own, low, high, sums, begin, lead, doc, ref, start) -> tuple[np.ndarray, tuple]:
+def _gathered(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all spans, one after another, and where each begins."""
+    sizes = high - low
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return body[np.repeat(low - at[:-1], sizes) + np.arange(at[-1])], at
+
+
+def _span_hashes(body: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of each span's bytes; a bounded part of the spans is copied at a time."""
+    out, ends = np.empty(len(low), U), np.cumsum(high - low)
+    i = 0
+    while i < len(low):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_BYTES, "right")))
+        text, at = _gathered(body, low[i:j], high[i:j])
+        total = prefix_sums(text)
+        out[i:j] = mix((total[at[1:]] - total[at[:-1]]) * powers(len(text) + 1)[1][at[:-1]])
+        i = j
+    return out
+
+
+def _equal(own, low, high, body, begin, lead, doc, ref, start) -> tuple[np.ndarray, tuple]:
     """Spans of surroundings that equal an earlier one, and the others."""
-    down = powers(len(sums))[1]
-    shape = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(U) * U(3) + (begin[own] + lead[own] - low).astype(U) * U(0x9E3779B1))
+    shape = mix(_span_hashes(body, low, high) + (high - low).astype(U) * U(3) + (begin[own] + lead[own] - low).astype(U) * U(0x9E3779B1))
     at = start[own] + low - begin[own]
     order = np.lexsort((at, ref[own], doc[own], shape))
     new = np.ones(len(order), bool)
@@ -210,14 +233,16 @@ def settle(rows: pd.DataFrame, least: int, block: int = BLOCK_BYTES) -> pd.DataF
     """Spans to remove, by ref, among surroundings that met: columns as ``_cut_places`` sends them.
 
     Suffix arrays are of about ``block`` bytes.  A minimizer with more has its strings split by their place around it,
-    again and again; halves that become equal are settled by order, so few bytes are left.
+    again and again; halves that become equal are settled by order, so few bytes are left.  Strings of hot minimizers come
+    each for itself, known by its hash and without bytes (``lead`` is negative).
     """
     join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
     doc, ref, start = join("doc", np.int64), join("ref", np.int64), join("start", np.int64)
     kmer, shape, size, lead = join("kmer", U), join("shape", U), join("size", np.int64), join("lead", np.int64)
     gone = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.gone if x] or [np.empty((0, 3), np.int64)])
     body = np.frombuffer(b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(rows.body, rows.body_size, strict=True)), np.uint8)
-    begin = np.cumsum(size) - size
+    held = np.where(lead < 0, 0, size)
+    begin = np.cumsum(held) - held
     order = np.lexsort((start, ref, doc, shape, kmer))
     new = np.ones(len(order), bool)
     new[1:] = (kmer[order][1:] != kmer[order][:-1]) | (shape[order][1:] != shape[order][:-1])
@@ -225,13 +250,14 @@ def settle(rows: pd.DataFrame, least: int, block: int = BLOCK_BYTES) -> pd.DataF
     copies = copies[size[copies] >= least]
     out = [gone, np.stack([ref[copies], start[copies], start[copies] + size[copies]], 1)]
     kept = order[new]
+    kept = kept[lead[kept] >= 0]
     _, group = np.unique(kmer[kept], return_inverse=True)
     kmer_group = np.full(len(kmer), -1)
     kmer_group[kept] = group
     several = np.bincount(group)[group] > 1 if len(kept) else np.empty(0, bool)
     kept, group = kept[several & (size[kept] >= least)], group[several & (size[kept] >= least)]
     ends = np.cumsum(size[kept])
-    edge, sums = 0, None
+    edge = 0
     while edge < len(kept):  # whole groups, as many as make a block
         stop = int(np.searchsorted(ends, (ends[edge - 1] if edge else 0) + block, "right"))
         stop = max(stop, edge + 1)
@@ -245,16 +271,13 @@ def settle(rows: pd.DataFrame, least: int, block: int = BLOCK_BYTES) -> pd.DataF
         while waiting:
             own, low, high = waiting.pop()
             if len(own) > 1 and (high - low).sum() > block and group[edge - 1] == kmer_group[own[0]]:
-                sums = prefix_sums(body) if sums is None else sums
                 for half in _halves(own, low, high, begin + lead, least):
-                    again, half = _equal(*half, sums, begin, lead, doc, ref, start)
+                    again, half = _equal(*half, body, begin, lead, doc, ref, start)
                     out.append(again)
                     if len(half[0]) > 1:
                         waiting.append(half)
                 continue
-            sizes = high - low
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            text = body[np.repeat(low - at[:-1], sizes) + np.arange(at[-1])]
+            text, at = _gathered(body, low, high)
             from_ = start[own] + low - begin[own]
             for length, places in maximal_repeats(text, at, least):
                 which = np.searchsorted(at, places, "right") - 1
@@ -267,11 +290,11 @@ def settle(rows: pd.DataFrame, least: int, block: int = BLOCK_BYTES) -> pd.DataF
     return _spans_of(every[:, 0], every[:, 1], every[:, 2])
 
 
-def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> DataFrame:
+def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int, hot: int) -> DataFrame:
     """ref, places array<binary>: minimizers of a text (int64 places) whose hash occurs twice in the corpus.
 
-    A chunk sends each hash once, with its count, and keeps what occurs twice in it.  The row of the null ref, if there is
-    one, has the hashes with more than ``config.hot`` occurrences instead.
+    A chunk sends each hash once, with its count; what occurs twice in it is known already and is dealt evenly to its rows.
+    The row of the null ref, if there is one, has the hashes with more than ``hot`` occurrences instead.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,11 +316,11 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> Dat
             edges = [*begin, len(order)]
             cuts = [order[i:j] for i, j in zip(edges, edges[1:], strict=False)]
             blob = lambda values: pa.array([values[c].tobytes() for c in cuts], pa.binary())
-            near = pa.array([known.tobytes() if not i else b"" for i in range(len(cuts))], pa.binary())
+            near = pa.array([known[i :: len(cuts)].tobytes() for i in range(len(cuts))], pa.binary())
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), blob(hashed), blob(ref), blob(place.astype(np.int64)), blob(count), near], ["bucket", "hashed", "refs", "places", "counts", "known"])
 
-        for batch, body, at in slices(batches):
+        for batch, body, at in slices(batches, most=SLICE_BYTES):
             hashed, place = minimizers(body, at, config.least)
             which = np.searchsorted(at, place, "right") - 1
             held.append((hashed, batch.column(0).to_numpy()[which], place - at[which]))
@@ -312,7 +335,7 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> Dat
         hashed, ref, place, own = (np.concatenate([np.frombuffer(x, k) for x in rows[c]]) for c, k in (("hashed", U), ("refs", np.int64), ("places", np.int64), ("counts", np.uint32)))
         name, which, chunks = np.unique(hashed, return_inverse=True, return_counts=True)
         again = (chunks[which] > 1) & (own == 1)  # the others are known already
-        many = name[np.bincount(which, own, len(name)) > config.hot]
+        many = name[np.bincount(which, own, len(name)) > hot]
         known = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows.known if x] or [np.empty((0, 2), np.int64)])
         ref, place = np.concatenate([ref[again], known[:, 0]]), np.concatenate([place[again], known[:, 1]])
         order = np.argsort(ref, kind="stable")
@@ -326,61 +349,104 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int) -> Dat
     return found.groupBy("ref").agg(F.collect_list("places").alias("places"))  # of one text, by its length at most
 
 
-def _cut_places(config: RepeatConfig, buckets: int):
+def _cut_places(config: RepeatConfig, buckets: int, hot: list[int]):
     """Surroundings of a text's places, by bucket of the minimizer; of equal ones in a chunk, the first.
 
-    A surrounding holds all strings of ``least`` bytes whose minimizer is this one, and no more bytes than they have.
+    A surrounding holds all strings of ``least`` bytes whose minimizer is this one, and no more bytes than they have.  That
+    of a hot minimizer is sent as its strings, each by its own hash and without bytes.
     """
+    reach = config.least - SEED
+    named = np.sort(np.array(hot, np.int64)).astype(U)
+
+    def surroundings(batch: pa.RecordBatch, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """kmer, shape, doc, ref, start, size, lead, low (place in ``body``)."""
+        refs, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        own = [np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in x.as_py()])) for x in batch.column(3)]
+        which = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        place = at[which] + np.concatenate([*own, np.empty(0, np.int64)])
+        low, high = np.maximum(place - reach, at[which]), np.minimum(place + config.least, at[which + 1])
+        # only strings whose leftmost least hash is here: those up to the next place of one as low, or lower
+        down = powers(len(body) + 1)[1]
+        total = prefix_sums(body)
+        hashed = np.concatenate([seed_hashes(body, at, total), np.full(SEED, NO_HASH)])
+        mine = hashed[place]
+        before, after = np.ones(len(place), bool), np.ones(len(place), bool)
+        for k in range(1, reach + 1):
+            hit = before & (place - k >= low) & (hashed[np.maximum(place - k, 0)] <= mine)
+            low[hit] = place[hit] - k + 1
+            before &= ~hit
+            hit = after & (place + k + SEED <= high) & (hashed[np.minimum(place + k, len(body))] < mine)
+            high[hit] = place[hit] + k + SEED - 1
+            after &= ~hit
+        full = high - low >= config.least
+        which, place, low, high = which[full], place[full], low[full], high[full]
+        span = lambda i, j: mix((total[j] - total[i]) * down[i])
+        kmer, lead = span(place, place + SEED), place - low
+        shape = mix(span(low, high) + (high - low).astype(U) * U(3) + lead.astype(U) * U(0x9E3779B1))
+        if len(named):
+            many = named[np.minimum(np.searchsorted(named, kmer), len(named) - 1)] == kmer
+            strings = (high - low)[many] - config.least + 1
+            first = np.repeat(low[many] - np.cumsum(strings) + strings, strings) + np.arange(strings.sum())
+            each = span(first, first + config.least)
+            size = np.full(len(first), config.least)
+            join = lambda a, b: np.concatenate([a[~many], b])
+            which, kmer, shape = join(which, np.repeat(which[many], strings)), join(kmer, mix(each + U(29))), join(shape, each)
+            lead, high, low = join(lead, np.full(len(first), -1)), join(high, first + size), join(low, first)
+        return kmer, shape, docs[which], refs[which], low - at[which], high - low, lead, low
+
+    def distinct(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first of equal surroundings, and of the others."""
+        kmer, shape, doc, ref, start = rows[:5]
+        order = np.lexsort((start, ref, doc, shape, kmer))
+        new = np.ones(len(order), bool)
+        new[1:] = (kmer[order][1:] != kmer[order][:-1]) | (shape[order][1:] != shape[order][:-1])
+        return order[new], order[~new]
+
+    def spans(rows: tuple[np.ndarray, ...], again: np.ndarray) -> np.ndarray:
+        ref, start, size = rows[3][again], rows[4][again], rows[5][again]
+        made = _spans_of(ref, start, start + size)
+        found = [np.insert(np.frombuffer(s, "<i8").reshape(-1, 2), 0, r, axis=1) for r, s in zip(made.ref, made.spans, strict=True)]
+        return np.concatenate(found) if found else np.empty((0, 3), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, body, at in slices(batches, "text", CHUNK_BYTES):
-            reach = config.least - SEED
-            refs, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own = [np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in x.as_py()])) for x in batch.column(3)]
-            which = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            place = at[which] + np.concatenate([*own, np.empty(0, np.int64)])
-            low, high = np.maximum(place - reach, at[which]), np.minimum(place + config.least, at[which + 1])
-            # only strings whose leftmost least hash is here: those up to the next place of one as low, or lower
-            down = powers(len(body) + 1)[1]
-            total = prefix_sums(body)
-            hashed = np.concatenate([seed_hashes(body, at, total), np.full(SEED, NO_HASH)])
-            mine = hashed[place]
-            before, after = np.ones(len(place), bool), np.ones(len(place), bool)
-            for k in range(1, reach + 1):
-                hit = before & (place - k >= low) & (hashed[np.maximum(place - k, 0)] <= mine)
-                low[hit] = place[hit] - k + 1
-                before &= ~hit
-                hit = after & (place + k + SEED <= high) & (hashed[np.minimum(place + k, len(body))] < mine)
-                high[hit] = place[hit] + k + SEED - 1
-                after &= ~hit
-            full = high - low >= config.least
-            which, place, low, high = which[full], place[full], low[full], high[full]
-            span = lambda i, j: mix((total[j] - total[i]) * down[i])
-            kmer = span(place, place + SEED)
-            shape = mix(span(low, high) + (high - low).astype(U) * U(3) + (place - low).astype(U) * U(0x9E3779B1))
-            start, doc, ref = low - at[which], docs[which], refs[which]
-            order = np.lexsort((start, ref, doc, shape, kmer))
-            new = np.ones(len(order), bool)
-            new[1:] = (kmer[order][1:] != kmer[order][:-1]) | (shape[order][1:] != shape[order][:-1])
-            again = order[~new]
-            spans = _spans_of(ref[again], start[again], start[again] + (high - low)[again])
-            gone = [np.insert(np.frombuffer(s, "<i8").reshape(-1, 2), 0, r, axis=1) for r, s in zip(spans.ref, spans.spans, strict=True)]
-            gone = np.concatenate(gone) if gone else np.empty((0, 3), np.int64)
-            first = order[new]
-            bucket = (mix(kmer[first] + U(11)) % U(buckets)).astype(np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        texts: list[np.ndarray] = []
+        gone: list[np.ndarray] = []
+        size = 0
+
+        def chunk() -> pa.RecordBatch:
+            rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            body = np.concatenate(texts)
+            length = np.where(rows[6] < 0, 0, rows[5])
+            begin = np.cumsum(length) - length
+            first, again = distinct(rows)
+            lost = np.concatenate([*gone, spans(rows, again)])
+            bucket = (mix(rows[0][first] + U(11)) % U(buckets)).astype(np.int64)
             turn = np.argsort(bucket, kind="stable")
-            names, begin = np.unique(bucket[turn], return_index=True)
-            edges = [*begin, len(turn)]
+            names, edge = np.unique(bucket[turn], return_index=True)
+            edges = [*edge, len(turn)]
             cuts = [first[turn[i:j]] for i, j in zip(edges, edges[1:], strict=False)]
-            blob = lambda values: pa.array([values[c].tobytes() for c in cuts], pa.binary())
-            texts = []
-            for c in cuts:
-                sizes = (high - low)[c]
-                texts.append(body[np.repeat(low[c] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())].tobytes())
-            columns = [pa.array(names, pa.int64()), blob(kmer), blob(shape), blob(doc), blob(ref), blob(start), blob(high - low), blob(place - low)]
-            columns += [pa.array([_pack(x) for x in texts], pa.binary()), pa.array([len(x) for x in texts], pa.int64())]
-            columns.append(pa.array([gone.tobytes() if not i else b"" for i in range(len(cuts))], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PLACES.split(", ")])
+            packed = [_gathered(body, begin[c], begin[c] + length[c])[0].tobytes() for c in cuts]
+            columns = [pa.array(names, pa.int64()), *(pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in rows)]
+            columns += [pa.array([_pack(x) for x in packed], pa.binary()), pa.array([len(x) for x in packed], pa.int64())]
+            columns.append(pa.array([lost[i :: len(cuts)].tobytes() for i in range(len(cuts))], pa.binary()))
+            for x in (held, texts, gone):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PLACES.split(", ")])
+
+        for batch, body, at in slices(batches, "text", SLICE_BYTES):
+            *rows, low = surroundings(batch, body, at)
+            first, again = distinct(tuple(rows))
+            gone.append(spans(tuple(rows), again))
+            held.append(tuple(x[first] for x in rows))
+            low, length = low[first], np.where(rows[6][first] < 0, 0, rows[5][first])
+            texts.append(_gathered(body, low, low + length)[0])
+            size += len(body)
+            if size >= CHUNK_BYTES:
+                yield chunk()
+                size = 0
+        if held:
+            yield chunk()
 
     return run
 
@@ -388,39 +454,6 @@ def _cut_places(config: RepeatConfig, buckets: int):
 PLACES = "bucket long, kmer binary, shape binary, doc binary, ref binary, start binary, size binary, lead binary, body binary, body_size long, gone binary"
 
 
-def _settle_hot(rows: DataFrame, hot: list[int], config: RepeatConfig) -> DataFrame:
-    """The same spans for hot minimizers: each string of ``least`` bytes is a row, and the first of equal ones stays."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(hot, np.int64)
-        for batch in batches:
-            for r in batch.to_pylist():
-                kmer, doc, ref, start, size = (np.frombuffer(r[c], np.int64) for c in ("kmer", "doc", "ref", "start", "size"))
-                body = pa.decompress(r["body"], r["body_size"], codec="zstd", asbytes=True)
-                begin = np.cumsum(size) - size
-                out = []
-                for i in np.flatnonzero(np.isin(kmer, names)):
-                    for k in range(int(size[i]) - config.least + 1):
-                        out.append((sha256(body[begin[i] + k : begin[i] + k + config.least]).digest()[:16], int(doc[i]), int(ref[i]), int(start[i]) + k))
-                        if len(out) == 50_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["string", "doc", "ref", "start"])
-                            out.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["string", "doc", "ref", "start"])
-
-    strings = rows.mapInArrow(split, "string binary, doc long, ref long, start long").distinct()
-    own = F.struct("doc", "ref", "start")
-    first = strings.groupBy("string").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = strings.join(first, "string").where(own != F.col("first")).groupBy("ref").agg(F.collect_list("start").alias("starts"))
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [np.stack(merged(x := np.sort(np.array(v, np.int64)), x + config.least), 1).tobytes() for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["ref", "spans"])
-
-    return later.mapInArrow(spans, "ref long, spans binary")
-
-
 def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, spans array<binary> (pairs of int64 byte places), copy boolean, rest; one row for each row of ``df``.
 
@@ -434,47 +467,34 @@ def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str
     rows = rows.withColumns({"doc": F.coalesce(F.col("__key").cast("long"), F.lit(-(1 << 63))), "digest": F.unhex(F.md5("text"))})
     rows = rows.withColumn("ref", F.xxhash64("__key", "digest"))
     long = rows.where(F.octet_length("text") >= config.least)
-    named = long.select("digest", "doc", "ref", F.octet_length("text").alias("n"))
     # the first of each text, and whole rows that repeat
-    counts = named.groupBy("digest", "doc", "ref").agg(F.count("*").alias("rows"), F.first("n").alias("n"))
+    counts = cut(long.groupBy("digest", "doc", "ref").agg(F.count("*").alias("rows"), F.first(F.octet_length("text")).alias("n")))
     heads = counts.groupBy("digest").agg(F.min(F.struct("doc", "ref")).alias("head"), F.sum("rows").alias("rows"))
-    several = heads.where("rows > 1")
-    copies = small(cut(named.join(several.select("digest", "head"), "digest").select("ref", (F.col("head.ref") == F.col("ref")).alias("is_head")).distinct()))
+    several = small(cut(heads.where("rows > 1").select("digest", F.col("head.ref").alias("head"))))
+    met = counts.join(several, "digest").select("ref", (F.col("head") == F.col("ref")).alias("is_head"), "rows")
+    met = cut(met.groupBy("ref").agg(F.max("is_head").alias("is_head"), F.max(F.col("is_head") & (F.col("rows") > 1)).alias("twice")))
+    copies = small(met.select("ref", "is_head"))
     marked = rows.join(copies, "ref", "left")
     texts = marked.where((F.octet_length("text") >= config.least) & F.coalesce("is_head", F.lit(True))).select("ref", "doc", "text")
-    size = long.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    size = counts.agg(F.sum(F.col("n") * F.col("rows")).alias("bytes")).first()["bytes"] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = cut(_repeated_places(texts, config, max(partitions, size // 30 // 1_000_000 + 1)))
+    many = max(config.hot, size // 30 // HOT_LIST)
+    places = cut(_repeated_places(texts, config, max(partitions, size // 30 // BUCKET_HASHES + 1), many))
     held = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
     total = places.agg(F.sum(held).alias("bytes")).first()["bytes"] or 0
     buckets = max(partitions, total // 8 // BUCKET_PLACES + 1)
-    hot = [x for r in places.where("ref is null").collect() for b in r["places"] for x in np.frombuffer(b, np.int64).tolist()]  # each has config.hot occurrences
+    hot = [x for r in places.where("ref is null").collect() for b in r["places"] for x in np.frombuffer(b, np.int64).tolist()]  # HOT_LIST at most
     near = places.where("ref is not null").hint("merge")  # at any size alike: texts meet their places, and later their spans, by a shuffle
-    met = texts.join(near, "ref").select("ref", "doc", "text", "places").mapInArrow(_cut_places(config, buckets), PLACES)
-    met = cut(met) if hot else met
-    cold = met
-
-    if hot:
-
-        def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = np.array(hot, np.int64)
-            for batch in batches:
-                out = []
-                for r in batch.to_pylist():
-                    kmer, size = np.frombuffer(r["kmer"], np.int64), np.frombuffer(r["size"], np.int64)
-                    keep = ~np.isin(kmer, names)
-                    body = np.frombuffer(pa.decompress(r["body"], r["body_size"], codec="zstd", asbytes=True), np.uint8)[np.repeat(keep, size)]
-                    out.append(r | {c: np.frombuffer(r[c], np.int64)[keep].tobytes() for c in ("kmer", "shape", "doc", "ref", "start", "size", "lead")} | {"body": _pack(body.tobytes()), "body_size": len(body)})
-                yield pa.RecordBatch.from_pylist(out, batch.schema)
-
-        cold = met.mapInArrow(without, PLACES)
-    spans = cold.groupBy("bucket").applyInPandas(lambda pdf: settle(pdf, config.least, config.block), "ref long, spans binary")
-    spans = spans.unionByName(_settle_hot(met, hot, config)) if hot else spans
+    met_places = texts.join(near, "ref").select("ref", "doc", "text", "places").mapInArrow(_cut_places(config, buckets, hot), PLACES)
+    spans = met_places.groupBy("bucket").applyInPandas(lambda pdf: settle(pdf, config.least, config.block), "ref long, spans binary")
     spans = cut(spans.groupBy("ref").agg(F.collect_list("spans").alias("spans"))).hint("merge")
     # one row of each head stays: rows that repeat it whole are copies
-    again = counts.where("rows > 1").join(heads, "digest").where("head.ref = ref").select("ref").distinct()
-    again = small(cut(again)).withColumn("twice", F.lit(True))
-    joined = marked.join(again, "ref", "left")
+    again = met.where("twice").select("ref", "twice")
+    if not again.take(1):
+        lone = marked.select("ref", "__key", "text", "rest", (~F.coalesce("is_head", F.lit(True))).alias("copy"))
+        out = lone.join(spans, "ref", "left")
+        return out.select(F.col("__key").alias(key), "text", F.when(~F.col("copy"), F.col("spans")).alias("spans"), "copy", "rest")
+    joined = marked.join(small(again), "ref", "left")
     lone = joined.where("twice is null").select("ref", "__key", "text", "rest", (~F.coalesce("is_head", F.lit(True))).alias("copy"))
     turn = F.struct(F.col("twice"))
     repeated = joined.where("twice").groupBy("ref").agg(F.count(turn).alias("n"), F.first("__key").alias("__key"), F.first("text").alias("text"), F.first("rest").alias("rest"))
@@ -515,7 +535,7 @@ def drop_repeats(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str
     """``df`` with the text without its removed spans; a sign that a span cuts in two goes as a whole; null becomes empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             kept = [kept_of(t.encode(), s, c)[0].decode("utf-8", "ignore") for t, s, c in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), batch.column(3)], ["kept", "rest"])
 
