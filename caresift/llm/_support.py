@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBRARY = ctypes.CDLL(None)
+_LIBRARY = _LIBRARY if hasattr(_LIBRARY, "malloc_trim") else None  # of the GNU library alone
+
 #: Text that one pass of the vectorised helpers holds at once, in bytes (one longer text is a slice of its own).
 SLICE_BYTES = 2_000_000
 #: Rows up to which a table of a few fixed-width columns is sent to all executors; beyond it the join shuffles.
@@ -22,10 +27,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one of our own is set only where that is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; one of our own is set only where that is unset, and only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -38,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Asks the driver to drop what nothing refers to any more.
+
+    Spark deletes a shuffle's and a checkpoint's files when the driver's collector finds them unused, which a small heap
+    in use by small jobs seldom does; loops of many rounds would keep the files of all rounds until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a new Parquet table in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -64,6 +82,13 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker stays for the next stage, and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBRARY is not None:
+        _LIBRARY.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of the batches in runs of at most ``most`` bytes of text: the rows, their bytes, their offsets."""
     for batch in batches:
@@ -75,3 +100,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
             yield batch.slice(first, last - first), body[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
+        del batch, body
+        give_back()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caresift.llm._support import cut
+from caresift.llm._support import cut, forget
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -16,7 +16,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     at = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(rounds):
+    for turn in range(rounds):
+        if turn % 3 == 2:
+            forget(edges.sparkSession)
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

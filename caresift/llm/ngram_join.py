@@ -1,8 +1,9 @@
 """Exact self-join of texts by the Jaccard likeness of their word n-gram sets.
 
 1. Texts with equal sets become one node.
-2. Candidates.  Two sets that link differ in few n-grams, so they agree on some small part; nodes that agree on one are
-   put under the least of them, and the components of that graph bound where links can be.
+2. Candidates.  Two sets that link differ in few n-grams, so they agree on some small part, and in little of their size.
+   Nodes that agree on a part are chained by size as far as neighbours may link, and the components of that graph bound
+   where links can be.
 3. T-occurrence search.  Within blocks of candidates an inverted index is searched for every set: short lists are merged,
    long ones probed (DivideSkip), and sets that occur on enough lists are compared in full.
 """
@@ -20,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caresift.llm._support import BROADCAST_ROWS, cut, documents, slices, small
+from caresift.llm._support import BROADCAST_ROWS, cut, documents, forget, slices, small
 from caresift.llm._words import U, mix, shingles, words
 from caresift.llm.graph import components
 
 #: Counters of the frequency table, of a fixed size whatever the corpus, and in how many slices it is summed.
 COUNTERS, COUNTER_SLICES = 1 << 24, 64
 #: Signatures that one reducer's bucket should hold, and text bytes whose signatures are sent at once.
-BUCKET_SIGNATURES, CHUNK_BYTES = 1_000_000, 16_000_000
+BUCKET_SIGNATURES, CHUNK_BYTES = 500_000, 8_000_000
 #: Sets in one block of the search.
 BLOCK_SETS = 2_000
 LEADERS = 8
+#: Steps of the size scale for each factor of 100 / percent.
+FINE = 16
 
 
 @dataclass(frozen=True)
@@ -102,8 +105,35 @@ def rare_signatures(own: np.ndarray, counters: np.ndarray, percent: int) -> np.n
     return own[order[:need]]
 
 
+def size_step(n: int, percent: int) -> int:
+    """The size on a scale on which sets that link are at most FINE + 1 apart."""
+    return int(np.log(n) / np.log(100 / percent) * FINE) if percent < 100 else 0
+
+
+def chained(found: np.ndarray, low: np.ndarray, high: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of one signature whose size ranges leave no gap that a link can't bridge: their signature, low, high and least
+    node; and the links (node, least node) in them.
+
+    Two sets that link are in one run: all sizes between theirs are as near as theirs.
+    """
+    order = np.lexsort((nodes, low, found))
+    found, low, high, nodes = found[order], low[order], high[order], nodes[order]
+    if not len(found):
+        return found, low, high, nodes, np.empty((0, 2), np.int64)
+    _, group = np.unique(found, return_inverse=True)
+    span = np.int64(1) << 20
+    reach = np.maximum.accumulate(group * span + high) - group * span  # of those before in the signature
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (low[1:] > reach[:-1] + FINE + 1)
+    first = np.flatnonzero(new)
+    heads = np.minimum.reduceat(nodes, first)
+    each = heads[np.cumsum(new) - 1]
+    links = np.unique(np.stack([nodes, each], 1)[nodes != each], axis=0)
+    return found[first], low[first], np.maximum.reduceat(high, first), heads, links
+
+
 def count_ngrams(docs: DataFrame, config: JoinConfig) -> np.ndarray:
-    """How often n-grams of each of COUNTERS hash classes are in the sets of all texts, up to 255; of a fixed size."""
+    """How often n-grams of each of COUNTERS hash classes are in the sets of all texts, as 8 * log2(1 + n); of a fixed size."""
     width = COUNTERS // COUNTER_SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +141,14 @@ def count_ngrams(docs: DataFrame, config: JoinConfig) -> np.ndarray:
         for _, body, at in slices(batches):
             name, n = np.unique(np.concatenate([*sets(body, at, config.words), np.empty(0, U)]) >> U(40), return_counts=True)
             out[name.astype(np.int64)] += n.astype(np.uint32)
-        parts = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in np.split(out, COUNTER_SLICES)]
+        parts = [_logarithm(x).tobytes() for x in np.split(out, COUNTER_SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
+        total = np.zeros(width, np.float32)
         for x in rows["counts"]:
-            total += np.frombuffer(x, np.uint8)
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+            total += np.exp2(np.frombuffer(x, np.uint8) / np.float32(8)) - 1
+        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [_logarithm(total).tobytes()]})
 
     each = docs.select("text").mapInArrow(count, "slice int, counts binary").withColumn("part", F.spark_partition_id() % 512)
     summed = each.groupBy("slice", "part").applyInPandas(add, "slice int, counts binary") if each.rdd.getNumPartitions() > 512 else each.drop("part")
@@ -129,11 +159,15 @@ def count_ngrams(docs: DataFrame, config: JoinConfig) -> np.ndarray:
     return out
 
 
+def _logarithm(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(8 * np.log2(1 + counts.astype(np.float32))), 255).astype(np.uint8)
+
+
 def candidate_links(docs: DataFrame, config: JoinConfig, largest: int, buckets: int) -> DataFrame:
-    """(a, b): nodes that share a signature, each with the least node that has it.
+    """(a, b): nodes that share a signature and may link by their sizes, each with the least node of its run.
 
-    Each chunk of texts sends a signature once, with its least node, and links the rest itself: a hot signature reaches
-    its reducer once from each chunk.
+    Each chunk of texts sends a run of a signature once, with its least node, and links the rest itself: a hot signature
+    reaches its reducer a few times from each chunk.
     """
     lows = bands(config.percent, largest)
     lows += [100 * lows[-1] // config.percent + 2]
@@ -144,30 +178,26 @@ def candidate_links(docs: DataFrame, config: JoinConfig, largest: int, buckets:
         size = 0
 
         def chunk() -> pa.RecordBatch:
-            nodes = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x) for x in held.values()])
-            found = np.concatenate([*held.values(), np.empty(0, U)])
-            order = np.lexsort((nodes, found))
-            found, nodes = found[order], nodes[order]
-            new = np.ones(len(found), bool)
-            new[1:] = found[1:] != found[:-1]
-            heads = nodes[new][np.cumsum(new) - 1] if len(found) else nodes
-            links = np.unique(np.stack([nodes, heads], 1)[nodes != heads], axis=0)
-            found, nodes = found[new], nodes[new]
+            sizes = [len(x) for x, _ in held.values()]
+            nodes = np.repeat(np.fromiter(held, np.int64, len(held)), sizes)
+            steps = np.repeat(np.array([n for _, n in held.values()], np.int64), sizes)
+            found, low, high, nodes, links = chained(np.concatenate([*(x for x, _ in held.values()), np.empty(0, U)]), steps, steps, nodes)
             bucket = (mix(found) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            found, nodes, bucket = found[order], nodes[order], bucket[order]
-            named, first = np.unique(bucket, return_index=True)
+            named, first = np.unique(bucket[order], return_index=True)
             edges = [*first, len(found)]
-            blobs = [(found[i:j].tobytes(), nodes[i:j].tobytes()) for i, j in zip(edges, edges[1:], strict=False)]
-            columns = [pa.array(named, pa.int64()), pa.array([x for x, _ in blobs], pa.binary()), pa.array([y for _, y in blobs], pa.binary())]
-            columns.append(pa.array([links.tobytes() if not i else b"" for i in range(len(named))], pa.binary()))
+            cuts = [order[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+            blob = lambda x: pa.array([x[c].tobytes() for c in cuts], pa.binary())
+            columns = [pa.array(named, pa.int64()), blob(found), blob(nodes), blob(low.astype(np.uint16)), blob(high.astype(np.uint16))]
+            columns.append(pa.array([links[i :: len(cuts)].tobytes() for i in range(len(cuts))], pa.binary()))
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "signatures", "nodes", "links"])
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "signatures", "nodes", "low", "high", "links"])
 
         for _, body, at in slices(batches):
             for own in sets(body, at, config.words):
                 if len(own) and (node := node_of(own)) not in held:
-                    held[node] = part_signatures(own, lows, config.percent) if shared is None else rare_signatures(own, shared.value, config.percent)
+                    made = part_signatures(own, lows, config.percent) if shared is None else rare_signatures(own, shared.value, config.percent)
+                    held[node] = made, size_step(len(own), config.percent)
             size += len(body)
             if size >= CHUNK_BYTES:
                 yield chunk()
@@ -176,18 +206,12 @@ def candidate_links(docs: DataFrame, config: JoinConfig, largest: int, buckets:
             yield chunk()
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        found = np.concatenate([np.frombuffer(x, U) for x in rows.signatures])
-        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in rows.nodes])
-        order = np.lexsort((nodes, found))
-        found, nodes = found[order], nodes[order]
-        new = np.ones(len(found), bool)
-        new[1:] = found[1:] != found[:-1]
-        heads = nodes[new][np.cumsum(new) - 1]
-        own = np.concatenate([np.stack([nodes, heads], 1)[nodes != heads], *[np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows.links if x]])
-        own = np.unique(own, axis=0)
+        found, nodes, low, high = (np.concatenate([np.frombuffer(x, k) for x in rows[c]]) for c, k in (("signatures", U), ("nodes", np.int64), ("low", np.uint16), ("high", np.uint16)))
+        links = chained(found, low.astype(np.int64), high.astype(np.int64), nodes)[-1]
+        own = np.unique(np.concatenate([links, *[np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows.links if x]]), axis=0)
         return pd.DataFrame({"a": own[:, 0], "b": own[:, 1]})
 
-    sent = docs.select("text").mapInArrow(send, "bucket long, signatures binary, nodes binary, links binary")
+    sent = docs.select("text").mapInArrow(send, "bucket long, signatures binary, nodes binary, low binary, high binary, links binary")
     return sent.groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 
@@ -263,6 +287,7 @@ def links(docs: DataFrame, rows: DataFrame, config: JoinConfig, key: str) -> Dat
     expected = stats["total"] * (0.3 if config.by_parts else (100 - config.percent) / 100) + 1
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(expected // BUCKET_SIGNATURES) + 1)
     near = cut(components(candidate_links(docs, config, stats["largest"], buckets)))
+    forget(spark)
 
     # one text for each node that has candidates
     block = config.block
@@ -317,6 +342,7 @@ def links(docs: DataFrame, rows: DataFrame, config: JoinConfig, key: str) -> Dat
     found = cut(search_all(inside.unionByName(dealt(fresh.join(leaders, "node"), fresh, False))))
     # ... then, whatever isn't in its component's largest class yet, against all sets
     known = small(cut(components(found).withColumnRenamed("component", "class")))
+    forget(spark)
     classed = own.join(known, "node", "left").withColumn("class", F.coalesce("class", "node"))
     top = classed.groupBy("component", "class").agg(F.count("*").alias("size")).groupBy("component").agg(F.max_by("class", F.struct("size", "class")).alias("main"))
     rest = classed.join(F.broadcast(top) if most["most"] <= BROADCAST_ROWS else top, "component").where("class <> main").drop("main")
