@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     at = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for turn in range(rounds):
-        if turn % 3 == 2:
+        if not turn % 3:
             forget(edges.sparkSession)
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

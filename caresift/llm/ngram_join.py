@@ -141,24 +141,29 @@ def count_ngrams(docs: DataFrame, config: JoinConfig) -> np.ndarray:
         for _, body, at in slices(batches):
             name, n = np.unique(np.concatenate([*sets(body, at, config.words), np.empty(0, U)]) >> U(40), return_counts=True)
             out[name.astype(np.int64)] += n.astype(np.uint32)
-        parts = [_logarithm(x).tobytes() for x in np.split(out, COUNTER_SLICES)]
+        parts = [pa.compress(_logarithm(x).tobytes(), codec="zstd", asbytes=True) for x in np.split(out, COUNTER_SLICES)]  # mostly zeros
         yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.float32)
         for x in rows["counts"]:
-            total += np.exp2(np.frombuffer(x, np.uint8) / np.float32(8)) - 1
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [_logarithm(total).tobytes()]})
+            total += _POWERS[np.frombuffer(pa.decompress(x, width, codec="zstd", asbytes=True), np.uint8)]
+        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [pa.compress(_logarithm(total).tobytes(), codec="zstd", asbytes=True)]})
 
     each = docs.select("text").mapInArrow(count, "slice int, counts binary").withColumn("part", F.spark_partition_id() % 512)
     summed = each.groupBy("slice", "part").applyInPandas(add, "slice int, counts binary") if each.rdd.getNumPartitions() > 512 else each.drop("part")
     done = summed.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()  # COUNTER_SLICES rows of a fixed size
     out = np.zeros(COUNTERS, np.uint8)
     for r in done:
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(pa.decompress(r["counts"], width, codec="zstd", asbytes=True), np.uint8)
+    del each, summed
+    forget(docs.sparkSession)
     return out
 
 
+_POWERS = (np.exp2(np.arange(256) / 8) - 1).astype(np.float32)
+
+
 def _logarithm(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(8 * np.log2(1 + counts.astype(np.float32))), 255).astype(np.uint8)
 
