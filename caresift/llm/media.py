@@ -134,7 +134,10 @@ def npy(array: np.ndarray) -> bytes:
 
 
 def store_payloads(df: DataFrame, form: str = "netpbm", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, media: the UTF-8 bytes, padded with 0 to a multiple of 64 (64 at least), as a grey image 64 wide."""
+    """key, n_bytes, media: the UTF-8 bytes, padded with 0 to a multiple of 64 (64 at least), as a grey image 64 wide.
+
+    A null text is empty; every row gives one row, and equal texts give equal media; other columns are left out.
+    """
     write = {"netpbm": encode_netpbm, "bmp": encode_bmp}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,7 +130,11 @@ def held_out(key: Column) -> Column:
 
 
 def sample(labels: DataFrame, docs: DataFrame, config: QualityConfig = QualityConfig(), label: str = "quality") -> DataFrame:
-    """Labelled texts outside the held-out fold: at most ``config.rows`` label rows, those of the least hashes."""
+    """Labelled texts outside the held-out fold: at most ``config.rows`` label rows, those of the least hashes.
+
+    Label rows without id or label are left out; of rows with equal hashes the lesser label comes first; rows that repeat
+    count each.  A document's text counts once for each label row and each row of its id.
+    """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
     chosen = rows.orderBy(F.xxhash64("doc_id", F.lit(config.seed)), "label").limit(config.rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

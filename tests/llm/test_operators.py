@@ -241,3 +241,41 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     scored = quality.score(clashing(spark, [(1, None), (2, "")]), empty).collect()
     assert [x["score"] for x in scored] == [0.5, 0.5] and scored[0]["fingerprint"] == "f"
     assert (quality.fit(spark.createDataFrame([], "doc_id long, text string, label int")) == 0).all()
+
+
+def test_quality_updates_like_a_plain_loop():
+    """FTRL-proximal one weight at a time, in Python numbers, over the same order of examples."""
+    r = random.Random(9)
+    config = quality.QualityConfig(bits=6, epochs=2)
+    examples = []
+    for _ in range(60):
+        number = np.array(sorted(r.sample(range(64), r.randint(0, 9))), np.int64)
+        examples.append((number, np.array([r.random() for _ in number]), r.randint(0, 1)))
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        if abs(z[i]) <= config.l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * config.l1) / ((config.beta + n[i] ** 0.5) / config.alpha + config.l2)
+
+    order = np.random.default_rng(config.seed)
+    for _ in range(2):
+        for k in order.permutation(60):
+            number, value, label = examples[k]
+            pairs = [*zip(number.tolist(), value.tolist(), strict=True), (64, 1.0)]
+            p = 1 / (1 + np.exp(-sum(weight(i) * x for i, x in pairs)))
+            for i, x in pairs:
+                g = (p - label) * x
+                w = weight(i)
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / config.alpha * w
+                n[i] += g * g
+    assert np.allclose(quality.learn(examples, config), [weight(i) for i in range(65)])
+
+
+def test_quality_sample_with_ties_and_repeats(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 0), (None, 1), (2, None), (3, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (3, None), (4, "b")], "doc_id long, text string")
+    own = [k for k in (1, 3) if zlib.crc32(str(k).encode()) % 5]
+    rows = quality.sample(labels, docs).collect()
+    assert sorted((x["doc_id"], x["label"]) for x in rows) == sorted([(1, y) for y in (0, 0, 0, 0, 1, 1) if 1 in own] + [(3, 1) for _ in range(1) if 3 in own])
+    assert quality.sample(labels.limit(0), docs).count() == 0

@@ -30,6 +30,8 @@ def test_nulls_and_repeats(spark, sf_dir):
     docs = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "A b c d e f g", "en", "s", 13), (None, None, None, None, None), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_one_of_each(spark, docs, sf_dir).collect()
     assert sorted(str(x["doc_id"]) for x in kept) == ["1", "3", "None"]
+    good = corpus_pipeline.keep_good(spark, docs, sf_dir)
+    assert good.columns == docs.columns and good.where("doc_id = 1").count() in (0, 2) and corpus_pipeline.keep_good(spark, docs.limit(0), sf_dir).count() == 0
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, docs, sf_dir).count() >= 5
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
