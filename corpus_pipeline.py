@@ -17,7 +17,10 @@ LEAST_QUALITY = 0.3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: fitted on the labels of documents outside the held-out fold; those it rejects go."""
+    """Quality classifier: fitted on the labels of documents outside the held-out fold; those it rejects go.
+
+    A null or empty text is scored by the bias alone; rows of null or repeated ids are judged each for itself.
+    """
     model = quality.fit(quality.sample(spark.read.parquet(f"{sf_dir}/labels.parquet"), docs))
     return quality.score(docs, model, out="__score").where(F.col("__score") >= LEAST_QUALITY).drop("__score")
 
@@ -46,17 +49,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: bytes of 100-byte strings that start earlier are cut out of the texts."""
+    """Suffix-array dedup: bytes of 100-byte strings that start earlier are cut out of the texts.
+
+    A null text becomes empty; no row goes; null ids come first, and repeats of a row are cut but for one.
+    """
     return suffix_repeats.drop_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: every span found is replaced by a mark."""
+    """Secret scans: every span found is replaced by a mark; a null text stays null, with no length."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of at most 1024 tokens."""
+    """Best-fit packing into sequences of at most 1024 tokens; a null text is empty, and every row is placed, repeats each for itself."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.FULL, added=True)
