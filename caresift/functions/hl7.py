@@ -28,12 +28,19 @@ def decoded(raw: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, "\r\n|\r|\n")
+    """Physical lines; CR, LF or both end one, and an empty line may stand between the two of a pair."""
+    return F.split(F.replace(text, F.lit("\n"), F.lit("\r")), "\r")
 
 
 def segments(text: Column) -> Column:
     """array<struct<type, fields>>: the stripped lines that aren't blank, split at "|"."""
-    said = F.filter(F.transform(lines(F.coalesce(text, F.lit(""))), strip), lambda line: line != "")
+
+    def stripped(line: Column) -> Column:
+        """Most lines have nothing to strip, which their first and last signs tell sooner."""
+        seen = lambda c: F.ascii(c).between(33, 126)
+        return F.when(seen(line) & seen(F.right(line, F.lit(1))), line).otherwise(strip(line))
+
+    said = F.filter(F.transform(lines(F.coalesce(text, F.lit(""))), stripped), lambda line: line != "")
     return F.transform(F.transform(said, lambda line: F.split(line, r"\|")), lambda fields: F.struct(fields[0].alias("type"), fields.alias("fields")))
 
 
