@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from caresift.llm._support import cut, forget
 
 
+#: Links that one task reads at least, as far as there are enough: rounds over few links are many small tasks otherwise.
+TASK_LINKS = 250_000
+
+
+def _few_tasks(links: DataFrame, rows: int) -> DataFrame:
+    return links.coalesce(rows // TASK_LINKS + 4)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for all ends of the links (a long, b long): the least node that can be reached.
 
@@ -15,7 +23,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     of them, so that every component shrinks to one star.  Links with a null end and loops are left out.
     """
     at = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    at, mark = _few_tasks(at, at.count()), None
     for turn in range(rounds):
         if not turn % 3:
             forget(edges.sparkSession)
@@ -28,7 +36,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = at.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark:
             break
-        mark = seen
+        at, mark = _few_tasks(at, seen[0]), seen
     else:
         raise RuntimeError(f"links still change after {rounds} rounds")
     roots = at.select(F.col("b").alias("node")).distinct()
