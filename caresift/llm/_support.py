@@ -56,11 +56,17 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a new Parquet table in the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a new Parquet table in the shared folder, read again; ``instead_of``, a former such table, is deleted then."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.table_path = path
+    if (old := getattr(instead_of, "table_path", None)) is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
