@@ -81,7 +81,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces.  Each stage's table is deleted when the next one's is there; the last one's stays for the packing."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir), instead_of=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
