@@ -9,10 +9,8 @@ from caresift.sources import files, synth
 from caresift.streaming import jobs
 
 NAMES = [
-    "v2_reports", "v2_effective_severity", "v2_effective_severity_join", "v2_audit_events", "v2_recovered", "v2_rolling_percentile", "v2_tenant_trend", "v2_stream_reports", "v2_stream_rates", "v2_stream_loss_rates",
-    "fhir_losses_german", "fhir_reports", "fhir_rare_findings", "fhir_manifest", "adt_sighting", "adt_segments", "adt_fold_segments", "adt_contact_counts", "adt_segment_containing", "adt_erase_result", "adt_stream_markers", "adt_stream_changes",
-    "adt_retro_stays", "adt_retro_segments", "adt_retro_changes", "adt_retro_latest", "adt_retro_audit", "adt_retro_statuses", "adt_retro_estimates", "adt_retro_estimated_segments", "adt_retro_markers", "adt_retro_export", "adt_retro_contract", "adt_retro_overdue",
-    "adt_delays", "adt_patient_stays", "adt_best_open_stay", "adt_closed_stay_containing", "adt_missing_raw", "adt_undecided", "adt_erased_stays",
+    "v2_reports", "v2_effective_severity", "v2_effective_severity_join", "v2_audit_events", "fhir_losses_german", "fhir_reports", "fhir_rare_findings", "adt_sighting", "adt_segments", "adt_fold_segments", "adt_contact_counts", "adt_segment_containing",
+    "adt_erase_result", "v2_stream_rates", "adt_stream_changes", "adt_retro_stays", "adt_retro_segments", "adt_retro_statuses", "adt_retro_estimated_segments", "adt_best_open_stay",
 ]
 
 
