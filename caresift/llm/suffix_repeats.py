@@ -316,7 +316,8 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int, hot: i
             edges = [*begin, len(order)]
             cuts = [order[i:j] for i, j in zip(edges, edges[1:], strict=False)]
             blob = lambda values: pa.array([values[c].tobytes() for c in cuts], pa.binary())
-            near = pa.array([known[i :: len(cuts)].tobytes() for i in range(len(cuts))], pa.binary())
+            known = known[np.argsort(known[:, 0], kind="stable")]  # a text's places stay together
+            near = pa.array([x.tobytes() for x in np.array_split(known, len(cuts))], pa.binary()) if cuts else pa.array([], pa.binary())
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), blob(hashed), blob(ref), blob(place.astype(np.int64)), blob(count), near], ["bucket", "hashed", "refs", "places", "counts", "known"])
 
@@ -429,7 +430,8 @@ def _cut_places(config: RepeatConfig, buckets: int, hot: list[int]):
             packed = [_gathered(body, begin[c], begin[c] + length[c])[0].tobytes() for c in cuts]
             columns = [pa.array(names, pa.int64()), *(pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in rows)]
             columns += [pa.array([_pack(x) for x in packed], pa.binary()), pa.array([len(x) for x in packed], pa.int64())]
-            columns.append(pa.array([lost[i :: len(cuts)].tobytes() for i in range(len(cuts))], pa.binary()))
+            lost = lost[np.argsort(lost[:, 0], kind="stable")]
+            columns.append(pa.array([x.tobytes() for x in np.array_split(lost, len(cuts))], pa.binary()) if cuts else pa.array([], pa.binary()))
             for x in (held, texts, gone):
                 x.clear()
             return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PLACES.split(", ")])
