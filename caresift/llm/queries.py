@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caresift.llm import chat, sharding
+from caresift.llm import chat, exact_dedup, sharding
 
 _MODULES = {
     "op1_best_fit_packing": "packing",
@@ -20,6 +20,7 @@ _MODULES = {
     "op8_suffix_repeats": "suffix_repeats",
     "op9_chat_format": "chat",
     "op10_quality_ftrl": "quality",
+    "op11_exact_dedup": "exact_dedup",
 }
 
 
@@ -32,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rendezvous_sharding": sharding.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL}
+    return {"op5_rendezvous_sharding": sharding.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL}
