@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caresift.llm import chat, exact_dedup, sharding
+from caresift.llm import chat, divergence, exact_dedup, sharding
 
 _MODULES = {
     "op1_best_fit_packing": "packing",
@@ -21,6 +21,7 @@ _MODULES = {
     "op9_chat_format": "chat",
     "op10_quality_ftrl": "quality",
     "op11_exact_dedup": "exact_dedup",
+    "op12_source_divergence": "divergence",
 }
 
 
@@ -33,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rendezvous_sharding": sharding.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_rendezvous_sharding": sharding.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
