@@ -63,12 +63,18 @@ def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.parquet(path)
     out.table_path = path
-    if (old := getattr(instead_of, "table_path", None)) is not None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if instead_of is not None:
+        remove(instead_of)
     return out
 
 
+def remove(table: DataFrame) -> None:
+    """Deletes the files of a result of ``written``; of any other table, none."""
+    if (path := getattr(table, "table_path", None)) is not None:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A checkpointed ``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df.hint("merge")

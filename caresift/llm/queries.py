@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caresift.llm import chat, divergence, exact_dedup, sharding
+from caresift.llm import chat, divergence, exact_dedup, lexical, sharding
 
 _MODULES = {
     "op1_best_fit_packing": "packing",
@@ -22,6 +22,7 @@ _MODULES = {
     "op10_quality_ftrl": "quality",
     "op11_exact_dedup": "exact_dedup",
     "op12_source_divergence": "divergence",
+    "op13_lexical_search": "lexical",
 }
 
 
@@ -34,4 +35,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rendezvous_sharding": sharding.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
+    modules = {"op5_rendezvous_sharding": sharding, "op9_chat_format": chat, "op11_exact_dedup": exact_dedup, "op12_source_divergence": divergence, "op13_lexical_search": lexical}
+    return {name: module.ORACLE_SQL for name, module in modules.items()}
