@@ -17,7 +17,7 @@ _LIBRARY = ctypes.CDLL(None)
 _LIBRARY = _LIBRARY if hasattr(_LIBRARY, "malloc_trim") else None  # of the GNU library alone
 
 #: Text that one pass of the vectorised helpers holds at once, in bytes (one longer text is a slice of its own).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 #: Rows up to which a table of a few fixed-width columns is sent to all executors; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
