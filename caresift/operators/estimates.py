@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caresift.operators import fold
+from caresift.sources.files import kept
+
+#: The movements that can bound an estimate.
+BOUNDING = ("A01", "A02", "A03")
+#: What a change of an estimate is called in the change log.
+CHANGES = {"applied": "estimate_applied", "updated": "estimate_updated", "reverted": "estimate_reverted"}
+
+_BOUNDS = ("estimate_lower", "estimate_upper", "estimate_lower_source", "estimate_upper_source")
+_PLACE = ("pv1_3_raw", "ward", "room", "bed")
+
 
 def candidates(sighted: DataFrame, keys) -> DataFrame:
     """receipt_id, patient_key and place of held A02s without a readable time; an absurd time doesn't count.
@@ -20,46 +33,123 @@ def candidates(sighted: DataFrame, keys) -> DataFrame:
     return rows.select("receipt_id", F.get(keys, F.lit(0)).alias("patient_key"), place.alias("pv1_3_raw"), part(1).alias("ward"), part(2).alias("room"), part(3).alias("bed")).where("patient_key is not null")
 
 
-def bounds(cands: DataFrame, segments: DataFrame) -> DataFrame:
-    """Candidates with status active or waiting, and both bounds: time, receipt, stay.
+def bounds(cands: DataFrame, segments: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Candidates with status active, waiting or reverted_hold, stay_id (if active), and both bounds: time and receipt.
 
-    A bound is the nearest receipt before or after the candidate that set a boundary which still stands and isn't
-    estimated itself.  Both have to be of one stay, in order, and the segment that starts at the lower one has to end at the
-    upper one; of several candidates in one segment the first is active.  One pass by patient, without a limit on how far
-    back it looks.
+    A bound is the nearest receipt before or after the candidate of an A01, A02 or A03 that set a boundary which still
+    stands and isn't estimated itself.  Both have to be of one stay, in order.  A candidate that wasn't active in ``before``
+    (a former run's result) becomes so where the segment that starts at the lower bound ends at the upper one and holds no
+    estimate yet; of several, the first.  One that was stays active as long as it has both bounds, and becomes
+    reverted_hold without them.  One pass by patient, without a limit on how far back it looks.
     """
-    live = segments.where("coalesce(start_provenance, '') <> 'estimated'").select("patient_key", F.col("start_receipt").alias("receipt_id"), "stay_id", F.col("start_ts").alias("at"))
+    starts = segments.where((F.coalesce("start_provenance", F.lit("")) != "estimated") & F.col("trigger").isin(*BOUNDING)).select("patient_key", F.col("start_receipt").alias("receipt_id"), "stay_id", F.col("start_ts").alias("at"))
     ends = segments.where("end_receipt is not null and coalesce(end_provenance, '') <> 'estimated'").select("patient_key", F.col("end_receipt").alias("receipt_id"), "stay_id", F.col("end_ts").alias("at"))
-    known = live.unionByName(ends).dropDuplicates(["patient_key", "receipt_id"]).withColumns({"own": F.struct(F.col("receipt_id").alias("by"), "stay_id", "at"), "c": F.lit(None).cast(cands.select(F.struct("pv1_3_raw", "ward", "room", "bed").alias("c")).schema["c"].dataType)})
-    asked = cands.select("patient_key", "receipt_id", F.lit(None).cast("long").alias("stay_id"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast(known.schema["own"].dataType).alias("own"), F.struct("pv1_3_raw", "ward", "room", "bed").alias("c"))
+    known = starts.unionByName(ends).dropDuplicates(["patient_key", "receipt_id"])
+    place = cands.select(F.struct(*_PLACE).alias("c")).schema["c"].dataType
+    known = known.withColumns({"own": F.struct(F.col("receipt_id").alias("by"), "stay_id", "at"), "c": F.lit(None).cast(place)})
+    asked = cands.select("patient_key", "receipt_id", F.lit(None).cast("long").alias("stay_id"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast(known.schema["own"].dataType).alias("own"), F.struct(*_PLACE).alias("c"))
     order = Window.partitionBy("patient_key").orderBy("receipt_id")
     rows = known.unionByName(asked).withColumns({"lower": F.last("own", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "upper": F.first("own", True).over(order.rowsBetween(1, Window.unboundedFollowing))}).where("c is not null")
-    spans = segments.select(F.col("start_receipt").alias("__by"), F.col("end_receipt").alias("__end"))
-    rows = rows.join(spans, F.col("lower.by") == F.col("__by"), "left")
-    fits = F.coalesce((F.col("lower.stay_id") == F.col("upper.stay_id")) & (F.col("lower.at") <= F.col("upper.at")) & (F.col("__end") == F.col("upper.by")), F.lit(False))
-    turn = F.row_number().over(Window.partitionBy("patient_key", "__by", fits).orderBy("receipt_id"))
-    rows = rows.withColumn("status", F.when(fits & (turn == 1), "active").otherwise("waiting"))
-    return rows.select("receipt_id", "patient_key", "status", F.col("lower.at").alias("estimate_lower"), F.col("upper.at").alias("estimate_upper"), F.col("lower.by").alias("estimate_lower_source"), F.col("upper.by").alias("estimate_upper_source"), "c.*")
+    spans = segments.where("end_receipt is not null").select(F.col("end_receipt").alias("__end"), F.col("start_receipt").alias("__by"))
+    rows = rows.drop("stay_id").join(spans, F.col("upper.by") == F.col("__end"), "left")
+    was = F.lit(None).cast("string")
+    if before is not None:
+        rows, was = rows.join(before.select("receipt_id", F.col("status").alias("__was")), "receipt_id", "left"), F.col("__was")
+    bounded = F.coalesce((F.col("lower.stay_id") == F.col("upper.stay_id")) & (F.col("lower.at") <= F.col("upper.at")) & F.col("__by").isNotNull(), F.lit(False))
+    rows = rows.withColumns({"__held": bounded & F.coalesce(was == "active", F.lit(False)), "__was": was})
+    rows = rows.withColumn("__fits", bounded & ~F.col("__held") & (F.col("__by") == F.col("lower.by")))
+    spot = Window.partitionBy("patient_key", "__by")
+    first = F.min(F.when(F.col("__fits"), F.col("receipt_id"))).over(spot)
+    active = F.col("__held") | (F.col("__fits") & (F.col("receipt_id") == first) & ~F.max("__held").over(spot))
+    status = F.when(active, "active").when(F.col("__was").isin("active", "reverted_hold"), "reverted_hold").otherwise("waiting")
+    rows = rows.withColumn("status", status)
+    return rows.select("receipt_id", "patient_key", F.when(F.col("status") == "active", F.col("lower.stay_id")).alias("stay_id"), "status", F.col("lower.at").alias("estimate_lower"), F.col("upper.at").alias("estimate_upper"), F.col("lower.by").alias("estimate_lower_source"), F.col("upper.by").alias("estimate_upper_source"), "c.*")
 
 
-def apply(segments: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Segments with active estimates: the split one ends at the upper bound, the new one starts at the lower; both sides are estimated.
+def apply(segments: DataFrame, estimates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Segments with active estimates put in before their upper bounds, in the order of receipt: what stands before an estimate
+    ends at its upper bound, and it starts at its lower one; both sides are estimated, and overlap on purpose.
 
-    They overlap on purpose.  Run anew on the base segments each time, so a bound that moves or goes takes its effect along.
+    ``by``: more columns of both tables in which a segment and its estimates agree.
     """
-    e = estimates.where("status = 'active'").select(F.col("estimate_lower_source").alias("start_receipt"), *[F.col(c).alias(f"__{c}") for c in ("receipt_id", "estimate_lower", "estimate_upper", "pv1_3_raw", "ward", "room", "bed")])
-    rows = segments.join(e, "start_receipt", "left")
-    split = F.col("__receipt_id").isNotNull()
-    first = rows.withColumns({"end_ts": F.when(split, F.col("__estimate_upper")).otherwise(F.col("end_ts")), "end_provenance": F.when(split, "estimated").otherwise(F.col("end_provenance")), "end_receipt": F.when(split, F.col("__receipt_id")).otherwise(F.col("end_receipt"))}).select(segments.columns)
-    new = rows.where(split).withColumns({"segment_id": F.concat_ws("-", "stay_id", "__receipt_id"), "start_ts": F.col("__estimate_lower"), "start_provenance": F.lit("estimated"), "start_receipt": F.col("__receipt_id"), "pv1_3_raw": F.col("__pv1_3_raw"), "ward": F.col("__ward"), "room": F.col("__room"), "bed": F.col("__bed")}).select(segments.columns)
-    both = first.unionByName(new)
-    seq = F.row_number().over(Window.partitionBy("stay_id").orderBy("start_ts", "start_receipt")).cast("int")
-    return both.withColumn("seq", seq)
+    chain = Window.partitionBy(*by, "estimate_upper_source").orderBy("receipt_id")
+    e = estimates.where("status = 'active'").select(*by, F.col("estimate_upper_source").alias("end_receipt"), *[F.col(c).alias(f"__{c}") for c in ("receipt_id", "estimate_lower", *_PLACE)], F.row_number().over(chain).alias("__n"), F.struct(F.col("estimate_upper").alias("ts"), F.col("receipt_id").alias("by")).alias("__own"), F.lead(F.struct(F.col("estimate_upper").alias("ts"), F.col("receipt_id").alias("by"))).over(chain).alias("__next"))
+    on = [*by, "end_receipt"]
+    end = lambda told, other: {"end_ts": F.coalesce(told["ts"], F.col("end_ts")), "end_provenance": F.when(told.isNotNull(), "estimated").otherwise(F.col("end_provenance")), "end_receipt": F.coalesce(told["by"], F.col("end_receipt")), "__at": other}
+    columns = [*segments.columns, "__at"]
+    first = segments.join(e.where("__n = 1"), on, "left").withColumns(end(F.col("__own"), F.lit(0))).select(columns)
+    new = segments.join(e, on).withColumns(end(F.col("__next"), F.col("__n")) | {"segment_id": F.concat_ws("-", "stay_id", "__receipt_id"), "start_ts": F.col("__estimate_lower"), "start_provenance": F.lit("estimated"), "start_receipt": F.col("__receipt_id"), "trigger": F.lit("A02"), **{c: F.col(f"__{c}") for c in _PLACE}}).select(columns)
+    seq = F.row_number().over(Window.partitionBy(*by, "stay_id").orderBy("seq", "__at")).cast("int")
+    return first.unionByName(new).withColumn("seq", seq).drop("__at")
 
 
 def compare(now: DataFrame, before: DataFrame) -> DataFrame:
-    """receipt_id and updated or reverted: active estimates that moved or vanished since the last run."""
-    a = now.where("status = 'active'").select("receipt_id", F.struct("estimate_lower", "estimate_upper").alias("a"))
-    b = before.where("status = 'active'").select("receipt_id", F.struct("estimate_lower", "estimate_upper").alias("b"))
-    rows = b.join(a, "receipt_id", "left")
-    return rows.where("a is null or a <> b").select("receipt_id", F.when(F.col("a").isNull(), "reverted").otherwise("updated").alias("change"))
+    """receipt_id, stay_id and applied, updated or reverted: active estimates that came, moved or vanished since ``before``.
+
+    What is as it was has no row, nor has an estimate whose message is gone from ``now`` (erased).
+    """
+    told = lambda df, p: df.select("receipt_id", F.when(F.col("status") == "active", F.struct("stay_id", *_BOUNDS)).alias(p))
+    rows = told(now, "a").join(told(before, "b"), "receipt_id", "left").where("not a <=> b")
+    kind = F.when(F.col("b").isNull(), "applied").when(F.col("a").isNull(), "reverted").otherwise("updated")
+    return rows.select("receipt_id", F.coalesce("a.stay_id", "b.stay_id").alias("stay_id"), kind.alias("change"))
+
+
+@dataclass
+class Published:
+    """What a run leaves: its estimates and revisions for the next run, and the rows that it adds to the logs."""
+
+    estimates: DataFrame  #: as of ``bounds``
+    revisions: DataFrame  #: stay_id, folded (the fold's revisions), derived (those of estimates)
+    changes: DataFrame  #: notification_id, stay_id, revision, change, after_json, receipt_id
+    findings: DataFrame  #: receipt_id, status, reason
+
+
+def _payloads(changes: DataFrame, segments: DataFrame, stays: DataFrame, now: DataFrame, before: DataFrame) -> DataFrame:
+    """receipt_id and after_json: the whole stay after each change of a run.
+
+    The changes of a stay happen in the order of receipt, so at each one the estimates up to it are those of now, the later
+    ones those of before where their upper bound still stands.
+    """
+    asked = changes.select("stay_id", F.col("receipt_id").alias("__c"))
+    active = lambda df: df.where("status = 'active'").select("receipt_id", "stay_id", "status", *_BOUNDS, *_PLACE).join(asked, "stay_id")
+    own = active(now).where("receipt_id <= __c").unionByName(active(before).where("receipt_id > __c"))
+    shown = apply(segments.join(asked, "stay_id"), own.drop("stay_id"), ("__c",))
+    listed = shown.groupBy("__c").agg(F.array_sort(F.collect_list(F.struct("seq", "ward", F.unix_timestamp("start_ts").alias("start"), F.unix_timestamp("end_ts").alias("end")))).alias("segments"))
+    state = stays.select("stay_id", F.struct("stay_id", "pattern", "status", F.unix_timestamp("opened_event_ts").alias("opened"), F.unix_timestamp("closed_event_ts").alias("closed")).alias("stay"))
+    rows = asked.join(state, "stay_id").join(listed, "__c", "left")
+    return rows.select(F.col("__c").alias("receipt_id"), F.to_json(F.struct("stay", F.coalesce("segments", F.array().cast(listed.schema["segments"].dataType)).alias("segments")), {"ignoreNullFields": "false"}).alias("after_json"))
+
+
+def publish(rows: DataFrame, cands: DataFrame, before: Published | None = None) -> Published:
+    """The estimates over the fold's ``rows``, and what they and the fold add to the change log since ``before``.
+
+    Each effective change of an estimate takes the next revision of its stay, after the fold's own changes of the run, and a
+    payload; a reverted one makes a finding.  The fold counts its revisions anew in each run; a change that ``before`` had
+    is not told again, and one since counts on from the revisions that estimates had taken by then.  A stay that was
+    cancelled takes its estimates along without a word.
+    """
+    stays, segments = fold.stays_of(rows), fold.segments_of(rows)
+    now = kept(bounds(cands, segments, before.estimates if before else None))
+    folded = stays.select("stay_id", F.col("revision").cast("long").alias("__now"), "status")
+    held = before.revisions if before else folded.limit(0).select("stay_id", F.lit(0).cast("long").alias("folded"), F.lit(0).cast("long").alias("derived"))
+    old = before.estimates if before else now.limit(0)
+    past = folded.join(held, "stay_id", "left").select("stay_id", "status", "__now", F.coalesce("folded", F.lit(0)).alias("__told"), F.coalesce("derived", F.lit(0)).alias("__derived"))
+    found = kept(compare(now, old).join(past, "stay_id").where("status <> 'cancelled'"))
+    turn = F.row_number().over(Window.partitionBy("stay_id").orderBy("receipt_id"))
+    found = found.withColumn("revision", (F.col("__now") + F.col("__derived") + turn).cast("long"))
+    name = lambda: F.concat_ws("-", "receipt_id", "change", "revision").alias("notification_id")
+    kinds = F.coalesce(*[F.when(F.col("change") == k, v) for k, v in CHANGES.items()])
+    derived = found.withColumn("change", kinds).join(_payloads(found, segments, stays, now, old), "receipt_id")
+    made = fold.changes_of(rows).join(past.drop("status"), "stay_id").where("revision > __told").withColumn("revision", F.col("revision") + F.col("__derived"))
+    columns = ["stay_id", "revision", "change", "after_json", "receipt_id"]
+    changes = kept(made.select(name(), *columns).unionByName(derived.select(name(), *columns)))
+    more = found.groupBy("stay_id").agg(F.count("*").alias("__more"))
+    revisions = kept(past.join(more, "stay_id", "left").select("stay_id", F.col("__now").alias("folded"), (F.col("__derived") + F.coalesce("__more", F.lit(0))).alias("derived")))
+    findings = found.where("change = 'reverted'").select("receipt_id", F.lit(CHANGES["reverted"]).alias("status"), F.lit("a bound of the estimate is gone; the transfer is held again").alias("reason"))
+    return Published(now, revisions, changes, findings)
+
+
+def revised(df: DataFrame, published: Published) -> DataFrame:
+    """Stays or segments with the revisions that consumers see: those of the fold and of estimates."""
+    both: Column = (F.col("folded") + F.col("derived")).cast("int")
+    return df.drop("revision").join(published.revisions.select("stay_id", both.alias("revision")), "stay_id").select(df.columns)

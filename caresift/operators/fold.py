@@ -6,8 +6,9 @@ by patient and time; the streaming job runs the same class on stored state.
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -45,6 +46,7 @@ class Segment:
     end: int | None = None
     end_by: int | None = None
     end_from: str | None = None
+    trigger: str | None = None  #: of the message that opened it
 
 
 @dataclass
@@ -57,12 +59,16 @@ class Stay:
     status: str = "open"
     closed: int | None = None
     closed_by: int | None = None
-    revision: int = 0
+    revision: int = 1  #: of visible states; the opening is the first
     segments: list[Segment] = field(default_factory=list)
 
     def open_segment(self) -> Segment | None:
         return next((s for s in reversed(self.segments) if s.end is None), None)
 
+    def set_by(self, receipt: int) -> bool:
+        """Whether the message still has a part in the stay."""
+        return receipt in (self.stay_id, self.closed_by) or any(receipt in (s.start_by, s.end_by) for s in self.segments)
+
     def snapshot(self) -> dict:
         """The state after a change; no patient and no visit."""
         return {"stay": {"stay_id": self.stay_id, "pattern": self.pattern, "status": self.status, "opened": self.opened, "closed": self.closed}, "segments": [{"seq": s.seq, "ward": s.place[1], "start": s.start, "end": s.end} for s in self.segments]}
@@ -72,13 +78,25 @@ class Impossible(Exception):
     """A plan that doesn't fit the present state."""
 
 
+def reference(msh10: str | None, trigger: str | None, at: int | None) -> str:
+    """What a cancel or an update names its target by, as one key."""
+    return f"{msh10}|{trigger}|{at}"
+
+
 @dataclass
 class PatientFold:
+    """A patient's state.  All lookups go by key, so the mappings may be dictionaries or entries of a state store."""
+
     windows: Windows = field(default_factory=Windows)
-    stays: list[Stay] = field(default_factory=list)
-    applied: list[Event] = field(default_factory=list)
-    waiting: list[tuple[Event, str]] = field(default_factory=list)  #: with "waiting" or "expired"
+    stays: MutableMapping[int, Stay] = field(default_factory=dict)
+    applied: MutableMapping[str, list[int]] = field(default_factory=dict)  #: receipts of applied events by reference
+    owners: MutableMapping[int, int] = field(default_factory=dict)  #: receipt to the stay it set a boundary of
+    waiting: MutableMapping[int, tuple[Event, str]] = field(default_factory=dict)  #: by receipt, with "waiting" or "expired"
+    awaited: MutableMapping[str, list[int]] = field(default_factory=dict)  #: receipts of waiting events by reference
+    opened: list[int] = field(default_factory=list)  #: open stays
+    deadlines: list[tuple[int, str, int]] = field(default_factory=list)  #: a heap of (second, what falls due, stay or receipt)
     out: list[dict] = field(default_factory=list)  #: event, finding and change rows
+    touched: dict[int, None] = field(default_factory=dict)  #: stays that changed since the last rows, in order
 
     def tell(self, kind: str, event: Event, status: str, reason: str = "", **more) -> None:
         self.out.append({"kind": kind, "receipt_id": event.receipt_id, "status": status, "reason": reason} | more)
@@ -88,8 +106,14 @@ class PatientFold:
         if status != "applied" and status != "waiting":
             self.tell("finding", event, status, reason)
 
+    def save(self, stay: Stay) -> None:
+        self.stays[stay.stay_id] = stay
+        self.touched[stay.stay_id] = None
+        if (stay.status == "open") != (stay.stay_id in self.opened):
+            (self.opened.append if stay.status == "open" else self.opened.remove)(stay.stay_id)
+
     def still_open(self) -> list[Stay]:
-        return sorted((s for s in self.stays if s.status == "open"), key=lambda s: (s.opened, s.stay_id), reverse=True)
+        return sorted((self.stays[n] for n in self.opened), key=lambda s: (s.opened, s.stay_id), reverse=True)
 
     def best(self, event: Event, stays: list[Stay]) -> Stay | None:
         return next((s for s in stays if event.visit and s.visit == event.visit), stays[0] if stays else None)
@@ -99,11 +123,15 @@ class PatientFold:
 
     def begin(self, event: Event, pattern: str) -> None:
         stay = Stay(event.receipt_id, pattern, event.at, event.arrival, event.visit)
-        stay.segments.append(Segment(1, event.place, event.at, event.receipt_id, event.provenance))
-        self.stays.append(stay)
+        stay.segments.append(Segment(1, event.place, event.at, event.receipt_id, event.provenance, trigger=event.trigger))
+        self.owners[event.receipt_id] = stay.stay_id
+        self.save(stay)
+        if pattern == "pending":
+            heapq.heappush(self.deadlines, (event.arrival + self.windows.join, "join", stay.stay_id))
 
     def done(self, event: Event, resolve: bool = True) -> None:
-        self.applied.append(event)
+        key = reference(event.msh10, event.trigger, event.at)
+        self.applied[key] = [*self.applied.get(key, ()), event.receipt_id]
         self.settle(event, "applied")
         if resolve:
             self.resolve(event)
@@ -112,9 +140,11 @@ class PatientFold:
         last = stay.open_segment()
         if last:
             last.end, last.end_by, last.end_from = event.at, event.receipt_id, event.provenance
-        stay.segments.append(Segment(max((s.seq for s in stay.segments), default=0) + 1, event.place, event.at, event.receipt_id, event.provenance))
+        stay.segments.append(Segment(max((s.seq for s in stay.segments), default=0) + 1, event.place, event.at, event.receipt_id, event.provenance, trigger=event.trigger))
         stay.visit = stay.visit or event.visit
         stay.revision += 1
+        self.owners[event.receipt_id] = stay.stay_id
+        self.save(stay)
 
     def register(self, event: Event) -> None:
         self.begin(event, "pending")
@@ -124,8 +154,8 @@ class PatientFold:
         joins = lambda s: s.pattern == "pending" and event.arrival - s.arrived <= self.windows.join and not (s.visit and event.visit and s.visit != event.visit)
         stay = next((s for s in self.still_open() if joins(s)), None)
         if stay:
-            self.advance(stay, event)
             stay.pattern = "B"
+            self.advance(stay, event)
         else:
             self.begin(event, "A")
         self.done(event)
@@ -138,7 +168,7 @@ class PatientFold:
                 self.advance(stay, event)
                 return self.done(event)
             return self.insert(stay, event)
-        inside = [s for s in self.stays if s.status == "closed" and s.opened <= event.at < s.closed]
+        inside = [s for s in self.stays.values() if s.status == "closed" and s.opened <= event.at < s.closed]
         stay = self.best(event, sorted(inside, key=lambda s: (s.opened, s.stay_id), reverse=True))
         if stay:
             return self.insert(stay, event)
@@ -151,11 +181,12 @@ class PatientFold:
         if held.start == event.at:
             return self.settle(event, "held_failclosed", "late transfer at an existing boundary")
         before = stay.snapshot()
-        new = Segment(held.seq + 1, event.place, event.at, event.receipt_id, event.provenance, held.end, held.end_by, held.end_from)
+        new = Segment(held.seq + 1, event.place, event.at, event.receipt_id, event.provenance, held.end, held.end_by, held.end_from, event.trigger)
         for s in stay.segments:
             s.seq += s.seq > held.seq
         held.end, held.end_by, held.end_from = event.at, event.receipt_id, event.provenance
         stay.segments = sorted([*stay.segments, new], key=lambda s: s.seq)
+        self.owners[event.receipt_id] = stay.stay_id
         self.changed(stay, event, "insert_boundary", before)
         return self.done(event)
 
@@ -169,11 +200,14 @@ class PatientFold:
         stay.status, stay.closed, stay.closed_by = "closed", event.at, event.receipt_id
         stay.pattern = "C" if stay.pattern == "pending" else stay.pattern
         stay.revision += 1
+        self.owners[event.receipt_id] = stay.stay_id
+        self.save(stay)
         return self.done(event)
 
     def changed(self, stay: Stay, event: Event, name: str, before: dict) -> None:
         """A change row: the plan's name and the state before and after it."""
         stay.revision += 1
+        self.save(stay)
         told = lambda state: json.dumps(state, separators=(",", ":"))
         self.tell("change", event, name, stay_id=stay.stay_id, revision=stay.revision, before_json=told(before), after_json=told(stay.snapshot()))
 
@@ -186,11 +220,14 @@ class PatientFold:
             return self.settle(event, "held_failclosed", "reference is to the wrong kind of event")
         if at is None:
             return self.settle(event, "held_failclosed", "reference has no time")
-        hits = [e for e in self.applied if (e.msh10, e.trigger, e.at) == (msh10, trigger, at)]
+        key = reference(msh10, trigger, at)
+        hits = self.applied.get(key, ())
         if len(hits) > 1:
             return self.settle(event, "held_failclosed", "reference is ambiguous")
         if not hits:
-            self.waiting.append((event, "waiting"))
+            self.waiting[event.receipt_id] = (event, "waiting")
+            self.awaited[key] = [*self.awaited.get(key, ()), event.receipt_id]
+            heapq.heappush(self.deadlines, (event.arrival + self.windows.tombstone, "target", event.receipt_id))
             return self.settle(event, "waiting")
         try:
             self.mutate(event, hits[0])
@@ -199,11 +236,11 @@ class PatientFold:
         return self.done(event, resolve=False)
 
     def owner(self, receipt: int) -> Stay | None:
-        return next((s for s in self.stays if s.stay_id == receipt or s.closed_by == receipt or any(receipt in (g.start_by, g.end_by) for g in s.segments)), None)
+        stay = self.stays.get(self.owners.get(receipt, -1))
+        return stay if stay is not None and stay.set_by(receipt) else None
 
-    def mutate(self, event: Event, target: Event) -> None:
-        """Does what a cancel or an update says, or raises without a change."""
-        by = target.receipt_id
+    def mutate(self, event: Event, by: int) -> None:
+        """Does what a cancel or an update says of the event of receipt ``by``, or raises without a change."""
         stay = self.owner(by)
         if stay is None:
             raise Impossible("nothing hangs on the event any more")
@@ -238,39 +275,62 @@ class PatientFold:
 
     def resolve(self, event: Event) -> None:
         """Applies what waits for just this event, expired or not."""
-        for item in [w for w in self.waiting if w[0].zst[1:] == (event.msh10, event.trigger, event.at)]:
+        key = reference(event.msh10, event.trigger, event.at)
+        left = []
+        for receipt in self.awaited.get(key, ()):
+            item = self.waiting[receipt][0]
             try:
-                self.mutate(item[0], event)
+                self.mutate(item, event.receipt_id)
             except Impossible as problem:
-                self.tell("finding", item[0], "waiting", str(problem))
+                self.tell("finding", item, "waiting", str(problem))
+                left.append(receipt)
                 continue
-            self.waiting.remove(item)
-            self.done(item[0], resolve=False)
+            del self.waiting[receipt]
+            self.done(item, resolve=False)
+        if left:
+            self.awaited[key] = left
+        else:
+            self.awaited.pop(key, None)
 
     def finish(self, now: int) -> None:
-        """Pending stays out of their window become C; negations out of theirs expire, and stay matchable."""
-        for s in self.stays:
-            if s.status == "open" and s.pattern == "pending" and now - s.arrived > self.windows.join:
-                s.pattern = "C"
-                s.revision += 1
-        for i, (event, status) in enumerate(self.waiting):
-            if status == "waiting" and now - event.arrival > self.windows.tombstone:
-                self.waiting[i] = (event, "expired")
-                self.tell("finding", event, "expired", "no target in time")
+        """What falls due by ``now``: pending stays out of their window become C; negations out of theirs expire, and stay matchable."""
+        while self.deadlines and self.deadlines[0][0] <= now:
+            _, what, n = heapq.heappop(self.deadlines)
+            if what == "join":
+                stay = self.stays[n]
+                if stay.pattern == "pending":
+                    stay.pattern = "C"
+                    stay.revision += 1
+                    self.save(stay)
+            elif n in self.waiting and self.waiting[n][1] == "waiting":
+                self.waiting[n] = (self.waiting[n][0], "expired")
+                self.tell("finding", self.waiting[n][0], "expired", "no target in time")
+
+    def told(self) -> Iterator[dict]:
+        """Rows since the last call: what was told of events, and the stays that changed."""
+        yield from self.out
+        for n in self.touched:
+            yield from self.rows_of(self.stays[n])
+        self.out, self.touched = [], {}
 
     def rows(self) -> Iterator[dict]:
+        """All rows: those since the last call of ``told``, and the state."""
         yield from self.out
-        for e, status in self.waiting:
+        for e, status in self.waiting.values():
             yield {"kind": "tombstone", "receipt_id": e.receipt_id, "status": status}
-        for s in self.stays:
-            yield {"kind": "stay", "receipt_id": s.stay_id, "stay_id": s.stay_id, "revision": s.revision, "pattern": s.pattern, "status": s.status, "visit_id": s.visit, "start_s": s.opened, "end_s": s.closed}
-            for g in s.segments:
-                raw, ward, room, bed = g.place
-                yield {"kind": "segment", "receipt_id": g.start_by, "stay_id": s.stay_id, "revision": s.revision, "seq": g.seq, "pv1_3_raw": raw, "ward": ward, "room": room, "bed": bed, "start_s": g.start, "start_provenance": g.start_from, "end_s": g.end, "end_provenance": g.end_from, "end_receipt": g.end_by}
+        for s in self.stays.values():
+            yield from self.rows_of(s)
+
+    @staticmethod
+    def rows_of(s: Stay) -> Iterator[dict]:
+        yield {"kind": "stay", "receipt_id": s.stay_id, "stay_id": s.stay_id, "revision": s.revision, "pattern": s.pattern, "status": s.status, "visit_id": s.visit, "start_s": s.opened, "end_s": s.closed}
+        for g in s.segments:
+            raw, ward, room, bed = g.place
+            yield {"kind": "segment", "receipt_id": g.start_by, "stay_id": s.stay_id, "revision": s.revision, "seq": g.seq, "trigger": g.trigger, "pv1_3_raw": raw, "ward": ward, "room": room, "bed": bed, "start_s": g.start, "start_provenance": g.start_from, "end_s": g.end, "end_provenance": g.end_from, "end_receipt": g.end_by}
 
 
 FIELDS = {
-    "kind": "string", "receipt_id": "long", "stay_id": "long", "revision": "long", "seq": "long", "pattern": "string", "status": "string", "reason": "string", "visit_id": "string", "pv1_3_raw": "string", "ward": "string", "room": "string", "bed": "string",
+    "kind": "string", "receipt_id": "long", "stay_id": "long", "revision": "long", "seq": "long", "pattern": "string", "status": "string", "reason": "string", "trigger": "string", "visit_id": "string", "pv1_3_raw": "string", "ward": "string", "room": "string", "bed": "string",
     "start_s": "long", "start_provenance": "string", "end_s": "long", "end_provenance": "string", "end_receipt": "long", "before_json": "string", "after_json": "string",
 }
 
@@ -292,8 +352,9 @@ def reconstruct(events: DataFrame, as_of: str, windows: Windows = Windows(), pol
     """Tagged rows (``kind``: event, finding, change, tombstone, stay, segment) of all patients, in FIELDS and patient_key.
 
     Events without a patient key or time make a finding ``unassigned``.  An event counts once its arrival is ``jitter``
-    old; with ``poll_seconds`` events are applied in polls of that length, else in one batch, in movement order.  Partitions
-    are sorted by patient and order, and read row by row: a task holds one patient's stays at a time, never all events.
+    old; with ``poll_seconds`` events are applied in polls of that length, else in one poll at ``as_of``, in movement order.
+    What fell due by the polls before a poll is settled before its events.  Partitions are sorted by patient and order, and
+    read row by row: a task holds one patient's stays at a time, never all events.
     """
     now = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
     ripe = F.unix_timestamp("arrival_ts") + windows.jitter
@@ -305,7 +366,7 @@ def reconstruct(events: DataFrame, as_of: str, windows: Windows = Windows(), pol
     schema = pa.schema([(n, _ARROW[k]) for n, k in ({"patient_key": "string"} | FIELDS).items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, patient, out = None, None, []
+        key, patient, poll, out = None, None, None, []
 
         def done() -> None:
             if patient is not None:
@@ -316,7 +377,10 @@ def reconstruct(events: DataFrame, as_of: str, windows: Windows = Windows(), pol
             for r in part.to_pylist():
                 if patient is None or r["patient_key"] != key:
                     done()
-                    key, patient = r["patient_key"], PatientFold(windows)
+                    key, patient, poll = r["patient_key"], PatientFold(windows), None
+                if poll_seconds and poll not in (None, r["batch"]):
+                    patient.finish((r["batch"] - 1) * poll_seconds)
+                poll = r["batch"]
                 ref = tuple(r["zst"].values()) if r["zst"] else None
                 patient.apply(Event(r["receipt_id"], r["trigger"], r["at"], r["arrival"], r["msh10"], r["visit_id"] or None, (r["pv1_3_raw"], r["ward"], r["room"], r["bed"]), r["provenance"], ref))
                 if len(out) > 10_000:
@@ -339,7 +403,7 @@ def stays_of(rows: DataFrame) -> DataFrame:
 def segments_of(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'segment'").select(
         "stay_id", "patient_key", F.col("revision").cast("int").alias("revision"), F.concat_ws("-", "stay_id", "receipt_id").alias("segment_id"), F.col("seq").cast("int").alias("seq"), "pv1_3_raw", "ward", "room", "bed", F.timestamp_seconds("start_s").alias("start_ts"), "start_provenance",
-        F.col("receipt_id").alias("start_receipt"), F.timestamp_seconds("end_s").alias("end_ts"), "end_provenance", "end_receipt", F.col("end_s").isNull().alias("is_open"),
+        F.col("receipt_id").alias("start_receipt"), "trigger", F.timestamp_seconds("end_s").alias("end_ts"), "end_provenance", "end_receipt", F.col("end_s").isNull().alias("is_open"),
     )
 
 
@@ -366,17 +430,19 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("stay_id").agg(F.max("revision").alias("revision"), F.max_by("after_json", "revision").alias("after_json"))
 
 
-def dump(fold: PatientFold) -> str:
-    """The fold's state as JSON, for a state store; output rows aren't part of it."""
-    return json.dumps({"stays": [asdict(s) for s in fold.stays], "applied": [asdict(e) for e in fold.applied], "waiting": [[asdict(e), s] for e, s in fold.waiting]})
+def event_text(e: Event) -> str:
+    return json.dumps(asdict(e))
+
+
+def event_from(text: str) -> Event:
+    e = json.loads(text)
+    return Event(**(e | {"place": tuple(e["place"]), "zst": tuple(e["zst"]) if e["zst"] else None}))
+
+
+def stay_text(s: Stay) -> str:
+    return json.dumps(asdict(s))
 
 
-def load(text: str | None, windows: Windows = Windows()) -> PatientFold:
-    fold = PatientFold(windows)
-    if text:
-        state = json.loads(text)
-        event = lambda e: Event(**(e | {"place": tuple(e["place"]), "zst": tuple(e["zst"]) if e["zst"] else None}))
-        segment = lambda s: Segment(**(s | {"place": tuple(s["place"])}))
-        fold.stays = [Stay(**(s | {"segments": [segment(g) for g in s["segments"]]})) for s in state["stays"]]
-        fold.applied, fold.waiting = [event(e) for e in state["applied"]], [(event(e), s) for e, s in state["waiting"]]
-    return fold
+def stay_from(text: str) -> Stay:
+    s = json.loads(text)
+    return Stay(**(s | {"segments": [Segment(**(g | {"place": tuple(g["place"])})) for g in s["segments"]]}))

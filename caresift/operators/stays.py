@@ -46,10 +46,10 @@ def forward(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         }
     )
     segments = rows.where("trigger <> 'A03'").select(
-        "stay_id", "patient_key", (F.col("n_events") - 1).cast("int").alias("revision"), F.concat_ws("-", "stay_id", "receipt_id").alias("segment_id"), "seq", "pv1_3_raw", "ward", "room", "bed", F.col("event_ts").alias("start_ts"), F.col("provenance").alias("start_provenance"),
+        "stay_id", "patient_key", F.col("n_events").cast("int").alias("revision"), F.concat_ws("-", "stay_id", "receipt_id").alias("segment_id"), "seq", "pv1_3_raw", "ward", "room", "bed", F.col("event_ts").alias("start_ts"), F.col("provenance").alias("start_provenance"),
         F.col("receipt_id").alias("start_receipt"), "trigger", "end_ts", "end_provenance", "end_receipt", F.col("end_ts").isNull().alias("is_open"),
     )
-    stays = rows.where("seq = 1").select("stay_id", (F.col("n_events") - 1).cast("int").alias("revision"), F.lit("A").alias("pattern"), F.when(F.col("closed_ts").isNull(), "open").otherwise("closed").alias("status"), "patient_key", F.col("visit").alias("visit_id"), F.col("event_ts").alias("opened_event_ts"), F.col("closed_ts").alias("closed_event_ts"))
+    stays = rows.where("seq = 1").select("stay_id", F.col("n_events").cast("int").alias("revision"), F.lit("A").alias("pattern"), F.when(F.col("closed_ts").isNull(), "open").otherwise("closed").alias("status"), "patient_key", F.col("visit").alias("visit_id"), F.col("event_ts").alias("opened_event_ts"), F.col("closed_ts").alias("closed_event_ts"))
     return stays, segments
 
 

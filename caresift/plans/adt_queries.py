@@ -186,7 +186,7 @@ WITH e AS (
     SELECT stay_id, patient, stay_id || '-' || event_id AS segment_id, n AS seq, ward, 'R1' AS room, bed, ts AS start_ts, CASE WHEN trig = 'A01' THEN 'event' ELSE 'measured' END AS start_provenance,
         next_ts AS end_ts, end_prov AS end_provenance, next_ts IS NULL AS is_open FROM t WHERE trig <> 'A03'
 ), stay AS (
-    SELECT stay_id, max(patient) AS patient_key, (max(cnt) - 1)::INT AS revision, min(ts) AS opened, max(CASE WHEN trig = 'A03' THEN ts END) AS closed FROM t GROUP BY stay_id
+    SELECT stay_id, max(patient) AS patient_key, max(cnt)::INT AS revision, min(ts) AS opened, max(CASE WHEN trig = 'A03' THEN ts END) AS closed FROM t GROUP BY stay_id
 )
 """
 _FULL = """

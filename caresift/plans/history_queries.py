@@ -74,7 +74,7 @@ def retro_estimate_changes(spark, sf_dir):
     now = _estimates(spark, sf_dir, rows)
     other = F.col("receipt_id") % 4 < 2
     before = now.withColumn("status", F.lit("active")).withColumn("estimate_upper", F.when(other, F.col("estimate_upper")).otherwise(F.col("estimate_upper") + F.expr("interval 1 hour")))
-    return estimates.compare(now, before)
+    return estimates.compare(now, before).select("receipt_id", "change")
 
 
 def retro_exact_segments(spark, sf_dir):
@@ -86,28 +86,23 @@ def retro_exact_segments(spark, sf_dir):
 
 def retro_markers(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    segments = _with_trigger(spark, sf_dir, fold.segments_of(rows))
+    segments = fold.segments_of(rows)
     return stays.plausibility(fold.stays_of(rows), segments, ["W0", "W1", "W2"])
 
 
 def retro_new_markers(spark, sf_dir):
     """Markers that came after the ones of a run in which ward W1 was not known either."""
     rows = _rows(spark, sf_dir)
-    segments = _with_trigger(spark, sf_dir, fold.segments_of(rows))
+    segments = fold.segments_of(rows)
     s = fold.stays_of(rows)
     return stays.new_markers(stays.plausibility(s, segments, ["W0"]), stays.plausibility(s, segments, ["W0", "W1", "W2"]))
 
 
-def _with_trigger(spark, sf_dir, segments):
-    own = sighting.events(_sighted(spark, sf_dir)).select(F.col("receipt_id").alias("start_receipt"), "trigger")
-    return segments.join(own, "start_receipt", "left")
-
-
 def retro_export(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     s, found = fold.stays_of(rows), _estimates(spark, sf_dir, rows)
     segments = estimates.apply(fold.segments_of(rows), found)
-    none = stays.plausibility(s, _with_trigger(spark, sf_dir, segments))
+    none = stays.plausibility(s, segments)
     out = stays.export(s, segments, none, found)
     return out.select("stay_id", "status", F.coalesce(F.size("segments"), F.lit(0)).alias("n_segments"), F.coalesce(F.array_join(F.transform("estimates", lambda e: e["receipt_id"].cast("string")), ","), F.lit("")).alias("estimates"))
 
@@ -116,7 +111,7 @@ def retro_contract(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     found = _estimates(spark, sf_dir, rows)
     segments = estimates.apply(fold.segments_of(rows), found)
-    marks = stays.plausibility(fold.stays_of(rows), _with_trigger(spark, sf_dir, segments))
+    marks = stays.plausibility(fold.stays_of(rows), segments)
     return stays.contract_segments(segments, marks, found).select("segment_id", "estimate_lower", "estimate_upper", "estimate_lower_source", "estimate_upper_source", "segment_markers")
 
 
@@ -206,7 +201,7 @@ QUERIES = {
     "adt_missing_raw": missing_raw, "adt_undecided": undecided, "adt_erased_holds": erased_holds, "adt_erased_stays": erased_stays, "adt_table_counts": table_counts,
 }
 
-#: What has to come out of each history s: stays (message that opened it, revision, pattern, status, seconds of opening and
+#: What has to come out of each history s: stays (message that opened it, revisions after the opening, pattern, status, seconds of opening and
 #: closing), segments (stay, message that opened it, number, bounds and where they come from), changes and statuses.
 _H = """
 WITH e AS (SELECT event_id, event_type, date_trunc('second', ts) AS t, event_id % 26 AS s FROM events
@@ -225,7 +220,7 @@ WITH e AS (SELECT event_id, event_type, date_trunc('second', ts) AS t, event_id
     (12, 0, 1, 'C', 'open', 0, NULL), (13, 0, 0, 'A', 'open', 0, NULL), (14, 0, 0, 'A', 'open', 0, NULL), (15, 0, 0, 'A', 'open', 0, NULL), (16, 0, 0, 'A', 'open', 0, NULL), (18, 0, 1, 'A', 'open', 0, NULL), (19, 0, 1, 'A', 'open', 0, NULL),
     (20, 0, 0, 'A', 'open', 0, NULL), (21, 0, 1, 'C', 'open', 0, NULL), (21, 1, 1, 'A', 'open', 28800, NULL), (23, 0, 1, 'A', 'cancelled', 0, NULL), (24, 0, 2, 'A', 'closed', 0, 3600), (25, 0, 0, 'A', 'open', 0, NULL), (25, 1, 0, 'A', 'open', 28800, NULL)
 ), stay AS (
-    SELECT event_id * 10 + i AS stay_id, e.*, i, revision::INT AS revision, pattern, status, 'HOSP|S' || event_id AS patient_key, CASE WHEN s < 12 THEN 'V' || event_id WHEN s = 25 THEN 'VS' || event_id || '-' || i END AS visit_id, t + o * INTERVAL 1 SECOND AS opened, t + c * INTERVAL 1 SECOND AS closed FROM e JOIN stay_of USING (s)
+    SELECT event_id * 10 + i AS stay_id, e.*, i, (revision + 1)::INT AS revision, pattern, status, 'HOSP|S' || event_id AS patient_key, CASE WHEN s < 12 THEN 'V' || event_id WHEN s = 25 THEN 'VS' || event_id || '-' || i END AS visit_id, t + o * INTERVAL 1 SECOND AS opened, t + c * INTERVAL 1 SECOND AS closed FROM e JOIN stay_of USING (s)
 ), seg_of(s, st, i, seq, a, ap, b, bp) AS (VALUES
     (1, 0, 0, 1, 0, 'event', 7200, 'event'), (2, 0, 0, 1, 0, 'event', 3600, 'measured'), (2, 0, 1, 2, 3600, 'measured', NULL, NULL), (3, 0, 0, 1, -600, 'event', 3600, 'measured'), (3, 0, 1, 2, 3600, 'measured', 7200, 'event'),
     (4, 0, 0, 1, 0, 'event', 1800, 'event'), (4, 0, 1, 2, 1800, 'event', 7200, 'event'), (5, 0, 0, 1, 0, 'event', 3600, 'measured'), (5, 0, 1, 2, 3600, 'measured', 9000, 'event'),
@@ -245,7 +240,7 @@ WITH e AS (SELECT event_id, event_type, date_trunc('second', ts) AS t, event_id
 ), change_of(s, i, revision, change, nb, sa, na) AS (VALUES
     (0, 3, 3, 'revoke_stay', 2, 'cancelled', 0), (1, 3, 3, 'remove_boundary', 2, 'closed', 1), (2, 3, 3, 'reopen_last', 2, 'open', 2), (3, 3, 3, 'change_boundary', 2, 'closed', 2), (4, 3, 3, 'change_boundary', 2, 'closed', 2), (5, 3, 3, 'change_boundary', 2, 'closed', 2),
     (6, 3, 3, 'insert_boundary', 2, 'closed', 3), (9, 1, 2, 'remove_boundary', 2, 'open', 1), (23, 1, 1, 'revoke_stay', 1, 'cancelled', 0)
-), change AS (SELECT e.*, event_id * 10 + i AS receipt_id, event_id * 10 AS stay_id, revision::INT AS revision, change, nb, sa, na FROM e JOIN change_of USING (s)
+), change AS (SELECT e.*, event_id * 10 + i AS receipt_id, event_id * 10 AS stay_id, (revision + 1)::INT AS revision, change, nb, sa, na FROM e JOIN change_of USING (s)
 ), held(s, i, status, reason) AS (VALUES
     (7, 3, 'held_failclosed', 'late transfer at an existing boundary'), (8, 3, 'deferred', 'transfer without a stay'), (13, 1, 'held_failclosed', 'reference is missing or has the wrong action'), (14, 1, 'held_failclosed', 'reference is missing or has the wrong action'),
     (15, 1, 'held_failclosed', 'reference is to the wrong kind of event'), (16, 1, 'held_failclosed', 'reference has no time'), (17, 0, 'deferred', 'discharge without a stay'), (23, 2, 'held_failclosed', 'the stay is cancelled already')

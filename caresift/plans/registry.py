@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caresift.plans import adt_queries, fhir_queries, history_queries, stream_queries, v2_queries
+from caresift.plans import adt_queries, fhir_queries, history_queries, late_queries, stream_queries, v2_queries
 
-_MODULES = (v2_queries, fhir_queries, adt_queries, history_queries, stream_queries)
+_MODULES = (v2_queries, fhir_queries, adt_queries, history_queries, late_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

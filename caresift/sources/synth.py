@@ -121,16 +121,38 @@ HISTORIES = [
 LONELY = 22  #: the history whose messages name no patient
 
 
-def adt_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """receipt_id, received_ts, text: each event is the patient ``S<event_id>`` with history number event_id mod their count."""
+DAY = 86_400
+#: Histories whose messages come in two parts: what a first run sees arrived within half a day, the rest days later.
+LATE_HISTORIES = [
+    [("A01", 0, 0, None), ("A02", None, 1800, None), ("A02", 3600, 3600, None)],
+    [("A01", 0, 0, None), ("A02", None, 1800, None), ("A02", 3600, 3600, None), ("A12", DAY, DAY, ("CANCELS", 2, "A02", 3600))],
+    [("A01", 0, 0, None), ("A02", None, 1800, None), ("A02", 3600, 3600, None), ("A08", 5400, DAY, ("UPDATES", 2, "A02", 3600))],
+    [("A01", 0, 0, None), ("A02", None, 1800, None), ("A02", 7200, DAY, None)],
+    [("A01", 0, 0, None), ("A02", None, 1800, None), ("A02", 3600, 3600, None), ("A11", DAY, DAY, ("CANCELS", 0, "A01", 0))],
+    [("A01", 0, 0, None), ("A02", None, 1800, None), ("A02", 3600, 3600, None), ("A12", DAY, DAY, ("CANCELS", 2, "A02", 3600)), ("A03", DAY + 3600, DAY + 3600, None)],
+    [("A04", 0, 0, None), ("A02", None, 1800, None), ("A01", 3600, 3600, None)],
+    [("A01", 0, 0, None), ("A02", None, 1200, None), ("A02", 3600, 3600, None), ("A02", None, 5000, None), ("A02", 7200, 7200, None), ("A12", DAY, DAY, ("CANCELS", 2, "A02", 3600))],
+    [("A01", 0, 0, None), ("A12", 3600, 3600, ("CANCELS", 2, "A02", 5400)), ("A02", 5400, 9 * DAY, None)],
+    [("A04", 0, 0, None), ("A03", 2 * DAY, 2 * DAY, None)],
+    [("A04", 0, 0, None), ("A01", 21000, 21000, None)],
+]
+HALF_DAY = DAY // 2
+
+
+def adt_histories(spark: SparkSession, sf_dir: str, scripts: list = HISTORIES, arrived: int | None = None) -> DataFrame:
+    """receipt_id, received_ts, text: each event is the patient ``S<event_id>`` with history number event_id mod their count.
+
+    ``arrived``: only what arrived in so many seconds of each history.
+    """
     from itertools import chain
 
     e = table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("t"))
     kind = "array<struct<i:int,trigger:string,at:int,arrival:int,action:string,of:int,kind:string,said:int>>"
     none = (None, None, None, None)
-    scripts = [F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "trigger", "at", "arrival", "action", "of", "kind", "said"), (i, g, at, arrival, *(ref or none)), strict=True)]) for i, (g, at, arrival, ref) in enumerate(h)]).cast(kind) for h in HISTORIES]
-    own = F.element_at(F.create_map(*chain.from_iterable((F.lit(n), x) for n, x in enumerate(scripts))), F.col("history"))
-    rows = e.withColumn("history", (F.col("event_id") % len(HISTORIES)).cast("int")).select("event_id", "t", "history", F.explode(own).alias("m"))
+    arrays = [F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("i", "trigger", "at", "arrival", "action", "of", "kind", "said"), (i, g, at, arrival, *(ref or none)), strict=True)]) for i, (g, at, arrival, ref) in enumerate(h)]).cast(kind) for h in scripts]
+    own = F.element_at(F.create_map(*chain.from_iterable((F.lit(n), x) for n, x in enumerate(arrays))), F.col("history"))
+    rows = e.withColumn("history", (F.col("event_id") % len(scripts)).cast("int")).select("event_id", "t", "history", F.explode(own).alias("m"))
+    rows = rows if arrived is None else rows.where(F.col("m.arrival") < arrived)
     stamp = lambda seconds: F.coalesce(F.date_format(F.timestamp_seconds(F.unix_timestamp("t") + seconds), "yyyyMMddHHmmss"), F.lit(""))
     name, i = F.col("event_id").cast("string"), F.col("m.i")
     number = lambda n: F.concat(F.lit("S"), name, F.lit("-"), n.cast("string"))
