@@ -38,9 +38,10 @@ def digest(text: Column, normal: Callable[[Column], Column] = same) -> Column:
 
 def frequent(rows: DataFrame, column: str) -> DataFrame:
     """At most HEAVY values of a binary column that may be frequent; all that are, and perhaps others."""
+    # both steps group by a key: without one, a partition without rows would hand on a summary without a type
     tracked = f"approx_top_k_accumulate(hex({column}), {COUNTERS})"
     parts = rows.groupBy((F.spark_partition_id() % FAN).alias("__part")).agg(F.expr(tracked).alias("__summary"))
-    whole = parts.agg(F.expr(f"approx_top_k_combine(__summary, {COUNTERS})").alias("__summary"))
+    whole = parts.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(__summary, {COUNTERS})").alias("__summary"))
     found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(__summary, {HEAVY})")).alias("__x"))
     return found.select(F.unhex("__x.item").alias(column))
 
@@ -50,8 +51,6 @@ def winners(rows: DataFrame) -> DataFrame:
 
     ``rows``: __digest, __key, __row.  At most HEAVY rows.
     """
-    if not rows.take(1):
-        return rows.groupBy("__digest").agg(F.max(F.struct("__key", "__row")).alias("__best"), F.count("*").alias("__n"))
     asked = F.broadcast(cut(frequent(rows, "__digest")))  # HEAVY rows at most
     counted = rows.join(asked, "__digest").groupBy("__digest").agg(F.max(F.struct("__key", "__row")).alias("__best"), F.count("*").alias("__n"))
     return cut(counted.where("__n > 1"))

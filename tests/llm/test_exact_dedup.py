@@ -64,3 +64,16 @@ def test_empty_table_clashing_names_and_normal_forms(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = xd.query(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
+
+
+def test_more_partitions_than_rows(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "211")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [(i, "same" if i % 3 else f"t{i}") for i in range(60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(50)
+        assert order((g.doc_id, g.keep_id, g.group_size, g.text_sha256) for g in xd.label(df).collect()) == order(brute(rows))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
