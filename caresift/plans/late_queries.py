@@ -3,13 +3,15 @@ due in between."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caresift.functions import hl7
-from caresift.operators import estimates, fold, sighting
+from caresift.operators import erase, estimates, fold, sighting, stays
 from caresift.sources import synth
-from caresift.sources.files import kept
+from caresift.sources.files import kept, new_folder, publish, published
 
 AS_OF = synth.AS_OF
 POLL = 600
@@ -77,36 +79,111 @@ def statuses(spark, sf_dir):
     return rows.where("kind in ('event', 'finding', 'tombstone')").select("receipt_id", "kind", "status")
 
 
+def _erased_keys(spark, sf_dir):
+    """The patients of events with an error; of messages that name two, the second."""
+    e = synth.table(spark, sf_dir, "events").where("event_type = 'error'")
+    second = F.col("event_id") % len(synth.LATE_HISTORIES) == 12
+    return e.select(F.concat(F.lit("HOSP|"), F.when(second, "T").otherwise("S"), F.col("event_id").cast("string")).alias("patient_key"))
+
+
+def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every table that the jobs keep after both runs, held messages included."""
+    rows, first, second = runs(spark, sf_dir)
+    seen = sighted(spark, sf_dir).where("kind = 'usable' or kind = 'hold_timequality'")
+    own = hl7.patient_keys(F.col("text"))
+    made = estimates.apply(fold.segments_of(rows), second.estimates)
+    told = kept(first.changes.unionByName(second.changes))
+    events = kept(sighting.events(seen))
+    return {
+        "keys": seen.select("receipt_id", F.explode(own).alias("patient_key")),
+        "events": seen.select("receipt_id", hl7.patient_class(F.col("text"), own).alias("pkey_status")),
+        "references": events.where("zst is not null").select("receipt_id", "zst"),
+        "stays": fold.stays_of(rows),
+        "segments": made,
+        "audits": fold.audit_of(rows).withColumn("audit_id", F.col("receipt_id")),
+        "notifications": told.select("notification_id", "receipt_id", F.when(~F.startswith("change", F.lit("estimate")), F.col("receipt_id")).alias("audit_id")),
+        "payloads": told.select("notification_id", "stay_id", "revision", "change", "after_json"),
+        "tombstones": rows.where("kind = 'tombstone'").select("receipt_id", "patient_key", "status"),
+        "markers": stays.plausibility(fold.stays_of(rows), made, ["W0", "W1", "W2"]),
+        "estimates": second.estimates,
+        "revisions": second.revisions,
+        "dispositions": seen.select("receipt_id", "kind"),
+    }
+
+
+def erase_cascade(spark, sf_dir):
+    """Rows that go from each table with the erased patients, and rows that are left."""
+    tables = all_tables(spark, sf_dir)
+    left, counts = erase.cascade(tables, _erased_keys(spark, sf_dir), erase.GRAPH | {n: replace(erase.GRAPH[n], counted=True) for n in ("keys", "revisions")})
+    gone = counts.groupBy("table").agg(F.sum("deleted").alias("deleted"))
+    return stays.table_counts(left).join(gone, "table", "left").select("table", F.coalesce("deleted", F.lit(0)).alias("deleted"), F.col("n").alias("kept"))
+
+
+def erase_result(spark, sf_dir):
+    """What erasing each patient reports."""
+    tables, keys = all_tables(spark, sf_dir), _erased_keys(spark, sf_dir)
+    _, counts = erase.cascade(tables, keys)
+    return erase.cascade_result(keys, counts, tables["events"])
+
+
+def erase_snapshot(spark, sf_dir):
+    """Rows of the published tables, read back, after the erasure published them anew as one version."""
+    tables, names = all_tables(spark, sf_dir), ("stays", "segments", "notifications")
+    root = new_folder(spark)
+    publish({n: tables[n] for n in names}, root)
+    left, _ = erase.cascade(tables, _erased_keys(spark, sf_dir))
+    publish({n: left[n] for n in names}, root)
+    return stays.table_counts(published(spark, root)[1])
+
+
 QUERIES = {
+    "adt_erase_cascade": erase_cascade, "adt_erase_cascade_result": erase_result, "adt_erase_snapshot": erase_snapshot,
     "adt_late_changes": change_log, "adt_late_latest": latest, "adt_late_findings": findings, "adt_late_estimates": estimate_states, "adt_late_segments": segments, "adt_late_stays": all_stays, "adt_late_statuses": statuses,
 }
 
 #: What has to come out of each history s, written down by hand.
 _L = """
-WITH e AS (SELECT event_id, event_type, date_trunc('second', ts) AS t, event_id % 11 AS s FROM events
+WITH e AS (SELECT event_id, event_type, date_trunc('second', ts) AS t, event_id % 14 AS s FROM events
 ), msg(s, i, mv) AS (VALUES
     (0, 0, 0), (0, 1, NULL), (0, 2, 3600), (1, 0, 0), (1, 1, NULL), (1, 2, 3600), (1, 3, 86400), (2, 0, 0), (2, 1, NULL), (2, 2, 3600), (2, 3, 5400), (3, 0, 0), (3, 1, NULL), (3, 2, 7200),
     (4, 0, 0), (4, 1, NULL), (4, 2, 3600), (4, 3, 86400), (5, 0, 0), (5, 1, NULL), (5, 2, 3600), (5, 3, 86400), (5, 4, 90000), (6, 0, 0), (6, 1, NULL), (6, 2, 3600),
-    (7, 0, 0), (7, 1, NULL), (7, 2, 3600), (7, 3, NULL), (7, 4, 7200), (7, 5, 86400), (8, 0, 0), (8, 1, 3600), (8, 2, 5400), (9, 0, 0), (9, 1, 172800), (10, 0, 0), (10, 1, 21000)
+    (7, 0, 0), (7, 1, NULL), (7, 2, 3600), (7, 3, NULL), (7, 4, 7200), (7, 5, 86400), (8, 0, 0), (8, 1, 3600), (8, 2, 5400), (9, 0, 0), (9, 1, 172800), (10, 0, 0), (10, 1, 21000),
+    (11, 0, 0), (11, 1, 3600), (12, 0, 0), (12, 1, NULL), (12, 2, 3600), (13, 0, 0)
 ), m AS (SELECT event_id * 10 + i AS receipt_id, e.*, i, mv FROM e JOIN msg USING (s)
 ), change_of(s, run, i, revision, change) AS (VALUES
     (0, 1, 1, 3, 'estimate_applied'), (1, 1, 1, 3, 'estimate_applied'), (2, 1, 1, 3, 'estimate_applied'), (4, 1, 1, 3, 'estimate_applied'), (5, 1, 1, 3, 'estimate_applied'), (7, 1, 1, 4, 'estimate_applied'), (7, 1, 3, 5, 'estimate_applied'),
     (1, 2, 3, 4, 'remove_boundary'), (1, 2, 1, 5, 'estimate_reverted'), (2, 2, 3, 4, 'change_boundary'), (2, 2, 1, 5, 'estimate_updated'), (3, 2, 1, 3, 'estimate_applied'), (4, 2, 3, 4, 'revoke_stay'),
-    (5, 2, 3, 4, 'remove_boundary'), (5, 2, 1, 6, 'estimate_updated'), (7, 2, 5, 6, 'remove_boundary'), (7, 2, 1, 7, 'estimate_updated'), (7, 2, 3, 8, 'estimate_updated'), (8, 2, 1, 3, 'remove_boundary')
+    (5, 2, 3, 4, 'remove_boundary'), (5, 2, 1, 6, 'estimate_updated'), (7, 2, 5, 6, 'remove_boundary'), (7, 2, 1, 7, 'estimate_updated'), (7, 2, 3, 8, 'estimate_updated'), (8, 2, 1, 3, 'remove_boundary'), (12, 1, 1, 3, 'estimate_applied')
 ), change AS (SELECT e.*, run::INT AS run, event_id * 10 + i AS receipt_id, event_id * 10 AS stay_id, revision::BIGINT AS revision, change FROM e JOIN change_of USING (s)
 ), stay_of(s, revision, pattern, status, c) AS (VALUES
     (0, 3, 'A', 'open', NULL), (1, 5, 'A', 'open', NULL), (2, 5, 'A', 'open', NULL), (3, 3, 'A', 'open', NULL), (4, 4, 'A', 'cancelled', NULL), (5, 6, 'A', 'closed', 90000), (6, 2, 'B', 'open', NULL),
-    (7, 8, 'A', 'open', NULL), (8, 3, 'A', 'open', NULL), (9, 3, 'C', 'closed', 172800), (10, 2, 'B', 'open', NULL)
+    (7, 8, 'A', 'open', NULL), (8, 3, 'A', 'open', NULL), (9, 3, 'C', 'closed', 172800), (10, 2, 'B', 'open', NULL), (11, 1, 'A', 'open', NULL), (12, 3, 'A', 'open', NULL)
 ), stay AS (SELECT e.*, event_id * 10 AS stay_id, revision::INT AS revision, pattern, status, c FROM e JOIN stay_of USING (s)
 ), seg_of(s, i, seq, a, ap, b, bp) AS (VALUES
     (0, 0, 1, 0, 'event', 3600, 'estimated'), (0, 1, 2, 0, 'estimated', 3600, 'measured'), (0, 2, 3, 3600, 'measured', NULL, NULL), (1, 0, 1, 0, 'event', NULL, NULL),
     (2, 0, 1, 0, 'event', 5400, 'estimated'), (2, 1, 2, 0, 'estimated', 5400, 'event'), (2, 2, 3, 5400, 'event', NULL, NULL), (3, 0, 1, 0, 'event', 7200, 'estimated'), (3, 1, 2, 0, 'estimated', 7200, 'measured'), (3, 2, 3, 7200, 'measured', NULL, NULL),
     (5, 0, 1, 0, 'event', 90000, 'estimated'), (5, 1, 2, 0, 'estimated', 90000, 'event'), (6, 0, 1, 0, 'event', 3600, 'event'), (6, 2, 2, 3600, 'event', NULL, NULL),
     (7, 0, 1, 0, 'event', 7200, 'estimated'), (7, 1, 2, 0, 'estimated', 7200, 'estimated'), (7, 3, 3, 0, 'estimated', 7200, 'measured'), (7, 4, 4, 7200, 'measured', NULL, NULL), (8, 0, 1, 0, 'event', NULL, NULL),
-    (9, 0, 1, 0, 'event', 172800, 'event'), (10, 0, 1, 0, 'event', 21000, 'event'), (10, 1, 2, 21000, 'event', NULL, NULL)
+    (9, 0, 1, 0, 'event', 172800, 'event'), (10, 0, 1, 0, 'event', 21000, 'event'), (10, 1, 2, 21000, 'event', NULL, NULL), (11, 0, 1, 0, 'event', NULL, NULL),
+    (12, 0, 1, 0, 'event', 3600, 'estimated'), (12, 1, 2, 0, 'estimated', 3600, 'measured'), (12, 2, 3, 3600, 'measured', NULL, NULL)
 ), seg AS (SELECT e.*, event_id * 10 AS stay_id, event_id * 10 || '-' || (event_id * 10 + i) AS segment_id, i, seq::INT AS seq, 'W' || ((event_id + i) % 4) AS ward, a, ap, b, bp FROM e JOIN seg_of USING (s)
 ), est_of(s, i, status, u, us) AS (VALUES
-    (0, 1, 'active', 3600, 2), (1, 1, 'reverted_hold', NULL, NULL), (2, 1, 'active', 5400, 2), (3, 1, 'active', 7200, 2), (4, 1, 'reverted_hold', NULL, NULL), (5, 1, 'active', 90000, 4), (6, 1, 'waiting', NULL, NULL), (7, 1, 'active', 7200, 4), (7, 3, 'active', 7200, 4)
+    (0, 1, 'active', 3600, 2), (1, 1, 'reverted_hold', NULL, NULL), (2, 1, 'active', 5400, 2), (3, 1, 'active', 7200, 2), (4, 1, 'reverted_hold', NULL, NULL), (5, 1, 'active', 90000, 4), (6, 1, 'waiting', NULL, NULL), (7, 1, 'active', 7200, 4), (7, 3, 'active', 7200, 4), (12, 1, 'active', 3600, 2)
+)
+"""
+
+#: Each row of each table, and whether it goes with the erased patients: all of an event with an error; where messages name two
+#: patients (s = 12), the second is erased, and what hangs on the first one's stay is kept.
+_ERASED = """, x AS (SELECT *, event_type = 'error' AS bad, event_type = 'error' AND s <> 12 AS own FROM e
+), held("table", event_id, gone) AS (
+    SELECT 'keys', event_id, CASE WHEN s = 12 THEN bad AND r = 2 ELSE bad END FROM m JOIN x USING (event_id, s), range(1, 3) t(r) WHERE s <> 13 AND (r = 1 OR s = 12)
+    UNION ALL SELECT 'events', event_id, bad AND s <> 13 FROM m JOIN x USING (event_id, s) UNION ALL SELECT 'references', event_id, bad FROM m JOIN x USING (event_id, s) WHERE (s IN (1, 2, 4, 5) AND i = 3) OR (s = 7 AND i = 5) OR (s IN (8, 11) AND i = 1)
+    UNION ALL SELECT 'stays', event_id, own FROM stay JOIN x USING (event_id, s) UNION ALL SELECT 'segments', event_id, own FROM seg JOIN x USING (event_id, s)
+    UNION ALL SELECT 'audits', event_id, own FROM change JOIN x USING (event_id, s) WHERE NOT starts_with(change, 'estimate') UNION ALL SELECT 'notifications', event_id, bad FROM change JOIN x USING (event_id, s)
+    UNION ALL SELECT 'payloads', event_id, own FROM change JOIN x USING (event_id, s) UNION ALL SELECT 'tombstones', event_id, own FROM x WHERE s = 11
+    UNION ALL SELECT 'markers', event_id, own FROM seg JOIN x USING (event_id, s) WHERE ward = 'W3' UNION ALL SELECT 'markers', event_id, own FROM x WHERE s = 9
+    UNION ALL SELECT 'estimates', event_id, bad FROM est_of JOIN x USING (s) UNION ALL SELECT 'revisions', event_id, own FROM stay JOIN x USING (event_id, s)
+    UNION ALL SELECT 'dispositions', event_id, false FROM m
 )
 """
 
@@ -114,7 +191,7 @@ ORACLE = {
     "adt_late_changes": _L + "SELECT run, receipt_id || '-' || change || '-' || revision AS notification_id, stay_id, revision, change, receipt_id FROM change",
     "adt_late_latest": _L
     + """SELECT stay_id, revision::BIGINT AS revision, status, coalesce((SELECT string_agg(ward, ',' ORDER BY seq) FROM seg WHERE seg.stay_id = stay.stay_id), '') AS wards,
-    coalesce((SELECT string_agg(a || '-' || coalesce(b::VARCHAR, ''), ',' ORDER BY seq) FROM seg WHERE seg.stay_id = stay.stay_id), '') AS spans FROM stay WHERE s NOT IN (6, 9, 10)""",
+    coalesce((SELECT string_agg(a || '-' || coalesce(b::VARCHAR, ''), ',' ORDER BY seq) FROM seg WHERE seg.stay_id = stay.stay_id), '') AS spans FROM stay WHERE s NOT IN (6, 9, 10, 11)""",
     "adt_late_findings": _L + "SELECT event_id * 10 + 1 AS receipt_id, 'estimate_reverted' AS status FROM e WHERE s = 1",
     "adt_late_estimates": _L
     + """SELECT event_id * 10 + i AS receipt_id, CASE WHEN status = 'active' THEN event_id * 10 END AS stay_id, status, CASE WHEN status = 'active' THEN t END AS estimate_lower, t + u * INTERVAL 1 SECOND AS estimate_upper,
@@ -122,6 +199,13 @@ ORACLE = {
     "adt_late_segments": _L + "SELECT stay_id, stay.revision, segment_id, seq, ward, seg.t + a * INTERVAL 1 SECOND AS start_ts, ap AS start_provenance, seg.t + b * INTERVAL 1 SECOND AS end_ts, bp AS end_provenance FROM seg JOIN stay USING (stay_id)",
     "adt_late_stays": _L + "SELECT stay_id, revision, pattern, status, t AS opened_event_ts, t + c * INTERVAL 1 SECOND AS closed_event_ts FROM stay",
     "adt_late_statuses": _L
-    + """SELECT receipt_id, 'event' AS kind, 'applied' AS status FROM m WHERE mv IS NOT NULL UNION ALL SELECT receipt_id, 'event', 'waiting' FROM m WHERE s = 8 AND i = 1
-    UNION ALL SELECT receipt_id, 'finding', 'expired' FROM m WHERE s = 8 AND i = 1""",
+    + """SELECT receipt_id, 'event' AS kind, 'applied' AS status FROM m WHERE mv IS NOT NULL AND s <> 13 AND NOT (s = 11 AND i = 1) UNION ALL SELECT receipt_id, 'event', 'waiting' FROM m WHERE s IN (8, 11) AND i = 1
+    UNION ALL SELECT receipt_id, 'finding', 'expired' FROM m WHERE s IN (8, 11) AND i = 1 UNION ALL SELECT receipt_id, 'tombstone', 'expired' FROM m WHERE s = 11 AND i = 1 UNION ALL SELECT receipt_id, 'finding', 'unassigned' FROM m WHERE s = 13""",
+    "adt_erase_cascade": _L + _ERASED + """SELECT "table", count(*) FILTER (WHERE gone)::BIGINT AS deleted, count(*) FILTER (WHERE NOT gone)::BIGINT AS kept FROM held GROUP BY ALL""",
+    "adt_erase_cascade_result": _L
+    + _ERASED
+    + """SELECT patient_key, coalesce(deleted, 0)::BIGINT AS deleted, (SELECT count(*) FROM m WHERE s = 13) AS unresolvable, 'incomplete_uncertain' AS status, true AS dry_run
+    FROM (SELECT event_id, 'HOSP|' || CASE WHEN s = 12 THEN 'T' ELSE 'S' END || event_id AS patient_key FROM e WHERE event_type = 'error') k
+    LEFT JOIN (SELECT event_id, count(*) FILTER (WHERE gone AND "table" NOT IN ('keys', 'revisions')) AS deleted FROM held GROUP BY event_id) USING (event_id)""",
+    "adt_erase_snapshot": _L + _ERASED + """SELECT "table", count(*) FILTER (WHERE NOT gone)::BIGINT AS n FROM held WHERE "table" IN ('stays', 'segments', 'notifications') GROUP BY ALL""",
 }

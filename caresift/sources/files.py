@@ -62,19 +62,30 @@ def write_audit(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def publish(tables: dict[str, DataFrame], root: str, version: str | None = None) -> str:
-    """Writes all tables under one new version with their row counts, then moves the pointer; readers see all or none."""
+    """Writes all tables under one new version with their row counts, then moves the pointer; readers see all or none.
+
+    Versions are numbered in the order in which they are published, whatever they are called.
+    """
     spark = next(iter(tables.values())).sparkSession
     version = version or f"v{time.time_ns()}"
     counts = {}
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
         counts[name] = spark.read.parquet(f"{root}/{version}/{name}").count()
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(json.dumps(counts, sort_keys=True)).alias("counts"))
+    last = _versions(spark, root)
+    number = 1 + (last.agg(F.max("number")).first()[0] or 0) if last is not None else 1
+    pointer = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(version).alias("version"), F.lit(json.dumps(counts, sort_keys=True)).alias("counts"))
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/_versions")
     return version
 
 
+def _versions(spark: SparkSession, root: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema("number long, version string, counts string").parquet(str(path)) if there else None
+
+
 def published(spark: SparkSession, root: str) -> tuple[str, dict[str, DataFrame]]:
-    """The newest published version and its tables."""
-    row = spark.read.parquet(f"{root}/_versions").orderBy(F.col("version").desc()).first()
+    """The last published version and its tables."""
+    row = _versions(spark, root).orderBy(F.col("number").desc()).first()
     return row["version"], {name: spark.read.parquet(f"{root}/{row['version']}/{name}") for name in json.loads(row["counts"])}

@@ -135,7 +135,12 @@ LATE_HISTORIES = [
     [("A01", 0, 0, None), ("A12", 3600, 3600, ("CANCELS", 2, "A02", 5400)), ("A02", 5400, 9 * DAY, None)],
     [("A04", 0, 0, None), ("A03", 2 * DAY, 2 * DAY, None)],
     [("A04", 0, 0, None), ("A01", 21000, 21000, None)],
+    [("A01", 0, 0, None), ("A11", 3600, 3600, ("CANCELS", 9, "A01", 0))],
+    [("A01", 0, 0, None), ("A02", None, 1800, None), ("A02", 3600, 3600, None)],  # messages that name two patients
+    [("A01", 0, 0, None)],  # an identifier that can't be read
 ]
+#: How PID-3 of some of them differs, after the patient's name and with it.
+LATE_IDS = {12: ("^^^HOSP^MR~T", "^^^HOSP^MR"), 13: ("^^^HOSP^PI", None)}
 HALF_DAY = DAY // 2
 
 
@@ -159,7 +164,11 @@ def adt_histories(spark: SparkSession, sf_dir: str, scripts: list = HISTORIES, a
     place = F.concat(F.lit("W"), ((F.col("event_id") + i) % 4).cast("string"), F.lit("^R"), i.cast("string"), F.lit("^B"), (F.col("event_id") % 3).cast("string"))
     msh = _join("|", "MSH", "^~\\&", "ADTAPP", "HOSP", "HUB", "HUB", stamp(F.col("m.arrival")), "", F.concat(F.lit("ADT^"), F.col("m.trigger")), number(i), "P", "2.5")
     evn = _join("|", "EVN", F.col("m.trigger"), stamp(F.col("m.arrival")), "", "", "", stamp(F.col("m.at")))
-    pid = _join("|", "PID", "1", "", F.when(F.col("history") == LONELY, "").otherwise(F.concat(F.lit("S"), name, F.lit("^^^HOSP^MR"))))
+    own = F.concat(F.lit("S"), name, F.lit("^^^HOSP^MR"))
+    if scripts is LATE_HISTORIES:
+        for n, (more, end) in LATE_IDS.items():
+            own = F.when(F.col("history") == n, F.concat(F.lit("S"), name, F.lit(more), *([name, F.lit(end)] if end else []))).otherwise(own)
+    pid = _join("|", "PID", "1", "", F.when(F.col("history") == LONELY, "").otherwise(own))
     pv1 = F.concat(F.lit("PV1|1|I|"), place, F.repeat(F.lit("|"), 16), F.when(F.col("history") < 12, F.concat(F.lit("V"), name)).when(F.col("history") == 25, F.concat(F.lit("V"), number(i))).otherwise(""))
     zbe = _join("|", "ZBE", "", stamp(F.col("m.at")))
     zst = F.when(F.col("m.action").isNotNull(), _join("|", "ZST", F.col("m.action"), number(F.col("m.of")), F.concat(F.lit("ADT^"), F.col("m.kind")), stamp(F.col("m.said"))))

@@ -50,6 +50,8 @@ def test_publish_and_read(spark, tmp_path):
     files.publish({"stay": a, "segment": a}, str(tmp_path), "v2")
     version, tables = files.published(spark, str(tmp_path))
     assert version == "v2" and tables["segment"].count() == 3
+    files.publish({"stay": a}, str(tmp_path), "v10")
+    assert files.published(spark, str(tmp_path))[0] == "v10"
 
 
 def stream(spark, df, path, job, mode="append"):
