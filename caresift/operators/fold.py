@@ -392,8 +392,13 @@ def reconstruct(events: DataFrame, as_of: str, windows: Windows = Windows(), pol
 
     ordered = named.repartition("patient_key").sortWithinPartitions("patient_key", "batch", "at", "receipt_id")
     out = ordered.mapInArrow(run, "patient_key string, " + ", ".join(f"{n} {k}" for n, k in FIELDS.items()))
+    return out.unionByName(unassigned(events.where(lost)))
+
+
+def unassigned(events: DataFrame) -> DataFrame:
+    """A finding for each event without a patient key or time, as tagged rows."""
     other = {n: F.lit(None).cast(k) for n, k in FIELDS.items()} | {"kind": F.lit("finding"), "status": F.lit("unassigned"), "reason": F.lit("no patient key or no time")}
-    return out.unionByName(events.where(lost).select("patient_key", "receipt_id", *[c.alias(n) for n, c in other.items() if n != "receipt_id"]))
+    return events.select("patient_key", "receipt_id", *[c.alias(n) for n, c in other.items() if n != "receipt_id"])
 
 
 def stays_of(rows: DataFrame) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caresift.operators import fold, sighting
 from caresift.plans import adt_queries, history_queries, v2_queries
 from caresift.sources import synth
-from caresift.sources.files import new_folder
+from caresift.sources.files import kept, new_folder
 from caresift.streaming import jobs
 
 
+#: Files of a step of a replayed stream.
+FILES = 4
+
+
 def _streamed(rows: DataFrame) -> DataFrame:
     """``rows`` as a table in the shared folder, read as a stream."""
     folder = new_folder(rows.sparkSession)
@@ -54,7 +58,50 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.current(spark, folder).select("stay_id", "revision", F.get_json_object("after_json", "$.stay.status").alias("status"))
 
 
-QUERIES = {"v2_stream_reports": reports, "v2_stream_rates": rates, "v2_stream_loss_rates": loss_rates, "adt_stream_markers": markers, "adt_stream_changes": changes}
+def _stay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold's rows of the scripted histories, read as a stream in four steps of arrival; the clock is the watermark.
+
+    A last row of no known patient carries the clock past all that falls due.
+    """
+    events = sighting.events(history_queries._sighted(spark, sf_dir)).drop("patient_keys")
+    end = events.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name not in ("receipt_id", "arrival_ts")], F.lit(-1).cast("long").alias("receipt_id"), F.lit("2024-03-15").cast("timestamp").alias("arrival_ts"))
+    folder, rows = new_folder(spark), kept(events.unionByName(end))
+    cuts = rows.agg(F.percentile_approx("arrival_ts", [0.25, 0.5, 0.75])).first()[0]
+    step = sum((F.col("arrival_ts") > F.lit(c)).cast("int") for c in cuts)
+    for n in range(len(cuts) + 1):  # files are read in the order of writing, so many at a time
+        rows.where(step == n).repartition(FILES).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "true"}
+    held = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        return jobs.run_available(jobs.stays(stream, poll_seconds=600, late="1 hour"), new_folder(spark))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stay as its last revision has it, with its wards in order."""
+    rows = _stay_rows(spark, sf_dir)
+    last = Window.partitionBy("stay_id")
+    rows = rows.where("kind in ('stay', 'segment')").withColumn("last", F.max("revision").over(last)).where("revision = last")
+    wards = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "segment", F.struct("seq", "ward")))), lambda s: s["ward"]), ",")
+    one = lambda c: F.max(F.when(F.col("kind") == "stay", F.col(c)))
+    return rows.groupBy("stay_id").agg(F.max("revision").cast("int").alias("revision"), one("pattern").alias("pattern"), one("status").alias("status"), F.max("patient_key").alias("patient_key"), F.timestamp_seconds(one("start_s")).alias("opened_event_ts"), F.timestamp_seconds(one("end_s")).alias("closed_event_ts"), wards.alias("wards"))
+
+
+def stay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream told of events: statuses, findings and changes."""
+    rows = _stay_rows(spark, sf_dir).where("kind in ('event', 'finding', 'change')")
+    return rows.where("receipt_id >= 0").select("receipt_id", "kind", "status", F.when(F.col("kind") == "change", F.col("revision")).alias("revision"))
+
+
+QUERIES = {
+    "adt_stream_stays": stays, "adt_stream_stay_log": stay_log,
+    "v2_stream_reports": reports, "v2_stream_rates": rates, "v2_stream_loss_rates": loss_rates, "adt_stream_markers": markers, "adt_stream_changes": changes,
+}
 
 ORACLE = {
     "v2_stream_reports": v2_queries._sql("SELECT k AS receipt_id, message_type, total::INT AS total_losses, crit::INT AS n_critical, warn::INT AS n_warning FROM rep"),
@@ -62,4 +109,6 @@ ORACLE = {
     "v2_stream_loss_rates": v2_queries._sql("SELECT ts::DATE::TIMESTAMP AS start, pattern, count(*) AS n, round(count(*) / 86400.0::DOUBLE, 9) AS rate FROM found JOIN msg USING (k) GROUP BY ALL"),
     "adt_stream_markers": adt_queries._FULL + "SELECT 'E' || event_id AS msh10, kind, trig AS trigger FROM k",
     "adt_stream_changes": history_queries._H + "SELECT stay_id, revision::BIGINT AS revision, sa AS status FROM change",
+    "adt_stream_stays": history_queries._H + "SELECT stay_id, revision, pattern, status, patient_key, opened AS opened_event_ts, closed AS closed_event_ts, coalesce((SELECT string_agg(ward, ',' ORDER BY seq) FROM seg WHERE seg.stay_id = stay.stay_id), '') AS wards FROM stay",
+    "adt_stream_stay_log": "SELECT receipt_id, kind, status, NULL::BIGINT AS revision FROM (" + history_queries.ORACLE["adt_retro_statuses"] + ") WHERE kind <> 'tombstone' UNION ALL SELECT receipt_id, 'change', change, revision FROM (" + history_queries.ORACLE["adt_retro_changes"] + ")",
 }

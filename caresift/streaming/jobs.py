@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,63 +37,137 @@ def rates(reports: DataFrame, by: list[str], window: str = "1 minute", slide: st
     return reports.withWatermark(time, late).groupBy(F.window(time, window, slide), *by).agg(F.count("*").alias("n")).withColumn("rate", F.col("n") / span)
 
 
+_GONE = object()
+
+
+class Stored(MutableMapping):
+    """A map state as a mapping: an entry is read when it is asked for, and written by ``flush`` if it was set."""
+
+    def __init__(self, state, read=json.loads, write=json.dumps) -> None:
+        self.state, self.read, self.write = state, read, write
+        self.known, self.changed = {}, {}
+
+    def __getitem__(self, key):
+        if key not in self.known:
+            found = self.state.getValue((key,))
+            self.known[key] = _GONE if found is None else self.read(found[0])
+        if self.known[key] is _GONE:
+            raise KeyError(key)
+        return self.known[key]
+
+    def __setitem__(self, key, value) -> None:
+        self.known[key], self.changed[key] = value, None
+
+    def __delitem__(self, key) -> None:
+        self.known[key], self.changed[key] = _GONE, None
+
+    def __iter__(self):
+        self.flush()
+        return iter([key for (key,) in self.state.keys()])  # noqa: SIM118
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.known[key] is not _GONE:
+                self.state.updateValue((key,), (self.write(self.known[key]),))
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
+        self.changed = {}
+
+
 class StayProcessor(StatefulProcessor):
     """One patient's fold on stored state.
 
-    An event waits until it is ``jitter`` old on the processing clock, then is applied in movement order with what is ripe;
-    a late one revises.  Timers wake the patient for ripe events, the join window and waiting negations.
+    An event waits until it is ``jitter`` old by the clock, then is applied in movement order with what is ripe; a late one
+    revises.  Timers wake the patient for ripe events, the join window and waiting negations.  The clock is the watermark of
+    arrivals (``by_arrival``), so that a replay gives what a live run gave, or the time of processing.
+
+    Stays, references and waiting negations are entries of map states of their own: a step reads and writes those it
+    touches, and tells the stays that changed.  Open stays, deadlines and the last poll are one small value.
     """
 
-    def __init__(self, windows: Windows = Windows()) -> None:
-        self.windows = windows
+    def __init__(self, windows: Windows = Windows(), poll_seconds: int = 0, by_arrival: bool = False) -> None:
+        self.windows, self.poll, self.by_arrival = windows, poll_seconds, by_arrival
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("fold", "text string")
+        self.small = handle.getValueState("small", "text string")
         self.buffer = handle.getListState("buffer", "text string")
-
-    def _step(self, key, now: int) -> pd.DataFrame:
-        patient = fold.load(self.state.get()[0] if self.state.exists() else None, self.windows)
-        held = [fold.load(x[0]).applied[0] for x in self.buffer.get()]
-        ripe = sorted((e for e in held if e.arrival + self.windows.jitter <= now), key=lambda e: (e.at, e.receipt_id))
+        number, name, text = "id long", "name string", "text string"
+        self.maps = {"stays": handle.getMapState("stays", number, text), "applied": handle.getMapState("applied", name, text), "owners": handle.getMapState("owners", number, text), "waiting": handle.getMapState("waiting", number, text), "awaited": handle.getMapState("awaited", name, text)}
+
+    def _load(self) -> fold.PatientFold:
+        plain = {n: Stored(state) for n, state in self.maps.items()}
+        plain["stays"] = Stored(self.maps["stays"], fold.stay_from, fold.stay_text)
+        plain["waiting"] = Stored(self.maps["waiting"], lambda t: (fold.event_from(json.loads(t)[0]), json.loads(t)[1]), lambda v: json.dumps([fold.event_text(v[0]), v[1]]))
+        told = json.loads(self.small.get()[0]) if self.small.exists() else {"opened": [], "deadlines": []}
+        return fold.PatientFold(self.windows, **plain, opened=told["opened"], deadlines=[tuple(x) for x in told["deadlines"]])
+
+    def _due(self, event: fold.Event) -> int:
+        """The second at which an event is applied: of the first poll at which it is ripe."""
+        ripe = event.arrival + self.windows.jitter
+        return -(-ripe // self.poll) * self.poll if self.poll else ripe
+
+    def _step(self, key, now: int, more: list[fold.Event]) -> pd.DataFrame:
+        held = [fold.event_from(x[0]) for x in self.buffer.get()] + more
+        ripe = sorted((e for e in held if self._due(e) <= now), key=lambda e: (self._due(e) if self.poll else 0, e.at, e.receipt_id))
+        rest = [e for e in held if self._due(e) > now]
+        patient, poll = self._load(), None
         for e in ripe:
+            if self.poll and poll != self._due(e):
+                patient.finish(self._due(e) - self.poll)
+            poll = self._due(e)
             patient.apply(e)
-        patient.finish(now)
-        rest = [e for e in held if e.arrival + self.windows.jitter > now]
-        self.buffer.clear()
-        if rest:
-            self.buffer.put([(fold.dump(fold.PatientFold(applied=[e])),) for e in rest])
-        self.state.update((fold.dump(patient),))
-        wake = [e.arrival + self.windows.jitter for e in rest] + [s.arrived + self.windows.join + 1 for s in patient.stays if s.status == "open" and s.pattern == "pending"] + [e.arrival + self.windows.tombstone + 1 for e, status in patient.waiting if status == "waiting"]
+        patient.finish(now // self.poll * self.poll if self.poll else now)
+        rows = pd.DataFrame(list(patient.told()), columns=list(fold.FIELDS), dtype=object)
+        rows.insert(0, "patient_key", key[0])
+        for n in self.maps:
+            getattr(patient, n).flush()
+        if more or ripe:
+            self.buffer.clear()
+            if rest:
+                self.buffer.put([(fold.event_text(e),) for e in rest])
+        self.small.update((json.dumps({"opened": patient.opened, "deadlines": patient.deadlines}),))
+        wake = [self._due(e) for e in rest] + [-(-x[0] // self.poll) * self.poll if self.poll else x[0] for x in patient.deadlines[:1]]
         if wake:
             self.handle.registerTimer(max(min(wake), now + 1) * 1000)
-        rows = pd.DataFrame(list(patient.rows()), columns=list(fold.FIELDS), dtype=object)
-        rows.insert(0, "patient_key", key[0])
         return rows
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        now = timer_values.getCurrentProcessingTimeInMs() // 1000
+    def _now(self, timerValues) -> int:
+        return max(0, (timerValues.getCurrentWatermarkInMs() if self.by_arrival else timerValues.getCurrentProcessingTimeInMs()) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        more = []
         for pdf in rows:
             pdf = pdf.astype(object).where(pdf.notna(), None)
-            for r in pdf.itertuples():
-                self.buffer.appendValue((fold.dump(fold.PatientFold(applied=[fold.event_of(r)])),))
-        yield self._step(key, now)
+            more += [fold.event_of(r) for r in pdf.itertuples()]
+        yield self._step(key, self._now(timerValues), more)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        yield self._step(key, timer_values.getCurrentProcessingTimeInMs() // 1000)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._step(key, self._now(timerValues), [])
 
     def close(self) -> None:
         pass
 
 
-def stays(events: DataFrame, windows: Windows = Windows()) -> DataFrame:
-    """Tagged rows of the fold, a patient's whole state after each change; needs the RocksDB state store.
+def stays(events: DataFrame, windows: Windows = Windows(), poll_seconds: int = 0, late: str | None = None) -> DataFrame:
+    """Tagged rows of the fold: what is told of events, and after each step the stays that changed, whole.  Needs the RocksDB
+    state store.  Of a stay, the rows of the highest revision hold.
+
+    With ``late``, the clock is the watermark of arrivals, so much behind the latest: what is processed twice gives the same,
+    and ``availableNow`` ends with all that the watermark has passed.  Without, it is the time of processing; for a run that
+    ends, switch ``spark.sql.streaming.noDataMicroBatches.enabled`` off then: batches for timers have no end.  With
+    ``poll_seconds``, events are applied and deadlines fall due in polls, as in ``fold.reconstruct``.
 
-    For a run that ends (``availableNow``), switch ``spark.sql.streaming.noDataMicroBatches.enabled`` off: batches for timers
-    have no end.
+    Events without a patient or a time are findings, and never reach a state.
     """
     schema = "patient_key string, " + ", ".join(f"{n} {k}" for n, k in fold.FIELDS.items())
-    return events.where("patient_key is not null and event_ts is not null").groupBy("patient_key").transformWithStateInPandas(StayProcessor(windows), outputStructType=schema, outputMode="Update", timeMode="processingTime")
+    source = events.withWatermark("arrival_ts", late) if late else events
+    lost = F.col("patient_key").isNull() | F.col("event_ts").isNull()
+    rows = source.where(~lost).groupBy("patient_key").transformWithStateInPandas(StayProcessor(windows, poll_seconds, bool(late)), outputStructType=schema, outputMode="Append" if late else "Update", timeMode="eventTime" if late else "processingTime")
+    return rows.unionByName(fold.unassigned(source.where(lost)))
 
 
 def events(msgs: DataFrame, as_of: str) -> DataFrame:
