@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caresift.llm._support import BROADCAST_ROWS, cut, documents, forget, slices, small
+from caresift.llm._support import BROADCAST_ROWS, cut, documents, forget, give_back, slices, small
 from caresift.llm._words import U, mix, shingles, words
 from caresift.llm.graph import components
 
 #: Counters of the frequency table, of a fixed size whatever the corpus, and in how many slices it is summed.
 COUNTERS, COUNTER_SLICES = 1 << 24, 64
 #: Signatures that one reducer's bucket should hold, and text bytes whose signatures are sent at once.
-BUCKET_SIGNATURES, CHUNK_BYTES = 500_000, 8_000_000
+BUCKET_SIGNATURES, CHUNK_BYTES = 500_000, 4_000_000
 #: Sets in one block of the search.
 BLOCK_SETS = 2_000
 LEADERS = 8
@@ -137,11 +138,21 @@ def count_ngrams(docs: DataFrame, config: JoinConfig) -> np.ndarray:
     width = COUNTERS // COUNTER_SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(COUNTERS, np.uint32)
+        low, carried = np.zeros(COUNTERS, np.uint16), Counter()  # the lower 16 bits of each counter, and what few carry over
         for _, body, at in slices(batches):
             name, n = np.unique(np.concatenate([*sets(body, at, config.words), np.empty(0, U)]) >> U(40), return_counts=True)
-            out[name.astype(np.int64)] += n.astype(np.uint32)
-        parts = [pa.compress(_logarithm(x).tobytes(), codec="zstd", asbytes=True) for x in np.split(out, COUNTER_SLICES)]  # mostly zeros
+            name, total = name.astype(np.int64), n + low[name.astype(np.int64)]
+            low[name] = total & 0xFFFF
+            carried.update({int(k): int(v) for k, v in zip(name[total > 0xFFFF], total[total > 0xFFFF] >> 16, strict=True)})
+        parts = []
+        for i, x in enumerate(np.split(low, COUNTER_SLICES)):
+            x = x.astype(np.float32)
+            for k, v in carried.items():
+                if k // width == i:
+                    x[k % width] += np.float32(v * 65536)
+            parts.append(pa.compress(_logarithm(x).tobytes(), codec="zstd", asbytes=True))  # mostly zeros
+        del low
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -214,6 +225,8 @@ def candidate_links(docs: DataFrame, config: JoinConfig, largest: int, buckets:
         found, nodes, low, high = (np.concatenate([np.frombuffer(x, k) for x in rows[c]]) for c, k in (("signatures", U), ("nodes", np.int64), ("low", np.uint16), ("high", np.uint16)))
         links = chained(found, low.astype(np.int64), high.astype(np.int64), nodes)[-1]
         own = np.unique(np.concatenate([links, *[np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows.links if x]]), axis=0)
+        del found, nodes, low, high, links
+        give_back()
         return pd.DataFrame({"a": own[:, 0], "b": own[:, 1]})
 
     sent = docs.select("text").mapInArrow(send, "bucket long, signatures binary, nodes binary, low binary, high binary, links binary")
@@ -276,6 +289,8 @@ def _search(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     nodes = rows.node.to_numpy()
     _, same = np.unique(np.concatenate([rows["class"].to_numpy()[index], rows["class"].to_numpy()[asked]]), return_inverse=True)
     found = divide_skip([own[i] for i in index], [own[i] for i in asked], percent, same)
+    del own
+    give_back()
     return pd.DataFrame({"a": [nodes[asked[q]] for q, _ in found], "b": [nodes[index[y]] for _, y in found]}, dtype="int64")
 
 
