@@ -4,12 +4,19 @@ Source and configuration text is read as name-literal pairs.  The left side is a
 key, with subscripts (``config["passphrase"]``), a type after it (``token: str``, ``password string``) or before it
 (``String password``), or an XML element.  The value is a literal in single, double, triple or back quotes with a prefix or
 without, over lines where its quotes allow that, on the next line, a block of indented lines (``key: |``), or a bare word.
-Sums of literals and names, and chains (``a = b = "x"``), are followed.
+Sums of literals and names, and chains (``a = b = "x"``), are followed.  A value may stand in brackets: a sum in round ones,
+elements of a list, keys of an object, which add to the names around them (``{"pwd": {"value": "x"}}``).  The default of a
+lookup (``os.environ.get("DB_PASSWORD", "x")``) counts for the name looked up too, and what a setter is given
+(``conn.setPassword("x")``) for the name that it sets.
 
 A literal is scored by its own looks and by the names it reaches: the name it is assigned to and, through ``other = name``
 and ``other = name + "literal"``, names that its constant is handed on to, to a fixed point.
 
-Refused by rule: unpacking (``a, b = "x", "y"``), literals that are only passed by place (``login("x")``), and comparisons.
+Refused by rule: references, that is bare words with a bracket after them, dotted ones and snake case ones of words and
+short numbers, and bare words that are sensitive names themselves (``token = get_token()``, ``secret = settings.KEY``,
+``credential=default_credential``); unpacking (``a, b = "x", "y"``), literals that are only passed by place
+(``login("x")``), comparisons,
+lists that begin with a name, and keys nested by indentation alone.
 Comments are read like code, as a secret in a comment is as open as one beside it.
 """
 
@@ -40,18 +47,27 @@ _TRIPLE = r'''"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'
 _PLAIN = r'''"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|`([^`\\]*+(?:\\.[^`\\]*+)*+)`'''
 _QUOTED = rf"(?:[rRbBfFuUlL]{{1,2}}+(?=[\"\'`]))?+(?:{_TRIPLE}|{_PLAIN})"
 _SPACE = r"[\x20\t]*+"
-#: One pair.  Groups: name, subscripts, second word; then the value's groups as VALUES says.
+#: One pair.  Groups: name, subscripts, second word, bracket before a quote; then the value's groups as VALUES says.
 PAIR = re.compile(
     rf"""(?s)(?<![\w.$\-])([A-Za-z_$][A-Za-z0-9_.$\-]*+)((?:\[{_SPACE}["']?[A-Za-z0-9_.$\-]++["']?{_SPACE}\])*+)["'`]?+"""
     rf"""(?:{_SPACE}:{_SPACE}[A-Za-z_][A-Za-z0-9_.\[\],|\x20]*+(?==(?!=))|[\x20\t]++([A-Za-z_$][A-Za-z0-9_.$*]*+)(?={_SPACE}:?=(?![=>])))?+"""
-    rf"""{_SPACE}(?::=|=>|\?=|\+=|=(?!=)|:(?![:/=])){_SPACE}(?:\(?{_SPACE}\\?\r?\n\s*+(?=[rRbBfFuU]{{0,2}}["'`]))?+"""
+    rf"""{_SPACE}(?::=|=>|\?=|\+=|=(?!=)|:(?![:/=])){_SPACE}(?:([(\[{{])\s*+(?=[rRbBfFuU]{{0,2}}["'`])|\\?\r?\n\s*+(?=[rRbBfFuU]{{0,2}}["'`]))?+"""
     rf"""(?:{_QUOTED}|[|>][+-]?{_SPACE}\r?\n((?:[\x20\t]++[^\n]*+(?:\n|\Z))++)|([^\s"'`,;(){{}}\[\]<>]++))"""
 )
-VALUES = range(4, 11)  #: two triple quotes, three plain ones, a block, a bare word
-BARE = 10
+BRACKET = 4
+VALUES = range(5, 12)  #: two triple quotes, three plain ones, a block, a bare word
+BLOCK, BARE = 10, 11
 ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*+)(?:\s[^<>]*+)?>\s*+([^<>]*+)</")
 #: What follows a value in a sum of names and literals, or in a chain of assignments.
 MORE = re.compile(rf"""(?s)\s*+(?:\+|\\|\.(?=\s))?+\s*+{_QUOTED}|\s*+\+\s*+([A-Za-z_][A-Za-z0-9_.]*+)""")
+#: The next element of a list; what makes a quoted word in an object a key; a lookup's name and default; a setter's name and value.
+LISTED = re.compile(rf"(?s)\s*+,\s*+{_QUOTED}")
+KEYED = re.compile(r"\s*+(?::(?!:)|=>)")
+LOOKUP = re.compile(rf"(?s)\(\s*+(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+)\s*+,\s*+{_QUOTED}")
+CALL = re.compile(rf"(?s)\((?:[^()\"'`\n]|{_QUOTED})*+\)")
+SETTER = re.compile(rf"(?s)(?<![A-Za-z0-9])set_?([A-Za-z][A-Za-z0-9_]*+)\(\s*+{_QUOTED}\s*+\)")
+BRACES = re.compile(r"[{}]")
+WORD = re.compile(r"[A-Za-z]*\d{0,2}")
 CHAIN = re.compile(r"[\x20\t]*+=(?!=)")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+")
 PART = re.compile(r"\S+")
@@ -88,27 +104,68 @@ def literal_score(text: str) -> float:
     return min(1.0, bits / 4) * min(1.0, n / 16) ** 0.5 * (BLANK if INNER.search(text) else 1.0)
 
 
+def is_reference(word: str) -> bool:
+    """Whether a bare word names something: dotted or snake case parts of letters and short numbers, or a sensitive name."""
+    parts = re.split(r"[._]", word)
+    return NAME.fullmatch(word) is not None and all(WORD.fullmatch(p) for p in parts) and (len(parts) > 1 or name_score(word) > 0)
+
+
+def _quoted(m: re.Match, groups: range) -> tuple[int, int] | None:
+    """The span of the one of a quote's five groups that matched."""
+    return next((m.span(g) for g in groups if m[g] is not None), None)
+
+
 def pairs(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], list[str]]]:
     """Of each assignment: its names in lower case, the spans of its literals, and the names whose values it takes."""
-    at = 0
+    at, last, around = 0, 0, []  # around: the names of the objects that are open
     while (m := PAIR.search(text, at)) is not None:
-        names = [(m[1] + "." + re.sub(r"[^A-Za-z0-9_.$\-]+", ".", m[2]).strip(".") if m[2] else m[1]).lower()]
+        for brace in BRACES.finditer(text, last, m.start()):
+            if brace[0] == "{":
+                around.append("")
+            elif around:
+                around.pop()
+        own = m[1] + "." + re.sub(r"[^A-Za-z0-9_.$\-]+", ".", m[2]).strip(".") if m[2] else m[1]
+        names = [".".join([*filter(None, around), own]).lower()]
+        names += [own.lower()] if own.lower() != names[0] else []
         names += [m[3].lower()] if m[3] else []
         group = next(g for g in VALUES if m[g] is not None)
-        taken = [m[BARE].lower()] if group == BARE and NAME.fullmatch(m[BARE]) else []
-        spans, at = [m.span(group)], m.end()
-        if taken and CHAIN.match(text, at):
+        spans, taken, last, at = [m.span(group)], [], m.end(), m.end()
+        if m[BRACKET] == "{" and KEYED.match(text, at):
+            around.append(own)
+            last = at = m.end(BRACKET)  # the next pair begins with the key
+            continue
+        if group == BLOCK:
+            a, b = spans[0]
+            body = text[a:b]
+            spans = [(a + len(body) - len(body.lstrip()), a + len(body.rstrip()))]
+        elif group == BARE:
+            taken = [m[BARE].lower()] if NAME.fullmatch(m[BARE]) else []
+            called = text[at : at + 1]
+            spans = [] if called in ("(", "[") or is_reference(m[BARE]) else spans
+            if called == "(" and (found := LOOKUP.match(text, at)) is not None:
+                spans, asked = [_quoted(found, range(6, 11))], _quoted(found, range(1, 6))
+                names += [text[slice(*asked)].lower()] if asked else []
+                last = at = found.end()
+            elif called == "(" and (whole := CALL.match(text, at)) is not None and (more := MORE.match(text, whole.end())) is not None and more[6] is None:
+                spans = [_quoted(more, range(1, 6))]
+        if taken and not m[BRACKET] and CHAIN.match(text, at):
             yield names, [], taken  # the next pair begins with the name that this one takes
-            at = m.start(BARE)
+            last = at = m.start(BARE)
             continue
-        while (more := MORE.match(text, at)) is not None:
-            held = next(g for g in range(1, 7) if more[g] is not None)
-            if held == 6:
-                taken.append(more[6].lower())
+        while True:
+            if (more := MORE.match(text, at)) is not None:
+                if more[6] is not None:
+                    taken.append(more[6].lower())
+                else:
+                    spans.append(_quoted(more, range(1, 6)))
+            elif m[BRACKET] and (more := LISTED.match(text, at)) is not None:
+                spans.append(_quoted(more, range(1, 6)))
             else:
-                spans.append(more.span(held))
-            at = more.end()
+                break
+            last = at = more.end()
         yield names, spans, taken
+    for m in SETTER.finditer(text):
+        yield [m[1].lower()], [_quoted(m, range(2, 7))], []
     for m in ELEMENT.finditer(text):
         end = m.start(2) + len(m[2].rstrip())
         if end > m.start(2):
@@ -121,7 +178,7 @@ def literal_spans(text: str, config: ScanConfig = ScanConfig()) -> list[tuple[in
     A literal with inner blanks counts whole only for a name of score 1; else each of its parts between blanks counts for
     itself (a PEM body, the token after ``Bearer``).
     """
-    if "=" not in text and ":" not in text and "</" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "set" not in text:
         return []
     reach: dict[str, list[tuple[int, int]]] = {}  # a name's literals, by assignment
     taken: dict[str, list[str]] = {}  # a name and those whose value it takes

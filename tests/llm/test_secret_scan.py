@@ -62,7 +62,37 @@ def test_forms_of_assignment():
         assert literals(form.format(LITERAL)) == [LITERAL], form
     two = f"{LITERAL}\n{LITERAL}"
     assert literals(f'private_key = """{two}"""') == literals(f"private_key = \'\'\'{two}\'\'\'") == [two]
-    assert literals(f"passphrase: |\n  {LITERAL}\n  {LITERAL}\nnext: 1") == [f"  {LITERAL}\n  {LITERAL}\n"]
+    assert literals(f"passphrase: |\n  {LITERAL}\n  {LITERAL}\nnext: 1") == [f"{LITERAL}\n  {LITERAL}"]
+
+
+#: Texts with the literals that are secrets, marked by braces; the others hold none.
+OTHER = "Tr5v-Wq8.Ze21_Kp"
+LABELLED = [
+    *FORMS, 'pwd = ("{}" "{}")', '{{"credential": ["{}"]}}', '{{"pwd": {{"value": "{}"}}}}', 'conn.setPassword("{}")', 'user.set_api_secret( "{}" )', 'token = os.environ.get("X", "{}")', 'x = os.getenv("DB_PASSWORD", "{}")', "passphrase: |\n  {}\nnext: 1",
+    'db = {{"auth": {{"user": "admin", "pwd": "{}"}}, "title": "plain words"}}', 'api_secret = [\n  "{}",\n  "{}",\n]', "ENV API_SECRET {}".replace(" {}", "={}"), "aws:\n  secret_access_key: {}\n  region: eu-west-1", "$password = '{}';", 'let pwd: String = "{}".into();',
+    'client.connect(host="db", passphrase="{}")', "<bean><property name='x'/><secret>{}</secret></bean>", 'password := fetch("vault") + "{}"', 'key = "{}"\nclient = Client(api_secret=key)', "password=request.args.get('p', '{}')",
+    "password = request.form.password", "token = get_access_token()", "secret = settings.SECRET_KEY", 'api_key = os.getenv("API_KEY")', "credentials = Credentials.from_file(path)", "def f(credential=default_credential): pass", "token = tokens[0]", "self.password = password", "const secret = props.secret;",
+    "pwd = pwd_2", "credential: credential_file", "if token == other_token: return", "token = next(stream)", 'title = "{}"'.format(LITERAL), f"<title>{LITERAL}</title>", f'login("{LITERAL}")', f'name: {{"first": "{LITERAL}"}}', 'password = ""', 'secret = "changeme"', "auth = HTTPBasicAuth(user, pwd)",
+    'pwd = {}', "settings = dict(a=1, b=2)", "for key, value in rows: pass", "return {'key': value}", f'conn.setTitle("{LITERAL}")', "token: str", "password: ${{ secrets.DB_PASSWORD }}", "api_key = config['api_key']", "The secret: nobody came to the party.",
+]
+
+
+def test_precision_and_recall():
+    found = right = wanted = 0
+    for form in LABELLED:
+        values = [LITERAL, OTHER][: form.count("{}")] if form.count("{}") and "pwd = {}" != form else []
+        text = form.format(*values) if values else form
+        got = literals(text)
+        wanted, found, right = wanted + len(values), found + len(got), right + sum(v in got for v in values)
+        assert sorted(got) == sorted(values), (text, got)
+    assert right == wanted == found
+
+
+def test_brackets_and_lookups_stay_linear():
+    start = time.time()
+    for said in ('a = {"' * 100_000, "a = [" + '"x", ' * 100_000, "a = f(" * 200_000, 'setA("' * 200_000, "{" * 500_000 + 'a = "x"' * 50_000, 'a = {"b": ' * 20_000):
+        secret_scan.literal_spans(said)
+    assert time.time() - start < 20
 
 
 def test_refused_forms():
