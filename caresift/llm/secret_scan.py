@@ -15,8 +15,7 @@ and ``other = name + "literal"``, names that its constant is handed on to, to a
 Refused by rule: references, that is bare words with a bracket after them, dotted ones and snake case ones of words and
 short numbers, and bare words that are sensitive names themselves (``token = get_token()``, ``secret = settings.KEY``,
 ``credential=default_credential``); unpacking (``a, b = "x", "y"``), literals that are only passed by place
-(``login("x")``), comparisons,
-lists that begin with a name, and keys nested by indentation alone.
+(``login("x")``), comparisons, lists that begin with a name, and keys nested by indentation alone.
 Comments are read like code, as a secret in a comment is as open as one beside it.
 """
 
@@ -67,6 +66,8 @@ LOOKUP = re.compile(rf"(?s)\(\s*+(?:{_QUOTED}|[A-Za-z_][A-Za-z0-9_.]*+)\s*+,\s*+
 CALL = re.compile(rf"(?s)\((?:[^()\"'`\n]|{_QUOTED})*+\)")
 SETTER = re.compile(rf"(?s)(?<![A-Za-z0-9])set_?([A-Za-z][A-Za-z0-9_]*+)\(\s*+{_QUOTED}\s*+\)")
 BRACES = re.compile(r"[{}]")
+#: So many of the objects around a key add their names to it.
+INNERMOST = 8
 WORD = re.compile(r"[A-Za-z]*\d{0,2}")
 CHAIN = re.compile(r"[\x20\t]*+=(?!=)")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+")
@@ -117,21 +118,22 @@ def _quoted(m: re.Match, groups: range) -> tuple[int, int] | None:
 
 def pairs(text: str) -> Iterator[tuple[list[str], list[tuple[int, int]], list[str]]]:
     """Of each assignment: its names in lower case, the spans of its literals, and the names whose values it takes."""
-    at, last, around = 0, 0, []  # around: the names of the objects that are open
+    at, last, around, named = 0, 0, [], []  # around: for each open object whether it has a name; named: those names
     while (m := PAIR.search(text, at)) is not None:
         for brace in BRACES.finditer(text, last, m.start()):
             if brace[0] == "{":
-                around.append("")
-            elif around:
-                around.pop()
+                around.append(False)
+            elif around and around.pop():
+                named.pop()
         own = m[1] + "." + re.sub(r"[^A-Za-z0-9_.$\-]+", ".", m[2]).strip(".") if m[2] else m[1]
-        names = [".".join([*filter(None, around), own]).lower()]
+        names = [".".join([*named[-INNERMOST:], own]).lower()]
         names += [own.lower()] if own.lower() != names[0] else []
         names += [m[3].lower()] if m[3] else []
         group = next(g for g in VALUES if m[g] is not None)
         spans, taken, last, at = [m.span(group)], [], m.end(), m.end()
         if m[BRACKET] == "{" and KEYED.match(text, at):
-            around.append(own)
+            around.append(True)
+            named.append(own)
             last = at = m.end(BRACKET)  # the next pair begins with the key
             continue
         if group == BLOCK:
