@@ -84,6 +84,11 @@ def audited(decided: Column, has_critical: Column, has_warning: Column) -> Colum
     return has_critical | has_warning | (decided != "forwarded")
 
 
+def durably_audited(events: Column, uninspectable: Column, decided: Column) -> Column:
+    """Whether the durable path writes an audit record: with audit events, for what can't be inspected, or when forwarding failed."""
+    return (F.size(events) > 0) | uninspectable | (decided == "forward-failed")
+
+
 #: FHIR outcome codes by severity.
 OUTCOME = {"info": "0", "warning": "4", "critical": "8"}
 
@@ -91,13 +96,13 @@ OUTCOME = {"info": "0", "warning": "4", "critical": "8"}
 def audit_events(df: DataFrame, message_id: str, found: str = "findings", of: str = "severity", recorded: str = "received_ts") -> DataFrame:
     """One AuditEvent for each finding of effective severity warning or critical: audit_id, severity, outcome, resource.
 
-    Ids are ``<message>-<n>``, n counted from 1 over the emitted events.  ``resource`` is FHIR JSON without payload.
+    Ids are ``<message>-<n>``, n counted from 0 over the emitted events.  ``resource`` is FHIR JSON without payload.
     """
     told = F.filter(F.col(found), lambda x: x[of].isin("warning", "critical"))
     rows = df.select(F.col(message_id).alias("message_id"), F.col(recorded).alias("recorded"), F.posexplode(told).alias("n", "f"))
     severity = F.col(f"f.{of}")
     outcome = F.element_at(F.create_map(*[F.lit(x) for pair in OUTCOME.items() for x in pair]), severity)
-    audit_id = F.concat_ws("-", F.col("message_id").cast("string"), (F.col("n") + 1).cast("string"))
+    audit_id = F.concat_ws("-", F.col("message_id").cast("string"), F.col("n").cast("string"))
     coding = lambda system, code: F.struct(F.lit(system).alias("system"), code.alias("code"))
     resource = F.struct(
         F.lit("AuditEvent").alias("resourceType"),
@@ -110,3 +115,22 @@ def audit_events(df: DataFrame, message_id: str, found: str = "findings", of: st
         F.array(F.struct(F.struct(F.col("f.location").alias("display")).alias("what"), F.array(F.struct(F.lit("pattern").alias("type"), F.col("f.pattern").alias("valueString"))).alias("detail"))).alias("entity"),
     )
     return rows.select("message_id", audit_id.alias("audit_id"), F.col("f.pattern").alias("pattern"), severity.alias("severity"), outcome.alias("outcome"), F.col("f.location").alias("location"), F.to_json(resource).alias("resource"))
+
+
+def audit_records(df: DataFrame, decision: str = "decision", of: str = "severity", raw: str = "text") -> DataFrame:
+    """receipt_id and ``record``, a JSON object, of the messages that the durable path audits; one record a receipt, no payload.
+
+    ``df``: inspected messages with ``decision`` and ack_code.  Findings stay in their message, so nothing is shuffled.
+    """
+    lost = F.col(raw).isNull()
+    told = F.filter("findings", lambda x: x[of].isin("warning", "critical"))
+    outcome = F.create_map(*[F.lit(x) for pair in OUTCOME.items() for x in pair])
+    event = lambda x, i: F.struct(F.concat_ws("-", F.col("receipt_id").cast("string"), i.cast("string")).alias("id"), x["pattern"].alias("pattern"), x[of].alias("severity"), F.element_at(outcome, x[of]).alias("outcome"), x["location"].alias("location"))
+    events = F.when(lost, F.array()).otherwise(F.transform(told, event))
+    rows = df.withColumn("__events", events).where(durably_audited(F.col("__events"), lost, F.col(decision)))
+    unless = lambda c, other: F.when(lost, F.lit(other)).otherwise(F.col(c))
+    record = F.struct(
+        "receipt_id", F.when(F.coalesce("tenant_id", F.lit("")) == "", "default").otherwise(F.col("tenant_id")).alias("tenant_id"), unless("message_type", "UNPARSEABLE").alias("message_type"), unless("control_id", "").alias("control_id"), lost.alias("uninspectable"),
+        unless("total_losses", None).alias("total_losses"), F.col(decision).alias("forward_decision"), "ack_code", F.col("__events").alias("audit_events"),
+    )
+    return rows.select("receipt_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))

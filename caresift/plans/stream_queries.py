@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caresift.operators import fold, sighting
 from caresift.plans import adt_queries, history_queries, v2_queries
 from caresift.sources import synth
-from caresift.sources.files import kept, new_folder
+from caresift.sources.files import kept, new_folder, read_audit, read_parts
 from caresift.streaming import jobs
 
 
@@ -98,7 +98,61 @@ def stay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("receipt_id >= 0").select("receipt_id", "kind", "status", F.when(F.col("kind") == "change", F.col("revision")).alias("revision"))
 
 
+def _grown(spark: SparkSession, rows: DataFrame, cuts: list[str], job) -> None:
+    """Runs ``job`` (for ``foreachBatch``) over a folder that grows: each time, all rows received before a cut are added once
+    more, and the stream takes up what is new in the folder.  The last batch then runs again, as after a lost executor."""
+    folder, held = new_folder(spark), {}
+
+    def remembered(batch: DataFrame, number: int) -> None:
+        job(batch, number)
+        held["last"] = kept(batch), number
+
+    for cut in cuts:
+        rows.where(F.col("received_ts") < cut).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        stream.writeStream.option("checkpointLocation", f"{folder}-cursor").foreachBatch(remembered).trigger(availableNow=True).start().awaitTermination()
+    job(*held["last"])
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of an incremental sighting of the scripted histories, with late copies of every 50th message."""
+    m = synth.adt_histories(spark, sf_dir)
+    late = m.where("receipt_id % 50 = 0").withColumns({"receipt_id": F.col("receipt_id") + 1_000_000_000_000, "received_ts": F.col("received_ts") + F.expr("interval 20 days")})
+    folder = new_folder(spark)
+    _grown(spark, kept(m.unionByName(late)), ["2024-01-12", "2024-01-25", "2025-01-01"], jobs.sight(folder, adt_queries.AS_OF))
+    return folder
+
+
+def increment_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_parts(spark, f"{_incremental(spark, sf_dir)}/dispositions", jobs.SIGHTED["dispositions"]).select("receipt_id", "kind", "trigger")
+
+
+def increment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of the incremental sighting, by kind where it has one."""
+    folder = _incremental(spark, sf_dir)
+    out = None
+    for name in ("markers", "holds", "findings", "events"):
+        rows = read_parts(spark, f"{folder}/{name}", jobs.SIGHTED.get(name, "receipt_id long, patient_key string"))
+        kind = F.col("kind") if "kind" in rows.columns else F.lit("")
+        own = rows.groupBy(F.lit(name).alias("table"), kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("receipt_id").alias("receipts"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def audit_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The durable audit log, read back: with losses, messages that can't be inspected, and failed forwards."""
+    m = synth.oru_messages(spark, sf_dir)
+    lost = m.where("receipt_id % 100 = 0").withColumns({"receipt_id": -F.col("receipt_id") - 1, "text": F.lit(None).cast("string")})
+    failed = F.when(F.col("receipt_id") % 40 == 7, "forward-failed").when(F.col("has_critical"), "blocked").otherwise("forwarded")
+    path = new_folder(spark)
+    _grown(spark, kept(m.unionByName(lost)), ["1994-01-01", "1996-01-01", "2100-01-01"], jobs.audit(path, lambda rows: failed))
+    schema = "receipt_id long, message_type string, control_id string, uninspectable boolean, total_losses int, forward_decision string, ack_code string, audit_events array<struct<id:string,severity:string>>"
+    rows = read_audit(spark, path, schema)
+    return rows.select("receipt_id", "message_type", "control_id", "uninspectable", "total_losses", "forward_decision", "ack_code", F.size("audit_events").alias("n_events"), F.coalesce(F.get("audit_events", F.size("audit_events") - 1)["id"], F.lit("")).alias("last_id"))
+
+
 QUERIES = {
+    "adt_increment_dispositions": increment_dispositions, "adt_increment_tables": increment_tables, "v2_audit_sink": audit_sink,
     "adt_stream_stays": stays, "adt_stream_stay_log": stay_log,
     "v2_stream_reports": reports, "v2_stream_rates": rates, "v2_stream_loss_rates": loss_rates, "adt_stream_markers": markers, "adt_stream_changes": changes,
 }
@@ -111,4 +165,13 @@ ORACLE = {
     "adt_stream_changes": history_queries._H + "SELECT stay_id, revision::BIGINT AS revision, sa AS status FROM change",
     "adt_stream_stays": history_queries._H + "SELECT stay_id, revision, pattern, status, patient_key, opened AS opened_event_ts, closed AS closed_event_ts, coalesce((SELECT string_agg(ward, ',' ORDER BY seq) FROM seg WHERE seg.stay_id = stay.stay_id), '') AS wards FROM stay",
     "adt_stream_stay_log": "SELECT receipt_id, kind, status, NULL::BIGINT AS revision FROM (" + history_queries.ORACLE["adt_retro_statuses"] + ") WHERE kind <> 'tombstone' UNION ALL SELECT receipt_id, 'change', change, revision FROM (" + history_queries.ORACLE["adt_retro_changes"] + ")",
+    "adt_increment_dispositions": history_queries._H + "SELECT receipt_id, CASE WHEN mv IS NULL THEN 'hold_timequality' ELSE 'usable' END AS kind, trig AS trigger FROM m UNION ALL SELECT receipt_id + 1000000000000, 'suppressed_duplicate', trig FROM m WHERE receipt_id % 50 = 0",
+    "adt_increment_tables": history_queries._H
+    + """SELECT "table", kind, count(*) AS n, count(*) AS receipts FROM (SELECT 'markers' AS "table", '' AS kind FROM m UNION ALL SELECT 'holds', 'hold_timequality' FROM m WHERE mv IS NULL UNION ALL SELECT 'findings', 'hold_timequality' FROM m WHERE mv IS NULL
+    UNION ALL SELECT 'findings', 'unassigned' FROM m WHERE s = 22 AND mv IS NOT NULL UNION ALL SELECT 'events', '' FROM m WHERE s <> 22 AND mv IS NOT NULL) GROUP BY ALL""",
+    "v2_audit_sink": v2_queries._sql(
+        """SELECT k AS receipt_id, message_type, 'M' || k AS control_id, false AS uninspectable, total::INT AS total_losses, CASE WHEN k % 40 = 7 THEN 'forward-failed' WHEN crit > 0 THEN 'blocked' ELSE 'forwarded' END AS forward_decision, CASE WHEN crit > 0 THEN 'AE' ELSE 'AA' END AS ack_code,
+        (crit + warn)::INT AS n_events, CASE WHEN crit + warn > 0 THEN k || '-' || (crit + warn - 1)::BIGINT ELSE '' END AS last_id FROM rep WHERE crit > 0 OR warn > 0 OR k % 40 = 7
+        UNION ALL SELECT -k - 1, 'UNPARSEABLE', '', true, NULL, CASE WHEN (-k - 1) % 40 = 7 THEN 'forward-failed' ELSE 'forwarded' END, 'AA', 0, '' FROM msg WHERE k % 100 = 0"""
+    ),
 }

@@ -198,7 +198,7 @@ ORACLE = {
     "v2_effective_severity_join": _EFFECTIVE,
     "v2_effective_reports": _sql("SELECT msg.k AS receipt_id, count(effective) FILTER (WHERE effective = 'critical')::INT AS n_critical, count(effective) FILTER (WHERE effective = 'warning')::INT AS n_warning, count(effective) FILTER (WHERE effective = 'info')::INT AS n_info, count(effective) FILTER (WHERE effective = 'critical') > 0 AS has_critical FROM msg LEFT JOIN eff ON eff.k = msg.k GROUP BY msg.k"),
     "v2_audit_events": _sql(
-        """SELECT k AS message_id, k || '-' || row_number() OVER (PARTITION BY k ORDER BY o) AS audit_id, effective AS severity, CASE effective WHEN 'critical' THEN '8' ELSE '4' END AS outcome FROM told WHERE effective IN ('warning', 'critical')""",
+        """SELECT k AS message_id, k || '-' || (row_number() OVER (PARTITION BY k ORDER BY o) - 1) AS audit_id, effective AS severity, CASE effective WHEN 'critical' THEN '8' ELSE '4' END AS outcome FROM told WHERE effective IN ('warning', 'critical')""",
         """, seq AS (
     SELECT k, c, 'Reference Severing' AS pattern, 'warning' AS severity, 'PV1/V' || c AS location, [1, 0, 0, 0, 0, 0] AS o FROM msg WHERE c % 3 = 0
     UNION ALL SELECT k, c, 'Reference Severing', 'critical', 'ORC/' || k, [2, 0, 0, 0, 0, 0] FROM msg WHERE k % 4 <> 0

@@ -61,6 +61,33 @@ def write_audit(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("append").json(path)
 
 
+def append_once(df: DataFrame, path: str, batch: int, form: str = "parquet") -> None:
+    """Writes ``df`` as part number ``batch`` of the table at ``path``: a batch that runs again replaces its own part."""
+    df.write.mode("overwrite").format(form).save(f"{path}/batch={batch:012d}")
+
+
+def read_parts(spark: SparkSession, path: str, schema: str, before: int | None = None, form: str = "parquet") -> DataFrame:
+    """The parts of such a table, with their ``batch``; those before a batch only, if one is named; empty if there are none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if found is None or not len(found):
+        return spark.createDataFrame([], f"{schema}, batch long")
+    rows = spark.read.format(form).schema(f"{schema}, batch long").option("basePath", path).load(path)
+    return rows if before is None else rows.where(F.col("batch") < before)
+
+
+def append_audit(records: DataFrame, path: str, batch: int) -> None:
+    """Audit records (``findings.audit_records``) as JSON lines, each batch once."""
+    append_once(records.select(F.col("record").alias("value")), path, batch, "text")
+
+
+def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The audit log with the fields of ``schema``; of a receipt that several batches told, the first one's record."""
+    rows = read_parts(spark, path, "value string", form="text").select(F.from_json("value", schema).alias("r"), "batch")
+    first = rows.groupBy(F.col("r.receipt_id").alias("__id")).agg(F.min_by("r", "batch").alias("r"))
+    return first.select("r.*")
+
+
 def publish(tables: dict[str, DataFrame], root: str, version: str | None = None) -> str:
     """Writes all tables under one new version with their row counts, then moves the pointer; readers see all or none.
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from caresift.operators import fold, sighting, v2
+from caresift.operators import findings, fold, sighting, v2
 from caresift.operators.stays import Windows
+from caresift.sources import files
 
 
 def inspect(msgs: DataFrame) -> DataFrame:
@@ -175,6 +176,62 @@ def events(msgs: DataFrame, as_of: str) -> DataFrame:
     return sighting.events(first_of_marker(sighting.classify(msgs, as_of)))
 
 
+#: The tables that ``sight`` keeps, and their columns.
+SIGHTED = {
+    "dispositions": "receipt_id long, kind string, trigger string, time_provenance string, reason string",
+    "markers": "msh3 string, msh4 string, msh10 string, receipt_id long",
+    "holds": "receipt_id long, kind string, trigger string, text string, patient_keys array<string>, pkey_status string",
+    "findings": "receipt_id long, kind string, trigger string, reason string",
+}
+
+
+def sight(folder: str, as_of: str, config: sighting.SightingConfig = sighting.SightingConfig()):
+    """For ``foreachBatch`` on the intake: sights each receipt once, and adds to the tables of SIGHTED and to ``events``.
+
+    One pass gives all of them.  Receipts that an earlier batch decided are passed over; a complete marker that an earlier
+    batch or a lesser receipt of this one had makes a repeat; a usable message without patient or time is a finding, not an
+    event.  A batch that runs again replaces what it wrote, and looks at the batches before it alone.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        part = lambda name: files.read_parts(spark, f"{folder}/{name}", SIGHTED[name], before=number)
+        fresh = batch.join(part("dispositions").select("receipt_id"), "receipt_id", "left_anti").dropDuplicates(["receipt_id"])
+        rows = files.kept(sighting.sight(fresh, as_of, config))
+        full = F.col("marker.msh3").isNotNull() & F.col("marker.msh4").isNotNull() & F.col("marker.msh10").isNotNull()
+        named = rows.where(full & ~F.col("kind").isin("ignored", "suppressed_duplicate")).select("marker.*", "receipt_id")
+        keys = ["msh3", "msh4", "msh10"]
+        known = part("markers").join(named.select(*keys), keys, "left_semi").select(keys)
+        again = files.kept(named.join(known, keys, "left_semi").select("receipt_id"))
+        new = named.join(again, "receipt_id", "left_anti")
+        marked = rows.join(again.withColumn("__again", F.lit(True)), "receipt_id", "left").withColumn("__again", F.coalesce("__again", F.lit(False)))
+        done = files.kept(marked.withColumns({"kind": F.when(F.col("__again"), "suppressed_duplicate").otherwise(F.col("kind")), "reason": F.when(F.col("__again"), "repeats an earlier message").otherwise(F.col("reason")), "time_provenance": F.when(~F.col("__again"), F.col("time_provenance"))}).drop("__again"))
+        events = files.kept(sighting.events(done, config))
+        lost = F.col("patient_key").isNull() | F.col("event_ts").isNull()
+        unassigned = events.where(lost).select("receipt_id", F.lit("unassigned").alias("kind"), "trigger", F.lit("no patient key or no time").alias("reason"))
+        files.append_once(new.select(*keys, "receipt_id"), f"{folder}/markers", number)
+        files.append_once(sighting.holds(done, config), f"{folder}/holds", number)
+        files.append_once(sighting.quality_findings(done).select("receipt_id", "kind", "trigger", "reason").unionByName(unassigned), f"{folder}/findings", number)
+        files.append_once(events.where(~lost), f"{folder}/events", number)
+        files.append_once(done.select("receipt_id", "kind", "trigger", "time_provenance", "reason"), f"{folder}/dispositions", number)  # last: what is here is done
+
+    return run
+
+
+def audit(path: str, decide=None):
+    """For ``foreachBatch`` on messages: inspects them and adds their audit records to the log, each batch once.
+
+    ``decide`` gives a column of the inspected messages' forwarding decisions; by default critical losses block.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = v2.inspect(batch)
+        rows = rows.withColumns({"ack_code": findings.ack_code(F.col("text"), F.col("has_critical")), "decision": decide(rows) if decide else findings.decision(F.col("has_critical"), "block")})
+        files.append_audit(findings.audit_records(rows), path, number)
+
+    return run
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """All that ``stream`` has now, as a table under ``folder``; a second run with the same folder takes up what came since.
 
