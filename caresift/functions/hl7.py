@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,24 +102,43 @@ def degraded_text(coded: Column) -> Column:
     return F.when((F.left(strip(coded), F.lit(1)) == "^") & (text != "") & (code == "") & (system == ""), text)
 
 
-def patient_keys(text: Column, wanted: str = "MR", authority: str = "") -> Column:
-    """Sorted distinct ``authority|id`` of the PID-3 repetitions of the wanted type; empty if there is none.
+@dataclass(frozen=True)
+class KeyConfig:
+    """Where a site's messages name the patient; fields and components are counted from 1."""
+
+    segment: str = "PID"
+    field: int = 3
+    id_part: int = 1
+    authority_part: int = 4
+    type_part: int = 5
+    wanted: str = "MR"
+    authority: str = ""  #: stands in for a missing one
+
+
+def _named(text: Column, config: KeyConfig) -> Column:
+    """The configured field of each such line; lines are read as they stand, without stripping."""
+    own = F.filter(lines(F.coalesce(text, F.lit(""))), lambda line: F.split(line, r"\|")[0] == config.segment)
+    return F.transform(own, lambda line: field(F.split(line, r"\|"), config.field))
+
+
+def patient_keys(text: Column, wanted: str = "MR", authority: str = "", config: KeyConfig | None = None) -> Column:
+    """Sorted distinct ``authority|id`` of the repetitions of the wanted type; empty if there is none.
 
-    PID lines are read as they stand, without stripping.  ``authority`` stands in for a missing one.
+    Without ``config``, PID-3 is read.  A repetition without an id, or without an authority where none stands in, gives none:
+    an id alone is unique in its own house only.
     """
-    pids = F.filter(lines(F.coalesce(text, F.lit(""))), lambda line: F.split(line, r"\|")[0] == "PID")
-    reps = F.flatten(F.transform(pids, lambda line: F.split(field(F.split(line, r"\|"), 3), "~")))
+    c = config or KeyConfig(wanted=wanted, authority=authority)
+    reps = F.flatten(F.transform(_named(text, c), lambda x: F.split(x, "~")))
 
     def key(rep: Column) -> Column:
-        who, place, kind = (strip(component(rep, n)) for n in (1, 4, 5))
-        place = F.when(place != "", place).otherwise(F.lit(authority))
-        return F.when((kind == wanted) & (who != "") & (place != ""), F.concat_ws("|", place, who))
+        who, place, kind = (strip(component(rep, n)) for n in (c.id_part, c.authority_part, c.type_part))
+        place = F.when(place != "", place).otherwise(F.lit(c.authority))
+        return F.when((kind == c.wanted) & (who != "") & (place != ""), F.concat_ws("|", place, who))
 
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(reps, key))))
 
 
-def patient_class(text: Column, keys: Column) -> Column:
+def patient_class(text: Column, keys: Column, config: KeyConfig = KeyConfig()) -> Column:
     """keyed, unresolved (an identifier without a key) or patientless."""
-    pids = F.filter(lines(F.coalesce(text, F.lit(""))), lambda line: F.split(line, r"\|")[0] == "PID")
-    named = F.exists(pids, lambda line: strip(field(F.split(line, r"\|"), 3)) != "")
+    named = F.exists(_named(text, config), lambda x: strip(x) != "")
     return F.when(F.size(keys) > 0, F.lit("keyed")).when(named, F.lit("unresolved")).otherwise(F.lit("patientless"))

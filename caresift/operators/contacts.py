@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caresift.sources.files import kept
+
 DAY = 86_400
 #: Segments of more than so many buckets are a class of their own.
 LONG = 16
@@ -37,7 +39,7 @@ def pairs(segments: DataFrame, granularity: str = "ward", bucket: int = DAY, sal
     """
     rows = segments.select("segment_id", "patient_key", unit(granularity).alias("unit"), F.unix_timestamp("start_ts").alias("a"), F.unix_timestamp("end_ts").alias("b"))
     long = (F.col("b") - F.col("a")) > LONG * bucket
-    rows = rows.withColumn("class", F.when(F.col("b").isNull(), "open").when(long, "long").otherwise("short"))
+    rows = kept(rows.withColumn("class", F.when(F.col("b").isNull(), "open").when(long, "long").otherwise("short")))  # read by each class and side
     wide = LONG * bucket
     dealt = lambda df, size: df.withColumns({"lo": F.floor(F.least("a", "b") / size), "hi": F.floor(F.greatest("a", "b") / size)}).withColumn("bucket", F.explode(F.sequence("lo", "hi")))
     short, far, still = (rows.where(F.col("class") == c) for c in ("short", "long", "open"))
@@ -60,6 +62,55 @@ def in_range(segments: DataFrame, start: str, end: str, include_estimated: bool
     return rows.where((F.col("start_ts") < F.lit(end).cast("timestamp")) & (F.col("end_ts").isNull() | (F.col("end_ts") > F.lit(start).cast("timestamp"))))
 
 
+#: Seconds from the least time that is known (1 January of year 1) to 1970, and how many levels of four the tree of times has.
+EPOCH, LEVELS = 62_135_596_800, 20
+
+
+def _at(c: str) -> Column:
+    return F.unix_timestamp(c) + EPOCH
+
+
+def _nodes_of_point(at: Column) -> Column:
+    """The node of each level that holds a second."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda n: F.struct(n.alias("level"), F.floor(at / F.pow(F.lit(4.0), n)).cast("long").alias("node")))
+
+
+def _nodes_of_span(a: Column, b: Column) -> Column:
+    """The fewest nodes that make up [a, b): at each level those inside that no node above covers; at most six a level."""
+
+    def covered(n: Column) -> tuple[Column, Column]:
+        wide = F.pow(F.lit(4.0), n)
+        return F.ceil(a / wide).cast("long"), F.floor(b / wide).cast("long")
+
+    def level(n: Column) -> Column:
+        low, high = covered(n)
+        up, down = covered(n + 1)
+        run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+        inner = (up < down) & (n < LEVELS)
+        own = F.when(inner, F.concat(run(low, 4 * up), run(4 * down, high))).otherwise(run(low, high))
+        return F.transform(own, lambda x: F.struct(n.alias("level"), x.alias("node")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level))
+
+
+def in_ranges(segments: DataFrame, ranges: DataFrame, include_estimated: bool = True) -> DataFrame:
+    """(range_id, segment_id) of the segments that cut each of many ranges [from_ts, to_ts): start < to, and end > from or open.
+
+    Of two spans that overlap, the later start lies in the other span.  So two equi-joins find each pair once: starts of
+    ranges in segments, and starts of segments inside ranges.  A span is a few nodes of a tree of times at each level, and
+    a point one at each, whatever the lengths; open ends reach to the end of the tree.  Segments of no or negative length
+    are compared as they stand.  Rows without a start are in none; a range without an end is open.
+    """
+    end = F.lit(4**LEVELS)
+    rows = (segments if include_estimated else exact_only(segments)).select("segment_id", _at("start_ts").alias("a"), _at("end_ts").alias("b")).where("a is not null")
+    asked = ranges.select("range_id", _at("from_ts").alias("f"), _at("to_ts").alias("t")).where("f is not null")
+    fits = (F.col("t").isNull() | (F.col("a") < F.col("t"))) & (F.col("b").isNull() | (F.col("b") > F.col("f")))
+    spread = lambda df, nodes: df.withColumn("n", F.explode(nodes)).select(*df.columns, "n.level", "n.node")
+    inside = spread(rows.where("b is null or b > a"), _nodes_of_span(F.col("a"), F.coalesce("b", end))).join(spread(asked, _nodes_of_point(F.col("f"))), ["level", "node"])
+    later = spread(asked.where("t is null or t > f + 1"), _nodes_of_span(F.col("f") + 1, F.coalesce("t", end))).join(spread(rows, _nodes_of_point(F.col("a"))), ["level", "node"])
+    return inside.where(fits).select("range_id", "segment_id").unionByName(later.where(fits).select("range_id", "segment_id"))
+
+
 def containing(segments: DataFrame, points: DataFrame, key: str = "patient_key") -> DataFrame:
     """``points`` (point_id, key, at) with the segment that holds each: start <= at < end; the latest start wins."""
     hit = (F.col("start_ts") <= F.col("at")) & (F.col("end_ts").isNull() | (F.col("at") < F.col("end_ts")))

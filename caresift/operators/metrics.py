@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caresift.sources.files import kept
+
 #: Upper bounds of the histograms' buckets.
 BUDGET_BOUNDS = (10.0, 20.0, 40.0, 80.0, 160.0, 320.0, 640.0)
 LATENCY_BOUNDS = (0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
@@ -52,6 +54,27 @@ def rolling_percentile(df: DataFrame, value: str, by: list[str], order: list[str
     return df.withColumn("p95", F.round(F.percentile(value, 0.95).over(w), 4))
 
 
+def rolling_percentiles(df: DataFrame, value: str, by: list[str], order: list[str], rows: int = 1000, block: int = 20_000, levels: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """``df`` with p50, p95, p99 (named by ``levels``) of the last ``rows`` values of its group up to each row.
+
+    However many rows a group has, no window holds more than ``block`` and the frame before it: rows are numbered within
+    sorted partitions, the partitions' counts (a table of partitions and groups) say where each begins, and the last
+    ``rows`` - 1 of a block go along with the next.  ``order`` has to be without ties; null values count in no percentile.
+    """
+    place = F.monotonically_increasing_id()
+    dealt = kept(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({"__part": F.shiftright(place, 33), "__at": place}))
+    counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = kept(counts.withColumn("__begin", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).select(*[F.col(c).alias(f"__{c}") for c in by], "__part", "__begin"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    here = dealt.join(begins.withColumnRenamed("__part", "__own"), [*same, F.col("__part") == F.col("__own")]).withColumn("__row", F.col("__at") + F.col("__begin"))
+    number, inside = F.floor(F.col("__row") / block).cast("long"), F.col("__row") % block
+    copies = here.withColumn("__block", F.explode(F.when(inside >= block - rows + 1, F.array(number, number + 1)).otherwise(F.array(number))))
+    w = Window.partitionBy(*by, "__block").orderBy("__row").rowsBetween(-(rows - 1), 0)
+    told = copies.withColumn("__p", F.percentile(value, F.array(*map(F.lit, levels))).over(w)).where(F.floor(F.col("__row") / block) == F.col("__block"))
+    return told.select(*df.columns, *[F.round(F.col("__p")[i], 4).alias(f"p{100 * q:g}") for i, q in enumerate(levels)])
+
+
 def dashboard(reports: DataFrame, protocol: str | None = None) -> DataFrame:
     rows = reports if protocol is None else reports.where(F.col("protocol") == protocol)
     return rows.groupBy("protocol").agg(

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caresift.functions import hl7
-from caresift.operators import erase, estimates, fold, sighting, stays
+from caresift.operators import contacts, erase, estimates, fold, metrics, sighting, stays
+from caresift.plans import adt_queries, history_queries
 from caresift.sources import synth
 from caresift.sources.files import kept, new_folder, publish, published
 
@@ -136,7 +137,49 @@ def erase_snapshot(spark, sf_dir):
     return stays.table_counts(published(spark, root)[1])
 
 
+def _elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """receipt_id, window, elapsed: seconds from a movement to its message, of the scripted histories with readable times."""
+    log = stays.delay_log(sighting.events(sighting.sight(synth.adt_histories(spark, sf_dir), AS_OF)))
+    return log.select("receipt_id", "window", F.col("delay_seconds").cast("double").alias("elapsed"))
+
+
+def latency_histogram(spark, sf_dir):
+    """Cumulative buckets of the milliseconds' bounds, with the delays read as milliseconds."""
+    return metrics.histogram(_elapsed(spark, sf_dir).withColumn("elapsed", F.col("elapsed") / 1_000_000), "elapsed", metrics.LATENCY_BOUNDS, ["window"]).select("window", "le", "n", "count")
+
+
+def latency_percentiles(spark, sf_dir):
+    return metrics.percentiles(_elapsed(spark, sf_dir), "elapsed", ["window"])
+
+
+def latency_rolling(spark, sf_dir):
+    """Percentiles of the last 1,000 delays of each window, in blocks of 3,000 rows."""
+    return metrics.rolling_percentiles(_elapsed(spark, sf_dir), "elapsed", ["window"], ["receipt_id"], 1000, 3000).select("window", "receipt_id", "p50", "p95", "p99")
+
+
+def in_ranges(spark, sf_dir):
+    """Segments of the simple lane that cut each eight-hour shift of the days with events."""
+    days = synth.table(spark, sf_dir, "events").select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("d")).distinct()
+    shift = F.explode(F.array(*[F.lit(8 * n) for n in range(3)])).alias("h")
+    begin = F.timestamp_seconds(F.unix_timestamp("d") + 3600 * F.col("h"))
+    ranges = days.select("d", shift).select(F.date_format(begin, "yyyyMMddHH").alias("range_id"), begin.alias("from_ts"), F.timestamp_seconds(F.unix_timestamp(begin) + 8 * 3600).alias("to_ts"))
+    return contacts.in_ranges(adt_queries._forward(spark, sf_dir)[1], ranges)
+
+
+#: A second site: visit numbers as keys, with its own authority.
+VISITS = hl7.KeyConfig(segment="PV1", field=19, wanted="", authority="VISITS")
+
+
+def site_keys(spark, sf_dir):
+    """Keys and classes of the two-part histories by the usual place and by a second site's."""
+    m = synth.adt_histories(spark, sf_dir, synth.LATE_HISTORIES)
+    own, other = hl7.patient_keys(F.col("text")), hl7.patient_keys(F.col("text"), config=VISITS)
+    typed = hl7.patient_keys(F.col("text"), config=hl7.KeyConfig(wanted="PI"))
+    return m.select("receipt_id", F.array_join(own, ",").alias("keys"), hl7.patient_class(F.col("text"), own).alias("class"), F.array_join(other, ",").alias("visit_keys"), hl7.patient_class(F.col("text"), other, VISITS).alias("visit_class"), F.array_join(typed, ",").alias("pi_keys"))
+
+
 QUERIES = {
+    "adt_latency_histogram": latency_histogram, "adt_latency_percentiles": latency_percentiles, "adt_latency_rolling": latency_rolling, "adt_segments_in_ranges": in_ranges, "adt_site_keys": site_keys,
     "adt_erase_cascade": erase_cascade, "adt_erase_cascade_result": erase_result, "adt_erase_snapshot": erase_snapshot,
     "adt_late_changes": change_log, "adt_late_latest": latest, "adt_late_findings": findings, "adt_late_estimates": estimate_states, "adt_late_segments": segments, "adt_late_stays": all_stays, "adt_late_statuses": statuses,
 }
@@ -208,4 +251,17 @@ ORACLE = {
     FROM (SELECT event_id, 'HOSP|' || CASE WHEN s = 12 THEN 'T' ELSE 'S' END || event_id AS patient_key FROM e WHERE event_type = 'error') k
     LEFT JOIN (SELECT event_id, count(*) FILTER (WHERE gone AND "table" NOT IN ('keys', 'revisions')) AS deleted FROM held GROUP BY event_id) USING (event_id)""",
     "adt_erase_snapshot": _L + _ERASED + """SELECT "table", count(*) FILTER (WHERE NOT gone)::BIGINT AS n FROM held WHERE "table" IN ('stays', 'segments', 'notifications') GROUP BY ALL""",
+    "adt_latency_histogram": history_queries._H
+    + """SELECT "window", le, count(*) FILTER (WHERE d / 1000000.0 <= bound) AS n, count(*) AS count FROM (SELECT CASE WHEN trig IN ('A01', 'A04') THEN 'join' ELSE 'jitter' END AS "window", (arr - mv)::DOUBLE AS d FROM m WHERE mv IS NOT NULL),
+    (VALUES (0.0005, '0.0005'), (0.001, '0.001'), (0.0025, '0.0025'), (0.005, '0.005'), (0.01, '0.01'), (0.025, '0.025'), (0.05, '0.05'), (0.1, '0.1'), (0.25, '0.25'), (0.5, '0.5'), (1.0, '1'), (1e300, '+Inf')) b(bound, le) GROUP BY ALL""",
+    "adt_latency_percentiles": history_queries._H
+    + """SELECT "window", round(quantile_cont(d, 0.5), 4) AS p50, round(quantile_cont(d, 0.95), 4) AS p95, round(quantile_cont(d, 0.99), 4) AS p99 FROM (SELECT CASE WHEN trig IN ('A01', 'A04') THEN 'join' ELSE 'jitter' END AS "window", (arr - mv)::DOUBLE AS d FROM m WHERE mv IS NOT NULL) GROUP BY ALL""",
+    "adt_latency_rolling": history_queries._H
+    + """SELECT "window", receipt_id, round(quantile_cont(d, 0.5) OVER w, 4) AS p50, round(quantile_cont(d, 0.95) OVER w, 4) AS p95, round(quantile_cont(d, 0.99) OVER w, 4) AS p99
+    FROM (SELECT receipt_id, CASE WHEN trig IN ('A01', 'A04') THEN 'join' ELSE 'jitter' END AS "window", (arr - mv)::DOUBLE AS d FROM m WHERE mv IS NOT NULL) WINDOW w AS (PARTITION BY "window" ORDER BY receipt_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""",
+    "adt_segments_in_ranges": adt_queries._SIMPLE
+    + """SELECT strftime(f, '%Y%m%d%H') AS range_id, segment_id FROM seg JOIN (SELECT DISTINCT date_trunc('day', ts) + h * INTERVAL 8 HOUR AS f FROM events, range(3) r(h)) ON start_ts < f + INTERVAL 8 HOUR AND (end_ts IS NULL OR end_ts > f)""",
+    "adt_site_keys": _L
+    + """SELECT receipt_id, CASE WHEN s = 13 THEN '' WHEN s = 12 THEN 'HOSP|S' || event_id || ',HOSP|T' || event_id ELSE 'HOSP|S' || event_id END AS keys, CASE WHEN s = 13 THEN 'unresolved' ELSE 'keyed' END AS class,
+    CASE WHEN s < 12 THEN 'VISITS|V' || event_id ELSE '' END AS visit_keys, CASE WHEN s < 12 THEN 'keyed' ELSE 'patientless' END AS visit_class, CASE WHEN s = 13 THEN 'HOSP|S' || event_id ELSE '' END AS pi_keys FROM m""",
 }
