@@ -112,10 +112,22 @@ def cut_pieces(df: DataFrame, path: str, tokens: int, end: int, key: str = "doc_
     return made.mapInArrow(run, f"key {made.schema['key'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("key", key)
 
 
+def sequences(steps: list[tuple[int, int, int, int, int]]) -> int:
+    """How many sequences a plan takes."""
+    return max((first + end - start for _, start, end, first, _ in steps), default=0)
+
+
 def plan(counts: dict[int, int], capacity: Capacity) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, offset): pieces of these ranks open or join consecutive sequences.
 
-    Lengths go from the longest down.  The open sequences of one fill are one group; a length takes, again and again, the
+    Of two plans, the one of fewer sequences: by the weighted score alone, and with the score only between fills of one
+    token residual.  So the other demands never cost a sequence against tokens alone while they can't bind.
+    """
+    return min((_plan(counts, capacity, first) for first in (False, True)), key=sequences)
+
+
+def _plan(counts: dict[int, int], capacity: Capacity, tokens_first: bool) -> list[tuple[int, int, int, int, int]]:
+    """Lengths go from the longest down.  The open sequences of one fill are one group; a length takes, again and again, the
     group that scores best among those with room under every capacity, and the rest of the length opens new ones.
     """
     most = np.array([capacity.tokens, capacity.documents or np.inf, capacity.attention or np.inf], float)
@@ -139,8 +151,8 @@ def plan(counts: dict[int, int], capacity: Capacity) -> list[tuple[int, int, int
                     if capacity.score == "dot":
                         # of the cosine, or the emptiest sequence would always win; equal ones go by the residual norm
                         cosine = (part * demand * weight).sum(axis=1) / np.sqrt((part**2 * weight).sum(axis=1) * (demand**2 * weight).sum())
-                        score = np.where(cosine >= cosine.max() - 1e-9, score, np.inf)
-                    best = int(fits[np.argmin(score)])
+                        score = np.where(cosine >= cosine.max() - 1e-9, score, np.inf) if not tokens_first else np.where(np.isfinite(score), score, 0.0)
+                    best = int(fits[np.lexsort((score, room[fits, 0]))[0] if tokens_first else np.argmin(score)])
             if best is None:
                 take = -(-left // alone)
                 groups.append(((0, 0, 0), opened, take))
