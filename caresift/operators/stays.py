@@ -163,5 +163,5 @@ def export(stays: DataFrame, segments: DataFrame, marks: DataFrame, estimates: D
     if estimates is None:
         return out
     ends = segments.select("stay_id", F.explode(F.array("start_receipt", "end_receipt")).alias("receipt_id")).where("receipt_id is not null").distinct()
-    active = estimates.where("status = 'active'").join(ends, "receipt_id").groupBy("stay_id")
+    active = estimates.where("status = 'active'").select("receipt_id", "estimate_lower", "estimate_upper").join(ends, "receipt_id").groupBy("stay_id")
     return out.join(active.agg(F.array_sort(F.collect_list(F.struct("receipt_id", "estimate_lower", "estimate_upper"))).alias("estimates")), "stay_id", "left")
