@@ -18,10 +18,12 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from caresift.llm._support import cut, documents, slices, small
+from caresift.llm._support import cut, documents, forget, slices, small
 from caresift.llm._words import U, byte_values, mix, powers
 
 SEED = 32  #: bytes that a minimizer hashes
@@ -350,17 +352,17 @@ def _repeated_places(docs: DataFrame, config: RepeatConfig, buckets: int, hot: i
     return found.groupBy("ref").agg(F.collect_list("places").alias("places"))  # of one text, by its length at most
 
 
-def _cut_places(config: RepeatConfig, buckets: int, hot: list[int]):
+def _cut_places(config: RepeatConfig, buckets: int, hot: Broadcast):
     """Surroundings of a text's places, by bucket of the minimizer; of equal ones in a chunk, the first.
 
     A surrounding holds all strings of ``least`` bytes whose minimizer is this one, and no more bytes than they have.  That
-    of a hot minimizer is sent as its strings, each by its own hash and without bytes.
+    of a hot minimizer, one of the sorted array ``hot``, is sent as its strings, each by its own hash and without bytes.
     """
     reach = config.least - SEED
-    named = np.sort(np.array(hot, np.int64)).astype(U)
 
     def surroundings(batch: pa.RecordBatch, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """kmer, shape, doc, ref, start, size, lead, low (place in ``body``)."""
+        named = hot.value
         refs, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         own = [np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in x.as_py()])) for x in batch.column(3)]
         which = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -463,7 +465,10 @@ def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str
     key, or before in the same text.  ``copy`` texts are such from end to end: copies of whole texts of ``least`` bytes
     or more.  Texts of one key are ordered by a hash, one of rows equal in key and text stays, and null keys come first.
     A null text is empty.  ``rest`` is a struct of ``df``'s columns but the text; rows equal in key and text share one.
+    The key has to be a whole number, as it says which text comes earlier; any other raises an error.
     """
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} has to be a column of whole numbers")
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("rest"))
     rows = rows.withColumns({"doc": F.coalesce(F.col("__key").cast("long"), F.lit(-(1 << 63))), "digest": F.unhex(F.md5("text"))})
@@ -482,14 +487,18 @@ def removed_spans(df: DataFrame, config: RepeatConfig = RepeatConfig(), key: str
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     many = max(config.hot, size // 30 // HOT_LIST)
     places = cut(_repeated_places(texts, config, max(partitions, size // 30 // BUCKET_HASHES + 1), many))
+    forget(spark)  # the minimizers' shuffle, before the texts are shuffled
     held = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
     total = places.agg(F.sum(held).alias("bytes")).first()["bytes"] or 0
     buckets = max(partitions, total // 8 // BUCKET_PLACES + 1)
-    hot = [x for r in places.where("ref is null").collect() for b in r["places"] for x in np.frombuffer(b, np.int64).tolist()]  # HOT_LIST at most
+    named = [np.frombuffer(b, U) for r in places.where("ref is null").collect() for b in r["places"]]  # HOT_LIST numbers at most
+    hot = spark.sparkContext.broadcast(np.sort(np.concatenate([*named, np.empty(0, U)])))
     near = places.where("ref is not null").hint("merge")  # at any size alike: texts meet their places, and later their spans, by a shuffle
     met_places = texts.join(near, "ref").select("ref", "doc", "text", "places").mapInArrow(_cut_places(config, buckets, hot), PLACES)
     spans = met_places.groupBy("bucket").applyInPandas(lambda pdf: settle(pdf, config.least, config.block), "ref long, spans binary")
     spans = cut(spans.groupBy("ref").agg(F.collect_list("spans").alias("spans"))).hint("merge")
+    del places, near, met_places
+    forget(spark)  # the places, and the shuffles of texts and surroundings, before the texts are shuffled again
     # one row of each head stays: rows that repeat it whole are copies
     again = met.where("twice").select("ref", "twice")
     if not again.take(1):

@@ -82,3 +82,8 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert [k for k, _ in kept] == ["1", "1", "2", "None"] and kept[2][1] == "" and kept[3][1] == "tail"
     assert sorted(len(t) for k, t in kept if k == "1")[0] == 0
     assert sr.drop_repeats(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_keys_that_are_no_numbers_raise(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        sr.removed_spans(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
