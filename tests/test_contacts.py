@@ -39,3 +39,28 @@ def test_contacts_of_long_and_odd_segments(spark):
     ends = lambda t, end: end is None or t < end
     want = Counter((x[0], y[0]) for x in rows for y in rows if x[1] and y[1] and x[1] != y[1] and x[2] == y[2] and ends(y[3], x[4]) and ends(x[3], y[4]))
     assert got == want and contacts.pairs(df.limit(0)).count() == 0
+
+
+def test_counts_without_pairs(spark):
+    """Counts against the pairs, with points, open ends, ends before starts, several segments of a patient, and nulls."""
+    r = random.Random(5)
+    rows = []
+    for i in range(500):
+        start = r.randint(0, 3 * 86_400) // r.choice([1, 3600]) * r.choice([1, 1, 3600]) % (4 * 86_400)
+        end = None if r.random() < 0.1 else start + r.choice([0, 0, 60, 3600, -1800, 86_400, r.randint(1, 90_000)])
+        rows.append((f"s{i}", r.choice(["p1", "p2", "p3", "p4", "p5", None]), r.choice(["W1", "W2", None]), start if r.random() < 0.98 else None, end))
+    kind = "segment_id string, patient_key string, ward string, a long, b long"
+    df = spark.createDataFrame(rows, kind).select("segment_id", "patient_key", "ward", F.lit(None).cast("string").alias("room"), F.lit(None).cast("string").alias("bed"), F.timestamp_seconds("a").alias("start_ts"), F.timestamp_seconds("b").alias("end_ts"))
+    want = Counter(x[0] for x in contacts.pairs(df, "bed").collect())
+    assert {x["segment_id"]: x["n"] for x in contacts.counts(df, "bed").collect()} == dict(want) and contacts.counts(df.limit(0)).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_no_side_of_contacts_goes_to_the_driver(spark, sf_dir):
+    """Tables look small to Spark, as their files are compressed and rows are multiplied later."""
+    g = adt_queries._forward(spark, sf_dir)[1]
+    for df in (contacts.pairs(g, "bed"), contacts.counts(g, "bed")):
+        assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
