@@ -122,3 +122,18 @@ def test_a_small_file_makes_many_tasks_and_no_table_goes_to_the_driver(spark, sf
     assert "Join" in plan and "MapInArrow" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "stay_id" in line]
     only = fold.reconstruct(events, synth.AS_OF, poll_seconds=600, kinds=("stay", "finding"))
     assert sorted(map(str, only.collect())) == sorted(map(str, rows.where("kind in ('stay', 'finding')").collect()))
+
+
+def test_the_fold_reads_its_events_once(spark, sf_dir):
+    """Events without a patient or a time come out of the same pass, and parsed fields keep their values."""
+    from caresift.operators import fold, sighting
+    from caresift.plans import history_queries
+    from caresift.sources import synth
+
+    rows = fold.reconstruct(sighting.events(history_queries._sighted(spark, sf_dir)), synth.AS_OF)
+    assert "Union" not in rows._jdf.queryExecution().sparkPlan().toString()
+    assert rows.where("status = 'unassigned' and kind = 'finding' and patient_key is null").count() == 38
+    text = "MSH|^~\\&|A|F|H|H|20240102||ADT^A11|m1|P|2.5\rEVN|A11|20240102||||2024010203\rPID|1||x^^^H^MR\rPV1|1|I|W1\rZST|cancels|m0|ADT^A01|20240101"
+    m = spark.createDataFrame([(1, text)], "receipt_id long, text string").selectExpr("receipt_id", "timestamp'2024-01-02' as received_ts", "text")
+    e = sighting.events(sighting.sight(m, synth.AS_OF)).first()
+    assert (e["zst"]["action"], str(e["zst"]["target_ts"]), str(e["event_ts"]), e["patient_key"]) == ("CANCELS", "2024-01-01 00:00:00", "2024-01-02 03:00:00", "H|x")
