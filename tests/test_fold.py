@@ -137,3 +137,23 @@ def test_the_fold_reads_its_events_once(spark, sf_dir):
     m = spark.createDataFrame([(1, text)], "receipt_id long, text string").selectExpr("receipt_id", "timestamp'2024-01-02' as received_ts", "text")
     e = sighting.events(sighting.sight(m, synth.AS_OF)).first()
     assert (e["zst"]["action"], str(e["zst"]["target_ts"]), str(e["event_ts"]), e["patient_key"]) == ("CANCELS", "2024-01-01 00:00:00", "2024-01-02 03:00:00", "H|x")
+
+
+def test_segments_are_read_without_a_list_of_all(spark):
+    """Odd blanks, bare segments and repeated lines give the fields that the list of segments gives; the fold's batches hold one kind of row."""
+    from pyspark.sql import functions as F
+
+    from caresift.functions import hl7
+    from caresift.operators import sighting
+    from caresift.sources import synth
+
+    texts = ["", None, "PV1", "\r \xa0PV1 |a", " PV1\x0b\rPV1|b", "PV1X|a\rPV1||x y|\x85", "MSH|^~\\&|A|F|\n\r　PV1|1| I |W^ R \r\nPV1|2", "PID|1||x^^^H^MR\rPIDX|1\rPID|1||y^^^H^MR~ z^^^H^MR ", "PID|1|| x ^^^H^ MR\rPV1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    whole = hl7.joined(F.col("text"))
+    read = hl7.fields_of(whole, hl7.loose(whole), "PV1")
+    own = [hl7.tidy(hl7.field(read, n), hl7.loose(whole)).alias(f"n{n}") for n in range(4)]
+    listed = F.coalesce(hl7.first_segment(hl7.segments(F.col("text")), "PV1")["fields"], F.array().cast("array<string>"))
+    want = [hl7.strip(hl7.field(listed, n)).alias(f"n{n}") for n in range(4)]
+    assert df.select("id", *own).collect() == df.select("id", *want).collect()
+    assert [r[0] for r in df.select(hl7.patient_keys(F.col("text"))).collect()][-2:] == [["H|x", "H|y", "H|z"], ["H|x"]]
+    assert "__segs" not in sighting.classify(df.select(F.col("id").alias("receipt_id"), "text"), synth.AS_OF).columns
