@@ -1,4 +1,4 @@
-"""Byte-level BPE with the merges as Spark higher-order functions over a literal rank map.
+"""Byte-level BPE with the merges as Spark higher-order functions over a rank map in two arrays.
 
 Texts are split by the tokenizer's pattern.  The words of the whole corpus are counted, and the most frequent ones, a
 bounded number, are folded once in the JVM: each word's bytes are an array, and the adjacent pair of least rank is merged,
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from caresift.llm._support import cut, documents, give_back, slices
 from caresift.llm._words import pieces
 
-#: Slots of the literal rank map, and lists of its keys that share a displacement; both are primes.
+#: Slots of the rank map, and lists of its keys that share a displacement; both are primes.
 SLOTS, LISTS = 393_241, 98_317
+#: The columns of the rank map beside each block of words.
+TABLE, TABLE_TYPES = ("slots", "moved"), "slots array<bigint>, moved array<bigint>"
 #: Stands before and after each word's bytes; no pair has it.
 EDGE = 65_535
 #: Text bytes, and words to fold, in one block.
@@ -56,9 +58,8 @@ def pair_ranks(path: str) -> dict[int, int]:
     return out
 
 
-@functools.lru_cache(4)
-def _literals(path: str) -> tuple[str, str, str]:
-    """JSON of the rank map's slots and displacements, and of the pieces' hex by rank.
+def _slots(path: str) -> tuple[list[int], list[int]]:
+    """The rank map's slots and displacements.
 
     Spark looks through a map literal from its start, so the map is two arrays: a key's list tells the displacement, key
     and displacement tell the slot, and the slot holds ``key * 65536 + rank``.  Lists are placed from the longest down.
@@ -80,11 +81,17 @@ def _literals(path: str) -> tuple[str, str, str]:
         for key in keys:
             slots[(key ^ move) % SLOTS] = key * 65536 + pairs[key]
             taken[(key ^ move) % SLOTS] = 1
+    return slots, moved
+
+
+@functools.lru_cache(4)
+def _names(path: str) -> str:
+    """JSON of the pieces' hex by rank."""
     ranks = read_ranks(path)
     named = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         named[rank] = piece.hex()
-    return json.dumps(slots), json.dumps(moved), json.dumps(named)
+    return json.dumps(named)
 
 
 def bound(value: Column, body) -> Column:
@@ -92,13 +99,19 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def rank_map(path: str) -> tuple[Column, Column]:
-    slots, moved, _ = _literals(path)
-    return F.from_json(F.lit(slots), "array<bigint>"), F.from_json(F.lit(moved), "array<bigint>")
+@functools.lru_cache(4)
+def rank_arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rank map's slots and displacements, 4 MB of numbers, made once in the driver and broadcast.
+
+    Tasks add them to each block of words.  As literals they would stand in the driver's plans, once for each stage and in
+    each description of a plan, and in the heap of each task as single objects.
+    """
+    slots, moved = _slots(path)
+    return np.array(slots, np.int64), np.array(moved, np.int64)
 
 
 def piece_list(path: str) -> Column:
-    return F.from_json(F.lit(_literals(path)[2]), "array<string>")
+    return F.from_json(F.lit(_names(path)), "array<string>")
 
 
 def fold_word(word: Column, table: tuple[Column, Column]) -> Column:
@@ -133,10 +146,9 @@ def fold_word(word: Column, table: tuple[Column, Column]) -> Column:
     return F.filter(F.when(F.size(word) <= 3, word).otherwise(folded), lambda x: x < EDGE).cast("array<int>")
 
 
-def fold_words(words: Column, path: str) -> Column:
-    """array<array<int>>: every word of an array folded; the rank map is in the plan once."""
-    slots, moved = rank_map(path)
-    return bound(slots, lambda s: bound(moved, lambda m: F.transform(words, lambda w: fold_word(w, (s, m)))))
+def fold_words(words: Column, table: tuple[Column, Column]) -> Column:
+    """array<array<int>>: every word of an array folded.  ``table``: the columns of the rank map."""
+    return F.transform(words, lambda w: fold_word(w, table))
 
 
 def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -250,15 +262,17 @@ def common_words(df: DataFrame, path: str, most: int = COMMON_WORDS, text: str =
     twice = chosen.groupBy("hash").count().where("count > 1").select("hash")  # words of one hash stay with their blocks
     chosen = chosen.join(twice, "hash", "left_anti").select("hash", "word")
 
+    table = df.sparkSession.sparkContext.broadcast(rank_arrays(path))
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_WORDS):
                 batch = whole.slice(at, BLOCK_WORDS)
-                yield pa.RecordBatch.from_arrays([_as_one(batch.column(0)), _as_one(_parts(batch.column(1).to_pylist(), ranks)[0])], ["hashes", "words"])
+                yield pa.RecordBatch.from_arrays([_as_one(batch.column(0)), _as_one(_parts(batch.column(1).to_pylist(), ranks)[0]), *(_as_one(pa.array(x)) for x in table.value)], ["hashes", "words", *TABLE])
 
-    made = chosen.mapInArrow(listed, "hashes array<bigint>, words array<array<bigint>>")
-    made = made.select("hashes", fold_words(F.col("words"), path).alias("ids")).toArrow()  # COMMON_WORDS words at most
+    made = chosen.mapInArrow(listed, f"hashes array<bigint>, words array<array<bigint>>, {TABLE_TYPES}")
+    made = made.select("hashes", fold_words(F.col("words"), tuple(map(F.col, TABLE))).alias("ids")).toArrow()  # COMMON_WORDS words at most
     hashed = np.concatenate([np.empty(0, np.int64), *(x.values.to_numpy(zero_copy_only=False) for x in made["hashes"])]).astype(np.uint64)
     sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.uint16)]
     for x in made["ids"]:
@@ -279,7 +293,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", co
     """
     found, *listed = common_words(df, path, common, text)  # COMMON_WORDS words at most, as all of this table
     context = df.sparkSession.sparkContext
-    names, shared = context.broadcast(found), context.broadcast(listed)
+    names, shared, table = context.broadcast(found), context.broadcast(listed), context.broadcast(rank_arrays(path))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
@@ -293,7 +307,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", co
             rows = pa.StructArray.from_arrays([pa.concat_arrays([h[0] for h in held]), pa.array([x for h in held for x in h[1]], pa.binary()), pa.array(np.concatenate([h[2] for h in held]), pa.int32())], ["key", "places", "n"])
             other.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays([_as_one(rows), _as_one(parts), _as_one(long)], ["rows", "words", "long"])
+            return pa.RecordBatch.from_arrays([_as_one(rows), _as_one(parts), _as_one(long), *(_as_one(pa.array(x)) for x in table.value)], ["rows", "words", "long", *TABLE])
 
         for batch, n, joined, name, first, last, _, which, bounds in _words_of(batches, "text"):
             own = np.minimum(np.searchsorted(known, name), max(len(known) - 1, 0)).astype(np.int32)
@@ -342,8 +356,8 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", co
 
     made = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = made.schema["key"].dataType.simpleString()
-    split = made.mapInArrow(blocks, f"rows array<struct<key:{kind},places:binary,n:int>>, words array<array<bigint>>, long array<binary>")
-    folded = split.select("rows", fold_words(F.col("words"), path).alias("ids"), "long")
+    split = made.mapInArrow(blocks, f"rows array<struct<key:{kind},places:binary,n:int>>, words array<array<bigint>>, long array<binary>, {TABLE_TYPES}")
+    folded = split.select("rows", fold_words(F.col("words"), tuple(map(F.col, TABLE))).alias("ids"), "long")
     return folded.mapInArrow(gather, f"key {kind}, ids array<int>, ids_sha256 string").withColumnRenamed("key", key)
 
 

@@ -279,3 +279,9 @@ def test_quality_sample_with_ties_and_repeats(spark):
     rows = quality.sample(labels, docs).collect()
     assert sorted((x["doc_id"], x["label"]) for x in rows) == sorted([(1, y) for y in (0, 0, 0, 0, 1, 1) if 1 in own] + [(3, 1) for _ in range(1) if 3 in own])
     assert quality.sample(labels.limit(0), docs).count() == 0
+
+
+def test_the_rank_map_is_not_in_the_plan(spark):
+    """As a literal it stood in each plan and its descriptions, with millions of digits, in the driver's memory."""
+    plan = byte_bpe.encode(frame(spark, ["low lower lowest"]), RANKS)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000
