@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from caresift.sources.files import kept
 
@@ -49,9 +54,35 @@ def percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def rolling_percentile(df: DataFrame, value: str, by: list[str], order: list[str], rows: int = 1000) -> DataFrame:
-    """``df`` with p95 of the last ``rows`` values up to each row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    return df.withColumn("p95", F.round(F.percentile(value, 0.95).over(w), 4))
+    """``df`` with p95 of the last ``rows`` values up to each row; as ``rolling_percentiles``."""
+    return rolling_percentiles(df, value, by, order, rows, levels=(0.95,))
+
+
+def _rolled(table: pa.Table, rows: int, block: int, levels: tuple[float, ...]) -> pa.Table:
+    """Of one block and the frame before it: its rows with __p0, __p1 ..., unrounded.
+
+    Values are replaced by their ranks, so that infinite ones count as Spark counts them and only nulls as missing; the two
+    ranks next to a percentile give it as Spark's ``percentile`` does.
+    """
+    table = table.sort_by("__row")
+    told = table["__value"]
+    known, rank = np.unique(told.to_numpy()[told.is_valid().to_numpy()], return_inverse=True)
+    place = np.full(len(told), np.nan)
+    place[told.is_valid().to_numpy()] = rank
+    frame = pd.Series(place).rolling(rows, min_periods=1)
+    at_most = np.nan_to_num(frame.count().to_numpy()) - 1
+    own = pc.equal(pc.divide(table["__row"], block), table["__block"])
+    out = table.drop_columns(["__value", "__block", "__row"])
+    for i, level in enumerate(levels):
+        where = at_most * level
+        low, high = np.floor(where), np.ceil(where)
+        small, great = (frame.quantile(level, interpolation=side).to_numpy() for side in ("lower", "higher"))
+        there = at_most >= 0
+        a, b = (known[np.where(there, x, 0).astype(int)] if len(known) else place for x in (small, great))
+        with np.errstate(invalid="ignore"):
+            mixed = np.where((low == high) | (a == b), a, (high - where) * a + (where - low) * b)
+        out = out.append_column(f"__p{i}", pa.array(mixed, pa.float64(), mask=~there))
+    return out.filter(own)
 
 
 def rolling_percentiles(df: DataFrame, value: str, by: list[str], order: list[str], rows: int = 1000, block: int = 20_000, levels: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
@@ -60,9 +91,11 @@ def rolling_percentiles(df: DataFrame, value: str, by: list[str], order: list[st
     However many rows a group has, no window holds more than ``block`` and the frame before it: rows are numbered within
     sorted partitions, the partitions' counts (a table of partitions and groups) say where each begins, and the last
     ``rows`` - 1 of a block go along with the next.  ``order`` has to be without ties; null values count in no percentile.
+    A block is one call of pandas, whose frame slides: a row costs one insertion and one removal, not ``rows`` of them.
     """
     place = F.monotonically_increasing_id()
-    dealt = kept(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({"__part": F.shiftright(place, 33), "__at": place}))
+    whole = kept(df)  # ranges are sampled first, which would make rows twice
+    dealt = kept(whole.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({"__part": F.shiftright(place, 33), "__at": place}))
     counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     begins = kept(counts.withColumn("__begin", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low")).select(*[F.col(c).alias(f"__{c}") for c in by], "__part", "__begin"))
@@ -70,9 +103,10 @@ def rolling_percentiles(df: DataFrame, value: str, by: list[str], order: list[st
     here = dealt.join(begins.withColumnRenamed("__part", "__own"), [*same, F.col("__part") == F.col("__own")]).withColumn("__row", F.col("__at") + F.col("__begin"))
     number, inside = F.floor(F.col("__row") / block).cast("long"), F.col("__row") % block
     copies = here.withColumn("__block", F.explode(F.when(inside >= block - rows + 1, F.array(number, number + 1)).otherwise(F.array(number))))
-    w = Window.partitionBy(*by, "__block").orderBy("__row").rowsBetween(-(rows - 1), 0)
-    told = copies.withColumn("__p", F.percentile(value, F.array(*map(F.lit, levels))).over(w)).where(F.floor(F.col("__row") / block) == F.col("__block"))
-    return told.select(*df.columns, *[F.round(F.col("__p")[i], 4).alias(f"p{100 * q:g}") for i, q in enumerate(levels)])
+    asked = copies.select(*df.columns, F.col(value).cast("double").alias("__value"), "__block", F.col("__row").cast("long").alias("__row"))
+    schema = StructType([*[asked.schema[c] for c in df.columns], *[StructField(f"__p{i}", DoubleType()) for i in range(len(levels))]])
+    told = asked.groupBy(*by, "__block").applyInArrow(lambda table: _rolled(table, rows, block, levels), schema)
+    return told.select(*df.columns, *[F.round(f"__p{i}", 4).alias(f"p{100 * q:g}") for i, q in enumerate(levels)])
 
 
 def dashboard(reports: DataFrame, protocol: str | None = None) -> DataFrame:

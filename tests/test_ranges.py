@@ -1,6 +1,7 @@
 import random
 from datetime import UTC, datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caresift.functions import hl7
@@ -70,3 +71,15 @@ def test_times_that_are_held(spark):
     rows = [(i, datetime(2024, 1, 2), text(t)) for i, t in enumerate(["20240101", "garbage", "18500101", "21000101", "20240230"])]
     got = {x.receipt_id: (x.kind, x.reason) for x in sighting.sight(spark.createDataFrame(rows, "receipt_id long, received_ts timestamp, text string"), "2024-01-03").collect()}
     assert got[0][0] == "usable" and {got[1], got[4]} == {("hold_timequality", "unreadable time")} and {got[2], got[3]} == {("hold_timequality", "absurd time")}
+
+
+def test_rolling_percentiles_are_those_of_spark_without_a_frame_of_rows(spark):
+    value = F.when(F.col("i") % 11 == 0, None).when(F.col("i") % 97 == 0, float("inf")).when(F.col("i") % 89 == 0, float("nan")).otherwise((F.col("i") * 7919) % 101 / 8)
+    df = spark.range(1, 400).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").alias("i"), F.array("id").alias("more")).withColumn("v", F.when(F.col("i") > 30, value))
+    frame = Window.partitionBy("g").orderBy("i").rowsBetween(-6, 0)
+    levels = (0.0, 0.5, 0.95, 1.0)
+    want = df.select("g", "i", "more", "v", *[F.round(F.percentile("v", q).over(frame), 4).alias(f"p{100 * q:g}") for q in levels])
+    got = metrics.rolling_percentiles(df, "v", ["g"], ["i"], rows=7, block=20, levels=levels)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plans = [x._jdf.queryExecution().toString() for x in (got, metrics.rolling_percentile(df, "v", ["g"], ["i"], 7))]
+    assert not any("percentile(" in plan for plan in plans)  # which would go through each row's whole frame
