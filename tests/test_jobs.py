@@ -88,3 +88,14 @@ def test_change_feed_in_any_order(spark, tmp_path):
     for n, part in enumerate((rows[:1], rows[1:], rows[:2])):
         run(spark.createDataFrame(part, "stay_id long, revision long, after_json string"), n)
     assert sorted(tuple(r) for r in jobs.current(spark, path).select("stay_id", "revision", "after_json").collect()) == [(1, 2, "b"), (2, 1, "x")]
+
+
+def test_only_the_last_step_is_kept_to_run_again(spark, monkeypatch):
+    from caresift.plans import stream_queries
+
+    told, copies = [], []
+    monkeypatch.setattr(stream_queries, "kept", lambda df: copies.append(files.kept(df)) or copies[-1])
+    rows = spark.range(6).select("id", F.timestamp_seconds(F.col("id") * 86_400).alias("received_ts")).repartition(1)
+    stream_queries._grown(spark, rows, ["1970-01-03", "1970-01-05", "1970-02-01"], lambda batch, number: told.append((number, sorted(r.id for r in batch.collect()))))
+    assert told == [(0, [0, 1]), (1, [0, 1, 2, 3]), (2, [0, 1, 2, 3, 4, 5]), (2, [0, 1, 2, 3, 4, 5])]
+    assert len(copies) == 1
