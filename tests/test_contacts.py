@@ -64,3 +64,30 @@ def test_no_side_of_contacts_goes_to_the_driver(spark, sf_dir):
     g = adt_queries._forward(spark, sf_dir)[1]
     for df in (contacts.pairs(g, "bed"), contacts.counts(g, "bed")):
         assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
+
+
+def _segments(spark, rows):
+    df = spark.createDataFrame(rows, "segment_id string, patient_key string, ward string, a long, b long")
+    return df.select("segment_id", "patient_key", "ward", F.lit(None).cast("string").alias("room"), F.lit(None).cast("string").alias("bed"), F.timestamp_seconds("a").alias("start_ts"), F.timestamp_seconds("b").alias("end_ts"))
+
+
+def test_contacts_of_many_blocks(spark, monkeypatch):
+    """Blocks of a few rows, with open ends, points, ends before starts and long segments, against all pairs."""
+    monkeypatch.setattr(contacts, "BLOCK", 3)
+    r = random.Random(7)
+    rows = []
+    for i in range(300):
+        start = r.randint(0, 40 * 86_400)
+        end = None if r.random() < 0.3 else start + r.choice([0, 60, -1800, 3600, 86_400, 20 * 86_400, 50 * 86_400])
+        rows.append((f"s{i}", f"p{r.randint(1, 40)}", r.choice(["W1", "W2"]), start, end))
+    ends = lambda t, end: end is None or t < end
+    want = Counter((x[0], y[0]) for x in rows for y in rows if x[1] != y[1] and x[2] == y[2] and ends(y[3], x[4]) and ends(x[3], y[4]))
+    assert Counter(tuple(x) for x in contacts.pairs(_segments(spark, rows)).collect()) == want
+
+
+def test_written_pairs_take_little_disk(spark, tmp_path):
+    """Pairs that are written next to each other share their ids, so a pair is a fraction of a byte."""
+    rows = [(f"1234{i}-98765{i}", f"p{i}", f"W{i % 2}", i * 1000, None if i % 4 else i * 1000 + 30_000) for i in range(2000)]
+    contacts.pairs(_segments(spark, rows)).write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n > 1_000_000 and sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 0.8 * n
