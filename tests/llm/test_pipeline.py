@@ -35,3 +35,14 @@ def test_nulls_and_repeats(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, docs, sf_dir).count() >= 5
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_texts_are_not_sorted_to_drop_copies(spark, sf_dir, monkeypatch):
+    """Whether the lost ids are few, those that stay, or neither: the same rows, without a merge join of the texts."""
+    words = lambda n: " ".join(f"w{n}x{i}" for i in range(9))
+    docs = spark.createDataFrame([(i, words(i % 40), "en", "s", 1) for i in range(120)], "doc_id long, text string, lang string, source string, n_chars long")
+    for most, join in ((1000, "LeftAnti"), (60, "LeftSemi"), (10, "ShuffledHashJoin")):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", most)
+        kept = corpus_pipeline.keep_one_of_each(spark, docs, sf_dir)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert {x["doc_id"] for x in kept.collect()} == set(range(40)) and join in plan and "SortMergeJoin" not in plan
