@@ -99,3 +99,16 @@ def test_only_the_last_step_is_kept_to_run_again(spark, monkeypatch):
     stream_queries._grown(spark, rows, ["1970-01-03", "1970-01-05", "1970-02-01"], lambda batch, number: told.append((number, sorted(r.id for r in batch.collect()))))
     assert told == [(0, [0, 1]), (1, [0, 1, 2, 3]), (2, [0, 1, 2, 3, 4, 5]), (2, [0, 1, 2, 3, 4, 5])]
     assert len(copies) == 1
+
+
+def test_audit_passes_over_receipts_that_were_told(spark, sf_dir, tmp_path):
+    """A message that comes again in a later batch is not inspected and written again; a batch that runs again gives the same."""
+    rows, run = synth.oru_messages(spark, sf_dir).limit(300).cache(), jobs.audit(str(tmp_path / "log"))
+    for batch, number in ((rows.where("receipt_id % 3 = 0"), 0), (rows, 1), (rows, 1)):
+        run(batch, number)
+    told = files.read_parts(spark, str(tmp_path / "log"), "value string", form="text").select("batch", F.get_json_object("value", "$.receipt_id").cast("long").alias("receipt_id")).collect()
+    once = jobs.audit(str(tmp_path / "one"))
+    once(rows, 0)
+    read = lambda at: {(r["receipt_id"], r["total_losses"], r["forward_decision"]) for r in files.read_audit(spark, str(tmp_path / at), "receipt_id long, total_losses int, forward_decision string").collect()}
+    assert len(told) == len({r["receipt_id"] for r in told}) > 100 and {r["receipt_id"] % 3 for r in told if r["batch"] == 0} == {0}
+    assert read("log") == read("one")
