@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +114,18 @@ def test_audit_passes_over_receipts_that_were_told(spark, sf_dir, tmp_path):
     read = lambda at: {(r["receipt_id"], r["total_losses"], r["forward_decision"]) for r in files.read_audit(spark, str(tmp_path / at), "receipt_id long, total_losses int, forward_decision string").collect()}
     assert len(told) == len({r["receipt_id"] for r in told}) > 100 and {r["receipt_id"] % 3 for r in told if r["batch"] == 0} == {0}
     assert read("log") == read("one")
+
+
+def test_sighting_of_a_batch_leaves_its_tables_only(spark, sf_dir, tmp_path, monkeypatch):
+    """What a batch keeps for itself is gone when it is done, and holds no text but that of held messages."""
+    copies = []
+    monkeypatch.setattr(files, "kept", lambda df, of=files.kept: copies.append(of(df)) or copies[-1])
+    msgs = synth.adt_histories(spark, sf_dir).limit(400).cache()
+    run = jobs.sight(str(tmp_path / "s"), synth.AS_OF)
+    for batch, number in ((msgs.where("receipt_id % 20 = 0"), 0), (msgs, 1), (msgs, 1)):
+        run(batch, number)
+    left = [df for df in copies if os.path.exists(df.kept_at.removeprefix("file:"))]
+    assert copies and not left and not any("text" in df.columns for df in copies)
+    parts = lambda name: files.read_parts(spark, str(tmp_path / "s" / name), jobs.SIGHTED[name])
+    held = parts("holds")
+    assert parts("dispositions").count() == msgs.count() and held.count() == parts("dispositions").where("kind = 'hold_timequality'").count() > 0 and held.where("text is null or pkey_status is null").count() == 0
