@@ -106,3 +106,20 @@ def test_steps_are_those_of_polls():
             last[r["stay_id"]] = (r["revision"], r["pattern"], r["status"])
     assert last == {r["stay_id"]: (r["revision"], r["pattern"], r["status"]) for r in rows if r["kind"] == "stay"}
     assert json.loads(processor.small.v[0])["deadlines"] == []
+
+
+def test_a_step_asks_only_for_what_is_there(monkeypatch):
+    """A new patient's maps and buffer are not read, and a step that tells nothing gives no table; later steps read what was stored."""
+    asked = []
+    monkeypatch.setattr(Map, "getValue", lambda self, k: asked.append(k) or self.d.get(k))
+    monkeypatch.setattr(Rows, "get", lambda self: asked.append("buffer") or iter(list(self)))
+    e = fold.Event
+    processor = StayProcessor(poll_seconds=600, by_arrival=True)
+    processor.init(Handle())
+    assert not list(processor._told(("P",), 0, [e(1, "A01", 0, 0, "m1")])) and not asked
+    told = list(processor._told(("P",), 600, []))
+    assert asked == ["buffer"] and [r["kind"] for r in json.loads(told[0]["told"][0])] == ["event", "stay", "segment"] and told[0]["patient_key"][0] == "P"
+    cancel = e(2, "A11", 900, 900, "m2", zst=("CANCELS", "m1", "A01", 0))
+    assert not list(processor._told(("P",), 900, [cancel]))
+    rows = json.loads(next(processor._told(("P",), 1200, []))["told"][0])
+    assert [(r["kind"], r["status"]) for r in rows] == [("change", "revoke_stay"), ("event", "applied"), ("stay", "cancelled")] and len(asked) > 3
